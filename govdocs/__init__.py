@@ -1,0 +1 @@
+"""Batch jobs for governed document corpora on PySpark."""
