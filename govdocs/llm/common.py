@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+def text_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Texts are long: fewer rows at a time go to Python than Spark's default, so that workers stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 class Scratch:
     """Tables written below the shared folder: they cut lineage and survive lost executors.
 

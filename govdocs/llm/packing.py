@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from govdocs.llm import tokens
-from govdocs.llm.common import Scratch, text_or_empty
+from govdocs.llm.common import Scratch, text_batches, text_or_empty
 
 #: Rows of equal length are ranked within this many buckets, by a hash of their key.
 BUCKETS = 1024
@@ -199,6 +199,7 @@ def pack(docs: DataFrame, most: int = 2048, path: str | None = None, end_id: int
     a null doc_id keeps its row. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     scratch = Scratch(spark, "packing")
     cuts = scratch.put("pieces", pieces(docs, most, path or tokens.vocabulary_path(), end_id))
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")

@@ -14,14 +14,13 @@ linked to the smallest. This is exact too, and linear in the list.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govdocs.llm.common import Scratch, null_safe, small_side, text_or_empty
+from govdocs.llm.common import Scratch, small_side, text_batches, text_or_empty
 from govdocs.llm.components import connected_components
 
 BYTES, BITS = 8, 2
@@ -44,8 +43,8 @@ def fingerprint_of(text: str, words: int = 3) -> int:
         starts.append(starts[-1] + len(t) + 1)
     width = min(words, len(tokens))
     digest, ones, n = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), len(tokens) - width + 1
-    for at in range(0, n, 1 << 16):  # blocks, so that very long texts stay small
-        to = min(n, at + (1 << 16))
+    for at in range(0, n, 1 << 14):  # blocks, so that very long texts stay small
+        to = min(n, at + (1 << 14))
         h = np.array([digest(joined[a : b - 1], 42) for a, b in zip(starts[at:to], starts[at + width : to + width])], dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
@@ -61,6 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fp = np.array([fingerprint_of(t, words) for t in p["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "fp": fp})
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 

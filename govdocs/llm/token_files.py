@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from govdocs.llm import tokens
-from govdocs.llm.common import Scratch, text_or_empty
+from govdocs.llm.common import Scratch, text_batches, text_or_empty
 
 #: Ids after which a block is closed; it may exceed this by its last document.
 BLOCK_IDS = 1 << 20
@@ -26,6 +26,7 @@ BLOCKS = "shard int, block int, n_docs int, n_tokens long, data binary"
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, block_ids: int = BLOCK_IDS) -> None:
     """Encodes whole texts, appends end_id to each, and writes blocks in ascending doc_id order (null first)."""
     vocabulary = vocabulary or tokens.vocabulary_path()
+    text_batches(docs.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np

@@ -8,7 +8,7 @@ import re
 #: The byte-level vocabulary's file, as the tokenizers package names it.
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct words whose ids a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Longest word that is kept.
 CACHE_CHARS = 64
 #: White space beside a space: there, pieces between spaces aren't encoded alike on their own.
@@ -93,7 +93,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(texts: list[str], path: str, block_chars: int = 4 << 20) -> list[bytes]:
+def encoded(texts: list[str], path: str, block_chars: int = 2 << 20) -> list[bytes]:
     """Ids of the texts, a block of them at a time."""
     out: list[bytes] = []
     block: list[str] = []

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govdocs.llm.common import text_or_empty
+from govdocs.llm.common import text_batches, text_or_empty
 
 #: Closed word classes of the grammar in the languages of the corpus; fixed values.
 TARGET = "you your yourself they them their he she him her people everyone du dich dir ihr euch sie er tu te toi vous ils elles il elle tú ti te usted ustedes ellos ellas él ella"
@@ -219,6 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, least_docs:
     An entry stays if least_docs and least_share of the toxic documents have it and it is `odds` times as
     frequent among toxic rows as among clean ones, half a document of each added. Its weight is the log of the ratio.
     """
+    text_batches(docs.sparkSession)
     rows = training_rows(docs, labels, most)
     sums = {int(r.toxic > 0): r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sums.get(1, 0), sums.get(0, 0)
