@@ -7,11 +7,12 @@ templates are few and fixed, so that they are part of the plan.
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govdocs.llm.common import text_or_empty
-
 #: Usual notices, one line each; fixed values.
 TEMPLATES = {
     "mit": "Licensed under the MIT License.",
@@ -41,7 +42,7 @@ def words(text: Column) -> Column:
 def bigrams(ws: Column) -> Column:
     """Distinct pairs of neighbouring words; null for fewer than two words."""
     n = F.size(ws)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, 2), " "))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1)))
     return F.when(n >= 2, F.array_distinct(pairs))
 
 
@@ -52,6 +53,17 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(ws, ws[1:])))
 
 
+def telling_words(pairs: list[str], least: float) -> list[str]:
+    """Words of which a line must hold one to match: a match shares least / (2 - least) of the template's bigrams, and fewer than that have none of these words."""
+    need = math.ceil(least * len(pairs) / (2 - least) - 1e-9)
+    chosen: list[str] = []
+    for word in sorted({w for p in pairs for w in p.split(" ")}, key=lambda w: (-len(w), w)):
+        if sum(not set(p.split(" ")) & set(chosen) for p in pairs) < need:
+            break
+        chosen.append(word)
+    return chosen
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> DataFrame:
     """One row per notice: doc_id, line_no (from 0), license, dice (rounded to 6 digits).
 
@@ -63,12 +75,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     held = {k: v for k, v in held.items() if v}
     low = min(len(v) for v in held.values()) * least / (2 - least)
     high = max(len(v) for v in held.values()) * (2 - least) / least
-    # a line of n distinct bigrams has n + 1 words or more, and one with too many words for any template is
-    # only looked at if its distinct bigrams can still be few; the vocabulary test leaves few lines at all
-    vocabulary = sorted({b for v in held.values() for b in v})
-    any_pair = "(?i)(?:" + "|".join(b.replace(" ", "[^a-z0-9]+") for b in vocabulary) + ")"
-    lines = docs.where(F.col("text").rlike(any_pair)).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.where(F.col("line").rlike(any_pair)).select("doc_id", "line_no", bigrams(words(F.col("line"))).alias("pairs"))
+    told = sorted({w for v in held.values() for w in telling_words(v, least)})
+    may_match = lambda c: functools.reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(w)) for w in told])
+    lines = docs.where(may_match("text")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.where(may_match("line")).select("doc_id", "line_no", bigrams(words(F.col("line"))).alias("pairs"))
     size = F.size("pairs")
     lines = lines.where((size >= low) & (size <= high))
     scores = []

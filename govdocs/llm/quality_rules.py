@@ -50,7 +50,7 @@ def let(value: Column, then) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words inside windows of five that occur twice or more in the text, the first occurrence included."""
     n = F.size(words)
-    grams = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, WINDOW), " ")))
+    grams = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(WINDOW)])))
 
     def marked(gs: Column) -> Column:
         placed = F.array_sort(F.transform(gs, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
