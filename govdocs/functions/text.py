@@ -70,7 +70,7 @@ def bm25_tokens(c: Column) -> Column:
 
     def with_grams(terms: Column) -> Column:
         n = F.size(terms)
-        grams = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(terms, i, k), "__"))).otherwise(F.array().cast("array<string>"))
+        grams = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.concat_ws("__", *[F.get(terms, i + j) for j in range(k)]))).otherwise(F.array().cast("array<string>"))
         return F.concat(terms, grams(2), grams(3))
 
     return F.element_at(F.transform(F.array(base), with_grams), 1)

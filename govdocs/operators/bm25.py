@@ -35,8 +35,9 @@ def postings_of(texts: DataFrame) -> DataFrame:
 
     Each chunk is counted where it is read, so that the exploded rows are its distinct terms.
     """
-    terms = bm25_tokens(F.col("indexable"))
-    rows = texts.select("chunk_id", F.size(terms).alias("length"), F.explode(terms).alias("token"))
+    # the length is taken before the terms are exploded, or it would be counted again for each of them
+    held = texts.select("chunk_id", bm25_tokens(F.col("indexable")).alias("terms")).select("chunk_id", F.size("terms").alias("length"), "terms")
+    rows = held.select("chunk_id", "length", F.explode("terms").alias("token"))
     return rows.groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf"))
 
 
@@ -53,7 +54,8 @@ def build_index(texts: DataFrame, settings: Settings = Settings(), postings: Dat
 def scores(queries: DataFrame, index: Index, settings: Settings = Settings(), keep: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score of the chunks that share a term with a query (query_id, text). keep: chunk_ids that may be found; the statistics stay those of the whole corpus.
 
-    Only the queries' terms are joined to the postings; frequencies of terms are known from those rows.
+    Only the queries' terms are joined to the postings. Scores are rounded to nine digits, so that equal
+    texts tie whatever the order of addition.
     """
     asked = queries.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     idf = index.terms.join(asked.select("token").distinct(), "token", "left_semi").select("token", "idf")
@@ -63,7 +65,7 @@ def scores(queries: DataFrame, index: Index, settings: Settings = Settings(), ke
     k1, b, tf = settings.bm25_k1, settings.bm25_b, F.col("tf")
     long = 1 - b + b * F.greatest(F.col("length"), F.lit(1)) / index.mean_length
     part = F.col("idf") * (tf * (k1 + 1) / (tf + k1 * long)) * F.col("qtf")
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def normalized(scored: DataFrame, n_filtered: int) -> DataFrame:

@@ -103,17 +103,20 @@ PARTS = {
     "spans": "SELECT *, k * 500 AS a, CASE WHEN len(toks) <= 800 THEN len(toks) ELSE least(k * 500 + 600, len(toks)) END AS b FROM wins",
     "chunks": """SELECT n, doc_id, title, department, owner, regions, policy_type, access_level, related_processes, 'Document Body' AS section_title, left(sha1('Document Body'), 10) AS section_path_hash, 1 AS heading_occurrence,
       'chk:' || doc_id || ':document-body:01:' || left(sha1('Document Body'), 10) || ':' || lpad((k + 1)::VARCHAR, 3, '0') AS chunk_id, (k + 1)::INT AS chunk_index, (b - a)::INT AS token_count,
-      array_to_string(list_transform(range(a + 1, b + 1), lambda i: toks[i] || CASE WHEN i < b THEN gaps[i + 1] ELSE '' END), '') AS text,
+      array_to_string(list_transform(list_zip(toks[a + 1:b], gaps[a + 2:b] || ['']), lambda p: p[1] || p[2]), '') AS text,
       (list_sum(list_transform(gaps[1:a + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(toks[1:a], lambda g: length(g))), 0))::INT AS start_char FROM spans""",
     "indexed": "SELECT chunk_id, title || chr(10) || section_title || chr(10) || department || chr(10) || array_to_string(regions, ' ') || chr(10) || owner || chr(10) || array_to_string(related_processes, ' ') || chr(10) || text AS ix FROM chunks",
     "terms0": f"SELECT chunk_id, {tokens_of('ix')} AS e FROM indexed",
-    "terms": f"SELECT chunk_id, {grams('e')} AS t FROM terms0",
-    "posts": "SELECT chunk_id, len, token, count(*) AS tf FROM (SELECT chunk_id, len(t) AS len, unnest(t) AS token FROM terms) GROUP BY ALL",
-    "corpus": "SELECT count(*) AS n, avg(len(t)) AS mean FROM terms",
+    "places": "SELECT chunk_id, unnest(e) AS t, generate_subscripts(e, 1) AS i FROM terms0",
+    "runs": "SELECT chunk_id, t, lead(t) OVER w AS t1, lead(t, 2) OVER w AS t2 FROM places WINDOW w AS (PARTITION BY chunk_id ORDER BY i)",
+    "terms": "SELECT chunk_id, t AS token FROM runs UNION ALL SELECT chunk_id, t || '__' || t1 FROM runs WHERE t1 IS NOT NULL UNION ALL SELECT chunk_id, t || '__' || t1 || '__' || t2 FROM runs WHERE t2 IS NOT NULL",
+    "lens": "SELECT chunk_id, count(*) AS len FROM terms GROUP BY chunk_id",
+    "posts": "SELECT chunk_id, len, token, count(*) AS tf FROM terms JOIN lens USING (chunk_id) GROUP BY ALL",
+    "corpus": "SELECT count(*) AS n, avg(coalesce(len, 0)) AS mean FROM chunks LEFT JOIN lens USING (chunk_id)",
     "idf": "SELECT token, count(*) AS df, ln(1 + ((SELECT n FROM corpus) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posts GROUP BY token",
     "q0": f"SELECT item_id AS query_id, {tokens_of('text')} AS e FROM benchmark",
     "qt": f"SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest({grams('e')}) AS token FROM q0) GROUP BY ALL",
-    "bm": "SELECT query_id, chunk_id, sum(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT mean FROM corpus)))) * qtf) AS score FROM posts JOIN qt USING (token) JOIN idf USING (token) GROUP BY ALL",
+    "bm": "SELECT query_id, chunk_id, round(sum(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT mean FROM corpus)))) * qtf), 9) AS score FROM posts JOIN qt USING (token) JOIN idf USING (token) GROUP BY ALL",
     "bmall": "SELECT query_id, chunk_id, coalesce(score, 0.0) AS score, score IS NOT NULL AS hit FROM (SELECT DISTINCT query_id FROM qt) CROSS JOIN (SELECT chunk_id FROM chunks) LEFT JOIN bm USING (query_id, chunk_id)",
     "bmn": "SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN (max(score) OVER w > 0)::INT::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bmall WINDOW w AS (PARTITION BY query_id)",
     "qv": "SELECT item_id AS query_id, embedding AS qe FROM benchmark JOIN embeddings ON item_id = vec_id",
@@ -360,7 +363,7 @@ SELECTS = {
         FROM suff LEFT JOIN extract USING (query_id) LEFT JOIN titles USING (query_id))""",
     "e1_checks": "SELECT n AS case_id, array_to_string(failed, '|') AS failed_checks, hit AS retrieval_hit_at_k, round(recall, 6) AS retrieval_recall_at_k, csv AS citation_subset_valid, ecm AS expected_citation_match, gp AS grounding_pass, rc AS refusal_correct, fab AS fabricated_answer, passed FROM evc",
     "e2_metrics": f"SELECT {METRICS} FROM evc",
-    "e3_splits": "SELECT s AS split, count(n) AS total, count_if(passed) AS passed, count(n) - count_if(passed) AS failed, round(count_if(passed)::DOUBLE / nullif(count(n), 0), 6) AS pass_rate FROM (SELECT unnest(['core', 'holdout', 'extra']) AS s) LEFT JOIN evc ON split = s GROUP BY s",
+    "e3_splits": "SELECT s AS split, count(n) AS total, coalesce(count_if(passed), 0) AS passed, count(n) - coalesce(count_if(passed), 0) AS failed, round(count_if(passed)::DOUBLE / nullif(count(n), 0), 6) AS pass_rate FROM (SELECT unnest(['core', 'holdout', 'extra']) AS s) LEFT JOIN evc ON split = s GROUP BY s",
     "e4_intents": "SELECT expected_intent, count(*) AS total, count_if(passed) AS passed, round(count_if(passed)::DOUBLE / count(*), 6) AS pass_rate, round(count_if(expected_intent = intent)::DOUBLE / count(*), 6) AS intent_accuracy FROM evc GROUP BY expected_intent",
     "e5_confusion": "SELECT expected_intent, intent, count(*) AS n FROM evc GROUP BY ALL",
     "e6_validate": """SELECT case_id, e AS errors FROM (SELECT case_id, concat_ws('|', CASE WHEN count(*) OVER (PARTITION BY case_id) > 1 THEN 'case_id_not_unique' END, CASE WHEN g AND n % 9 = 0 THEN 'generated_without_flag' END) AS e
