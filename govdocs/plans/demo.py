@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from govdocs.functions import text as X
 from govdocs.functions.helpers import embed, nearest
 from govdocs.operators import access, bm25, evaluation, feedback, graph, ingest, registry, retrieval
 from govdocs.plans import questions
+from govdocs.plans.workspace import stored
 from govdocs.settings import ACCESS_LEVELS, POLICY_TYPES, Settings
 
 K = 5
@@ -73,7 +76,8 @@ def documents(spark, d) -> DataFrame:
 
 
 def chunks(spark, d) -> DataFrame:
-    return ingest.chunks(documents(spark, d))
+    """The chunk table, stored as ingestion stores it."""
+    return stored(spark, d, "chunks", lambda: ingest.chunks(documents(spark, d)))
 
 
 def conversations(spark, d) -> DataFrame:
@@ -88,8 +92,11 @@ def asked(spark, d) -> DataFrame:
 
 
 def index(spark, d) -> bm25.Index:
+    """The index over stored postings and terms."""
     texts = bm25.indexable_text(chunks(spark, d)).select("chunk_id", "indexable")
-    return bm25.build_index(texts)
+    posts = stored(spark, d, "postings", lambda: bm25.postings_of(texts))
+    built = bm25.build_index(texts, postings=posts)
+    return dataclasses.replace(built, terms=stored(spark, d, "terms", lambda: built.terms))
 
 
 def vectors(spark, d) -> DataFrame:
@@ -246,7 +253,7 @@ def t5_normalized(spark, d):
 
 
 def found_bm25(spark, d, k=K):
-    return bm25.search(asked(spark, d), index(spark, d), k)
+    return stored(spark, d, f"found{k}", lambda: bm25.search(asked(spark, d), index(spark, d), k))
 
 
 def t6_search(spark, d):
@@ -385,7 +392,9 @@ def matched(spark, d) -> DataFrame:
 
 
 def demo_graph(spark, d) -> tuple[DataFrame, DataFrame]:
-    return graph.build_graph(chunks(spark, d), entity_rules(spark), relation_rules(spark))
+    """The stored graph tables."""
+    nodes, edges = graph.build_graph(chunks(spark, d), entity_rules(spark), relation_rules(spark))
+    return stored(spark, d, "nodes", lambda: nodes), stored(spark, d, "edges", lambda: edges)
 
 
 def flat_nodes(nodes: DataFrame) -> DataFrame:
@@ -506,7 +515,7 @@ def evidence(spark, d) -> DataFrame:
     """Citations of the routes that retrieve."""
     ok = cited(spark, d)[0].join(routed(spark, d).where("include_retrieval").select("query_id"), "query_id", "left_semi")
     rows = ok.withColumn("text", F.col("quote")).withColumnRenamed("normalized_score", "hybrid_score")
-    return questions.retrieval_evidence(rows)
+    return stored(spark, d, "evidence", lambda: questions.retrieval_evidence(rows))
 
 
 def q3_evidence(spark, d):
@@ -527,7 +536,7 @@ def type_terms(spark) -> DataFrame:
 
 def matched_nodes(spark, d) -> DataFrame:
     graphed = routed(spark, d).where("include_graph").select("query_id", "text")
-    return questions.match_nodes(graphed, demo_graph(spark, d)[0], doc_ranks(spark, d), type_terms(spark))
+    return stored(spark, d, "matched", lambda: questions.match_nodes(graphed, demo_graph(spark, d)[0], doc_ranks(spark, d), type_terms(spark)))
 
 
 def q5_match_nodes(spark, d):
@@ -538,7 +547,8 @@ def candidates(spark, d) -> tuple[DataFrame, DataFrame]:
     nodes, edges = demo_graph(spark, d)
     asking = routed(spark, d).where("include_graph")
     ranks = doc_ranks(spark, d).join(asking.select("query_id"), "query_id", "left_semi")
-    return questions.evidence_candidates(matched_nodes(spark, d), asking, nodes, edges, ranks)
+    near, linked = questions.evidence_candidates(matched_nodes(spark, d), asking, nodes, edges, ranks)
+    return stored(spark, d, "candidate_nodes", lambda: near), stored(spark, d, "candidate_edges", lambda: linked)
 
 
 def q6_candidates(spark, d):
@@ -551,7 +561,7 @@ def ranked_edges(spark, d) -> DataFrame:
     nodes, edges = demo_graph(spark, d)
     priors = spark.createDataFrame(PRIORS, "relation_type string, prior double")
     boosts = spark.createDataFrame(BOOSTS, "relation_type string, term string, boost double")
-    return questions.rank_edges(asked(spark, d), candidates(spark, d)[1], nodes, edges, doc_ranks(spark, d), priors, boosts)
+    return stored(spark, d, "ranked_edges", lambda: questions.rank_edges(asked(spark, d), candidates(spark, d)[1], nodes, edges, doc_ranks(spark, d), priors, boosts))
 
 
 def q7_rank_edges(spark, d):

@@ -183,10 +183,10 @@ PARTS = {
     "mn0": """SELECT a.query_id, l.node_id, len(list_intersect(tokens, lt)) AS ov, len(lt) AS nl, contains(normal, ln) AS inside, i.type IS NOT NULL AS imp, coalesce(list_has_any(docs, source_doc_ids), false) AS dd
       FROM aq a JOIN routes r ON a.query_id = r.query_id AND include_graph CROSS JOIN labels_ l LEFT JOIN implied i ON i.query_id = a.query_id AND i.type = l.type LEFT JOIN qdocs q ON q.query_id = a.query_id WHERE len(lt) > 0""",
     "mn": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM (SELECT query_id, node_id, ov / nl + CASE WHEN inside THEN 2.0 ELSE 0 END + CASE WHEN dd AND (ov > 0 OR imp) THEN 0.25 ELSE 0 END + CASE WHEN imp THEN 1.25 ELSE 0 END AS score FROM mn0) WHERE score > 0 QUALIFY rank <= 5",
-    "both": "SELECT source_node_id AS a, target_node_id AS b FROM edges UNION SELECT target_node_id, source_node_id FROM edges",
+    "sides": "SELECT source_node_id AS a, target_node_id AS b FROM edges UNION SELECT target_node_id, source_node_id FROM edges",
     "ms": "SELECT query_id, node_id AS seed, graph_depth AS dep FROM mn JOIN routes USING (query_id)",
-    "m1": "SELECT DISTINCT query_id, seed, dep, b AS node_id FROM ms JOIN both ON a = seed",
-    "m2": "SELECT DISTINCT query_id, seed, dep, b AS node_id FROM m1 JOIN both ON a = node_id WHERE dep = 2",
+    "m1": "SELECT DISTINCT query_id, seed, dep, b AS node_id FROM ms JOIN sides ON a = seed",
+    "m2": "SELECT DISTINCT query_id, seed, dep, b AS node_id FROM m1 JOIN sides ON a = node_id WHERE dep = 2",
     "mnear": "SELECT query_id, seed, seed AS node_id FROM ms UNION SELECT query_id, seed, node_id FROM m1 UNION SELECT query_id, seed, node_id FROM m2",
     "granks": "SELECT * FROM ranks WHERE query_id IN (SELECT query_id FROM routes WHERE include_graph)",
     "cand_n": "SELECT DISTINCT query_id, node_id FROM (SELECT query_id, node_id FROM mnear UNION ALL SELECT query_id, unnest([source_node_id, target_node_id]) FROM granks JOIN edges ON doc_id = source_doc_id) WHERE node_id IN (SELECT node_id FROM nodes)",
