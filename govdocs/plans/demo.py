@@ -406,18 +406,19 @@ def g1_entities(spark, d):
     return graph.match_entities(chunks(spark, d), entity_rules(spark))
 
 
-STATED = F.concat(
-    F.lit("Reply within "), (F.col("doc_id") % 9).cast("string"), F.lit(" minutes or 2  Business Days; first week. Pay USD "), (F.col("doc_id") % 7 + 1).cast("string"),
-    F.lit(",000 and up to USD 9,500, more than "), (F.col("doc_id") % 5 + 1).cast("string"), F.lit(" working days. "), F.col("text"),
-)
+def stated():
+    """The texts after a sentence with times and thresholds."""
+    n = F.col("doc_id")
+    parts = ["Reply within ", n % 9, " minutes or 2  Business Days; first week. Pay USD ", n % 7 + 1, ",000 and up to USD 9,500, more than ", n % 5 + 1, " working days. ", F.col("text")]
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
 def g2_times(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(X.time_requirements(STATED), "|").alias("times"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.time_requirements(stated()), "|").alias("times"))
 
 
 def g3_thresholds(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(X.thresholds(STATED), "|").alias("thresholds"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.thresholds(stated()), "|").alias("thresholds"))
 
 
 EDGE = ["edge_id", "source_node_id", "target_node_id", "relation_type", "source_doc_id", "source_chunk_id", "evidence_quote", "confidence"]
