@@ -54,8 +54,7 @@ def build_index(texts: DataFrame, settings: Settings = Settings(), postings: Dat
 def scores(queries: DataFrame, index: Index, settings: Settings = Settings(), keep: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score of the chunks that share a term with a query (query_id, text). keep: chunk_ids that may be found; the statistics stay those of the whole corpus.
 
-    Only the queries' terms are joined to the postings. Scores are rounded to nine digits, so that equal
-    texts tie whatever the order of addition.
+    Only the queries' terms are joined to the postings; frequencies of terms are known from those rows.
     """
     asked = queries.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     idf = index.terms.join(asked.select("token").distinct(), "token", "left_semi").select("token", "idf")
@@ -65,7 +64,12 @@ def scores(queries: DataFrame, index: Index, settings: Settings = Settings(), ke
     k1, b, tf = settings.bm25_k1, settings.bm25_b, F.col("tf")
     long = 1 - b + b * F.greatest(F.col("length"), F.lit(1)) / index.mean_length
     part = F.col("idf") * (tf * (k1 + 1) / (tf + k1 * long)) * F.col("qtf")
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+
+
+def settled(scored: DataFrame) -> DataFrame:
+    """Scores of nine digits, so that equal texts tie whatever the order of addition."""
+    return scored.withColumn("score", F.round("score", 9))
 
 
 def normalized(scored: DataFrame, n_filtered: int) -> DataFrame:
@@ -89,7 +93,7 @@ def search(queries: DataFrame, index: Index, k: int, settings: Settings = Settin
     pool = index.chunks if keep is None else index.chunks.join(keep.select("chunk_id"), "chunk_id", "left_semi")
     n_filtered = index.n if keep is None else pool.count()
     fill = [r.chunk_id for r in pool.select("chunk_id").orderBy("chunk_id").limit(2 * k).collect()]  # 2k ids, however large the corpus
-    hits = normalized(scores(queries, index, settings, keep), n_filtered)
+    hits = normalized(settled(scores(queries, index, settings, keep)), n_filtered)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
     asking = queries.where(F.size(bm25_tokens(F.col("text"))) > 0).select("query_id")

@@ -249,7 +249,7 @@ def t4_scores(spark, d):
 
 def t5_normalized(spark, d):
     at = index(spark, d)
-    return rounded(bm25.normalized(bm25.scores(asked(spark, d), at), at.n), "normalized").select("query_id", "chunk_id", "normalized")
+    return rounded(bm25.normalized(bm25.settled(bm25.scores(asked(spark, d), at)), at.n), "normalized").select("query_id", "chunk_id", "normalized")
 
 
 def found_bm25(spark, d, k=K):
@@ -257,7 +257,7 @@ def found_bm25(spark, d, k=K):
 
 
 def t6_search(spark, d):
-    return rounded(found_bm25(spark, d), "raw_score", "normalized_score")
+    return rounded(found_bm25(spark, d), "normalized_score").withColumn("raw_score", F.round("raw_score", 4))
 
 
 def t7_filters(spark, d):

@@ -116,8 +116,8 @@ PARTS = {
     "idf": "SELECT token, count(*) AS df, ln(1 + ((SELECT n FROM corpus) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posts GROUP BY token",
     "q0": f"SELECT item_id AS query_id, {tokens_of('text')} AS e FROM benchmark",
     "qt": f"SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest({grams('e')}) AS token FROM q0) GROUP BY ALL",
-    "bm": "SELECT query_id, chunk_id, round(sum(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT mean FROM corpus)))) * qtf), 9) AS score FROM posts JOIN qt USING (token) JOIN idf USING (token) GROUP BY ALL",
-    "bmall": "SELECT query_id, chunk_id, coalesce(score, 0.0) AS score, score IS NOT NULL AS hit FROM (SELECT DISTINCT query_id FROM qt) CROSS JOIN (SELECT chunk_id FROM chunks) LEFT JOIN bm USING (query_id, chunk_id)",
+    "bm": "SELECT query_id, chunk_id, sum(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT mean FROM corpus)))) * qtf) AS score FROM posts JOIN qt USING (token) JOIN idf USING (token) GROUP BY ALL",
+    "bmall": "SELECT query_id, chunk_id, coalesce(round(score, 9), 0.0) AS score, score IS NOT NULL AS hit FROM (SELECT DISTINCT query_id FROM qt) CROSS JOIN (SELECT chunk_id FROM chunks) LEFT JOIN bm USING (query_id, chunk_id)",
     "bmn": "SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN (max(score) OVER w > 0)::INT::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bmall WINDOW w AS (PARTITION BY query_id)",
     "qv": "SELECT item_id AS query_id, embedding AS qe FROM benchmark JOIN embeddings ON item_id = vec_id",
     "vs": "SELECT query_id, chunk_id, round(list_cosine_similarity(qe::DOUBLE[], embedding::DOUBLE[]), 12) AS cosine FROM qv CROSS JOIN chunks JOIN embeddings ON n = vec_id",
@@ -316,7 +316,7 @@ SELECTS = {
     "t3_index": "SELECT token, df, round(idf, 6) AS idf FROM idf",
     "t4_scores": "SELECT query_id, chunk_id, round(score, 6) AS score FROM bm",
     "t5_normalized": "SELECT query_id, chunk_id, round(norm, 6) AS normalized FROM bmn WHERE hit",
-    "t6_search": "SELECT query_id, chunk_id, round(score, 6) AS raw_score, round(norm, 6) AS normalized_score, rank::INT AS rank FROM bmn WHERE rank <= 5",
+    "t6_search": "SELECT query_id, chunk_id, round(score, 4) AS raw_score, round(norm, 6) AS normalized_score, rank::INT AS rank FROM bmn WHERE rank <= 5",
     "t7_filters": f"SELECT chunk_id, policy_type FROM chunks WHERE {FILTERED}",
     "t9_nearest": "SELECT query_id, id, round(c, 6) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id)::INT AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS c FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) QUALIFY rank <= 10",
     "t10_hybrid": "SELECT query_id, chunk_id, round(bm25_score, 6) AS bm25_score, round(vector_score, 6) AS vector_score, 0.0::DOUBLE AS metadata_boost, 1.0::DOUBLE AS recency_boost, round(hybrid_score, 6) AS hybrid_score, rank::INT AS rank FROM hy",
