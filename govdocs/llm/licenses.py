@@ -1,18 +1,29 @@
-"""Licence notices: lines of normalised text against templates by the Dice coefficient of word bigrams.
+"""Licence notices: lines and windows of words against templates by the Dice coefficient of word bigrams.
 
-A line and a template of a and b distinct bigrams can reach a coefficient d only if the smaller count is
-at least d / (2 - d) of the larger, so that templates outside these bounds are never compared. The
-templates are few and fixed, so that they are part of the plan.
+Three things are looked for in a text. Its \n-split lines are compared as wholes with the notices of
+`TEMPLATES`. Windows of words, across line breaks and inside longer lines, are compared with those notices
+and with the licence bodies beside this file. Short forms (`under the MIT License`, SPDX identifiers,
+`CC BY-NC 4.0`) are too short for a coefficient and are found word by word.
+
+A window and a template of a and b distinct bigrams can reach a coefficient d only if they share d / (2 - d)
+of b, and a best window begins and ends with a shared bigram: only such windows are scored. A text without
+any word that every match must hold is passed over at the start.
 """
 
 from __future__ import annotations
 
-import functools
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from govdocs.llm.common import text_batches, text_or_empty
+
 #: Usual notices, one line each; fixed values.
 TEMPLATES = {
     "mit": "Licensed under the MIT License.",
@@ -34,58 +45,186 @@ TEMPLATES = {
 }
 
 
-def words(text: Column) -> Column:
+#: Short forms: names of each licence, as they follow "under" or "License:".
+NAMES = {
+    "mit": ["MIT License", "MIT Licence", "Expat License"],
+    "apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache License, v2.0", "Apache 2.0", "Apache Software License 2.0", "Apache License 2"],
+    "bsd-2-clause": ["BSD 2-Clause", "2-Clause BSD", "Simplified BSD License"],
+    "bsd-3-clause": ["BSD 3-Clause", "3-Clause BSD", "New BSD License"],
+    "isc": ["ISC License", "ISC Licence"],
+    "unlicense": ["Unlicense"],
+    "mpl-2.0": ["MPL 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v2.0", "Mozilla Public License, Version 2.0"],
+    "cc0-1.0": ["CC0 1.0", "CC0", "Creative Commons Zero"],
+} | {
+    f"{short.lower()}-{v}.{minor}": [f"{name} {form}" for name in (f"GNU {long}", f"GNU {short}", long, short) for form in (f"version {v}", f"v{v}", f"v{v}.{minor}", f"{v}.{minor}", f"version {v}.{minor}")] + [f"{short}v{v}", f"GNU {short}v{v}"]
+    for short, long, v, minor in (("GPL", "General Public License", 2, 0), ("GPL", "General Public License", 3, 0), ("LGPL", "Lesser General Public License", 2, 1), ("LGPL", "Lesser General Public License", 3, 0), ("AGPL", "Affero General Public License", 3, 0))
+}
+#: What stands before a name.
+LEADS = ["under", "under the", "under a", "under an", "under the terms of", "under the terms of the", "License:", "Licence:"]
+#: Creative Commons terms; their codes say enough without a lead.
+CC_TERMS = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+#: Each short form holds one of these words, or a pair of them with what separates words between.
+CLUES = ["licen", "apache", "gpl", "bsd", "cc0", "creative"]
+CLUE_PAIRS = re.compile("cc[^a-z0-9]+by|mpl[^a-z0-9]+2")
+
+
+def words_of(text: str) -> list[str]:
     """Lower-case runs of a-z and 0-9."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return re.findall("[a-z0-9]+", text.lower())
 
 
-def bigrams(ws: Column) -> Column:
-    """Distinct pairs of neighbouring words; null for fewer than two words."""
-    n = F.size(ws)
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1)))
-    return F.when(n >= 2, F.array_distinct(pairs))
+def pairs_of(text: str) -> list[str]:
+    ws = words_of(text)
+    return [f"{a} {b}" for a, b in zip(ws, ws[1:])]
 
 
-def template_bigrams(text: str) -> list[str]:
-    import re
+def short_forms() -> dict[tuple[str, ...], str]:
+    """Words of a short form -> licence."""
+    out = {tuple(words_of(f"{lead} {name}")): k for k, names in NAMES.items() for name in names for lead in LEADS}
+    out |= {tuple(words_of(f"SPDX-License-Identifier: {k}")): k for k in NAMES}
+    for code, term in CC_TERMS.items():
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            k = f"cc-{code}-{v}"
+            out |= {tuple(words_of(t)): k for t in (f"CC {code} {v}", f"under CC {code} {v}", f"Creative Commons {term} {v}", f"SPDX-License-Identifier: {k}")}
+    return out
 
-    ws = re.findall("[a-z0-9]+", text.lower())
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(ws, ws[1:])))
+
+def bodies() -> dict[str, str]:
+    """Licence texts beside this file, read by the driver."""
+    return {p.stem: p.read_text() for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
 
 
 def telling_words(pairs: list[str], least: float) -> list[str]:
-    """Words of which a line must hold one to match: a match shares least / (2 - least) of the template's bigrams, and fewer than that have none of these words."""
+    """Words of which a match must hold one: a match shares least / (2 - least) of the template's bigrams, and fewer than that have none of these words."""
     need = math.ceil(least * len(pairs) / (2 - least) - 1e-9)
     chosen: list[str] = []
-    for word in sorted({w for p in pairs for w in p.split(" ")}, key=lambda w: (-len(w), w)):
+    held = Counter(w for p in pairs for w in set(p.split(" ")))
+    often = len(pairs) > 40  # long texts: frequent words of some length first, so that few are enough
+    for word in sorted(held, key=lambda w: (-held[w] if often and len(w) > 6 else 0, -len(w), w)):
         if sum(not set(p.split(" ")) & set(chosen) for p in pairs) < need:
             break
         chosen.append(word)
     return chosen
 
 
+class Finder:
+    """Templates made ready; `find` gives the notices of one text."""
+
+    def __init__(self, templates: dict[str, str], texts: dict[str, str], forms: dict[tuple[str, ...], str], least: float):
+        held = [(k, pairs_of(v), whole) for group, whole in ((templates, True), (texts, False)) for k, v in sorted(group.items())]
+        #: Licence, distinct bigrams, most bigrams of a window, whether whole lines are compared.
+        self.held = [(k, len(set(v)), math.floor(len(v) * (2 - least) / least + 1e-9), whole) for k, v, whole in held if v]
+        self.least, self.index, self.forms = least, {}, {}
+        for t, v in enumerate(v for _, v, _ in held if v):
+            for p in set(v):
+                self.index.setdefault(p, []).append(t)
+        for form, k in forms.items():
+            self.forms.setdefault(" ".join(form[:2]), []).append((form, k))
+        told = {w for _, v, _ in held if v for w in telling_words(list(dict.fromkeys(v)), least)} | (set(CLUES) if forms else set())
+        self.told = sorted((w for w in told if not any(o != w and o in w for o in told)), key=lambda w: (len(w), w))
+
+    def may_match(self, low: str) -> bool:
+        return any(w in low for w in self.told) or bool(self.forms and CLUE_PAIRS.search(low))
+
+    def find(self, text: str) -> list[tuple[int, str, float]]:
+        """line_no, licence, coefficient of the notices of a text."""
+        low = text.lower()
+        if not self.may_match(low):
+            return []
+        ws: list[str] = []
+        starts = []
+        for line in low.split("\n"):
+            starts.append(len(ws))
+            ws += words_of(line)
+        pairs = [f"{a} {b}" for a, b in zip(ws, ws[1:])]
+        hits: dict[int, list[int]] = {}
+        for i, p in enumerate(pairs):
+            for t in self.index.get(p, ()):
+                hits.setdefault(t, []).append(i)
+        lines = self.whole_lines(pairs, hits, starts, len(ws))
+        inside = lambda a, b: any(x[3] <= a and b <= x[4] for x in lines)
+        found = lines + [x for x in self.windows(pairs, hits) + self.phrases(ws, pairs) if not inside(x[3], x[4])]
+        taken: list[tuple[int, int]] = []
+        out = []
+        for _, lost, name, a, b in sorted(found):
+            if all(b < x or y < a for x, y in taken):
+                taken.append((a, b))
+                out.append((line_at(starts, a), name, -lost))
+        return sorted(out)
+
+    def whole_lines(self, pairs: list[str], hits: dict[int, list[int]], starts: list[int], n: int) -> list[tuple]:
+        """Lines that match a notice as a whole: less shared, less alike, licence, first and last bigram (past the end)."""
+        by_line: dict[int, set[int]] = {}
+        for t, at in hits.items():
+            if self.held[t][3]:
+                for i in at:
+                    by_line.setdefault(line_at(starts, i), set()).add(t)
+        out = []
+        for k, touched in by_line.items():
+            a, b = starts[k], (starts[k + 1] if k + 1 < len(starts) else n) - 1
+            own = set(pairs[a:b])
+            shared = {t: sum(t in self.index.get(p, ()) for p in own) for t in touched}
+            best = min((-2.0 * shared[t] / (len(own) + self.held[t][1]), self.held[t][0], shared[t]) for t in touched)
+            if best[0] <= -self.least:
+                out.append((-best[2], best[0], best[1], a, b))
+        return out
+
+    def windows(self, pairs: list[str], hits: dict[int, list[int]]) -> list[tuple]:
+        """The best window from each shared bigram, as whole_lines gives them."""
+        import numpy as np
+
+        last: dict[str, int] = {}
+        before = np.empty(len(pairs), dtype=np.int64)  # where a bigram stood last
+        for i, p in enumerate(pairs):
+            before[i] = last.get(p, -1)
+            last[p] = i
+        out = []
+        for t, at in hits.items():
+            name, m, most, _ = self.held[t]
+            need = math.ceil(m * self.least / (2 - self.least) - 1e-9)
+            if len(at) < need:
+                continue
+            pos = np.array(at)
+            mine = np.zeros(len(pairs), dtype=bool)
+            mine[pos] = True
+            for a in pos[np.searchsorted(pos, pos + most) - np.arange(len(pos)) >= need].tolist():
+                new = before[a : a + most] < a
+                shared = np.cumsum(new & mine[a : a + most])
+                dice = 2.0 * shared / (np.cumsum(new) + m)
+                e = int(dice.argmax())
+                if dice[e] >= self.least:
+                    out.append((-int(shared[e]), -float(dice[e]), name, a, a + e + 1))
+        return out
+
+    def phrases(self, ws: list[str], pairs: list[str]) -> list[tuple]:
+        """Short forms, word by word."""
+        return [(1 - len(form), -1.0, k, i, i + len(form) - 1) for i, p in enumerate(pairs) for form, k in self.forms.get(p, ()) if tuple(ws[i : i + len(form)]) == form]
+
+
+def line_at(starts: list[int], word: int) -> int:
+    """The line that holds a word."""
+    import bisect
+
+    return bisect.bisect_right(starts, word) - 1
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> DataFrame:
-    """One row per notice: doc_id, line_no (from 0), license, dice (rounded to 6 digits).
+    """One row per notice: doc_id, line_no (from 0, where it begins), license, dice (rounded to 6 digits).
 
-    Each \n-split line of the whole text takes the template with the highest coefficient of `least` or more,
-    ties by name. Lines and templates of fewer than two words match nothing. Null and empty texts give no
+    A \n-split line takes the notice of `templates` with the highest coefficient of `least` or more, ties
+    by name. Windows of words reach `least` to a notice or a licence body; short forms match whole. What
+    lies in a matched line adds nothing to it. Of notices that overlap, the one with the most shared
+    bigrams stays, then the most alike. Less than two words match nothing. Null and empty texts give no
     rows; rows that repeat a doc_id give their rows each. Other columns are ignored.
     """
-    held = {k: template_bigrams(v) for k, v in sorted(templates.items())}
-    held = {k: v for k, v in held.items() if v}
-    low = min(len(v) for v in held.values()) * least / (2 - least)
-    high = max(len(v) for v in held.values()) * (2 - least) / least
-    told = sorted({w for v in held.values() for w in telling_words(v, least)})
-    may_match = lambda c: functools.reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(w)) for w in told])
-    lines = docs.where(may_match("text")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.where(may_match("line")).select("doc_id", "line_no", bigrams(words(F.col("line"))).alias("pairs"))
-    size = F.size("pairs")
-    lines = lines.where((size >= low) & (size <= high))
-    scores = []
-    for name, pairs in held.items():
-        fits = (size >= len(pairs) * least / (2 - least) - 1e-9) & (size <= len(pairs) * (2 - least) / least + 1e-9)
-        dice = 2.0 * F.size(F.array_intersect("pairs", F.array(*map(F.lit, pairs)))) / (size + len(pairs))
-        scores.append(F.when(fits, F.struct((-dice).alias("lost"), F.lit(name).alias("license"))))
-    best = lines.withColumn("best", F.array_min(F.array(*scores)))
-    best = best.where(F.col("best.lost") <= -least)
-    return best.select("doc_id", "line_no", F.col("best.license").alias("license"), F.round(-F.col("best.lost"), 6).alias("dice"))
+    finder = Finder(templates, bodies(), short_forms(), least)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(d, *x) for d, t in zip(p["doc_id"].astype("Int64"), p["text"]) for x in finder.find(t)]
+            out = pd.DataFrame(rows, columns=["doc_id", "line_no", "license", "dice"])
+            yield out.astype({"doc_id": "Int64", "line_no": "int32", "license": "object", "dice": "float64"})
+
+    text_batches(docs.sparkSession)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, "doc_id long, line_no int, license string, dice double")
+    return found.withColumn("dice", F.round("dice", 6))

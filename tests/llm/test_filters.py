@@ -1,7 +1,9 @@
 """Quality rules, licences, n-gram quality, toxicity and mixing."""
 
 import math
+import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -12,6 +14,9 @@ from govdocs.llm.common import Scratch
 SCHEMA = "doc_id long, text string"
 ODD = [None, "", " \n\t", "one two", "a b c d e a b c d e", "x y " * 30, "a b c d e f g h i j\na b c d e f g h i j\n", "# $ % & * | < >" * 5, "é ü the of and " * 4 + "end", "w" * 100_000, "a\n\na\n \na"]
 
+TEMPLATE_LINE = licenses.TEMPLATES["apache-2.0"]
+ALL_PAIRS = {p for t in licenses.TEMPLATES.values() for p in licenses.pairs_of(t)}
+
 
 def brute_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
@@ -66,6 +71,45 @@ def test_license_lines(spark):
     assert {tuple(r) for r in got} == want
 
 
+def test_license_notices_beyond_whole_lines(spark):
+    gpl = "This work is licensed under the GNU General Public License,"
+    mit = licenses.bodies()["mit"]
+    rows = [
+        (1, "Released under the MIT License."), (2, "Licensed under CC BY-NC 4.0."), (3, f"x y\n{gpl}\nversion 3. And more"), (4, "a long line of words " * 40 + TEMPLATE_LINE + " and so on" * 50),
+        (5, "// SPDX-License-Identifier: GPL-3.0-only"), (6, "SPDX-License-Identifier: none"), (7, "Copyright 2020\n\n" + "\n".join(textwrap.wrap(mit, 40)) + "\ncode"), (8, "All rights\nreserved by all"),
+        (9, "mit der Lizenz und unter dem Titel"), (10, "one.\n" + licenses.bodies()["gpl-2.0"] + "\n\n" + mit),
+    ]
+    got = {(r.doc_id, r.line_no, r.license) for r in licenses.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    last = rows[-1][1].count("\n", 0, rows[-1][1].index("Permission is hereby granted, free"))
+    assert got == {(1, 0, "mit"), (2, 0, "cc-by-nc-4.0"), (3, 1, "gpl-3.0"), (4, 0, "apache-2.0"), (5, 0, "gpl-3.0"), (7, 2, "mit"), (8, 0, "reserved"), (10, 1, "gpl-2.0"), (10, last, "mit")}
+
+
+def test_license_windows_match_brute_force():
+    """Every window of every size is scored; the finder reaches the same best coefficient, and passes over no text that holds one."""
+    rng = random.Random(1)
+    finder = licenses.Finder(licenses.TEMPLATES, {}, {}, 0.8)
+    for _ in range(12):
+        ws = licenses.words_of(licenses.TEMPLATES[rng.choice(sorted(licenses.TEMPLATES))])
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(ws))
+            ws[at : at + 1] = rng.choice([[], ["other"], [ws[at], "more"]])
+        text = " ".join(["some", "text", "before"] * 20 + ws + ["and", "after", "it"] * 20)
+        pairs = licenses.pairs_of(text)
+        best = 0.0
+        for a in range(len(pairs)):
+            for b in range(a + 1, min(len(pairs), a + 45) + 1):
+                own = set(pairs[a:b])
+                best = max(best, *(2 * len(own & set(licenses.pairs_of(t))) / (len(own) + len(set(licenses.pairs_of(t)))) for t in licenses.TEMPLATES.values())) if own & ALL_PAIRS else best
+        got = [d for _, _, d in finder.find(text)]
+        assert bool(got) == (best >= 0.8) and (not got or max(got) <= best + 1e-9)
+
+
+def test_license_prefilter_loses_no_template():
+    finder = licenses.Finder(licenses.TEMPLATES, licenses.bodies(), licenses.short_forms(), 0.8)
+    assert [f for f, k in licenses.short_forms().items() if [x[1] for x in finder.find(" ".join(f))] != [k]] == []
+    assert {k: finder.find("before\n" + t)[0][1:] for k, t in licenses.bodies().items()} == {k: (k, 1.0) for k in licenses.bodies()}
+
+
 def brute_kneser_ney(texts):
     """log2-free reference: P(c | a b) from plain dictionaries."""
     seq = [" " + " " + t for t in texts]
