@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govdocs.llm import exact_dedup, mixing, packing, simhash, toxicity
+from govdocs.llm import exact_dedup, mixing, near_copies, packing, toxicity
 from govdocs.llm.common import Scratch, small_side
 
 
@@ -20,8 +20,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each component of near copies."""
-    return simhash.drop_near_duplicates(docs)
+    """One of each component of near copies: five-word shingles, similarity of 0.8 or more."""
+    return near_copies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
