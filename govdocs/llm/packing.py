@@ -2,8 +2,8 @@
 
 Only the histogram of piece lengths is planned, so that the plan's size depends on the sequence length and
 not on the corpus: patterns of one to three lengths that fill a sequence exactly get repeat counts by
-non-negative least squares, the counts are rounded to what the histogram holds, and the lengths left over
-are packed best-fit decreasing. The rows then find their place from their rank among equal lengths.
+sparse non-negative least squares, the counts are rounded to what the histogram holds, and the lengths
+left over are packed best-fit decreasing. The rows then find their place from their rank among equal lengths.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from govdocs.llm import tokens
-from govdocs.llm.common import Scratch, text_batches, text_or_empty
+from govdocs.llm.common import Scratch, small_side, text_batches, text_or_empty
 
 #: Rows of equal length are ranked within this many buckets, by a hash of their key.
 BUCKETS = 1024
@@ -71,34 +71,62 @@ def exact_patterns(lengths, most: int):
     return np.concatenate(rows).astype(np.int64) if rows else np.zeros((0, 3), dtype=np.int64)
 
 
-def repeat_counts(patterns, histogram, turns: int = 400):
-    """Non-negative x that makes the lengths used by patterns fit the histogram, by accelerated projected gradients.
+def repeat_counts(patterns, histogram, turns: int = 60, batch: int = 256):
+    """Sparse non-negative x that makes the lengths used by patterns fit the histogram, by an active set.
 
-    The columns are scaled by the histogram, so that rare lengths weigh as much as their share.
+    Squares are divided by the histogram, so that rare lengths weigh as much as their share. Each turn
+    prices all patterns by the gradient and takes in up to `batch` of the dearest that share no length;
+    the taken ones are fitted by least squares and those that would be negative leave. As taken patterns
+    are independent, no more than there are lengths have repeats.
     """
     import numpy as np
 
-    n = len(histogram)
+    n, k = len(histogram), len(patterns)
     index = np.where(patterns < 0, n, patterns)
-    weight = 1 / np.sqrt(np.append(histogram, 1.0))
-    weight[n] = 0
-    forward = lambda x: weight * sum(np.bincount(index[:, k], weights=x, minlength=n + 1) for k in range(3))
-    back = lambda r: (weight * r)[index].sum(axis=1)
-    goal = weight * np.append(histogram, 0.0)
-    v = np.ones(len(patterns))
-    for _ in range(30):
-        v = back(forward(v))
-        step = 1 / max(np.linalg.norm(v), 1e-12)
-        v *= step
-    step *= 0.95
-    x = np.zeros(len(patterns))
-    y, t = x.copy(), 1.0
+    scale = 1 / np.sqrt(histogram)
+    goal = scale * histogram
+
+    def columns(chosen):
+        out = np.zeros((len(chosen), n + 1))
+        np.add.at(out, (np.repeat(np.arange(len(chosen)), 3), index[chosen].ravel()), 1)
+        return out[:, :n] * scale
+
+    taken, x, held = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, n))
+    gram, best, fitted = np.zeros((0, 0)), float(goal @ goal), (np.zeros(0, dtype=np.int64), np.zeros(0))
     for _ in range(turns):
-        new = np.maximum(0, y - step * back(forward(y) - goal))
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / t_new * (new - x)
-        x, t = new, t_new
-    return x
+        gradient = np.append(scale * (goal - x @ held), 0.0)
+        price = gradient[index].sum(axis=1)
+        price[taken] = 0
+        dear, used, new = np.argsort(-price, kind="stable")[: 64 * batch], set(), []
+        for j in dear.tolist():
+            lengths = set(index[j].tolist()) - {n}
+            if price[j] <= 1e-7 or len(new) == batch:
+                break
+            if not used & lengths:
+                used |= lengths
+                new.append(j)
+        if not new:
+            break
+        more = columns(np.array(new))
+        cross = held @ more.T
+        gram = np.block([[gram, cross], [cross.T, more @ more.T]])
+        taken, held = np.append(taken, new), np.vstack([held, more])
+        while True:
+            x = np.linalg.solve(gram + 1e-9 * np.eye(len(taken)), held @ goal)
+            stay = x > 1e-9
+            if stay.all():
+                break
+            taken, held, gram = taken[stay], held[stay], gram[np.ix_(stay, stay)]
+        rest = goal - x @ held
+        now = float(rest @ rest)
+        if now >= best * (1 - 1e-4):
+            if now < best:
+                fitted = (taken, x)
+            break
+        best, fitted = now, (taken, x)
+    out = np.zeros(k)
+    out[fitted[0]] = fitted[1]
+    return out
 
 
 def best_fit(histogram: dict[int, int], most: int) -> list[tuple[tuple[int, ...], int]]:
@@ -142,8 +170,30 @@ def best_fit(histogram: dict[int, int], most: int) -> list[tuple[tuple[int, ...]
     return out + [b for bins in open_bins.values() for b in bins]
 
 
+def rounded(patterns, x, count) -> list[tuple[int, int]]:
+    """(pattern, repeats) that the histogram holds: whole repeats first, then one more of each by the part that was cut off."""
+    import numpy as np
+
+    left, sums = count.copy(), {}
+    for wanted in (np.floor(x + 1e-6).astype(np.int64), (x > 1e-6).astype(np.int64)):
+        order = np.argsort(-(x - np.floor(x + 1e-6)) if sums else -x, kind="stable")
+        for k in order[wanted[order] > 0].tolist():
+            used = [i for i in patterns[k].tolist() if i >= 0]
+            many = min([int(wanted[k])] + [int(left[i]) // used.count(i) for i in used])
+            if many > 0:
+                for i in used:
+                    left[i] -= many
+                sums[k] = sums.get(k, 0) + many
+    return sorted(sums.items(), key=lambda s: -s[1])
+
+
 def plan(histogram: dict[int, int], most: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) that hold exactly the histogram (length to count), none over most."""
+    """(lengths, repeats) that hold exactly the histogram (length to count), none over most.
+
+    The rounded patterns fill their sequences; what they leave over is packed best-fit decreasing. If that
+    takes more sequences than the tokens need, the least repeated patterns are given up, an eighth of
+    their sequences at a time, so that the rest has more lengths to choose from.
+    """
     import numpy as np
 
     lengths = np.array(sorted(histogram), dtype=np.int64)
@@ -151,25 +201,26 @@ def plan(histogram: dict[int, int], most: int) -> list[tuple[tuple[int, ...], in
         return []
     count = np.array([histogram[x] for x in lengths.tolist()], dtype=np.int64)
     patterns = exact_patterns(lengths, most)
-    out: list[tuple[tuple[int, ...], int]] = []
-    if len(patterns):
-        x = repeat_counts(patterns, count.astype(float))
-        left = count.copy()
-        for up in (0, 0.5):  # whole repeats first, then the fractions that round up
-            repeats = np.floor(x + up).astype(np.int64) if not up else (np.floor(x + up) > np.floor(x)).astype(np.int64)
-            for k in np.argsort(-x, kind="stable"):
-                if repeats[k] <= 0:
-                    continue
+    chosen = rounded(patterns, repeat_counts(patterns, count.astype(float)), count) if len(patterns) else []
+    total, bound = sum(n for _, n in chosen), -(-int((lengths * count).sum()) // most)
+    best = None
+    for eighths in range(8, 3, -1):
+        kept, left, out = total * eighths // 8, count.copy(), []
+        for k, n in chosen:
+            n = min(n, kept)
+            if n > 0:
+                kept -= n
                 used = [i for i in patterns[k].tolist() if i >= 0]
-                many = min([int(repeats[k])] + [int(left[i]) // used.count(i) for i in used])
-                if many > 0:
-                    for i in used:
-                        left[i] -= many
-                    out.append((tuple(int(lengths[i]) for i in used), many))
-        count = left
-    out += best_fit({x: n for x, n in zip(lengths.tolist(), count.tolist()) if n}, most)
-    other = best_fit(histogram, most)
-    return min(out, other, key=lambda p: sum(n for _, n in p))
+                for i in used:
+                    left[i] -= n
+                out.append((tuple(int(lengths[i]) for i in used), n))
+        out += best_fit({x: n for x, n in zip(lengths.tolist(), left.tolist()) if n}, most)
+        size = sum(n for _, n in out)
+        if best is None or size < best[0]:
+            best = (size, out)
+        if size == bound or not total:
+            break
+    return best[1]
 
 
 def slots(planned: list[tuple[tuple[int, ...], int]]):
@@ -207,14 +258,14 @@ def pack(docs: DataFrame, most: int = 2048, path: str | None = None, end_id: int
     counts = scratch.put("counts", rows.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `most` rows
     lengths, first, sequence, offset = slots(plan(histogram, most))
-    # rank = the bucket's first rank among its length + the rank inside the bucket; bounded by most x BUCKETS numbers
+    # rank = the bucket's first rank among its length + the rank inside the bucket
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
-    starts = starts.groupBy("length").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "base"))).alias("bases"))
+    starts = small_side(starts, counts.count(), 24)  # at most `most` x BUCKETS rows
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
     # by bucket alone, which spreads lengths that many pieces have
     ranked = rows.repartition(F.col("bucket")).withColumn("inside", F.row_number().over(inside) - 1)
-    ranked = ranked.join(F.broadcast(starts), "length").withColumn("rank", F.element_at("bases", F.col("bucket")) + F.col("inside"))
+    ranked = ranked.join(starts, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("inside"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     shift = 1 << 40
     code = lengths * shift + first

@@ -8,11 +8,13 @@ import re
 #: The byte-level vocabulary's file, as the tokenizers package names it.
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct words whose ids a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 600_000
 #: Longest word that is kept.
 CACHE_CHARS = 64
-#: White space beside a space: there, pieces between spaces aren't encoded alike on their own.
-_JOINED = re.compile(r" \s|\s ")
+#: White space beside a space or line end: there, the pieces between them aren't encoded alike on their own.
+_JOINED = re.compile(r"[ \n]\s|\s[ \n]")
+#: The letters that begin a word, if an ASCII sign or digit follows them: the pattern of the vocabulary always cuts there.
+_HEAD = re.compile(r"\n?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-@\[-`{-~])")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -26,9 +28,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """Little-endian 32-bit ids of texts.
 
-    Byte-level pre-tokenisation always cuts before a single space that stands between two other
-    characters, so that a text is the concatenation of its space-led pieces; each distinct piece is
-    encoded once. Texts with longer runs of white space at a space are encoded whole.
+    Byte-level pre-tokenisation always cuts before a single space or line end that stands between two
+    other characters, so that a text is the concatenation of its words, each led by one of them. A word
+    is cut again where its first letters end. Each distinct piece is encoded once. Texts with longer runs
+    of white space at a space or line end are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -51,32 +54,48 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of space-led pieces: encoded as one text, cut where the bytes of the ids reach the pieces' ends."""
+        """Ids of pieces that end in no white space: encoded as one text with a line end before each, cut where the bytes of the ids reach the ends."""
         import numpy as np
 
         out: list[bytes] = []
         for at in range(0, len(pieces), 1 << 16):
             part = pieces[at : at + (1 << 16)]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum([len(p.encode()) for p in part])
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n" + "\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum([len(p.encode()) + 1 for p in part])
             cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
             raw = ids.tobytes()
-            out += [raw[4 * i : 4 * j] for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+            # the line end itself is one id
+            out += [raw[4 * i + 4 : 4 * j] for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
         return out
 
+    def learn(self, words: list[str]) -> None:
+        """Adds the ids of words: as `encode` splits them, a line end at the front stands for itself and a space is left out."""
+        known, match, single, double = self.known, _HEAD.match, [], []
+        for w in words:
+            m = match(w)
+            if m:
+                double.append((w, m[0], w[m.end() :]))
+            else:
+                single.append(w)
+        ends, heads = {rest: b"" for _, _, rest in double}, {head for _, head, _ in double}
+        single += heads.difference(known, single)
+        known.update(zip(single, self.pieces([w if w[0] == "\n" else f" {w}" for w in single])))
+        ends.update(zip(ends, self.pieces(list(ends))))
+        known.update([(w, known[head] + ends[rest]) for w, head, rest in double])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
         wanted: set[str] = set()
         for t in texts:
-            if not t or t[0] == " " or t[-1].isspace() or _JOINED.search(t):
+            if not t or t[0] in " \n" or t[-1].isspace() or _JOINED.search(t):
                 split.append(None)
             else:
-                split.append(t.split(" "))
+                split.append(t.replace("\n", " \n").split(" "))
                 wanted.update(split[-1][1:])
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         new = list(wanted.difference(self.known))
-        self.known.update(zip(new, self.pieces([f" {w}" for w in new])))
+        self.learn(new)
         alone = iter(self.whole([t if s is None else s[0] for t, s in zip(texts, split)]))
         get = self.known.__getitem__
         out = [next(alone) + (b"" if s is None else b"".join(map(get, s[1:]))) for s in split]

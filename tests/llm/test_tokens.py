@@ -87,6 +87,21 @@ def test_plan_is_near_the_bound():
     assert sum(n for _, n in planned) <= 1.005 * -(-int((lengths * counts).sum()) // 256) + 1
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_most_pieces_are_placed_by_rounded_patterns(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    histogram = {r.length: r["count"] for r in packing.pieces(docs, 2048, PATH, 0).groupBy("length").count().collect()}
+    lengths = np.array(sorted(histogram))
+    count = np.array([histogram[x] for x in lengths.tolist()])
+    patterns = packing.exact_patterns(lengths, 2048)
+    assert all(sum(int(lengths[i]) for i in p if i >= 0) == 2048 for p in patterns[::97].tolist())
+    x = packing.repeat_counts(patterns, count.astype(float))
+    assert (x >= 0).all() and 0 < (x > 0).sum() <= len(lengths)
+    placed = sum(n * int((patterns[k] >= 0).sum()) for k, n in packing.rounded(patterns, x, count))
+    assert placed > 0.9 * count.sum()
+    assert sum(n for _, n in packing.plan(histogram, 2048)) <= -(-int((lengths * count).sum()) // 2048) * 1.001 + 1
+
+
 def test_token_files_round_trip(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = token_files.token_round_trip(docs, block_ids=3000).collect()
