@@ -15,10 +15,12 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); own only where none is set."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a local session gets its own; a cluster must name one."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not there:
-        there = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        there = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there
 
@@ -55,11 +57,11 @@ def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equality of keys with null equal to null, as a join condition."""
+def null_safe(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
+    """Equality of left's columns with right's, null equal to null, as a join condition."""
     on = F.lit(True)
-    for k in keys:
-        on &= left[k].eqNullSafe(right[k])
+    for a, b in keys.items():
+        on &= left[a].eqNullSafe(right[b])
     return on
 
 

@@ -1,10 +1,16 @@
-"""Near copies by the Jaccard similarity of word shingles, exact by prefix filtering.
-
-Two sets of which at least 0.8 of the union is shared have a common member among the first fifth (and one
-more) of each, in any order of all shingles. The order is by hash, with shingles of long lists put last, so
-that a passage in many documents makes no pairs of them. A pair is taken from a list only if its places
-leave room for the similarity, and is then verified by the whole sets. Shingles are told apart by 64-bit
-hashes. The number of pairs grows with the square of a group of true near copies.
+"""Near copies of a given similarity: SimHash links first, then all that fingerprints cannot guarantee.
+
+Links of the SimHash index (byte-position lists, count filter) are verified by the Jaccard similarity of
+the shingle sets. Sets that are alike to 0.8 differ in four to nine of 64 bits as a rule, more than lists
+of whole bytes can guarantee, so that prefix filtering completes the links without loss: two sets of
+which 0.8 of the union is shared have a common member among the first fifth (and one more) of each, in
+any one order of all shingles. The order is by hash, with those of long lists last, so that a passage in
+many documents makes no pairs of them.
+
+Large groups are linked without their pairs: in some rounds each set is compared with one other of its
+lists, which belongs to another component so far. Only pairs of different components are then left; of
+these, maps of 1024 bits rule out all whose differing bits alone make 0.8 impossible, and the rest is
+verified by the whole sets. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -15,70 +21,138 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from govdocs.llm import simhash
 from govdocs.llm.common import Scratch, small_side, text_batches, text_or_empty
 from govdocs.llm.components import connected_components
 
-#: At most so many shingles are put last; any choice gives the same pairs.
-MOST_LAST = 1_000_000
+#: Bits of the map that says which shingles go last. A bit may stand for several; any choice gives the same links.
+LAST_BITS = 1 << 26
+#: Longs of the map of a set.
+MAP_LONGS = 16
+ROUNDS = 3
+MAPS = [f"m{i}" for i in range(MAP_LONGS)]
 
 
 def shingle_hashes(text: str, words: int = 5):
     """Sorted distinct hashes of the shingles of a text; fewer words than a shingle make one."""
     import numpy as np
-    import xxhash
 
-    tokens = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    width = min(words, len(tokens))
-    if not width:
-        return np.zeros(0, dtype=np.int64)
-    joined = b" ".join(tokens)
-    starts = [0]
-    for t in tokens:
-        starts.append(starts[-1] + len(t) + 1)
-    digest = xxhash.xxh64_intdigest
-    h = {digest(joined[a : b - 1]) for a, b in zip(starts, starts[width:])}
-    return np.sort(np.fromiter(h, dtype=np.uint64, count=len(h)).view(np.int64))
+    blocks = list(simhash.shingle_blocks(text, words))
+    return np.unique(np.concatenate(blocks).view(np.int64)) if blocks else np.zeros(0, dtype=np.int64)
+
+
+def first_fifth(shingles, last=None):
+    """The first fifth of a set and one more, those whose bit is set in `last` behind all others."""
+    import numpy as np
+
+    most = len(shingles) // 5 + 1
+    if last is None:
+        return shingles[:most]
+    place = shingles.view(np.uint64) % np.uint64(LAST_BITS)
+    behind = (last[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return np.concatenate([shingles[~behind], shingles[behind]])[:most]
+
+
+def set_map(shingles):
+    """MAP_LONGS longs with the bit of each shingle set."""
+    import numpy as np
+
+    bits = np.zeros(64 * MAP_LONGS, dtype=np.uint8)
+    bits[(shingles.view(np.uint64) >> np.uint64(40)) % np.uint64(64 * MAP_LONGS)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, body (hash of the text), sid (hash of the set) and shingles (sorted) of each row; null counts as empty."""
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, body (hash of the text) and text of each row; null counts as empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("body"), text_or_empty().alias("text"))
+
+
+def marks(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, body, sid (hash of the set), fp (fingerprint), n (size) and first (the lowest fifth and one more) of each row."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import xxhash
 
         for p in parts:
-            sets = [shingle_hashes(t, words) for t in p["text"]]
-            sid = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "body": p["body"], "sid": sid, "shingles": sets})
+            rows = []
+            for t in p["text"]:
+                blocks = list(simhash.shingle_blocks(t, words))
+                s = np.unique(np.concatenate(blocks).view(np.int64)) if blocks else np.zeros(0, dtype=np.int64)
+                rows.append((xxhash.xxh64_intdigest(s.tobytes()), simhash.majority(blocks), len(s), first_fifth(s)))
+            sid, fp, n, first = zip(*rows)
+            signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "body": p["body"], "sid": signed(sid), "fp": signed(fp), "n": n, "first": first})
+
+    return texts_of(docs).mapInPandas(run, "doc_id long, body long, sid long, fp long, n int, first array<long>")
+
+
+def of_sets(docs: DataFrame, reps: DataFrame, words: int, make, schema: str) -> DataFrame:
+    """sid and what `make` gives for the shingles of each row of reps (sid, doc_id, body), whose texts are read again."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(sid, *make(shingle_hashes(t, words))) for sid, t in zip(p["sid"], p["text"])]
+            if rows:
+                yield pd.DataFrame(rows, columns=["sid", *[c.strip().split(" ")[0] for c in schema.split(",")]])
 
-    text_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("body"), text_or_empty().alias("text"))
-    return rows.mapInPandas(run, "doc_id long, body long, sid long, shingles array<long>")
+    reps = small_side(reps.select(F.col("doc_id").alias("r_id"), F.col("body").alias("r_body"), "sid"), reps.count(), 32)
+    texts = texts_of(docs).join(reps, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("body") == F.col("r_body")))
+    # rows that repeat doc_id and text give the same set again
+    return texts.select("sid", "text").mapInPandas(run, f"sid long, {schema}").dropDuplicates(["sid"])
 
 
-def prefixes(sets: DataFrame, last: list[int]) -> DataFrame:
-    """sid, n (size), at (from 0) and key of the first fifth and one more of each set, in an order that has `last` behind."""
-    n = F.size("shingles")
-    if last:
-        late = sets.sparkSession.sparkContext.broadcast(sorted(last))
+def last_map(posts: DataFrame, long_list: int):
+    """LAST_BITS bits, set for the keys of lists over long_list; None without any. The map has this size whatever the corpus."""
+    import numpy as np
 
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import numpy as np
+    long = posts.groupBy("key").agg(F.count("*").alias("posts")).where(F.col("posts") > long_list)
+    place = F.pmod(F.when(F.col("key") < 0, F.pmod(F.col("key"), F.lit(LAST_BITS))).otherwise(F.col("key") % LAST_BITS), F.lit(LAST_BITS))
+    # 32 KB of the map in a row
+    rows = long.select(place.alias("place")).distinct().groupBy(F.floor(F.col("place") / (1 << 18)).alias("page")).agg(F.collect_list((F.col("place") % (1 << 18)).cast("int")).alias("bits"))
 
-            held = np.array(late.value, dtype=np.int64)
-            for p in parts:
-                out = []
-                for s in p["shingles"]:
-                    s = np.asarray(s, dtype=np.int64)
-                    behind = held[np.minimum(np.searchsorted(held, s), len(held) - 1)] == s
-                    out.append(np.concatenate([s[~behind], s[behind]])[: len(s) // 5 + 1])
-                yield pd.DataFrame({"sid": p["sid"], "n": [len(s) for s in p["shingles"]], "first": out})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for bits in p["bits"]:
+                page = np.zeros(1 << 18, dtype=np.uint8)
+                page[np.asarray(bits)] = 1
+                out.append(np.packbits(page, bitorder="little").tobytes())
+            yield pd.DataFrame({"page": p["page"], "bits": out})
+
+    pages = rows.mapInPandas(run, "page long, bits binary").collect()
+    if not pages:
+        return None
+    out = np.zeros(LAST_BITS // 8, dtype=np.uint8)
+    for r in pages:
+        out[r.page << 15 : (r.page + 1) << 15] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
+
+
+def shared_lists(docs: DataFrame, uniq: DataFrame, words: int, long_list: int, scratch: Scratch) -> DataFrame:
+    """key, sid, n, at (from 0): the prefixes of all sets, as far as they share a key with another."""
+    post = lambda df: df.select("sid", "n", F.posexplode("first").alias("at", "key"))
+    posts = post(uniq)
+    last = last_map(posts, long_list)
+    if last is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(last)
+        marked = F.pandas_udf(lambda firsts: firsts.map(lambda s: bool(len(first_fifth_bits(s, shared.value)))), "boolean")
+        touched = scratch.put("touched", uniq.where(marked("first")).select("sid", "doc_id", "body"))
+        again = of_sets(docs, touched, words, lambda s: (len(s), first_fifth(s, shared.value)), "n int, first array<long>")
+        again = scratch.put("again", again)
+        same = uniq.join(small_side(touched.select("sid"), touched.count(), 16), "sid", "left_anti")
+        posts = post(same.select("sid", "n", "first").unionByName(again))
+    posts = scratch.put("posts", posts)
+    keys = scratch.put("keys", posts.groupBy("key").agg(F.count("*").alias("posts")).where("posts > 1").select("key"))
+    return scratch.put("lists", posts.join(keys, "key", "left_semi"))
+
+
+def first_fifth_bits(shingles, last):
+    """Those of the shingles whose bit is set."""
+    import numpy as np
 
-        first = sets.select("sid", "shingles").mapInPandas(run, "sid long, n int, first array<long>")
-    else:
-        first = sets.select("sid", n.alias("n"), F.slice("shingles", F.lit(1), F.floor(n / 5).cast("int") + 1).alias("first"))
-    return first.select("sid", "n", F.posexplode("first").alias("at", "key"))
+    place = np.asarray(shingles, dtype=np.int64).view(np.uint64) % np.uint64(LAST_BITS)
+    return np.nonzero(last[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)[0]
 
 
 def reaches(shared: Column, a: Column, b: Column) -> Column:
@@ -86,38 +160,96 @@ def reaches(shared: Column, a: Column, b: Column) -> Column:
     return 9 * shared >= 4 * (a + b)
 
 
-def similar_pairs(sets: DataFrame, scratch: Scratch, long_list: int) -> DataFrame:
-    """a < b: all pairs of distinct sets (by sid) with a similarity of 0.8 or more."""
-    sizes = lambda rows: rows.groupBy("key").agg(F.count_distinct("sid").alias("posts")).where("posts > 1")
-    long = sizes(prefixes(sets, [])).where(F.col("posts") > long_list).orderBy(F.desc("posts"), "key").limit(MOST_LAST)
-    posts = scratch.put("posts", prefixes(sets, [r.key for r in long.collect()]))
-    posts = scratch.put("lists", posts.join(sizes(posts).select("key"), "key", "left_semi").distinct())
-    side = lambda x: posts.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "at")])
-    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    on = (F.col("a_sid") < F.col("b_sid")) & reaches(room, F.col("a_n"), F.col("b_n"))
-    pairs = side("a").join(side("b"), "key").where(on).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
-    pairs = scratch.put("candidates", pairs)
+def verified(pairs: DataFrame, held: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Those of pairs (a, b) whose whole sets reach 0.8."""
+    pairs = scratch.put(f"{name}-pairs", pairs)
     asked = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    held = scratch.put("asked", sets.select("sid", "shingles").join(asked, "sid", "left_semi").dropDuplicates(["sid"]))
-    both = pairs.join(held.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a").join(held.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.where(reaches(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b")
-
-
-def drop_near_copies(docs: DataFrame, words: int = 5, long_list: int = 64) -> DataFrame:
-    """docs with one document of each component of texts with a similarity of 0.8 or more: the smallest doc_id (null last); all columns are kept.
-
-    Texts with the same shingles (none, too) are near copies. A row is told by doc_id and text, so that
-    rows that repeat both stay or go together, and a doc_id with several texts loses only those that are copies.
+    asked = scratch.put(f"{name}-asked", held.select("sid", "shingles").join(asked, "sid", "left_semi"))
+    size = asked.agg(F.sum(F.size("shingles").cast("long") * 8 + 64)).first()[0] or 0
+    side = lambda x, s: small_side(asked.select(F.col("sid").alias(x), F.col("shingles").alias(s)), size, 1)
+    both = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
+    both = both.where(reaches(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb")))
+    return scratch.put(f"{name}-links", both.select("a", "b"))
+
+
+def room(x: str, y: str) -> Column:
+    """Whether the places of a common key leave room for 0.8: all members before it are not shared."""
+    n = [F.col(f"{s}_n") for s in (x, y)]
+    return reaches(F.least(n[0] - F.col(f"{x}_at"), n[1] - F.col(f"{y}_at")), n[0], n[1])
+
+
+def similar_sets(docs: DataFrame, uniq: DataFrame, words: int, long_list: int, scratch: Scratch) -> DataFrame:
+    """sid and comp (the least sid of its component) for all sets with a link to another of 0.8 or more."""
+    lists = shared_lists(docs, uniq, words, long_list, scratch)
+    prints = scratch.put("prints", uniq.groupBy("fp").agg(F.min("sid").alias("least"), F.count("*").alias("n")))
+    near = simhash.links(prints.select("fp"), scratch, long_list)
+    name = lambda x: prints.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_sid"))
+    near = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    alike = uniq.select("sid", "fp").join(prints.where("n > 1").select("fp", "least"), "fp").where("sid <> least")
+    near = scratch.put("near", near.unionByName(alike.select(F.col("least").alias("a"), F.col("sid").alias("b"))))
+    asked = lists.select("sid").union(near.select("a")).union(near.select("b")).distinct()
+    reps = scratch.put("reps", uniq.select("sid", "doc_id", "body").join(asked, "sid", "left_semi"))
+    held = of_sets(docs, reps, words, lambda s: (s, *set_map(s).tolist()), "shingles array<long>, " + ", ".join(f"{m} long" for m in MAPS))
+    held = scratch.put("held", held)
+    links = verified(near, held, scratch, "near")
+    side = lambda x, df: df.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "at", "comp")])
+    tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn in range(ROUNDS + 1):
+        comps = connected_components(links, Scratch(docs.sparkSession, f"near-comps{turn}")).withColumnRenamed("node", "sid")
+        if turn == ROUNDS:
+            break
+        placed = lists.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        heads = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "n", "at", "comp")).alias("h"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
+        heads = scratch.put(f"heads{turn}", side("b", heads.select("key", "h.sid", "h.n", "h.at", "h.comp")))
+        met = side("a", placed).join(heads, "key").where((F.col("a_comp") != F.col("b_comp")) & room("a", "b"))
+        met = met.select("a_sid", F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b")).join(tried, ["a", "b"], "left_anti")
+        met = met.groupBy("a_sid").agg(F.min(F.struct(F.xxhash64("a", "b", F.lit(turn)), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        more = verified(met, held, scratch, f"round{turn}")
+        tried = tried.unionByName(docs.sparkSession.read.parquet(scratch.paths[f"round{turn}-pairs"]))
+        links = links.unionByName(more)
+    placed = scratch.put("placed", lists.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
+    placed = scratch.put("mixed", placed.join(mixed, "key", "left_semi"))
+    on = (F.col("a_sid") < F.col("b_sid")) & (F.col("a_comp") != F.col("b_comp")) & room("a", "b")
+    pairs = side("a", placed).join(side("b", placed), "key").where(on).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"), F.col("a_n"), F.col("b_n")).distinct()
+    maps = scratch.put("maps", held.select("sid", *MAPS))
+    n_maps = maps.count()
+    map_of = lambda x: small_side(maps.select(F.col("sid").alias(x), *[F.col(m).alias(f"{x}_{m}") for m in MAPS]), n_maps, 8 * MAP_LONGS + 16)
+    # a bit of one map alone stands for a member that the other set has not
+    alone = lambda x, y: sum(F.bit_count(F.col(f"{x}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{m}")))) for m in MAPS)
+    most = F.least(F.col("a_n") - alone("a", "b"), F.col("b_n") - alone("b", "a"))
+    pairs = pairs.join(map_of("a"), "a").join(map_of("b"), "b").where(reaches(most, F.col("a_n"), F.col("b_n"))).select("a", "b")
+    links = links.unionByName(verified(pairs.join(tried, ["a", "b"], "left_anti"), held, scratch, "rest"))
+    return connected_components(links, scratch).withColumnRenamed("node", "sid")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, long_list: int = 64) -> DataFrame:
+    """docs with one row of each component of texts with a similarity of 0.8 or more: the smallest doc_id (null last); all columns are kept.
+
+    Texts with the same shingles (none, too: null and empty texts) are near copies. A doc_id with several
+    texts loses only those that are copies. Of rows that repeat doc_id and text one stays, whichever of
+    them. Columns of any name pass through; an empty table stays empty.
     """
-    scratch = Scratch(docs.sparkSession, "near-copies")
-    sets = scratch.put("sets", shingle_sets(docs, words))
-    labels = connected_components(scratch.put("pairs", similar_pairs(sets, scratch, long_list)), scratch)
-    rows = sets.select("doc_id", "body", "sid").distinct()
-    rows = rows.join(labels, F.col("sid") == F.col("node"), "left").select("doc_id", "body", F.coalesce("comp", "sid").alias("comp"))
+    spark = docs.sparkSession
+    text_batches(spark)
+    scratch = Scratch(spark, "near-copies")
+    rows = scratch.put("rows", marks(docs, words))
     me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
-    rows = scratch.put("rows", rows.withColumn("me", me))
-    kept = rows.groupBy("comp").agg(F.min("me").alias("stays"), F.count("*").alias("n")).where("n > 1")
-    gone = rows.join(kept, "comp").where(F.col("me") != F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("body").alias("gone_body"))
-    gone = scratch.put("gone", gone)
-    gone = small_side(gone, gone.count(), 24)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["gone_body"]), "left_anti")
+    many = scratch.put("many", rows.groupBy("sid").agg(F.count("*").alias("n_rows"), F.min(me).alias("me")).where("n_rows > 1"))
+    many = small_side(many.select(F.col("sid").alias("m_sid"), "me"), many.count(), 48)
+    uniq = rows.join(many, F.col("sid") == F.col("m_sid"), "left").where(F.col("me").isNull() | (me == F.col("me"))).drop("m_sid", "me").dropDuplicates(["sid"])
+    uniq = scratch.put("uniq", uniq)
+    comps = similar_sets(docs, uniq, words, long_list, scratch)
+    named = rows.groupBy("sid", "doc_id", "body").agg(F.count("*").alias("same")).join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")).withColumn("me", me)
+    named = scratch.put("named", named)
+    kept = scratch.put("kept", named.groupBy("comp").agg(F.min("me").alias("stays"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    found = named.join(kept, "comp", "left").withColumn("__stays", F.coalesce(F.col("me") == F.col("stays"), F.lit(True))).where("not __stays or same > 1")
+    found = scratch.put("found", found.select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), "__stays"))
+    size, again = found.count(), found.where("__stays")
+    own = docs.select("*", F.xxhash64(text_or_empty()).alias("__own"))
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body"))
+    out = own.join(small_side(found, size, 32), match, "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return out
+    once = own.join(small_side(again, size, 32), match, "left_semi").dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    return out.unionByName(once)

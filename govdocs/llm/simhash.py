@@ -29,27 +29,41 @@ LEAST_SHARED = BYTES - BITS
 HALVES = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 
 
-def fingerprint_of(text: str, words: int = 3) -> int:
-    """64 majority bits of the XXH64 of the shingles of a text; zero without words."""
+def shingle_blocks(text: str, words: int) -> Iterator:
+    """XXH64 of the shingles of a text, repeats included, in arrays of bounded length; fewer words than a shingle make one, none no array."""
     import numpy as np
     import xxhash
 
     tokens = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     starts = [0]
     for t in tokens:
         starts.append(starts[-1] + len(t) + 1)
     width = min(words, len(tokens))
-    digest, ones, n = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), len(tokens) - width + 1
+    digest, n = xxhash.xxh64_intdigest, len(tokens) - width + 1
     for at in range(0, n, 1 << 14):  # blocks, so that very long texts stay small
         to = min(n, at + (1 << 14))
-        h = np.array([digest(joined[a : b - 1], 42) for a, b in zip(starts[at:to], starts[at + width : to + width])], dtype="<u8")
+        yield np.array([digest(joined[a : b - 1], 42) for a, b in zip(starts[at:to], starts[at + width : to + width])], dtype="<u8")
+
+
+def majority(blocks) -> int:
+    """The 64 bits that are set in over half the hashes; zero without any."""
+    import numpy as np
+
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for h in blocks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint_of(text: str, words: int = 3) -> int:
+    """64 majority bits of the XXH64 of the shingles of a text; zero without words."""
+    return majority(shingle_blocks(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of each row; null counts as empty."""
 
@@ -127,11 +141,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, long_list: int = 64) -> Dat
     named = scratch.put("named", least.join(known, F.col("d_fp") == F.col("node"), "left").select("d_fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_linked", F.lit(1)).alias("n_linked")))
     out = prints.join(named, F.col("fp") == F.col("d_fp"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_linked")
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one that gives it its id; all columns are kept."""
-    scratch = Scratch(docs.sparkSession, "near-dropped")
-    gone = scratch.put("gone", near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    gone = small_side(gone, gone.count(), 16)
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

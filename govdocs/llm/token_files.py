@@ -37,7 +37,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         shard, block = TaskContext.get().partitionId(), 0
         names, lengths, raw, size = [], [], [], 0
         end = end_id.to_bytes(4, "little")
-        most = len(tokens.encoder(vocabulary).width)
+        most = tokens.encoder(vocabulary).size
 
         def close() -> pd.DataFrame:
             data = pack_block(names, lengths, np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int64), most)

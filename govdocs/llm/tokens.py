@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 #: The byte-level vocabulary's file, as the tokenizers package names it.
 VOCABULARY = "byte_bpe_50k.json"
@@ -13,8 +14,12 @@ CACHE_WORDS = 600_000
 CACHE_CHARS = 64
 #: White space beside a space or line end: there, the pieces between them aren't encoded alike on their own.
 _JOINED = re.compile(r"[ \n]\s|\s[ \n]")
-#: The letters that begin a word, if an ASCII sign or digit follows them: the pattern of the vocabulary always cuts there.
-_HEAD = re.compile(r"\n?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-@\[-`{-~])")
+#: A word that begins with letters, and what an ASCII sign or digit begins after them: the pattern of the vocabulary always cuts there.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@\[-`{-~].*)?", re.DOTALL)
+#: Byte-level names have one character for each byte: itself if it is printable in Latin-1, else one from 256 on, in order.
+_ODD = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_NAMES = {b: 256 + i for i, b in enumerate(_ODD)}
+_SPACE = chr(_NAMES[32])
 
 _encoders: dict[str, Encoder] = {}
 
@@ -30,78 +35,61 @@ class Encoder:
 
     Byte-level pre-tokenisation always cuts before a single space or line end that stands between two
     other characters, so that a text is the concatenation of its words, each led by one of them. A word
-    is cut again where its first letters end. Each distinct piece is encoded once. Texts with longer runs
-    of white space at a space or line end are encoded whole.
+    is cut again where its first letters end. Letters are one piece of the pattern and go to the
+    library's model as they are, all else to the whole library; a word is kept once it is known.
+    Texts with longer runs of white space at a space or line end are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        import numpy as np
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        names = self.tokenizer.get_vocab(with_added_tokens=True)
-        #: Bytes of each id: a token's name has one character for each byte.
-        self.width = np.zeros(max(names.values()) + 1, dtype=np.int64)
-        for name, i in names.items():
-            self.width[i] = len(special[i].encode()) if i in special else len(name)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that end in no white space: encoded as one text with a line end before each, cut where the bytes of the ids reach the ends."""
-        import numpy as np
-
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 1 << 16):
-            part = pieces[at : at + (1 << 16)]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n" + "\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum([len(p.encode()) + 1 for p in part])
-            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-            raw = ids.tobytes()
-            # the line end itself is one id
-            out += [raw[4 * i + 4 : 4 * j] for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
-        return out
-
-    def learn(self, words: list[str]) -> None:
-        """Adds the ids of words: as `encode` splits them, a line end at the front stands for itself and a space is left out."""
-        known, match, single, double = self.known, _HEAD.match, [], []
-        for w in words:
-            m = match(w)
-            if m:
-                double.append((w, m[0], w[m.end() :]))
-            else:
-                single.append(w)
-        ends, heads = {rest: b"" for _, _, rest in double}, {head for _, head, _ in double}
-        single += heads.difference(known, single)
-        known.update(zip(single, self.pieces([w if w[0] == "\n" else f" {w}" for w in single])))
-        ends.update(zip(ends, self.pieces(list(ends))))
-        known.update([(w, known[head] + ends[rest]) for w, head, rest in double])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        wanted: set[str] = set()
-        for t in texts:
-            if not t or t[0] in " \n" or t[-1].isspace() or _JOINED.search(t):
-                split.append(None)
-            else:
-                split.append(t.replace("\n", " \n").split(" "))
-                wanted.update(split[-1][1:])
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list(wanted.difference(self.known))
-        self.learn(new)
-        alone = iter(self.whole([t if s is None else s[0] for t, s in zip(texts, split)]))
-        get = self.known.__getitem__
-        out = [next(alone) + (b"" if s is None else b"".join(map(get, s[1:]))) for s in split]
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del self.known[w]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.size = self.tokenizer.model, self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.line_end = self.whole("\n")
+        #: Words without the space that leads them, or with the line end; letters that begin words; what follows them.
+        self.words, self.heads, self.ends = Known(self.word), Known(self.letters), Known(self.after)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def letters(self, word: str) -> bytes:
+        """Ids of letters, with a space at the front or without."""
+        name = word.replace(" ", _SPACE) if word.isascii() else word.encode().decode("latin-1").translate(_NAMES)
+        return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+
+    def after(self, text: str) -> bytes:
+        """Ids of what follows letters: after a line end, which is one id, as nothing may come before it."""
+        return self.whole("\n" + text)[4:]
+
+    def word(self, w: str) -> bytes:
+        line = w[0] == "\n"
+        m = _WORD.fullmatch(w, line)
+        if m is None:
+            return self.whole(w if line else f" {w}")
+        head, rest = m[1] if line else f" {m[1]}", m[2]
+        ids = self.heads[head] + self.ends[rest] if rest else self.letters(head)
+        return self.line_end + ids if line else ids
+
+    def encode(self, text: str) -> bytes:
+        if not text or text[0] in " \n" or text[-1].isspace() or _JOINED.search(text):
+            return self.whole(text)
+        first, *words = text.replace("\n", " \n").split(" ")
+        return self.whole(first) + b"".join(map(self.words.__getitem__, words))
+
+
+class Known(dict):
+    """What `make` gives for a text; kept for texts of CACHE_CHARS at most, and begun anew after CACHE_WORDS of them."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        out = self.make(text)
+        if len(text) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[text] = out
         return out
 
 
@@ -112,15 +100,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(texts: list[str], path: str, block_chars: int = 2 << 20) -> list[bytes]:
-    """Ids of the texts, a block of them at a time."""
-    out: list[bytes] = []
-    block: list[str] = []
-    size = 0
-    for t in texts:
-        block.append(t)
-        size += len(t)
-        if size >= block_chars:
-            out += encoder(path).encode(block)
-            block, size = [], 0
-    return out + (encoder(path).encode(block) if block else [])
+def encoded(texts: list[str], path: str) -> list[bytes]:
+    """Ids of the texts."""
+    return [encoder(path).encode(t) for t in texts]

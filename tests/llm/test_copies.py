@@ -5,7 +5,6 @@ from hashlib import sha256
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from govdocs.llm import exact_dedup, simhash
 from govdocs.llm.common import Scratch
@@ -16,7 +15,8 @@ LONG = "lorem ipsum dolor " * 9000
 
 
 def odd_rows():
-    rows = [(1, "a b c d e f g"), (2, "a  b c d e\tf g"), (3, None), (4, ""), (5, " \n"), (6, LONG), (7, LONG + "x"), (8, LONG), (9, "ab"), (9, "ab"), (None, "alone"), (None, "a b c d e f g")]
+    rows = [(1, "aaa"), (2, "a a a"), (1, "bbbb"), (3, "bbbb"), (None, "cc"), (None, "c c"), (None, "ddd"), (None, "ddd"), (5, "x" * 900), (6, "x" * 900), (5, "x" * 899 + "y"), (7, "x" * 899 + "y"), (50, "q r"), (50, "qr"), (50, "q r")]
+    rows += [(1, "a b c d e f g"), (2, "a  b c d e\tf g"), (3, None), (4, ""), (5, " \n"), (6, LONG), (7, LONG + "x"), (8, LONG), (9, "ab"), (9, "ab"), (None, "alone"), (None, "a b c d e f g")]
     return rows + [(100 + i, "the same words in every copy of this text") for i in range(60)] + [(300 + i, f"the same words in every copy of this text, {i} times, and a little more to it") for i in range(40)]
 
 
@@ -26,11 +26,21 @@ def brute_exact(rows):
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((d, t or ""))
     out = []
     for norm, members in groups.items():
-        keep = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))[0]
-        out += [(d, keep, len(members), d == keep, sha256(norm.encode()).hexdigest()) for d, _ in members]
+        keep = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))
+        out += [(d, keep[0], len(members), d == keep[0] and len(t) == len(keep[1]), sha256(norm.encode()).hexdigest()) for d, t in members]
     return sorted(out, key=repr)
 
 
+def brute_stays(rows):
+    """One (doc_id, text length, normalised text) for each group."""
+    out = set()
+    for norm in {re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in rows}:
+        members = [(d, t or "") for d, t in rows if re.sub(r"[\x20\x09-\x0D]", "", t or "") == norm]
+        d, t = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))
+        out.add((d, len(t), norm))
+    return out
+
+
 def test_exact_duplicates_match_brute_force(spark):
     rows = odd_rows()
     docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA + ", kept string, digit string").repartition(5)
@@ -38,6 +48,16 @@ def test_exact_duplicates_match_brute_force(spark):
     assert sorted((tuple(r) for r in got), key=repr) == brute_exact(rows)
 
 
+def test_drop_exact_duplicates_keeps_one_row_of_each_text(spark):
+    rows = odd_rows()
+    docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA + ", gid string, text_sha256 string").repartition(5)
+    got = [(r.doc_id, len(r.text or ""), re.sub(r"[\x20\x09-\x0D]", "", r.text or "")) for r in exact_dedup.drop_exact_duplicates(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_stays(rows)
+    same = spark.createDataFrame([(4, "one text")] * 40, SCHEMA).repartition(4)
+    assert [tuple(r) for r in exact_dedup.drop_exact_duplicates(same).collect()] == [(4, "one text")]
+    assert exact_dedup.drop_exact_duplicates(same.limit(0)).count() == 0
+
+
 def test_exact_duplicates_of_an_empty_table(spark):
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -72,7 +92,7 @@ def brute_components(nodes, linked):
 
 @pytest.mark.parametrize("long_list", [1, 3, 64])
 def test_near_duplicates_match_brute_force(spark, sf_dir, long_list):
-    rows = [r for r in odd_rows() if r[0] is not None and r[0] != 9]
+    rows = [r for r in odd_rows() if r[0] is not None and r[0] > 9]
     rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     prints = {d: brute_fingerprint(t) for d, t in rows}
     ids = sorted(prints)
@@ -105,6 +125,3 @@ def test_near_duplicates_of_empty_and_repeated_rows(spark):
     rows = [(1, "x y z"), (1, "x y z"), (None, "x y z"), (3, None), (2, "")]
     got = simhash.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", fp int")).select("doc_id", "component_id").collect()
     assert sorted((tuple(r) for r in got), key=repr) == sorted([(1, 1), (1, 1), (None, 1), (3, 2), (2, 2)], key=repr)
-    docs = spark.createDataFrame(rows, SCHEMA)
-    assert sorted((r.doc_id or 0) for r in simhash.drop_near_duplicates(docs).collect()) == [0, 1, 1, 2]
-    assert docs.where(F.col("doc_id") > 0).count() == 4

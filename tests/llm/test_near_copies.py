@@ -40,13 +40,29 @@ def test_stage_matches_brute_force(spark, long_list):
     more += [(3 * 10**6, None), (3 * 10**6 + 1, ""), (3 * 10**6 + 2, "Short text"), (3 * 10**6 + 3, "short  TEXT")]
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + more
     frame = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, sid string").repartition(5)
-    got = (corpus_pipeline.drop_near(spark, frame, "") if long_list == 64 else near_copies.drop_near_copies(frame, long_list=1)).collect()
+    got = (corpus_pipeline.drop_near(spark, frame, "") if long_list == 64 else near_copies.drop_near_duplicates(frame, long_list=1)).collect()
     assert {r.doc_id for r in got} == brute_kept(rows) and {r.sid for r in got} == {"z"}
 
 
+def test_large_group_of_near_copies(spark):
+    """A base with many copies, some of them too far from it, and one copy repeated whole."""
+    base = [f"word{i}" for i in range(120)]
+    rows = []
+    for k in range(260):
+        copy = list(base)
+        for j in range(1 + k % 6):
+            copy[(k * 37 + j * 23) % 120] = f"own{k}x{j}"
+        rows.append((k, " ".join(copy)))
+    frame = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").repartition(6)
+    got = near_copies.drop_near_duplicates(frame, long_list=16).collect()
+    assert len(got) == len({r.doc_id for r in got}) and {r.doc_id for r in got} == brute_kept(rows)
+
+
 def test_repeated_and_null_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     rows = [(1, a), (2, a + " more"), (2, b), (None, a + " most"), (None, "alone"), (7, "other")]
-    got = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near_copies.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(1, a), (2, b), (None, "alone"), (7, "other")], key=repr)
-    assert near_copies.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    same = spark.createDataFrame([(4, "x y z"), (4, "x y z"), (None, None), (None, ""), (6, " ")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in near_copies.drop_near_duplicates(same).collect()) == [(4, "x y z"), (6, " ")]
+    assert near_copies.drop_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
