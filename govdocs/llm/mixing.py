@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from govdocs.llm.common import WORD, Scratch, text_or_empty
+from govdocs.llm.common import WORD, Scratch, small_side, text_or_empty
 
 LEVELS = ["domain", "lang", "source"]
 #: Slices of a leaf's seeded order. Only the slice in which its prefix ends is sorted.
@@ -68,7 +68,7 @@ def seeded(seed: int, epoch: Column) -> Column:
 
 
 def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], fraction: float, epochs: int = 2, seed: int = 7) -> DataFrame:
-    """One row per row of docs (doc_id, text, lang, source): doc_id, domain, lang, source, n_tokens, copies.
+    """One row per row of docs (doc_id, text, lang, source): doc_id, domain, lang, source, n_tokens, copies, body (a hash of the text).
 
     The budget is `fraction` of all tokens (words without ASCII white space). copies: in how many
     epochs the document is taken. A leaf's prefix ends before the first document that would exceed its
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], fra
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     named = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in ((domain, "domain"), (F.col("lang"), "lang"), (F.col("source"), "source"))]
-    rows = scratch.put("rows", docs.select("doc_id", *named, F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("n_tokens")))
+    rows = scratch.put("rows", docs.select("doc_id", *named, F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("n_tokens"), F.xxhash64(text_or_empty()).alias("body")))
     leaves = scratch.put("leaves", rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("avail")))
     total = leaves.agg(F.sum("avail")).first()[0] or 0
     plan = leaf_budgets(leaves, weights, int(total * fraction), epochs)
@@ -95,13 +95,27 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], fra
     ends = scratch.put("ends", plan.join(ends, LEVELS, "left").select(*LEVELS, "passes", "part", F.col("end.slice").alias("end_slice"), F.coalesce("end.before", F.lit(0)).alias("before")))
     placed = rows.join(ends, LEVELS).withColumn("place", seeded(seed, F.col("passes") + 1)).withColumn("slice", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
     edge = F.col("slice") == F.col("end_slice")
-    run = Window.partitionBy(*LEVELS, "slice").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*LEVELS, "slice").orderBy("place", "doc_id", "n_tokens", "body").rowsBetween(Window.unboundedPreceding, 0)
     last = placed.where(edge).withColumn("more", (F.col("before") + F.sum("n_tokens").over(run) <= F.col("part")).cast("long"))
     rest = placed.where(~F.coalesce(edge, F.lit(False))).withColumn("more", (F.col("end_slice").isNull() | (F.col("slice") < F.col("end_slice"))).cast("long"))
     out = last.unionByName(rest)
     open_end = (F.col("part") > 0) | (F.col("passes") == 0)
     more = F.when(F.col("passes") >= epochs, F.lit(0)).otherwise(F.when(open_end, F.col("more")).otherwise(F.lit(0)))
-    return out.select("doc_id", *LEVELS, "n_tokens", (F.col("passes") + more).cast("long").alias("copies"))
+    return out.select("doc_id", *LEVELS, "n_tokens", (F.col("passes") + more).cast("long").alias("copies"), "body")
+
+
+def drop_unmixed(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], fraction: float) -> DataFrame:
+    """docs without the rows that one epoch of the mix does not take; all columns are kept.
+
+    A doc_id with several texts loses only those that are not taken. Rows that repeat doc_id and text stay
+    together if one of them is taken. Null and empty texts are rows without tokens; an empty table stays empty.
+    """
+    mixed = mix(docs, domain, weights, fraction, epochs=1)
+    gone = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("body").alias("__body")).agg(F.max("copies").alias("most")).where("most = 0").drop("most")
+    gone = Scratch(docs.sparkSession, "unmixed").put("gone", gone)
+    own = docs.select("*", F.xxhash64(text_or_empty()).alias("__own"))
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body"))
+    return own.join(small_side(gone, gone.count(), 24), match, "left_anti").select(*docs.columns)
 
 
 def source_domain() -> Column:

@@ -1,17 +1,16 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text, one model a language.
 
-The model's symbols are the most frequent characters of trusted text and one for all others, so that
-its tables have a bound that no corpus exceeds: SYMBOLS ** 3 trigrams for each of at most LANGUAGES
-languages. Trigram counts are summed over all trusted text where it is read and meet in shards by
-language and n-gram; continuation counts, discounts and interpolation weights are joined to them by context.
-Documents are scored against the joined table, and a language's quantiles of trusted
-documents set its thresholds.
+The model's n-grams are three characters; every character and every language that occurs has its own.
+A document's n-grams are counted where it is read. Some thousand documents are counted together, as lists
+by n-gram of (document, count), so that an n-gram is carried once for all of them. These lists make the
+model's counts (over the trusted documents) and meet its shards by language and n-gram again, where each
+list is weighed by the log probability of its n-gram; sums by document give the perplexities. Nothing of
+the model passes the driver. A language's quantiles of trusted documents set its thresholds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,195 +18,226 @@ from pyspark.sql import functions as F
 
 from govdocs.llm.common import Scratch, small_side, text_batches, text_or_empty
 
-SYMBOLS = 64
-#: Languages with a model of their own at most; the others share the model of all trusted text.
-LANGUAGES = 64
-POOLED = ""
+#: Bits of a code point; three of them make an n-gram in a long.
+BITS = 21
+#: The model of all trusted text, for languages without any; languages' models are named after this prefix.
+POOLED, OWN = "*", "l:"
+#: Documents that are counted together, and n-grams (of documents) after which a group is closed.
+GROUP_DOCS, GROUP_EVENTS = 4096, 4_000_000
+#: Groups that one task may meet before its sums are handed on; beyond it the shards are split.
+MOST_GROUPS = 4096
 BLOCK = 1 << 20
+LISTS = "batch long, lang string, g long, docs binary, counts binary, ids array<long>, langs array<string>, sizes array<long>"
 
 
-def character_ids(characters: str):
-    """A table from code point to symbol: 0 for white space, 1 for all others, then the given characters."""
+def trigram_counts(text: str):
+    """(codes, counts) of the trigrams of a text in lower case, ascending; ASCII white space is one symbol and two boundaries (0) come first."""
     import numpy as np
 
-    ids = np.ones(0x110000, dtype=np.int64)
-    ids[[ord(c) for c in " \t\n\r\x0b\x0c"]] = 0
-    for k, c in enumerate(characters):
-        ids[ord(c)] = k + 2
-    return ids
-
-
-def trigrams(text: str, ids):
-    """Codes of all trigrams of a text's symbols, two boundaries before the first; blocks, so that long texts stay small."""
-    import numpy as np
-
-    low, before = text.lower(), np.zeros(2, dtype=np.int64)
-    for at in range(0, len(low), BLOCK):
-        s = np.concatenate([before, ids[np.frombuffer(low[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), dtype="<u4")]])
-        yield (s[:-2] << 12) | (s[1:-1] << 6) | s[2:]
+    low, before, codes, counts = text.lower(), np.zeros(2, dtype=np.int64), [], []
+    for at in range(0, len(low), BLOCK):  # blocks, so that long texts stay small
+        s = np.frombuffer(low[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        s[(s >= 9) & (s <= 13)] = 32
+        s = np.concatenate([before, s])
+        found, n = np.unique((s[:-2] << 2 * BITS) | (s[1:-1] << BITS) | s[2:], return_counts=True)
+        codes.append(found)
+        counts.append(n)
         before = s[-2:]
+    if len(codes) < 2:
+        return (codes[0], counts[0]) if codes else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    found, place = np.unique(np.concatenate(codes), return_inverse=True)
+    return found, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
 
 
-def character_counts(rows: DataFrame) -> DataFrame:
-    """character, n over lower-cased texts."""
+def grouped_lists(docs: DataFrame) -> DataFrame:
+    """LISTS of docs (doc_id, lang, text): for each group of documents one row with their ids, languages and sizes, and one for each language and n-gram with the documents that have it (places in the group, two bytes each) and how often."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
+        from pyspark import TaskContext
+
+        batch = TaskContext.get().partitionId() << 32
+        ids, langs, sizes, by_lang, events = [], [], [], {}, 0
+
+        def close() -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame({"batch": [batch], "lang": [None], "g": [None], "docs": [None], "counts": [None], "ids": [ids], "langs": [langs], "sizes": [sizes]}).astype({"g": "Int64"})
+            for lang, held in by_lang.items():
+                codes = np.concatenate([c for _, c, _ in held])
+                order = np.argsort(codes, kind="stable")
+                docs_ = np.repeat([k for k, _, _ in held], [len(c) for _, c, _ in held])[order].astype("<u2")
+                n = np.concatenate([n for _, _, n in held])[order]
+                g, at = np.unique(codes[order], return_index=True)
+                most = np.maximum.reduceat(n, at)
+                d, c1, c4 = docs_.tobytes(), np.minimum(n, 255).astype("<u1").tobytes(), n.astype("<u4").tobytes()
+                cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(n)], (most < 256).tolist()))
+                rows = {"batch": batch, "lang": lang, "g": g, "docs": [d[2 * a : 2 * b] for a, b, _ in cuts], "counts": [c1[a:b] if small else c4[4 * a : 4 * b] for a, b, small in cuts]}
+                out = pd.DataFrame(rows).assign(ids=None, langs=None, sizes=None).astype({"g": "Int64"})
+                for at_row in range(0, len(out), 20_000):
+                    yield out.iloc[at_row : at_row + 20_000]
 
-        seen = np.zeros(0x110000, dtype=np.int64)
         for p in parts:
-            for t in p["text"]:
-                low = t.lower()
-                for at in range(0, len(low), BLOCK):
-                    found = np.bincount(np.frombuffer(low[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), dtype="<u4"))
-                    seen[: len(found)] += found
-        used = np.nonzero(seen)[0]
-        yield pd.DataFrame({"code": used, "n": seen[used]})
+            for doc, lang, text in zip(p["doc_id"].astype("Int64"), p["lang"], p["text"]):
+                codes, n = trigram_counts(text)
+                if len(codes):
+                    by_lang.setdefault(lang, []).append((len(ids), codes, n))
+                ids.append(None if doc is pd.NA else int(doc))
+                langs.append(lang)
+                sizes.append(int(n.sum()))
+                events += len(codes)
+                if len(ids) == GROUP_DOCS or events >= GROUP_EVENTS:
+                    yield from close()
+                    batch, ids, langs, sizes, by_lang, events = batch + 1, [], [], [], {}, 0
+        if ids:
+            yield from close()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
+    return rows.mapInPandas(run, LISTS)
+
+
+def unpacked(p: pd.DataFrame):
+    """(lengths, places, counts) of the lists of a frame, one after the other."""
+    import numpy as np
 
-    return rows.select("text").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    places = np.frombuffer(b"".join(p["docs"]), dtype="<u2").astype(np.int64)
+    lengths = p["docs"].map(len).to_numpy() // 2
+    counts = [np.frombuffer(c, dtype="<u1" if len(c) == n else "<u4") for c, n in zip(p["counts"], lengths.tolist())]
+    return lengths, places, np.concatenate(counts).astype(np.int64)
 
 
-def trigram_counts(rows: DataFrame, characters: str, langs: list[str]) -> DataFrame:
-    """lang, g, n over trusted rows (text, lang), for each language of langs and for all text together."""
+def trusted_counts(lists: DataFrame, trusted: DataFrame) -> DataFrame:
+    """lang, g, n over the trusted documents (batch, marks: their places in the group)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        ids, sums = character_ids(characters), {}
         for p in parts:
-            for t, lang in zip(p["text"], p["lang"]):
-                held = sums.setdefault(lang if lang in langs else POOLED, np.zeros(SYMBOLS**3, dtype=np.int64))
-                for codes in trigrams(t, ids):
-                    if len(codes) > 20_000:
-                        held += np.bincount(codes, minlength=SYMBOLS**3)
-                    else:
-                        np.add.at(held, codes, 1)
-        for lang, held in sums.items():
-            used = np.nonzero(held)[0]
-            yield pd.DataFrame({"lang": lang, "g": used, "n": held[used]})
+            for _, q in p.groupby("batch", sort=False):
+                lengths, places, counts = unpacked(q)
+                ok = np.zeros(1 << 16, dtype=np.int64)
+                ok[np.asarray(q["marks"].iloc[0], dtype=np.int64)] = 1
+                n = np.add.reduceat(counts * ok[places], np.cumsum(lengths) - lengths)
+                yield pd.DataFrame({"lang": q["lang"], "g": q["g"], "n": n})[n > 0]
 
-    own = rows.select("text", "lang").mapInPandas(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    return own
+    rows = lists.join(trusted, "batch").select("batch", "lang", "g", "docs", "counts", "marks")
+    return rows.mapInPandas(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
-def pooled_too(counts: DataFrame) -> DataFrame:
-    """The counts of each language, and those of all trusted text under POOLED."""
-    alone = counts.where(F.col("lang") != POOLED)
-    return alone.unionByName(counts.groupBy("g").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(POOLED)))
+def model_counts(counts: DataFrame) -> DataFrame:
+    """model, g, n: the counts of each language, and of all trusted text."""
+    own = counts.where("lang is not null").select(F.concat(F.lit(OWN), "lang").alias("model"), "g", "n")
+    return own.unionByName(counts.groupBy("g").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("model"), "g", "n"))
 
 
 def discounts(counts: DataFrame) -> DataFrame:
-    """lang and the three discounts of modified Kneser-Ney, from how many n-grams occur one to four times."""
+    """model and the three discounts of modified Kneser-Ney, from how many n-grams occur one to four times."""
     k = [F.count_if(F.col("n") == i).cast("double").alias(f"k{i}") for i in range(1, 5)]
     y = F.try_divide(F.col("k1"), F.col("k1") + 2 * F.col("k2"))
     out = []
     for i in range(1, 4):
         d = i - (i + 1) * y * F.try_divide(F.col(f"k{i + 1}"), F.col(f"k{i}"))
         out.append(F.least(F.greatest(F.coalesce(d, F.lit(0.5 * i)), F.lit(0.05)), F.lit(float(i))).alias(f"d{i}"))
-    return counts.groupBy("lang").agg(*k).select("lang", *out)
+    return counts.groupBy("model").agg(*k).select("model", *out)
 
 
 def discounted(counts: DataFrame, context: Column) -> tuple[DataFrame, DataFrame]:
-    """(terms, contexts): of each n-gram (lang, g, n) its discounted share of its context, and each context's weight for the lower order."""
-    d = F.broadcast(discounts(counts))  # a row for each language
-    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")), d
-    rows = counts.join(d[1], "lang").withColumn("context", context).withColumn("d", d[0]).drop("d1", "d2", "d3")
-    sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("cut"))
-    terms = rows.join(sums, ["lang", "context"]).select("lang", "g", "context", ((F.col("n") - F.col("d")) / F.col("total")).alias("share"))
-    return terms, sums.select("lang", "context", (F.col("cut") / F.col("total")).alias("back"))
-
-
-def kneser_ney(tri: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tri, bi, contexts): lang, g, p of the seen trigrams; lang, g, p of the seen bigrams and, for the others, of every symbol; lang, context, order, back."""
-    one, two = F.lit(SYMBOLS), F.lit(SYMBOLS * SYMBOLS)
-    bi = scratch.put("bi", tri.groupBy("lang", (F.col("g") % two).alias("g")).agg(F.count("*").alias("n")))  # continuation counts
-    uni = scratch.put("uni", bi.groupBy("lang", (F.col("g") % one).alias("g")).agg(F.count("*").alias("n")))
-    t1, c1 = discounted(uni, F.lit(0))
-    p1 = t1.join(c1, ["lang", "context"]).select("lang", "g", (F.col("share") + F.col("back") / SYMBOLS).alias("p"))
-    floor = c1.select("lang", F.lit(-1).cast("long").alias("g"), (F.col("back") / SYMBOLS).alias("p"))
-    p1 = scratch.put("p1", p1.unionByName(floor))
-    t2, c2 = discounted(bi, F.floor(F.col("g") / one))
-    lower = p1.withColumnRenamed("g", "low").withColumnRenamed("p", "p_low")
-    p2 = t2.join(c2, ["lang", "context"]).withColumn("low", F.col("g") % one).join(lower, ["lang", "low"])
-    p2 = scratch.put("p2", p2.select("lang", "g", (F.col("share") + F.col("back") * F.col("p_low")).alias("p")))
-    t3, c3 = discounted(tri, F.floor(F.col("g") / one))
-    lower = p2.withColumnRenamed("g", "low").withColumnRenamed("p", "p_low")
-    p3 = t3.join(c3, ["lang", "context"]).withColumn("low", F.col("g") % two).join(lower, ["lang", "low"])
-    p3 = scratch.put("p3", p3.select("lang", "g", (F.col("share") + F.col("back") * F.col("p_low")).alias("p")))
-    backs = c2.select("lang", "context", "back", F.lit(2).alias("order")).unionByName(c3.select("lang", "context", "back", F.lit(3).alias("order")))
-    lowest = p2.select("lang", "g", "p", F.lit(2).alias("order")).unionByName(p1.select("lang", "g", "p", F.lit(1).alias("order")))
-    return p3, scratch.put("lowest", lowest), scratch.put("backs", backs)
-
-
-@dataclass(frozen=True)
-class Model:
-    characters: str
-    #: log probabilities of all trigrams by language
-    tables: dict
-
-
-def dense(p3: DataFrame, lowest: DataFrame, backs: DataFrame) -> dict:
-    """Log probability of each trigram by language, back-off included; at most LANGUAGES + 1 arrays of SYMBOLS ** 3."""
-    import numpy as np
+    """(terms, contexts): of each n-gram (model, g, n) its discounted share of its context, and each context's weight for the lower order."""
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    rows = counts.join(discounts(counts), "model").withColumn("context", context).withColumn("d", d).drop("d1", "d2", "d3")
+    sums = rows.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("cut"))
+    terms = rows.join(sums, ["model", "context"]).select("model", "g", "context", ((F.col("n") - F.col("d")) / F.col("total")).alias("share"))
+    return terms, sums.select("model", "context", (F.col("cut") / F.col("total")).alias("back"))
+
 
-    n = SYMBOLS
-    high, low, back = p3.toPandas(), lowest.toPandas(), backs.toPandas()  # bounded by the symbols
-    out = {}
-    for lang in sorted(set(high["lang"])):
-        u = low[(low["lang"] == lang) & (low["order"] == 1)]
-        p1 = np.full(n, u.loc[u["g"] == -1, "p"].iloc[0])
-        u = u[u["g"] >= 0]
-        p1[u["g"].to_numpy()] = u["p"]
-        g = back[(back["lang"] == lang) & (back["order"] == 2)]
-        weight = np.ones(n)
-        weight[g["context"].to_numpy().astype(int)] = g["back"]
-        p2 = (weight[:, None] * p1[None, :]).ravel()
-        b = low[(low["lang"] == lang) & (low["order"] == 2)]
-        p2[b["g"].to_numpy()] = b["p"]
-        g = back[(back["lang"] == lang) & (back["order"] == 3)]
-        weight = np.ones(n * n)
-        weight[g["context"].to_numpy().astype(int)] = g["back"]
-        p = (weight.reshape(n, n)[:, :, None] * p2.reshape(1, n, n)).ravel()
-        t = high[high["lang"] == lang]
-        p[t["g"].to_numpy()] = t["p"]
-        out[lang] = np.log(np.maximum(p, 1e-12)).astype(np.float32)
-    return out
-
-
-def train(trusted: DataFrame, scratch: Scratch) -> Model | None:
-    """The model of trusted rows (text, lang); None without text."""
-    top = character_counts(trusted).where(~F.char("code").rlike(r"\s")).orderBy(F.desc("n"), "code").limit(SYMBOLS - 2).collect()
-    characters = "".join(chr(r.code) for r in top)
-    langs = [r.lang for r in trusted.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    tri = scratch.put("tri", pooled_too(scratch.put("own", trigram_counts(trusted, characters, langs))))
-    if tri.isEmpty():
-        return None
-    return Model(characters, dense(*kneser_ney(tri, scratch)))
-
-
-def perplexities(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity of every row (doc_id, text, lang); null perplexity for empty texts or without a model."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", text_or_empty().alias("text"))
-    if model is None:
-        return rows.select("doc_id", "lang", F.length("text").cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("perplexity"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the symbols and languages
+def lower_bits(g: Column, symbols: int) -> Column:
+    return g.bitwiseAND(F.lit((1 << symbols * BITS) - 1))
+
+
+def before_last(g: Column) -> Column:
+    return F.shiftright(g, BITS)
+
+
+def kneser_ney(tri: DataFrame, scratch: Scratch) -> dict[str, DataFrame]:
+    """p3, p2, p1 (model, g, p of the seen n-grams), b3, b2 (model, context, back) and floor (model, p of a character that was not seen)."""
+    bi = scratch.put("bi", tri.groupBy("model", lower_bits(F.col("g"), 2).alias("g")).agg(F.count("*").alias("n")))  # continuation counts
+    uni = scratch.put("uni", bi.groupBy("model", lower_bits(F.col("g"), 1).alias("g")).agg(F.count("*").alias("n")))
+    t1, c1 = discounted(uni, F.lit(0))
+    # what the unigrams give away is shared evenly by the seen characters and one that stands for all others
+    floor = c1.join(uni.groupBy("model").agg(F.count("*").alias("seen")), "model").select("model", (F.col("back") / (F.col("seen") + 1)).alias("floor"))
+    floor = scratch.put("floor", floor)
+    p1 = scratch.put("p1", t1.join(floor, "model").select("model", "g", (F.col("share") + F.col("floor")).alias("p")))
+    t2, c2 = discounted(bi, before_last(F.col("g")))
+    lower = lambda df: df.select("model", F.col("g").alias("low"), F.col("p").alias("p_low"))
+    p2 = t2.join(c2, ["model", "context"]).withColumn("low", lower_bits(F.col("g"), 1)).join(lower(p1), ["model", "low"])
+    p2 = scratch.put("p2", p2.select("model", "g", (F.col("share") + F.col("back") * F.col("p_low")).alias("p")))
+    t3, c3 = discounted(tri, before_last(F.col("g")))
+    p3 = t3.join(c3, ["model", "context"]).withColumn("low", lower_bits(F.col("g"), 2)).join(lower(p2), ["model", "low"])
+    p3 = scratch.put("p3", p3.select("model", "g", (F.col("share") + F.col("back") * F.col("p_low")).alias("p")))
+    return {"p3": p3, "p2": p2, "p1": p1, "b3": scratch.put("b3", c3), "b2": scratch.put("b2", c2), "floor": floor}
+
+
+def log_probabilities(asked: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+    """model, g, logp of the trigrams of asked (model, g), seen or not: one join for each order and back-off weight."""
+    g, out = F.col("g"), asked
+    for name, key, column in (("p3", g, "g"), ("p2", lower_bits(g, 2), "g"), ("p1", lower_bits(g, 1), "g"), ("b3", before_last(g), "context"), ("b2", before_last(lower_bits(g, 2)), "context")):
+        side = model[name].toDF("model", f"{name}_key", name)
+        out = out.withColumn(f"{name}_key", key).join(side, ["model", f"{name}_key"], "left").drop(f"{name}_key")
+    out = out.join(model["floor"], "model")
+    one = F.lit(1.0)
+    p2 = F.coalesce("p2", F.coalesce("b2", one) * F.coalesce("p1", "floor"))
+    return out.select("model", "g", F.log(F.coalesce("p3", F.coalesce("b3", one) * p2)).alias("logp"))
+
+
+def summed(joined: DataFrame) -> DataFrame:
+    """batch, place, total: the log probability of each document, from lists with the logp of their n-gram."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        ids, tables = character_ids(shared.value.characters), shared.value.tables
-        for p in parts:
-            n, scores = [], []
-            for t, lang in zip(p["text"], p["lang"]):
-                table, size, total = tables.get(lang, tables[POOLED]), 0, 0.0
-                for codes in trigrams(t, ids):
-                    size += len(codes)
-                    total += float(table[codes].sum(dtype=np.float64))
-                n.append(size)
-                scores.append(np.exp(-total / size) if size else None)
-            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "lang": p["lang"], "n_symbols": n, "perplexity": pd.Series(scores, dtype="Float64")})
+        sums: dict[int, np.ndarray] = {}
 
-    return rows.mapInPandas(run, "doc_id long, lang string, n_symbols long, perplexity double")
+        def hand_on() -> Iterator[pd.DataFrame]:
+            for batch, held in sums.items():
+                place = np.nonzero(held)[0]
+                yield pd.DataFrame({"batch": batch, "place": place, "part": held[place]})
+            sums.clear()
+
+        for p in parts:
+            for batch, q in p.groupby("batch", sort=False):
+                lengths, places, counts = unpacked(q)
+                more = np.bincount(places, weights=counts * np.repeat(q["logp"].to_numpy(), lengths), minlength=GROUP_DOCS)
+                sums[batch] = sums[batch] + more if batch in sums else more
+            if len(sums) > MOST_GROUPS:
+                yield from hand_on()
+        yield from hand_on()
+
+    rows = joined.select("batch", "docs", "counts", "logp").mapInPandas(run, "batch long, place int, part double")
+    return rows.groupBy("batch", "place").agg(F.sum("part").alias("total"))
+
+
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, lang, n_symbols, perplexity of every row (doc_id, text, lang); null perplexity for empty texts or without trusted text."""
+    lists = scratch.put("lists", grouped_lists(docs))
+    whole = lists.where("g is null").select("batch", F.posexplode(F.arrays_zip("ids", "langs", "sizes")).alias("place", "d"))
+    rows = scratch.put("rows", whole.select("batch", "place", F.col("d.ids").alias("doc_id"), F.col("d.langs").alias("lang"), F.col("d.sizes").alias("n_symbols")))
+    lists = lists.where("g is not null")
+    n_batches = rows.select("batch").distinct().count()
+    trusted = rows.join(trusted_ids, rows["doc_id"] == trusted_ids["t_id"], "left_semi")
+    marks = scratch.put("marks", trusted.groupBy("batch").agg(F.collect_list("place").alias("marks")))  # GROUP_DOCS at most
+    counts = scratch.put("own", trusted_counts(lists, small_side(marks, n_batches, 4 * GROUP_DOCS)))
+    tri = scratch.put("tri", model_counts(counts))
+    model = kneser_ney(tri, scratch)
+    langs = counts.where("lang is not null").select("lang", F.concat(F.lit(OWN), "lang").alias("own")).distinct()
+    langs = scratch.put("langs", langs)
+    named = lambda df: df.join(small_side(langs, langs.count(), 64), "lang", "left").withColumn("model", F.coalesce("own", F.lit(POOLED))).drop("own")
+    asked = named(lists.select("lang", "g").distinct()).select("model", "g").distinct()
+    logp = scratch.put("logp", log_probabilities(asked, model))
+    salts = -(-n_batches // MOST_GROUPS)
+    salt = F.pmod(F.xxhash64("batch"), F.lit(salts)).cast("int")
+    spread = logp.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = named(lists).withColumn("salt", salt).hint("shuffle_hash").join(spread, ["model", "g", "salt"])
+    totals = scratch.put("totals", summed(joined))
+    out = rows.join(totals, ["batch", "place"], "left")
+    return out.select("doc_id", "lang", "n_symbols", F.round(F.exp(-F.col("total") / F.col("n_symbols")), 9).alias("perplexity"))
 
 
 def held_out_column() -> Column:
@@ -219,22 +249,21 @@ def ngram_quality(docs: DataFrame, labels: DataFrame, low: float = 0.001, high:
 
     Trusted text: rows labelled with quality 1 whose crc32 of doc_id as text is not divisible by five, all
     of them and whole. kept: the perplexity lies between the quantiles low and high of its language's
-    trusted documents; languages without trusted text take the model and the quantiles of all. Null and
-    empty texts have no perplexity and are not kept. Rows that repeat a doc_id are scored each; an empty
-    table gives an empty result; other columns are ignored.
+    trusted documents; languages without trusted text (null, too) take the model and the quantiles of all.
+    Null and empty texts have no perplexity and are not kept, and nothing is without trusted text. Rows
+    that repeat a doc_id are scored each; an empty table gives an empty result; other columns are ignored.
     """
     text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "ngram-quality")
     ids = labels.where("quality = 1 and doc_id is not null").where(~held_out_column()).select(F.col("doc_id").alias("t_id")).distinct()
     ids = scratch.put("trusted", ids)
     ids = small_side(ids, ids.count(), 16)
-    trusted = docs.join(ids, docs["doc_id"] == ids["t_id"], "left_semi").select(text_or_empty().alias("text"), "lang")
-    scored = scratch.put("scored", perplexities(docs, train(trusted, scratch)))
+    scored = scratch.put("scored", perplexities(docs, ids, scratch))
     known = scored.join(ids, scored["doc_id"] == ids["t_id"], "left_semi").where("perplexity is not null")
     # quantiles by language, and of all for the languages without
     bounds = known.groupBy("lang").agg(F.percentile_approx("perplexity", [low, high], 10_000).alias("q"))
-    bounds = scratch.put("bounds", bounds.select(F.col("lang").alias("b_lang"), "q"))
+    bounds = scratch.put("bounds", bounds.where("lang is not null").select(F.col("lang").alias("b_lang"), "q"))
     every = known.agg(F.percentile_approx("perplexity", [low, high], 10_000).alias("q")).first()[0] or [None, None]
-    out = scored.join(bounds, scored["lang"].eqNullSafe(bounds["b_lang"]), "left")
+    out = scored.join(bounds, scored["lang"] == bounds["b_lang"], "left")
     least, most = (F.coalesce(F.col("q")[i], F.lit(every[i])).cast("double") for i in (0, 1))
     return out.select("doc_id", "lang", "n_symbols", "perplexity", least.alias("least"), most.alias("most")).withColumn("kept", F.coalesce((F.col("perplexity") >= F.col("least")) & (F.col("perplexity") <= F.col("most")), F.lit(False)))

@@ -28,7 +28,7 @@ def op4_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), mixing.source_domain(), mixing.WEIGHTS, fraction=0.75, epochs=2)
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.source_domain(), mixing.WEIGHTS, fraction=0.75, epochs=2).drop("body")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

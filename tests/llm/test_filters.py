@@ -9,7 +9,6 @@ from collections import Counter
 import pytest
 
 from govdocs.llm import licenses, mixing, ngram_quality, quality_rules, toxicity
-from govdocs.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string"
 ODD = [None, "", " \n\t", "one two", "a b c d e a b c d e", "x y " * 30, "a b c d e f g h i j\na b c d e f g h i j\n", "# $ % & * | < >" * 5, "é ü the of and " * 4 + "end", "w" * 100_000, "a\n\na\n \na"]
@@ -111,8 +110,8 @@ def test_license_prefilter_loses_no_template():
 
 
 def brute_kneser_ney(texts):
-    """log2-free reference: P(c | a b) from plain dictionaries."""
-    seq = [" " + " " + t for t in texts]
+    """P of a trigram from plain dictionaries; a boundary is NUL."""
+    seq = ["\0\0" + re.sub(r"[\x20\x09-\x0D]", " ", t.lower()) for t in texts]
     tri = Counter(s[i : i + 3] for s in seq for i in range(len(s) - 2))
     bi = Counter(g[1:] for g in tri)
     uni = Counter(g[1:] for g in bi)
@@ -129,33 +128,57 @@ def brute_kneser_ney(texts):
     d3, d2, d1 = cuts(tri), cuts(bi), cuts(uni)
     p1_total = sum(uni.values())
     back1 = sum(d1(n) for n in uni.values()) / p1_total
-    p1 = lambda c: (max(uni[c] - d1(uni[c]), 0) / p1_total if uni[c] else 0) + back1 / ngram_quality.SYMBOLS
+    p1 = lambda c: (max(uni[c] - d1(uni[c]), 0) / p1_total if uni[c] else 0) + back1 / (len(uni) + 1)
 
     def higher(counts, cut, lower):
+        by_context = {}
+        for g, n in counts.items():
+            by_context.setdefault(g[:-1], []).append(n)
+
         def p(g):
-            held = {k: n for k, n in counts.items() if k[:-1] == g[:-1]}
+            held = by_context.get(g[:-1])
             if not held:
                 return lower(g[1:])
-            total = sum(held.values())
-            own = (counts[g] - cut(counts[g])) / total if counts[g] else 0
-            return own + sum(map(cut, held.values())) / total * lower(g[1:])
+            own = (counts[g] - cut(counts[g])) / sum(held) if counts[g] else 0
+            return own + sum(map(cut, held)) / sum(held) * lower(g[1:])
 
         return p
 
     return higher(tri, d3, higher(bi, d2, p1))
 
 
-def test_kneser_ney_matches_brute_force_and_sums_to_one(spark):
-    texts = ["banana bandana", "anna has a band", "the panda ran and ran", "a hand"]
-    trusted = spark.createDataFrame([(t, "xx") for t in texts], "text string, lang string")
-    model = ngram_quality.train(trusted, Scratch(spark, "test"))
-    table, ids = model.tables["xx"], ngram_quality.character_ids(model.characters)
-    p = brute_kneser_ney(texts)
-    for g in ("ban", "nan", " a ", "zzz", "hab", "xqa", "the"):
-        code = (ids[ord(g[0])] << 12) | (ids[ord(g[1])] << 6) | ids[ord(g[2])]
-        if "z" not in g and "x" not in g and "q" not in g:
-            assert math.isclose(math.exp(table[code]), p(g), rel_tol=1e-4), g
-    assert abs(math.fsum(math.exp(x) for x in table[(ids[ord("a")] << 12 | ids[ord("n")] << 6) :][:64]) - 1) < 1e-4
+def brute_perplexity(p, text):
+    s = "\0\0" + re.sub(r"[\x20\x09-\x0D]", " ", text.lower())
+    return math.exp(-math.fsum(math.log(p(s[i : i + 3])) for i in range(len(s) - 2)) / (len(s) - 2))
+
+
+@pytest.mark.parametrize("group_docs", [4, 4096])
+def test_perplexity_quantiles_and_verdict_match_brute_force(spark, sf_dir, monkeypatch, group_docs):
+    """Every document's perplexity, its language's quantiles and kept; characters and languages without a cap."""
+    monkeypatch.setattr(ngram_quality, "GROUP_DOCS", group_docs)
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()][:: 4 if group_docs == 4 else 1]
+    rows += [(10_000 + i, f"日本語のテスト {i} 漢字 Привет {chr(0x4E00 + i)}" * 3, "ja") for i in range(40)] + [(20_000, "new language ñ 😀 ab", "zz"), (20_001, "no language at all", None), (20_002, None, "en"), (20_003, "", "en"), (20_004, "a" * 70_000, "en"), (20_005, "the same", "en"), (20_005, "the same", "en")]
+    trusted = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()} | set(range(10_000, 10_030)) | {20_001, 20_003}
+    labels = spark.createDataFrame([(d, 1) for d in sorted(trusted)] + [(None, 1)], "doc_id long, quality int")
+    frame = spark.createDataFrame([(*r, 7, "x") for r in rows], SCHEMA + ", lang string, batch int, model string").repartition(3)
+    got = ngram_quality.ngram_quality(frame, labels, 0.1, 0.9).collect()
+    assert len(got) == len(rows)
+    trusted = {d for d in trusted if not toxicity.held_out(d)}
+    good = [(t, lang) for d, t, lang in rows if d in trusted and t]
+    models = {lang: brute_kneser_ney([t for t, x in good if x == lang]) for lang in {x for _, x in good if x}}
+    every = brute_kneser_ney([t for t, _ in good])
+    perplexity = {d: brute_perplexity(models.get(lang, every), t) if t else None for d, t, lang in rows}
+    quantiles = {}
+    for lang in [*models, None]:
+        xs = sorted(perplexity[d] for d, t, x in rows if d in trusted and t and (lang is None or x == lang))
+        quantiles[lang] = [xs[max(0, math.ceil(q * len(xs)) - 1)] for q in (0.1, 0.9)]
+    for r in got:
+        want = perplexity[r.doc_id]
+        assert (r.perplexity is None) == (want is None)
+        q = quantiles[r.lang if r.lang in models else None]
+        assert math.isclose(r.least, q[0], rel_tol=1e-6) and math.isclose(r.most, q[1], rel_tol=1e-6), (r, q)
+        assert want is None and not r.kept or want is not None and math.isclose(r.perplexity, want, rel_tol=1e-6), (r, want)
+        assert r.kept == (want is not None and q[0] * (1 - 1e-8) <= want <= q[1] * (1 + 1e-8))
 
 
 def test_ngram_quality_separates_labels(spark):
