@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from govdocs.llm import exact_dedup, mixing, near_copies, packing, toxicity
-from govdocs.llm.common import Scratch, small_side
+from govdocs.llm.common import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,15 +20,12 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each component of near copies: five-word shingles, similarity of 0.8 or more."""
-    return near_copies.drop_near_copies(docs)
+    return near_copies.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the tokens, the sources by weight; each document once at most, so that only what exceeds a source's share goes."""
-    mixed = mixing.mix(docs, mixing.source_domain(), mixing.WEIGHTS, fraction=0.9, epochs=1)
-    gone = Scratch(spark, "unmixed").put("gone", mixed.where("copies = 0").select(F.col("doc_id").alias("gone_id")))
-    gone = small_side(gone, gone.count(), 16)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    return mixing.drop_unmixed(docs, mixing.source_domain(), mixing.WEIGHTS, fraction=0.9)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
