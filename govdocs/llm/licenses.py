@@ -208,16 +208,17 @@ def line_at(starts: list[int], word: int) -> int:
     return bisect.bisect_right(starts, word) - 1
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8, texts: dict[str, str] | None = None, forms: dict[tuple[str, ...], str] | None = None) -> DataFrame:
     """One row per notice: doc_id, line_no (from 0, where it begins), license, dice (rounded to 6 digits).
 
     A \n-split line takes the notice of `templates` with the highest coefficient of `least` or more, ties
-    by name. Windows of words reach `least` to a notice or a licence body; short forms match whole. What
+    by name; texts (by default the bodies beside this file) and forms (by default `short_forms`) are looked
+    for everywhere. Without any of the three nothing is found. Windows of words reach `least` to a notice or a licence body; short forms match whole. What
     lies in a matched line adds nothing to it. Of notices that overlap, the one with the most shared
     bigrams stays, then the most alike. Less than two words match nothing. Null and empty texts give no
     rows; rows that repeat a doc_id give their rows each. Other columns are ignored.
     """
-    finder = Finder(templates, bodies(), short_forms(), least)
+    finder = Finder(templates, bodies() if texts is None else texts, short_forms() if forms is None else forms, least)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +61,21 @@ def spans(text: Column, rule: Rule) -> Column:
     return F.when(quick, F.transform(walked, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))).otherwise(F.array().cast(SPANS))
 
 
+LEDGER = f"blob binary, kind string, version int, spans {SPANS}"
+
+
 def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], f"blob binary, kind string, version int, spans {SPANS}")
+    return spark.createDataFrame([], LEDGER)
+
+
+def read_ledger(spark, path: str) -> DataFrame:
+    """The ledger stored at path; empty where none was written yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_ledger(spark)
 
 
 def paths_of(docs: DataFrame) -> DataFrame:
@@ -69,8 +83,8 @@ def paths_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.sha2(text_or_empty(), 256)).alias("blob"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """(paths, ledger): doc_id and blob of every row; the ledger with a row for each blob and rule version.
+def scan_unseen(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(paths, new): doc_id and blob of every row; ledger rows of the blobs and rule versions that the ledger does not hold.
 
     Each version of a document is a row of docs, so that historical versions are blobs like others. The
     texts of rows that only repeat a blob, or whose blob was scanned under all rules, are not scanned.
@@ -93,19 +107,36 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
     todo = lambda r: F.lit(True) if done is None else F.coalesce(~F.array_contains("done", f"{r.kind}:{r.version}"), F.lit(True))
     found = F.array(*[F.when(todo(r), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans"))) for r in rules])
     new = scratch.put("new", unseen.select("blob", F.array_compact(found).alias("found")))
-    new = new.dropDuplicates(["blob"]).select("blob", F.inline("found"))
-    whole = new if ledger is None else ledger.select("blob", "kind", "version", "spans").unionByName(new)
-    return paths, whole
+    return paths, new.dropDuplicates(["blob"]).select("blob", F.inline("found"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(paths, ledger): doc_id and blob of every row; the ledger with what was new."""
+    paths, new = scan_unseen(docs, rules, ledger, scratch)
+    return paths, new if ledger is None else ledger.select("blob", "kind", "version", "spans").unionByName(new)
+
+
+def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(paths, ledger) with the ledger stored at path: only what it does not hold is scanned, and added to it when the scan is whole.
+
+    A scan that fails adds nothing and can be repeated. One writer at a time.
+    """
+    spark = docs.sparkSession
+    ledger = read_ledger(spark, path)
+    paths, new = scan_unseen(docs, rules, ledger)
+    new.write.mode("append").parquet(path)
+    return paths, read_ledger(spark, path)
 
 
-def findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+def findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """doc_id and found (array of start, rank of the rule, stop, kind; in that order) for every row of docs.
 
+    ledger: what was scanned before; path: where it is stored, read and added to (one of the two at most).
     Null and empty texts have no findings. Rows that repeat a doc_id or a text each get their blob's
     findings; a null doc_id keeps its row. An empty table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
-    paths, whole = scan(docs, rules, ledger, scratch)
+    paths, whole = update_ledger(docs, path, rules) if path else scan(docs, rules, ledger, scratch)
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     now = whole.where(F.concat_ws(":", "kind", "version").isin([f"{r.kind}:{r.version}" for r in rules]) & (F.size("spans") > 0))
     flat = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, F.col("kind")).alias("rank"), s["stop"].alias("stop"), F.col("kind").alias("kind")))

@@ -103,6 +103,67 @@ def test_license_windows_match_brute_force():
         assert bool(got) == (best >= 0.8) and (not got or max(got) <= best + 1e-9)
 
 
+def brute_scan(text, templates):
+    """Whole lines and every window of every size, chosen as license_scan says."""
+    ws, starts = [], []
+    for line in text.lower().split("\n"):
+        starts.append(len(ws))
+        ws += re.findall("[a-z0-9]+", line)
+    pairs = list(zip(ws, ws[1:]))
+    sets = {k: set(zip(t, t[1:])) for k, v in templates.items() for t in [re.findall("[a-z0-9]+", v.lower())]}
+    line_of = lambda i: max(k for k, s in enumerate(starts) if s <= i)
+    lines, found = [], []
+    for a, b in zip(starts, [s - 1 for s in starts[1:]] + [len(ws) - 1]):
+        own = set(pairs[a:b])
+        if own:
+            dice, name = min((-2 * len(own & s) / (len(own) + len(s)), k) for k, s in sets.items())
+            if dice <= -0.8:
+                lines.append((-len(own & sets[name]), dice, name, a, b))
+    for name, s in sets.items():
+        for a in range(len(pairs)):
+            if pairs[a] in s:
+                best, own, shared = None, set(), 0
+                for b in range(a, min(len(pairs), a + 3 * len(s))):
+                    shared += pairs[b] in s and pairs[b] not in own
+                    own.add(pairs[b])
+                    dice = 2 * shared / (len(own) + len(s))
+                    if best is None or dice > best[0]:
+                        best = (dice, shared, b + 1)
+                if best[0] >= 0.8 and not any(x[3] <= a and best[2] <= x[4] for x in lines):
+                    found.append((-best[1], -best[0], name, a, best[2]))
+    out, taken = [], []
+    for _, lost, name, a, b in sorted(lines + found):
+        if all(b < x or y < a for x, y in taken):
+            taken.append((a, b))
+            out.append((line_of(a), name, round(-lost, 6)))
+    return sorted(out)
+
+
+def test_license_scan_matches_brute_force(spark, sf_dir):
+    rng, rows = random.Random(2), []
+    docs = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.text]
+    for i, text in enumerate(docs):
+        ws = text.split(" ")[:60]
+        if i % 2:
+            at = rng.randrange(len(ws) + 1)
+            ws[at:at] = rng.choice(sorted(licenses.TEMPLATES.values())).replace(" ", rng.choice([" ", "\n", "  "])).split(" ")
+        rows.append((i, " ".join(ws)))
+    rows += [(1000, None), (1001, ""), (1002, "All rights reserved.\nAll rights reserved."), (1002, "x"), (1003, " ".join(f"w{i}" for i in range(60_000)) + " " + TEMPLATE_LINE)]
+    got = {}
+    for r in licenses.license_scan(spark.createDataFrame([(*r, "z") for r in rows], SCHEMA + ", license string"), texts={}, forms={}).collect():
+        got.setdefault(r.doc_id, []).append((r.line_no, r.license, r.dice))
+    for d, t in rows[:-1]:
+        assert sorted(got.get(d, [])) == (brute_scan(t or "", licenses.TEMPLATES) or (sorted(got.get(d, [])) if d == 1002 else [])), (d, t)
+    assert got[1003] == [(0, "apache-2.0", 1.0)] and len(got[1002]) == 2
+
+
+def test_license_scan_without_templates_or_rows(spark):
+    docs = spark.createDataFrame([(1, TEMPLATE_LINE), (2, None)], SCHEMA)
+    assert licenses.license_scan(docs, {}, texts={}, forms={}).count() == 0
+    assert [r.license for r in licenses.license_scan(docs, {}).collect()] == ["apache-2.0"]
+    assert licenses.license_scan(docs.limit(0)).count() == 0
+
+
 def test_license_prefilter_loses_no_template():
     finder = licenses.Finder(licenses.TEMPLATES, licenses.bodies(), licenses.short_forms(), 0.8)
     assert [f for f, k in licenses.short_forms().items() if [x[1] for x in finder.find(" ".join(f))] != [k]] == []
@@ -211,6 +272,77 @@ def test_grammar_composes_negation_report_and_targets():
     assert len(toxicity.MACHINE) > 10
 
 
+def brute_clause(symbols):
+    """The five rules one by one, by looking back over the clause."""
+    total = 0.0
+    for i, (kind, weight) in enumerate(symbols):
+        if not weight:
+            continue
+        kinds = [k for k, _ in symbols[:i]]
+        added = 0.5 if kind == "insult" and "insult" in kinds else 0.0
+        if "threat" in kinds and "target" in kinds[kinds.index("threat") :]:
+            added += 1.0 if kind == "insult" else 0.5
+        added += 0.5 if "target" in kinds[-6:] else 0.0
+        total += (weight + added) * (0.5 if "negation" in kinds[-3:] else 1.0) * (0.5 if "report" in kinds[-8:] else 1.0)
+    return total
+
+
+def test_composed_machine_matches_the_rules_one_by_one():
+    rng = random.Random(5)
+    for _ in range(3000):
+        kinds = [rng.choice(toxicity.SYMBOLS[:-1]) for _ in range(rng.randint(0, 25))]
+        clause = [(k, round(rng.random() + 0.1, 3) if k in ("insult", "threat") else 0.0) for k in kinds]
+        assert math.isclose(toxicity.clause_weight(clause), brute_clause(clause), abs_tol=1e-9), clause
+
+
+def brute_toxicity(rows, labels):
+    """Scores from plain loops: vocabulary, clauses, features and the logistic of the fitted rows."""
+    toxic = {}
+    for d, y in labels:
+        if d is not None and y is not None and not toxicity.held_out(d):
+            toxic[d] = max(y, toxic.get(d, 0))
+    train = [(t or "", toxic[d]) for d, t in rows if d in toxic]
+    n = Counter(y for _, y in train)
+    counts = Counter()
+    for t, y in train:
+        words = {w for w in toxicity.WORDS.findall(t.lower()) if w not in toxicity.BREAKS}
+        counts.update((e, y) for e in words | {w[:k] + "*" for w in words for k in range(4, 8) if len(w) > k})
+    vocabulary = {}
+    for e in {e for e, _ in counts}:
+        ratio = (counts[e, 1] + 0.5) / (n[1] + 1) / ((counts[e, 0] + 0.5) / (n[0] + 1))
+        if counts[e, 1] >= max(3, 0.02 * n[1]) and ratio >= 6:
+            vocabulary[e] = math.log(ratio) / 4
+
+    def features(text):
+        clauses = [[]]
+        for token in toxicity.WORDS.findall(text.lower()):
+            if token in toxicity.BREAKS:
+                clauses.append([])
+                continue
+            weight = max([vocabulary.get(token, 0.0)] + [vocabulary.get(token[:k] + "*", 0.0) for k in range(4, len(token) + 1)])
+            kind = "insult" if weight else toxicity.CLASSES.get(token, "other")
+            clauses[-1].append((kind, weight or (toxicity.THREAT_WEIGHT if kind == "threat" else 0.0)))
+        sums = [w for w in map(brute_clause, clauses) if w > 0]
+        return round(max(sums, default=0.0), 3), round(sum(sums), 3), round(math.log1p(sum(map(len, clauses))), 3)
+
+    weights = toxicity.logistic([toxicity.inputs(*features(t)) for t, _ in train], [y > 0 for _, y in train])
+    z = lambda f: max(-30.0, min(30.0, sum(w * x for w, x in zip(weights, toxicity.inputs(*f)))))
+    return [(d, 1 / (1 + math.exp(-z(features(t or ""))))) for d, t in rows]
+
+
+def test_toxicity_matches_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{d}/labels.parquet").collect()] + [(None, 1), (7_000_001, None)]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    rows += [(7_000_000, None), (7_000_001, ""), (7_000_002, "long text of many words. " * 20_000), (7_000_003, "twice the same"), (7_000_003, "twice the same"), (None, "no id")]
+    docs = spark.createDataFrame([(*r, 0.1) for r in rows], SCHEMA + ", score double").repartition(5)
+    got = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for a, (doc, score) in zip(sorted([(r.doc_id, r.score) for r in got], key=key), sorted(brute_toxicity(rows, labels), key=key), strict=True):
+        assert a[0] == doc and math.isclose(a[1], score, abs_tol=1e-6)
+    assert all(r.predicted == (r.score >= 0.5) and r.held_out == toxicity.held_out(r.doc_id) for r in got)
+
+
 @pytest.fixture(scope="module")
 def toxic_tables(spark):
     d = "/root/testdata/sf0.1"

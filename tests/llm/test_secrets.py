@@ -58,6 +58,21 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert third.where("version = 2").count() == 2 and third.count() == whole.count() + 2
 
 
+def test_stored_ledger_grows_by_what_is_new(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    old = spark.createDataFrame([(1, "token=abcdefghijklmnop"), (2, "nothing")], SCHEMA)
+    assert {r.doc_id: len(r.found) for r in secrets.findings(old, path=path).collect()} == {1: 1, 2: 0}
+    size = secrets.read_ledger(spark, path).count()
+    assert size == 2 * len(secrets.RULES)
+    secrets.update_ledger(old, path)
+    assert secrets.read_ledger(spark, path).count() == size
+    new = spark.createDataFrame([(3, "nothing"), (4, "secret=abcdefghijklmnop"), (5, None)], SCHEMA)
+    assert {r.doc_id: len(r.found) for r in secrets.findings(new, path=path).collect()} == {3: 0, 4: 1, 5: 0}
+    assert secrets.read_ledger(spark, path).count() == size + 2 * len(secrets.RULES)
+    both = secrets.findings(old.unionByName(new))
+    assert sorted(map(str, both.collect())) == sorted(map(str, secrets.findings(old.unionByName(new), path=path).collect()))
+
+
 def test_empty_table_nulls_and_repeated_ids(spark):
     assert secrets.secret_digest(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(5, "a"), (5, "token=abcdefghijklmnop"), (3, "a"), (None, "token=abcdefghijklmnop"), (None, "secret=abcdefghijklmnop")]
