@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 #: What counts as white space: Unicode's, and the four separators that Python adds.
 SPACE = r"[\s\x1c-\x1f]"
-#: Short words that carry no evidence; a fixed list.
+#: Short words that carry no evidence; fixed values.
 STOPWORDS = ["a", "an", "and", "are", "for", "from", "how", "is", "of", "or", "the", "to", "what", "which", "who", "with"]
-#: Words joined by - or _, numbers with thousands and decimals, and currency signs.
+#: Fixed value: words joined by - or _, numbers with thousands and decimals, and currency signs.
 BM25_TOKEN = r"(?U)[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*|\d+(?:,\d{3})*(?:\.\d+)?|\$|€|£"
+#: Stated times, amounts and working days; fixed values.
 TIME_REQUIREMENT = r"(?iU)\b(?:within |at least |first )?(\d+\s+(?:minutes?|business days?|working days?))\b|\b(first week)\b"
 THRESHOLD = (
     r"(?iU)\bUSD\s+\d{1,3}(?:,\d{3})*(?:\s+and\s+up\s+to\s+USD\s+\d{1,3}(?:,\d{3})*)?"
@@ -18,6 +19,11 @@ THRESHOLD = (
 )
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value evaluated once: a lambda over an array of one."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
@@ -51,10 +57,19 @@ def slugify(c: Column, default: str = "section") -> Column:
 
 
 def normalize_list(c: Column) -> Column:
-    """Trimmed values without blanks; of those that differ only in case, the first, in order."""
+    """Trimmed values without blanks; of those that differ only in case, the first, in order. Sorted once, so that long lists stay cheap."""
     trimmed = F.filter(F.transform(c, strip), lambda x: x.isNotNull() & (x != ""))
-    seen = lambda xs: F.transform(xs, lambda x: F.lower(x))
-    return F.filter(trimmed, lambda x, i: F.array_position(seen(trimmed), F.lower(x)) == i + 1)
+
+    def first_of_each(xs: Column) -> Column:
+        placed = F.array_sort(F.transform(xs, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+
+        def firsts(ps: Column) -> Column:
+            new = F.filter(ps, lambda p, k: (k == 0) | (F.get(ps, k - 1)["low"] != p["low"]))
+            return F.transform(F.array_sort(F.transform(new, lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x")))), lambda p: p["x"])
+
+        return let(placed, firsts)
+
+    return F.when(c.isNotNull(), let(trimmed, first_of_each))
 
 
 def bm25_tokens(c: Column) -> Column:
@@ -73,7 +88,7 @@ def bm25_tokens(c: Column) -> Column:
         grams = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.concat_ws("__", *[F.get(terms, i + j) for j in range(k)]))).otherwise(F.array().cast("array<string>"))
         return F.concat(terms, grams(2), grams(3))
 
-    return F.element_at(F.transform(F.array(base), with_grams), 1)
+    return let(base, with_grams)
 
 
 def words_only(c: Column) -> Column:
@@ -114,6 +129,19 @@ def evidence_quote(text: Column, hint: Column, limit: int = 500) -> Column:
     return F.substring(F.coalesce(F.get(hit, F.lit(0)), collapse(text)), 1, limit)
 
 
+def evidence_quotes(text: Column, items: Column, hints, limit: int = 500) -> Column:
+    """For each item the quotes of its hints (an array), as evidence_quote gives them; the text is cut into sentences once."""
+
+    def of(cut: Column) -> Column:
+        def quote(hint: Column) -> Column:
+            hit = F.filter(cut, lambda s: F.lower(s).contains(F.lower(hint)) & (hint != ""))
+            return F.substring(F.coalesce(F.get(hit, F.lit(0)), F.array_join(cut, " ")), 1, limit)
+
+        return F.transform(items, lambda e: F.transform(hints(e), quote))
+
+    return let(sentences(text), of)
+
+
 def excerpt(c: Column, limit: int = 1200) -> Column:
     body = strip(c)
     return F.when(F.length(body) <= limit, body).otherwise(F.concat(F.regexp_replace(F.substring(body, 1, limit - 3), rf"(?U){SPACE}+\z", ""), F.lit("...")))

@@ -70,11 +70,20 @@ def resolve_access(requests: DataFrame, personas: DataFrame) -> DataFrame:
 def authorize(chunks: DataFrame, resolved: DataFrame) -> DataFrame:
     """request_id and the chunk columns that each resolved request may see; an empty array lets nothing pass.
 
-    The requests are few and are sent to the chunks' partitions, which no join key could serve better.
+    Requests meet the distinct combinations of attributes, of which there are far fewer than chunks, by
+    access level; the chunks are then joined by their combination. Every request has a list of levels.
     """
+    plain = {n: c for n, c in SCALARS.items() if n not in ("doc_ids", "access_levels")}
+    attributes = [*plain.values(), "access_level", ARRAYS["regions"]]
+    key = F.xxhash64(*attributes)
+    profiles = chunks.select(*attributes).distinct().withColumn("profile", key)
     allowed = resolved.where("error is null").select("request_id", *[c for c in resolved.columns if c.startswith("allowed_")])
-    seen = F.lit(True)
-    for name, column in {n: c for n, c in SCALARS.items() if n != "doc_ids"}.items():
+    allowed = allowed.withColumn("access_level", F.explode(F.array_distinct("allowed_access_levels")))
+    seen = F.col("allowed_regions").isNull() | F.arrays_overlap("allowed_regions", ARRAYS["regions"])
+    for name, column in plain.items():
         seen &= F.col(f"allowed_{name}").isNull() | F.array_contains(f"allowed_{name}", F.col(column))
-    seen &= F.col("allowed_regions").isNull() | F.arrays_overlap("allowed_regions", ARRAYS["regions"])
-    return chunks.join(allowed, seen).select("request_id", *chunks.columns)
+    met = allowed.join(profiles, "access_level").where(seen).select("request_id", "profile", *[F.col(c).alias(f"p_{c}") for c in attributes])
+    same = F.col("profile") == F.col("own_profile")
+    for c in attributes:
+        same &= F.col(c).eqNullSafe(F.col(f"p_{c}"))
+    return chunks.withColumn("own_profile", key).join(met, same).select("request_id", *chunks.columns)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from govdocs.functions.helpers import index_terms
 from govdocs.functions.text import bm25_tokens
 from govdocs.settings import Settings
 
@@ -30,24 +34,43 @@ class Index:
     mean_length: float
 
 
-def postings_of(texts: DataFrame) -> DataFrame:
-    """token, chunk_id, tf, length of texts (chunk_id, indexable); the length counts all terms, n-grams too.
+def counted_terms(texts: DataFrame) -> DataFrame:
+    """token, chunk_id, tf, length of texts (chunk_id, indexable); the length counts all terms, n-grams too. A row without a token says that the chunk is there.
 
-    Each chunk is counted where it is read, so that the exploded rows are its distinct terms.
+    A text is cut into terms once and counted where it is read, so that nothing is shuffled; built-in
+    functions can't count inside a row. `bm25_tokens` gives the same terms.
     """
-    # the length is taken before the terms are exploded, or it would be counted again for each of them
-    held = texts.select("chunk_id", bm25_tokens(F.col("indexable")).alias("terms")).select("chunk_id", F.size("terms").alias("length"), "terms")
-    rows = held.select("chunk_id", "length", F.explode("terms").alias("token"))
-    return rows.groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf"))
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            ids, tokens, counts, lengths = [], [], [], []
+            for chunk, text in zip(p["chunk_id"], p["indexable"]):
+                terms = index_terms(text or "")
+                seen = Counter(terms)
+                tokens += [None, *seen]
+                counts += [0, *seen.values()]
+                ids += [chunk] * (len(seen) + 1)
+                lengths += [len(terms)] * (len(seen) + 1)
+            yield pd.DataFrame({"token": tokens, "chunk_id": ids, "tf": counts, "length": lengths})
 
-def build_index(texts: DataFrame, settings: Settings = Settings(), postings: DataFrame | None = None) -> Index:
-    """The index of texts (chunk_id, indexable). Give stored postings to save the count."""
-    posts = postings_of(texts) if postings is None else postings
-    lengths = texts.select("chunk_id", F.size(bm25_tokens(F.col("indexable"))).alias("length"))
+    return texts.select("chunk_id", "indexable").mapInPandas(run, "token string, chunk_id string, tf long, length int")
+
+
+def postings_of(counted: DataFrame) -> DataFrame:
+    return counted.where("token is not null")
+
+
+def lengths_of(counted: DataFrame) -> DataFrame:
+    return counted.where("token is null").select("chunk_id", "length")
+
+
+def build_index(counted: DataFrame, lengths: DataFrame | None = None, terms: DataFrame | None = None) -> Index:
+    """The index of counted terms, best stored. lengths and terms: parts of it that are stored, too."""
+    posts, lengths = postings_of(counted), lengths_of(counted) if lengths is None else lengths
     total = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     df = F.col("df")
-    terms = posts.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (total.n - df + 0.5) / (df + 0.5)))
+    if terms is None:
+        terms = posts.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (total.n - df + 0.5) / (df + 0.5)))
     return Index(posts, lengths, terms, total.n, total.mean or 1.0)
 
 
@@ -72,30 +95,34 @@ def settled(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.round("score", 9))
 
 
-def normalized(scored: DataFrame, n_filtered: int) -> DataFrame:
-    """Adds normalized: min-max by query over all n_filtered chunks; those without a row count as zero. All equal gives one if above zero."""
-    every = Window.partitionBy("query_id")
-    most = F.max("score").over(every)
-    least = F.when(F.count("*").over(every) < n_filtered, F.lit(0.0)).otherwise(F.min("score").over(every))
-    scored = scored.withColumns({"most": most, "least": least})
+def score_range(scored: DataFrame, n_filtered: int) -> DataFrame:
+    """r_query_id, least, most of each query's scores over all n_filtered chunks; those without a row count as zero."""
+    least = F.when(F.count("*") < n_filtered, F.lit(0.0)).otherwise(F.min("score"))
+    return scored.groupBy(F.col("query_id").alias("r_query_id")).agg(F.max("score").alias("most"), least.alias("least"))
+
+
+def normalized(scored: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Adds normalized: min-max by query (score_range). All equal gives one if above zero."""
+    rows = scored.join(ranges, F.col("query_id") == F.col("r_query_id"))
     same = F.col("most") == F.col("least")
     value = F.when(same, (F.col("most") > 0).cast("double")).otherwise((F.col("score") - F.col("least")) / (F.col("most") - F.col("least")))
-    return scored.withColumn("normalized", value).drop("most", "least")
+    return rows.withColumn("normalized", value).drop("most", "least", "r_query_id")
 
 
 def search(queries: DataFrame, index: Index, k: int, settings: Settings = Settings(), keep: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, raw_score, normalized_score, rank: the k best chunks of each query, by score and chunk_id.
 
     Chunks without a common term have score zero and fill up short results; a query without terms has no
-    rows. To fill k places, the k smallest of the ids that are not among fewer than k matches are enough,
+    rows. Only the best k of a query are ordered and normalised. To fill k places, the k smallest of the ids that are not among fewer than k matches are enough,
     which the 2k smallest ids hold.
     """
     pool = index.chunks if keep is None else index.chunks.join(keep.select("chunk_id"), "chunk_id", "left_semi")
     n_filtered = index.n if keep is None else pool.count()
     fill = [r.chunk_id for r in pool.select("chunk_id").orderBy("chunk_id").limit(2 * k).collect()]  # 2k ids, however large the corpus
-    hits = normalized(settled(scores(queries, index, settings, keep)), n_filtered)
+    hits = settled(scores(queries, index, settings, keep))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+    top = normalized(top, score_range(hits, n_filtered))
     asking = queries.where(F.size(bm25_tokens(F.col("text"))) > 0).select("query_id")
     short = asking.join(top.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
     spare = short.select("query_id", F.explode(F.array(*map(F.lit, fill)) if fill else F.array().cast("array<string>")).alias("chunk_id"))

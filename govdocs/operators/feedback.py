@@ -43,18 +43,24 @@ def top_issues(df: DataFrame, k: int = 5) -> DataFrame:
     return sums.orderBy(F.desc("n"), "first").limit(k).withColumn("rank", F.row_number().over(order)).drop("first")
 
 
-def apply_updates(feedback: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_updates(feedback: DataFrame, updates: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new, changes, errors). updates: feedback_id, set_fields and FIELDS; a field not in set_fields stays, a null in it is set.
 
-    changes: feedback_id and the changed fields in the order set; errors: updates of unknown ids.
+    Several updates of one id act one after another by the column `order` (by their values where none is
+    given): the last that sets a field decides it. changes: feedback_id and the changed fields in the
+    order set; errors: each update of an unknown id.
     """
-    new_values = updates.select("feedback_id", "set_fields", *[F.col(f).alias(f"new_{f}") for f in FIELDS])
-    rows = feedback.join(new_values, "feedback_id", "left")
+    place = F.struct(*([order] if order else []), "set_fields", *FIELDS)
+    steps = updates.select("feedback_id", place.alias("at"), "set_fields", *FIELDS)
+    last = [F.max_by(F.struct(F.col(f).alias("v")), F.when(F.array_contains("set_fields", f), F.col("at"))).alias(f"new_{f}") for f in FIELDS]
+    fields = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["set_fields"])))  # the updates of one record
+    folded = steps.groupBy("feedback_id").agg(*last, fields.alias("set_fields"))
+    rows = feedback.join(folded, "feedback_id", "left")
     touched = lambda f: F.coalesce(F.array_contains("set_fields", f), F.lit(False))
-    differs = lambda f: touched(f) & ~F.col(f"new_{f}").eqNullSafe(F.col(f))
+    differs = lambda f: touched(f) & ~F.col(f"new_{f}.v").eqNullSafe(F.col(f))
     changed = F.filter("set_fields", lambda s: F.coalesce(F.element_at(F.create_map(*[x for f in FIELDS for x in (F.lit(f), differs(f))]), s), F.lit(False)))
     rows = rows.withColumn("changed", changed)
-    out = rows.select(*[F.when(touched(c), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in FIELDS else F.col(c) for c in feedback.columns])
+    out = rows.select(*[F.when(touched(c), F.col(f"new_{c}.v")).otherwise(F.col(c)).alias(c) if c in FIELDS else F.col(c) for c in feedback.columns])
     changes = rows.where(F.size("changed") > 0).select("feedback_id", F.col("changed").alias("changed_fields"))
     errors = updates.join(feedback.select("feedback_id"), "feedback_id", "left_anti").select("feedback_id", F.lit("INVALID_REQUEST").alias("error_code"))
     return out, changes, errors

@@ -2,12 +2,15 @@
 
 Rule tables: entity_rules (ordinal, label, type, aliases); relation_rules (source_label and source_type,
 null for the document; target_label, null for any; target_type; phrases; relation; hint, null for the
-target's label). They are small and broadcast by Spark; all texts stay where they are.
+target's label). Nodes and edges are made without texts; the quotes of the edges that are left in the end
+are taken in one pass over the chunks. Which documents and chunks a node comes from is a table of its own.
 """
 
 from __future__ import annotations
 
 import functools
+import re
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +20,10 @@ from govdocs.functions import text as X
 from govdocs.settings import DOCUMENT_LEVEL_RELATIONS
 
 NODE = ["node_id", "label", "type"]
+#: Mentions that a node shows at most; fixed by the data model.
 MOST_MENTIONS = 50
+INLINE_ALIASES = 200
+UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
 def node_id(label: Column, kind: Column) -> Column:
@@ -29,6 +35,11 @@ def edge_id(source: Column, relation: Column, target: Column, chunk: Column) ->
     return F.concat_ws(":", F.lit("edge"), X.slugify(relation, "value"), X.short_hash(F.concat_ws("|", source, relation, target, chunk), 12))
 
 
+def pattern_of(alias: str) -> str:
+    """What alias_pattern gives, for a constant."""
+    return "(?i)(?<![A-Za-z0-9])" + re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", alias) + "(?![A-Za-z0-9])"
+
+
 def alias_pattern(alias: Column) -> Column:
     """A regular expression for an alias between other characters than ASCII letters and digits."""
     quoted = F.regexp_replace(alias, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
@@ -36,9 +47,28 @@ def alias_pattern(alias: Column) -> Column:
 
 
 def match_entities(chunks: DataFrame, entity_rules: DataFrame) -> DataFrame:
-    """chunk_id, doc_id, label, type, mention: for each rule the first of its aliases that the chunk's text holds."""
-    rules = F.broadcast(entity_rules.select("label", "type", F.posexplode("aliases").alias("place", "alias")))
-    hits = chunks.select("chunk_id", "doc_id", "text").join(rules, F.regexp_like("text", alias_pattern(F.col("alias"))))
+    """chunk_id, doc_id, label, type, mention: for each rule the first of its aliases that the chunk's text holds.
+
+    Up to INLINE_ALIASES aliases become constant patterns, looked for where the text is read. More are joined
+    by their first run of letters and digits to the runs of the text and then looked for.
+    """
+    rules = entity_rules.select("label", "type", F.posexplode("aliases").alias("place", "alias"))
+    few = rules.limit(INLINE_ALIASES + 1).collect()
+    if len(few) <= INLINE_ALIASES:
+        by_rule: dict[tuple[str, str], list[tuple[int, str]]] = {}
+        for r in few:
+            by_rule.setdefault((r.label, r.type), []).append((r.place, r.alias))
+        held = lambda alias: F.when(F.col("text").rlike(pattern_of(alias)), F.lit(alias))
+        found = [F.struct(F.lit(label).alias("label"), F.lit(kind).alias("type"), F.coalesce(*[held(a) for _, a in sorted(aliases)]).alias("mention")) for (label, kind), aliases in by_rule.items()]
+        if not found:
+            return chunks.select("chunk_id", "doc_id").limit(0).selectExpr("*", "string(null) label", "string(null) type", "string(null) mention")
+        return chunks.select("chunk_id", "doc_id", F.inline(F.filter(F.array(*found), lambda x: x["mention"].isNotNull())))
+    run = F.lower(F.regexp_extract("alias", "[A-Za-z0-9]+", 0))
+    keyed = rules.withColumn("run", run)
+    runs = chunks.select("chunk_id", "doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0)))).alias("run"))
+    hits = runs.join(keyed.where("run <> ''"), "run").where(F.regexp_like("text", alias_pattern(F.col("alias")))).drop("run")
+    signs = keyed.where("run = ''").drop("run")  # aliases without a letter or digit
+    hits = hits.unionByName(chunks.select("chunk_id", "doc_id", "text").join(signs, F.regexp_like("text", alias_pattern(F.col("alias")))))
     return hits.groupBy("chunk_id", "doc_id", "label", "type").agg(F.min_by("alias", "place").alias("mention"))
 
 
@@ -63,7 +93,7 @@ def metadata_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     level = node(F.col("access_level"), lit("AccessLevel"), 1.0)
     regions = F.transform("regions", lambda r: node(r, lit("Region"), 0.9))
     processes = F.transform("related_processes", lambda p: node(p, lit("Process"), 0.9))
-    rows = chunks.select("chunk_id", "doc_id", "text", doc.alias("doc"), F.array(*owners).alias("owners"), level.alias("level"), regions.alias("regions"), processes.alias("processes"))
+    rows = chunks.select("chunk_id", "doc_id", doc.alias("doc"), F.array(*owners).alias("owners"), level.alias("level"), regions.alias("regions"), processes.alias("processes"))
     nodes = rows.select("chunk_id", "doc_id", F.inline(F.concat(F.array("doc"), "owners", F.array("level"), "regions", "processes")))
     nodes = nodes.select(node_id(F.col("label"), F.col("type")).alias("node_id"), "label", "type", "doc_id", "chunk_id", F.col("label").alias("mention"), "confidence")
     pair = lambda s, r, t: F.struct(s.alias("s"), F.lit(r).alias("relation_type"), t.alias("t"))
@@ -73,21 +103,21 @@ def metadata_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.transform("regions", lambda r: pair(F.col("doc"), "APPLIES_TO", r)),
         F.transform("processes", lambda p: pair(F.col("doc"), "GOVERNS", p)),
     )
-    return nodes, edge_rows(rows.select("chunk_id", "doc_id", "text", F.inline(edges)), F.col("t.label"))
+    return nodes, edge_rows(rows.select("chunk_id", "doc_id", F.inline(edges)), F.col("t.label"))
 
 
 def edge_rows(rows: DataFrame, hint: Column, confidence: float = 0.85) -> DataFrame:
-    """Edges of rows (chunk_id, doc_id, text, s and t with label and type, relation_type); the quote is the hint's sentence. No self-edges."""
+    """Edges of rows (chunk_id, doc_id, s and t with label and type, relation_type), with the hint of their quote. No self-edges."""
     source, target = (node_id(F.col(f"{x}.label"), F.col(f"{x}.type")) for x in ("s", "t"))
     rows = rows.withColumns({"source_node_id": source, "target_node_id": target}).where("source_node_id <> target_node_id")
     ident = edge_id(F.col("source_node_id"), F.col("relation_type"), F.col("target_node_id"), F.col("chunk_id"))
-    quote = X.evidence_quote(F.col("text"), hint)
-    return rows.select(ident.alias("edge_id"), "source_node_id", "target_node_id", "relation_type", F.col("doc_id").alias("source_doc_id"), F.col("chunk_id").alias("source_chunk_id"), quote.alias("evidence_quote"), F.lit(confidence).alias("confidence"))
+    return rows.select(ident.alias("edge_id"), "source_node_id", "target_node_id", "relation_type", F.col("doc_id").alias("source_doc_id"), F.col("chunk_id").alias("source_chunk_id"), hint.alias("hint"), F.lit(confidence).alias("confidence"))
 
 
 def with_documents(matches: DataFrame, chunks: DataFrame) -> DataFrame:
+    """matches with s, the document's node; titles are joined, not texts."""
     title, kind = document_node(F.col("policy_type"), F.col("title"))
-    own = chunks.select(F.col("chunk_id").alias("c_id"), "text", F.struct(title.alias("label"), kind.alias("type")).alias("s"))
+    own = chunks.select(F.col("chunk_id").alias("c_id"), F.struct(title.alias("label"), kind.alias("type")).alias("s"))
     return matches.join(own, F.col("chunk_id") == F.col("c_id")).drop("c_id")
 
 
@@ -98,13 +128,21 @@ def content_edges(matches: DataFrame, chunks: DataFrame) -> DataFrame:
     return edge_rows(rows, F.col("mention"))
 
 
+def said_phrases(chunks: DataFrame, relation_rules: DataFrame) -> DataFrame:
+    """chunk_id, phrases: which of the rules' phrases (in lower case) the chunk's text holds; chunks with none are left out."""
+    phrases = [r.p for r in relation_rules.select(F.explode("phrases").alias("p")).select(F.lower("p").alias("p")).distinct().collect()]  # rules, not data
+    low = F.lower(F.col("text"))
+    held = F.array_compact(F.array(*[F.when(low.contains(p), F.lit(p)) for p in sorted(phrases)])) if phrases else F.array().cast("array<string>")
+    return chunks.select(F.col("chunk_id").alias("p_id"), held.alias("said")).where(F.size("said") > 0)
+
+
 def relation_edges(matches: DataFrame, chunks: DataFrame, relation_rules: DataFrame) -> DataFrame:
     """Edges where a rule's target (and source, unless it is the document) is matched in a chunk that holds one of its phrases; no phrases: always."""
-    r = F.broadcast(relation_rules)
-    said = F.coalesce(F.size("phrases") == 0, F.lit(True)) | F.exists("phrases", lambda p: F.lower(F.col("text")).contains(F.lower(p)))
-    to = (F.col("type") == F.col("target_type")) & (F.col("target_label").isNull() | (F.col("label") == F.col("target_label")))
-    rows = with_documents(matches, chunks).join(r, to & said)
-    pick = ["chunk_id", "doc_id", "text", "s", F.struct("label", "type").alias("t"), F.col("relation").alias("relation_type"), F.coalesce("hint", "label").alias("hint")]
+    r = relation_rules.withColumn("phrases", F.transform("phrases", F.lower))
+    rows = with_documents(matches, chunks).join(r, (F.col("type") == F.col("target_type")) & (F.col("target_label").isNull() | (F.col("label") == F.col("target_label"))))
+    rows = rows.join(said_phrases(chunks, relation_rules), F.col("chunk_id") == F.col("p_id"), "left")
+    rows = rows.where(F.coalesce(F.size("phrases") == 0, F.lit(True)) | F.coalesce(F.arrays_overlap("phrases", "said"), F.lit(False)))
+    pick = ["chunk_id", "doc_id", "s", F.struct("label", "type").alias("t"), F.col("relation").alias("relation_type"), F.coalesce("hint", "label").alias("hint")]
     from_document = rows.where("source_label is null").select(*pick)
     origin = matches.select(F.col("chunk_id").alias("o_id"), F.struct("label", "type").alias("o"))
     between = rows.where("source_label is not null").join(origin, (F.col("chunk_id") == F.col("o_id")) & (F.col("o.label") == F.col("source_label")) & (F.col("o.type") == F.col("source_type")))
@@ -112,51 +150,71 @@ def relation_edges(matches: DataFrame, chunks: DataFrame, relation_rules: DataFr
     return edge_rows(from_document.unionByName(between), F.col("hint"))
 
 
-def merge_nodes(nodes: DataFrame, most: int = MOST_MENTIONS) -> DataFrame:
-    """One row a node: label and type of its first occurrence, sorted sources and mentions (at most `most`, with true counts), highest confidence.
+def merge_nodes(nodes: DataFrame, most: int = MOST_MENTIONS) -> tuple[DataFrame, DataFrame]:
+    """(nodes, sources). nodes: label and type of the first occurrence, sorted mentions (`most` at most), highest confidence, how many documents and chunks; sources: node_id, doc_id, chunk_id, each once, however many.
 
-    Occurrences are first made distinct, so that a hub's rows meet already reduced.
+    Occurrences are first made distinct, so that a hub's rows meet already reduced, and counted by document
+    before they meet by node.
     """
     rows = nodes.groupBy("node_id", "label", "type", "doc_id", "chunk_id", "mention").agg(F.max("confidence").alias("confidence"))
+    sources = rows.select("node_id", "doc_id", "chunk_id").distinct()
+    counts = sources.groupBy("node_id", "doc_id").agg(F.count("*").alias("n")).groupBy("node_id").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chunks"))
     first = F.struct("doc_id", "chunk_id", "label")
-    few = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, most)
-    return rows.groupBy("node_id").agg(
-        F.min_by("label", first).alias("label"),
-        F.min_by("type", first).alias("type"),
-        few("doc_id").alias("source_doc_ids"),
-        few("chunk_id").alias("source_chunk_ids"),
-        few("mention").alias("mentions"),
-        F.max("confidence").alias("confidence"),
-        F.count_distinct("doc_id").alias("n_docs"),
-        F.count_distinct("chunk_id").alias("n_chunks"),
-    )
+    heads = rows.groupBy("node_id").agg(F.min_by("label", first).alias("label"), F.min_by("type", first).alias("type"), F.max("confidence").alias("confidence"))
+    # a node's mentions differ by alias or case alone, so that the set is small
+    mentions = rows.groupBy("node_id", "mention").agg(F.lit(1)).groupBy("node_id").agg(F.slice(F.array_sort(F.collect_list("mention")), 1, most).alias("mentions"))
+    return heads.join(mentions, "node_id").join(counts, "node_id").select("node_id", "label", "type", "mentions", "confidence", "n_docs", "n_chunks"), sources
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """Edges without mentions beside a stronger relation of the same pair and document; document-level relations once a document, others once an id."""
+    """Edges without mentions beside a stronger relation of the same pair and document; document-level relations once a document, others once an id. hints: those of equal edges."""
     pair = ["source_node_id", "target_node_id", "source_doc_id"]
     weak = F.col("relation_type") == "MENTIONS"
     strong = edges.where(~weak).select(*pair).distinct()
     kept = edges.where(~weak).unionByName(edges.where(weak).join(strong, pair, "left_anti").select(*edges.columns))
     whole = F.col("relation_type").isin(DOCUMENT_LEVEL_RELATIONS)
     key = F.when(whole, F.concat_ws("|", F.lit("document"), "source_node_id", "relation_type", "target_node_id", "source_doc_id")).otherwise(F.col("edge_id"))
-    order = Window.partitionBy("key").orderBy("source_doc_id", "source_chunk_id", "relation_type", "source_node_id", "target_node_id", "edge_id", "evidence_quote")
-    return kept.withColumn("key", key).withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "key")
+    order = ["source_doc_id", "source_chunk_id", "relation_type", "source_node_id", "target_node_id", "edge_id"]
+    one = kept.withColumn("key", key).groupBy("key", *order).agg(F.max("confidence").alias("confidence"), F.collect_set("hint").alias("hints"))
+    return one.groupBy("key").agg(F.min(F.struct(*order, "confidence", "hints")).alias("e")).select("e.*")
+
+
+def quoted(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """edges with their quotes: a chunk's edges meet its text once, which is cut into sentences once."""
+    own = [c for c in edges.columns if c != "source_chunk_id"]
+    by_chunk = edges.groupBy("source_chunk_id").agg(F.collect_list(F.struct(*own)).alias("edges"))  # what one chunk mentions
+    rows = by_chunk.join(chunks.select(F.col("chunk_id").alias("source_chunk_id"), "text"), "source_chunk_id")
+    quotes = X.evidence_quotes(F.col("text"), F.col("edges"), lambda e: e["hints"])
+    rows = rows.select("source_chunk_id", F.inline(F.arrays_zip(F.col("edges").alias("e"), quotes.alias("q"))))
+    return rows.select("e.edge_id", "e.source_node_id", "e.target_node_id", "e.relation_type", "e.source_doc_id", "source_chunk_id", F.array_min("q").alias("evidence_quote"), "e.confidence")
+
+
+def with_quotes(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Edges that are not merged, each with the quote of its own hint."""
+    return quoted(edges.withColumn("hints", F.array("hint")).drop("hint"), chunks)
+
+
+def matches_of(chunks: DataFrame, entity_rules: DataFrame) -> DataFrame:
+    """chunk_id, doc_id, label, type, mention of all that the texts mention or state."""
+    return match_entities(chunks, entity_rules).unionByName(stated_values(chunks))
 
 
-def build_graph(chunks: DataFrame, entity_rules: DataFrame, relation_rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a chunk table."""
-    matches = match_entities(chunks, entity_rules).unionByName(stated_values(chunks))
+def build_graph(chunks: DataFrame, matches: DataFrame, relation_rules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, sources, edges) of a chunk table and its matches (best stored: several parts read them)."""
     meta_nodes, meta_edges = metadata_graph(chunks)
     found = matches.select(node_id(F.col("label"), F.col("type")).alias("node_id"), "label", "type", "doc_id", "chunk_id", "mention", F.lit(0.9).alias("confidence"))
     edges = meta_edges.unionByName(content_edges(matches, chunks)).unionByName(relation_edges(matches, chunks, relation_rules))
-    return merge_nodes(meta_nodes.unionByName(found)), merge_edges(edges)
+    nodes, sources = merge_nodes(meta_nodes.unionByName(found))
+    return nodes, sources, quoted(merge_edges(edges), chunks)
 
 
-def list_nodes(nodes: DataFrame, kind: str | None = None, label: str | None = None, source_doc_id: str | None = None) -> DataFrame:
-    source = F.lit(True) if source_doc_id is None else F.array_contains("source_doc_ids", source_doc_id)
+def list_nodes(nodes: DataFrame, kind: str | None = None, label: str | None = None, source_doc_id: str | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Nodes that match, by node_id; source_doc_id is looked up in sources (node_id, doc_id), whole however large a node is."""
     same = F.lit(True) if kind is None else F.col("type") == kind
-    return nodes.where(same & X.text_match(F.col("label"), label, contains=True) & source).orderBy("node_id")
+    found = nodes.where(same & X.text_match(F.col("label"), label, contains=True))
+    if source_doc_id is not None:
+        found = found.join(sources.where(F.col("doc_id") == source_doc_id).select("node_id"), "node_id", "left_semi")
+    return found.orderBy("node_id")
 
 
 def list_edges(edges: DataFrame, relation: str | None = None, source_doc_id: str | None = None, source: str | None = None, target: str | None = None) -> DataFrame:
@@ -184,8 +242,8 @@ def neighborhoods(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: i
     return near, induced, errors
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def graph_stats(nodes: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, relation types and source documents."""
-    docs = edges.select("source_doc_id").unionByName(nodes.select(F.explode("source_doc_ids").alias("source_doc_id"))).agg(F.count_distinct("source_doc_id").alias("n_documents"))
+    docs = edges.select(F.col("source_doc_id").alias("doc_id")).unionByName(sources.select("doc_id")).agg(F.count_distinct("doc_id").alias("n_documents"))
     row = edges.agg(F.count("*").alias("n_edges"), F.count_distinct("relation_type").alias("n_relations"), F.count_distinct("source_chunk_id").alias("n_chunks"))
     return nodes.agg(F.count("*").alias("n_nodes")).join(row, how="cross").join(docs, how="cross")  # one row each

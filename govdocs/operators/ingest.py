@@ -107,12 +107,10 @@ def chunks(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The chunk table: every column of docs but content, and the chunk's own. chunk_index counts over the document."""
     parsed = parsed_sections(F.col("content"), settings)
     at = docs.withColumn("s", parsed)
-    # chunks before each section give the index over the document, without a window
-    before = F.transform("s", lambda _, i: F.aggregate(F.slice("s", F.lit(1), i), F.lit(0), lambda a, x: a + F.size(x["spans"])))
-    at = at.select(*docs.columns, F.posexplode(F.arrays_zip(F.col("s").alias("s"), before.alias("before"))).alias("k", "z"))
-    path = X.short_hash(F.array_join("z.s.section_path", " > "))
-    prefix = F.concat_ws(":", F.lit("chk"), "doc_id", X.slugify(F.col("z.s.title")), F.lpad(F.col("z.s.heading_occurrence").cast("string"), 2, "0"), path)
-    at = at.select(*docs.columns, F.col("z.s.title").alias("z_title"), "z.s.section_path", "z.s.heading_occurrence", path.alias("section_path_hash"), prefix.alias("prefix"), "z.before", F.posexplode("z.s.spans").alias("local", "span"))
+    at = at.select(*docs.columns, F.posexplode("s").alias("k", "z"))
+    path = X.short_hash(F.array_join("z.section_path", " > "))
+    prefix = F.concat_ws(":", F.lit("chk"), "doc_id", X.slugify(F.col("z.title")), F.lpad(F.col("z.heading_occurrence").cast("string"), 2, "0"), path)
+    at = at.select(*docs.columns, F.col("z.title").alias("z_title"), "z.section_path", "z.heading_occurrence", path.alias("section_path_hash"), prefix.alias("prefix"), "z.before", F.posexplode("z.spans").alias("local", "span"))
     text = F.expr("substring(content, span.start + 1, span.stop - span.start)")
     out = at.withColumn("chunk_text", text)
     own = [c for c in docs.columns if c not in ("content", "doc_id")]
@@ -151,7 +149,12 @@ def classify_ingest(parsed: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def upsert_documents(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old with the rows of new by doc_id; ingested_at stays where the hash did not change."""
+    """old with the rows of new by doc_id; ingested_at stays where the hash did not change.
+
+    Of rows of new that repeat a doc_id the one ingested last counts, then that with the greatest hash.
+    """
+    latest = Window.partitionBy("doc_id").orderBy(F.desc("ingested_at"), F.desc("content_sha256"))
+    new = new.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
     before = old.select("doc_id", F.col("content_sha256").alias("old_sha"), F.col("ingested_at").alias("old_at"))
     merged = new.join(before, "doc_id", "left")
     at = F.when(F.col("old_sha") == F.col("content_sha256"), F.col("old_at")).otherwise(F.col("ingested_at"))

@@ -120,7 +120,8 @@ PARTS = {
     "bmall": "SELECT query_id, chunk_id, coalesce(round(score, 9), 0.0) AS score, score IS NOT NULL AS hit FROM (SELECT DISTINCT query_id FROM qt) CROSS JOIN (SELECT chunk_id FROM chunks) LEFT JOIN bm USING (query_id, chunk_id)",
     "bmn": "SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN (max(score) OVER w > 0)::INT::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bmall WINDOW w AS (PARTITION BY query_id)",
     "qv": "SELECT item_id AS query_id, embedding AS qe FROM benchmark JOIN embeddings ON item_id = vec_id",
-    "vs": "SELECT query_id, chunk_id, round(list_cosine_similarity(qe::DOUBLE[], embedding::DOUBLE[]), 12) AS cosine FROM qv CROSS JOIN chunks JOIN embeddings ON n = vec_id",
+    "vs0": "SELECT query_id, vec_id, round(list_cosine_similarity(qe::DOUBLE[], embedding::DOUBLE[]), 12) AS cosine FROM qv CROSS JOIN embeddings",
+    "vs": "SELECT query_id, chunk_id, cosine FROM vs0 JOIN chunks ON n % (SELECT count(*) FROM embeddings) = vec_id",
     "vn": "SELECT *, greatest(0.0, least(1.0, cosine)) AS norm, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS rank FROM vs",
     "hy0": "SELECT query_id, chunk_id, b.norm AS bm25_score, v.norm AS vector_score FROM (SELECT * FROM bmn WHERE rank <= 20) b FULL JOIN (SELECT * FROM vn WHERE rank <= 20) v USING (query_id, chunk_id)",
     "hy1": "SELECT *, greatest(0.0, least(1.0, 0.55 * coalesce(vector_score, 0) + 0.35 * coalesce(bm25_score, 0) + 0.05 * 0.0 + 0.05 * 1.0)) AS hybrid_score FROM hy0",
@@ -153,7 +154,7 @@ PARTS = {
       UNION ALL SELECT tl, tt, doc_id, chunk_id, tl, CASE WHEN tt IN ('Policy', 'SOP', 'AccessLevel') THEN 1.0 ELSE 0.9 END FROM meta_pairs
       UNION ALL SELECT label, type, doc_id, chunk_id, mention, 0.9 FROM matches""",
     "nodes1": f"SELECT *, {node_id('label', 'type')} AS node_id FROM nodes0",
-    "nodes": """SELECT node_id, arg_min(label, (doc_id, chunk_id, label)) AS label, arg_min(type, (doc_id, chunk_id, label)) AS type, list_sort(list(DISTINCT doc_id))[1:50] AS source_doc_ids, list_sort(list(DISTINCT chunk_id))[1:50] AS source_chunk_ids,
+    "nodes": """SELECT node_id, arg_min(label, (doc_id, chunk_id, label)) AS label, arg_min(type, (doc_id, chunk_id, label)) AS type, list_sort(list(DISTINCT doc_id)) AS source_doc_ids,
       list_sort(list(DISTINCT mention))[1:50] AS mentions, max(confidence)::DOUBLE AS confidence, count(DISTINCT doc_id) AS n_docs, count(DISTINCT chunk_id) AS n_chunks FROM nodes1 GROUP BY node_id""",
     # trade
     "tn": "SELECT 'region:' || r_regionkey AS node_id FROM region UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier UNION ALL SELECT 'customer:' || c_custkey FROM customer",
@@ -173,7 +174,6 @@ PARTS = {
     "routes": """SELECT query_id, text, intent, route, confidence::DOUBLE AS confidence, ir = 1 AS include_retrieval, graph = 'always' OR (graph = 'asked' AND ig) AS include_graph, graph_depth, refusal_reason, ga AS generate_answer,
       CASE WHEN intent = 'policy_lookup' AND len(pt) = 0 THEN ['policy'] ELSE pt END AS policy_types FROM intents JOIN table_ USING (intent)""",
     "ev": "SELECT * FROM cites WHERE query_id IN (SELECT query_id FROM routes WHERE include_retrieval)",
-    "ev": "SELECT * FROM cites WHERE query_id IN (SELECT query_id FROM routes WHERE include_retrieval)",
     "ranks": "SELECT query_id, doc_id, min(rank) AS doc_rank FROM ev GROUP BY ALL",
     "aq": f"SELECT item_id AS query_id, {words_only('text')} AS normal, list_distinct({evidence_tokens('text')}) AS tokens FROM benchmark",
     "tt": "SELECT * FROM (" + rows_of(demo.TYPE_TERMS) + ") r(type, term)",
@@ -203,14 +203,32 @@ PARTS = {
       FROM cand_n c JOIN labels_ l USING (node_id) JOIN aq ON aq.query_id = c.query_id LEFT JOIN implied i ON i.query_id = c.query_id AND i.type = l.type LEFT JOIN qdocs q ON q.query_id = c.query_id) QUALIFY rank <= 30""",
     "items": "SELECT query_id, list(citation_id ORDER BY rank) AS citations, string_agg(title || ' ' || section_title || ' ' || quote || ' ' || quote, ' ' ORDER BY rank) AS etext, max(hybrid_score) > 0 AS scored FROM ev GROUP BY query_id",
     "eq": "SELECT query_id, list_sort(list(DISTINCT relation_type)) AS relation_types, count(*) AS n_edges, string_agg(DISTINCT evidence_quote, ' ') AS quotes FROM re_ GROUP BY query_id",
-    "packs": """SELECT r.*, CASE WHEN refusal_reason IS NOT NULL THEN 'refused' ELSE 'evidence_ready' END AS status, CASE WHEN refusal_reason IS NULL THEN citations END AS citations, CASE WHEN refusal_reason IS NULL THEN etext END AS etext, coalesce(scored, false) AND refusal_reason IS NULL AS scored,
+    "ml": "SELECT query_id, list(label ORDER BY rank) AS ml FROM mn JOIN nodes USING (node_id) GROUP BY query_id",
+    "nl": "SELECT query_id, list(label ORDER BY rank) AS nl FROM rn JOIN nodes USING (node_id) GROUP BY query_id",
+    "packs": """SELECT r.*, CASE WHEN refusal_reason IS NULL THEN coalesce(ml, []) ELSE [] END AS ml, CASE WHEN refusal_reason IS NULL THEN coalesce(nl, []) ELSE [] END AS nl,
+      CASE WHEN refusal_reason IS NOT NULL THEN 'refused' WHEN include_graph AND query_id % 7 = 0 THEN 'degraded' ELSE 'evidence_ready' END AS status, CASE WHEN refusal_reason IS NULL THEN citations END AS citations, CASE WHEN refusal_reason IS NULL THEN etext END AS etext, coalesce(scored, false) AND refusal_reason IS NULL AS scored,
       CASE WHEN refusal_reason IS NULL THEN relation_types END AS relation_types, CASE WHEN refusal_reason IS NULL THEN coalesce(n_edges, 0) ELSE 0 END AS n_edges, quotes,
-      CASE WHEN refusal_reason IS NOT NULL THEN refusal_reason ELSE concat_ws(',', CASE WHEN include_retrieval AND citations IS NULL THEN 'no_retrieval_evidence' END, CASE WHEN include_graph AND n_edges IS NULL THEN 'no_graph_evidence' END) END AS limitations
-      FROM routes r LEFT JOIN items USING (query_id) LEFT JOIN eq USING (query_id)""",
-    "suff": f"""SELECT *, list_sort(list_filter(list_distinct({answer_tokens('text')}), lambda t: NOT list_contains({listed(demo.GENERIC_TERMS)}, t) AND NOT list_contains({answer_tokens("concat_ws(' ', etext, quotes)")}, t)))[1:5] AS missing FROM packs""",
+      CASE WHEN refusal_reason IS NOT NULL THEN refusal_reason ELSE concat_ws(',', CASE WHEN include_graph AND query_id % 7 = 0 THEN 'graph_unavailable' END, CASE WHEN include_retrieval AND citations IS NULL THEN 'no_retrieval_evidence' END, CASE WHEN include_graph AND n_edges IS NULL THEN 'no_graph_evidence' END) END AS limitations
+      FROM routes r LEFT JOIN items USING (query_id) LEFT JOIN eq USING (query_id) LEFT JOIN ml USING (query_id) LEFT JOIN nl USING (query_id)""",
+    "suff": f"""SELECT *, list_sort(list_filter(list_distinct({answer_tokens('text')}), lambda t: NOT list_contains({listed(demo.GENERIC_TERMS)}, t) AND NOT list_contains({answer_tokens("concat_ws(' ', etext, array_to_string(ml || nl, ' '), quotes)")}, t)))[1:5] AS missing FROM packs""",
     "facts": f"SELECT query_id, rank, citation_id, title, list_filter({sentences('quote')}, lambda s: length(s) >= 20)[1] AS s FROM ev WHERE rank <= 2",
     "extract": r"SELECT query_id, nullif(string_agg(regexp_replace(s, '[.!?]+$', '') || ' [' || citation_id || '].', ' ' ORDER BY rank), '') AS answer, string_agg(citation_id, ',' ORDER BY rank) AS ac, string_agg(citation_id, ', ' ORDER BY rank) AS acs FROM facts GROUP BY query_id",
     "titles": "SELECT query_id, array_to_string(list_sort(list(DISTINCT title)), ', ') AS titles FROM facts GROUP BY query_id",
+    "arules": "SELECT * FROM (" + rows_of(demo.ANSWER_RULES) + ") r(rule_id, intent, ordinal, relation, target, fragment, phrase, template)",
+    "asks": "SELECT query_id, a.* FROM packs JOIN arules a USING (intent) WHERE citations IS NOT NULL",
+    "afirst": "SELECT query_id, citation_id FROM ev WHERE true QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1",
+    "aown": "SELECT query_id, chunk_id, arg_min(citation_id, rank) AS own_cit FROM ev GROUP BY ALL",
+    "adoc": "SELECT query_id, doc_id, arg_min(citation_id, rank) AS doc_cit FROM ev GROUP BY ALL",
+    "aedge": """SELECT a.query_id, rule_id, target_label, coalesce(own_cit, doc_cit, f.citation_id) AS edge_cit
+      FROM asks a JOIN re_ r ON r.query_id = a.query_id AND r.relation_type = a.relation AND (a.target IS NULL OR a.target = r.target_type) JOIN afirst f ON f.query_id = a.query_id
+      LEFT JOIN aown o ON o.query_id = a.query_id AND o.chunk_id = r.source_chunk_id LEFT JOIN adoc d ON d.query_id = a.query_id AND d.doc_id = r.source_doc_id QUALIFY row_number() OVER (PARTITION BY a.query_id, rule_id ORDER BY r.rank) = 1""",
+    "achunk": "SELECT a.query_id, rule_id, citation_id AS chunk_cit FROM asks a JOIN ev ON ev.query_id = a.query_id AND (fragment IS NULL OR contains(chunk_id, fragment)) AND (phrase IS NULL OR contains(lower(quote), lower(phrase))) WHERE fragment IS NOT NULL OR phrase IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a.query_id, rule_id ORDER BY rank) = 1",
+    "ruled": """SELECT a.query_id, a.rule_id, replace(replace(template, '{label}', coalesce(target_label, '')), '{cit}', coalesce(edge_cit, chunk_cit, f.citation_id)) AS answer,
+      list_filter([edge_cit, chunk_cit, coalesce(edge_cit, chunk_cit, f.citation_id)], lambda x, i: x IS NOT NULL AND list_position([edge_cit, chunk_cit, coalesce(edge_cit, chunk_cit, f.citation_id)], x) = i)[1:3] AS cits
+      FROM asks a JOIN afirst f ON f.query_id = a.query_id LEFT JOIN aedge e ON e.query_id = a.query_id AND e.rule_id = a.rule_id LEFT JOIN achunk c ON c.query_id = a.query_id AND c.rule_id = a.rule_id
+      WHERE (relation IS NULL OR edge_cit IS NOT NULL) AND (fragment IS NULL AND phrase IS NULL OR chunk_cit IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY a.query_id ORDER BY ordinal, a.rule_id) = 1""",
+    "said": """SELECT query_id, coalesce(r.answer, x.answer) AS answer, coalesce(r.cits, string_split(x.ac, ',')) AS cits FROM (SELECT DISTINCT query_id FROM ev) LEFT JOIN ruled r USING (query_id) LEFT JOIN extract x USING (query_id)""",
+    "stitles": "SELECT s.query_id, array_to_string(list_sort(list(DISTINCT title)), ', ') AS titles FROM said s JOIN ev ON ev.query_id = s.query_id AND list_contains(cits, citation_id) GROUP BY s.query_id",
     # evaluation
     "ev0": f"""SELECT doc_id AS n, CASE WHEN doc_id % 4 = 0 THEN 'holdout' ELSE 'core' END AS split, CASE WHEN quality = 1 THEN 'fact_lookup' ELSE ['out_of_scope', 'unsupported'][doc_id % 2 + 1] END AS expected_intent,
       CASE WHEN toxic = 0 THEN 'fact_lookup' ELSE 'out_of_scope' END AS intent, CASE WHEN doc_id % 10 = 0 THEN 'graph' ELSE 'hybrid' END AS route, CASE WHEN doc_id % 8 = 0 THEN 'degraded' ELSE 'evidence_ready' END AS status,
@@ -229,12 +247,16 @@ PARTS["evc"] = """SELECT *, len(failed) = 0 AS passed, CASE WHEN g THEN len(gf)
       || [CASE WHEN NOT g AND answer IS NOT NULL THEN 'unexpected_answer_generated' END, CASE WHEN NOT g AND len(ac) > 0 THEN 'unexpected_answer_citations' END, CASE WHEN NOT rc THEN 'refusal_behavior_incorrect' END], lambda x: x IS NOT NULL) AS failed FROM ev2)"""
 PARTS["fb"] = """SELECT event_id AS feedback_id, event_type AS issue_category, CASE WHEN value < 20 THEN 'negative' WHEN value < 60 THEN 'neutral' ELSE 'positive' END AS user_rating, ['answer', 'citation', 'other'][user_id % 3 + 1] AS feedback_type,
       ['open', 'triaged', 'resolved', 'closed'][user_id % 4 + 1] AS review_status, json_extract_string(props, '$.k') AS reviewer_note, NULL::VARCHAR AS linked_eval_case_id FROM events"""
-PARTS["upd"] = """SELECT CASE WHEN event_id % 49 = 0 THEN event_id + 10000000 ELSE event_id END AS feedback_id, CASE event_id % 3 WHEN 0 THEN ['review_status'] WHEN 1 THEN ['reviewer_note', 'linked_eval_case_id'] ELSE ['review_status', 'reviewer_note'] END AS sf,
-      'resolved' AS ns, CASE WHEN event_id % 2 = 0 THEN 'seen' END AS nn, 'case-' || event_id AS nl FROM events WHERE event_id % 7 = 0"""
-PARTS["fu"] = """SELECT fb.*, sf, list_contains(sf, 'review_status') AND ns IS DISTINCT FROM review_status AS c1, list_contains(sf, 'reviewer_note') AND nn IS DISTINCT FROM reviewer_note AS c2, list_contains(sf, 'linked_eval_case_id') AND nl IS DISTINCT FROM linked_eval_case_id AS c3, ns, nn, nl
-      FROM fb LEFT JOIN upd USING (feedback_id)"""
-PARTS["batch_"] = "SELECT doc_id % 200 AS doc_id, sha256(text) AS sha, lpad(doc_id::VARCHAR, 9, '0') AS path FROM documents"
-PARTS["known"] = "SELECT doc_id % 200 AS doc_id, sha256(text) AS known FROM documents WHERE doc_id % 2 = 0 AND doc_id < 100"
+PARTS["upd"] = f"""SELECT CASE WHEN event_id % 49 = 0 THEN event_id + {demo.NEW} WHEN event_id % 5 = 0 AND event_id > 0 THEN event_id - 1 ELSE event_id END AS feedback_id, event_id AS at_event, CASE event_id % 3 WHEN 0 THEN ['review_status'] WHEN 1 THEN ['reviewer_note', 'linked_eval_case_id'] ELSE ['review_status', 'reviewer_note'] END AS sf,
+      CASE WHEN event_id % 5 = 0 THEN 'closed' ELSE 'resolved' END AS ns, CASE WHEN event_id % 2 = 0 THEN 'seen' END AS nn, 'case-' || event_id AS nl FROM events"""
+PARTS["fold"] = """SELECT feedback_id, bool_or(f = 'review_status') AS h1, bool_or(f = 'reviewer_note') AS h2, bool_or(f = 'linked_eval_case_id') AS h3,
+      arg_max_null(ns, at_event) FILTER (f = 'review_status') AS ns, arg_max_null(nn, at_event) FILTER (f = 'reviewer_note') AS nn, arg_max_null(nl, at_event) FILTER (f = 'linked_eval_case_id') AS nl,
+      min(at_event * 10 + i) FILTER (f = 'review_status') AS p1, min(at_event * 10 + i) FILTER (f = 'reviewer_note') AS p2, min(at_event * 10 + i) FILTER (f = 'linked_eval_case_id') AS p3
+      FROM (SELECT *, unnest(sf) AS f, generate_subscripts(sf, 1) AS i FROM upd) GROUP BY feedback_id"""
+PARTS["fu"] = """SELECT fb.*, coalesce(h1, false) AND ns IS DISTINCT FROM review_status AS c1, coalesce(h2, false) AND nn IS DISTINCT FROM reviewer_note AS c2, coalesce(h3, false) AND nl IS DISTINCT FROM linked_eval_case_id AS c3, ns, nn, nl, p1, p2, p3
+      FROM fb LEFT JOIN fold USING (feedback_id)"""
+PARTS["batch_"] = f"SELECT CASE WHEN doc_id % 5 < 2 THEN doc_id - doc_id % 3 + {demo.NEW} ELSE doc_id - doc_id % 2 END AS doc_id, sha256(text) AS sha, lpad(doc_id::VARCHAR, 9, '0') AS path FROM documents"
+PARTS["known"] = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(sha256(text)) ELSE sha256(text) END AS known FROM documents"
 PARTS["classed"] = """SELECT path, doc_id, CASE WHEN known IS NULL AND row_number() OVER w = 1 THEN 'ingested' WHEN sha = coalesce(known, first_value(sha) OVER w) THEN 'skipped' ELSE 'failed' END AS status FROM batch_ LEFT JOIN known USING (doc_id)
       WINDOW w AS (PARTITION BY doc_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
 PARTS["convs"] = f"SELECT 'conv-' || conv_id AS doc_id, {normal('body')} AS content FROM (SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id)"
@@ -280,7 +302,7 @@ def sql(select: str) -> str:
 
 
 EDGE = "edge_id, source_node_id, target_node_id, relation_type, source_doc_id, source_chunk_id, evidence_quote, confidence"
-NODES = "node_id, label, type, array_to_string(source_doc_ids, ',') AS source_doc_ids, array_to_string(source_chunk_ids, ',') AS source_chunk_ids, array_to_string(mentions, ',') AS mentions, confidence, n_docs, n_chunks"
+NODES = "node_id, label, type, array_to_string(mentions, ',') AS mentions, confidence, n_docs, n_chunks"
 ok_rate = lambda top, bottom: f"round(({top})::DOUBLE / nullif({bottom}, 0), 6)"
 METRICS = f"""count(*) AS total, {ok_rate('count_if(passed)', 'count(*)')} AS pass_rate, {ok_rate('count_if(expected_intent = intent)', 'count(*)')} AS intent_accuracy, {ok_rate("count_if(route = 'hybrid')", 'count(*)')} AS route_accuracy,
   {ok_rate('count_if(hit)', 'count(*)')} AS retrieval_hit_at_k, round(avg(recall), 6) AS retrieval_recall_at_k, {ok_rate('sum(len(list_intersect(ec, gc)))', 'sum(len(ec))')} AS expected_chunk_presence_rate,
@@ -290,19 +312,36 @@ METRICS = f"""count(*) AS total, {ok_rate('count_if(passed)', 'count(*)')} AS pa
   {ok_rate("count_if(eags = 'insufficient_evidence' AND rc)", "count_if(eags = 'insufficient_evidence')")} AS insufficient_evidence_refusal_accuracy, {ok_rate('count_if(r AND fab)', 'count_if(r)')} AS fabricated_answer_rate"""
 BAD = "concat_ws(',', CASE WHEN n % 11 = 0 THEN 'doc_id' END, CASE WHEN n % 7 = 0 THEN 'title' END, CASE WHEN n % 5 = 0 THEN 'regions' END, CASE WHEN n % 13 = 0 THEN 'policy_type' END, CASE WHEN n % 17 = 0 THEN 'source_file' END, CASE WHEN n % 19 = 0 THEN 'dates_reversed' END)"
 
+LOGGED = """SELECT event_id::VARCHAR AS feedback_id, CASE WHEN event_id % 10 = 0 THEN 'json_decode_error' WHEN event_id % 13 = 0 THEN 'validation_error' ELSE '' END AS error_type FROM events"""
+RAW = r"""SELECT doc_id, concat('---', chr(10), 'title: ', chr(39), ' Title ', doc_id, ' ', chr(39), chr(10), 'regions: [en, EN, ', chr(39), ' fr ', chr(39), ']', chr(10), 'effective_date: 2024-01-02', chr(10), CASE WHEN doc_id % 11 = 3 THEN ': [' || chr(10) ELSE '' END, '---', chr(10)) AS head,
+      CASE WHEN doc_id % 11 = 2 THEN ' ' || chr(10) ELSE text END AS body, regexp_replace(CASE WHEN doc_id % 11 = 2 THEN '' ELSE text END, '\s', '', 'g') = '' AS blank FROM documents"""
+
 SELECTS = {
+    "s1_read_raw": f"""SELECT doc_id, CASE WHEN e = '' THEN sha256(content) ELSE '' END AS sha, e AS error_code FROM (SELECT doc_id, content, CASE WHEN doc_id % 10 = 0 THEN 'UNSUPPORTED_FILE_TYPE' WHEN content = '' THEN 'EMPTY_DOCUMENT' ELSE '' END AS e
+      FROM (SELECT doc_id, {normal("CASE WHEN doc_id % 11 = 0 THEN ' ' || chr(10) ELSE text END")} AS content FROM documents))""",
+    "s2_corpus": "SELECT doc_id, length(content)::INT AS n_chars, sha256(content) AS sha FROM docs",
+    "s3_feedback_log": f"SELECT feedback_id, CASE WHEN error_type = '' THEN 'open' ELSE '' END AS review_status, error_type FROM ({LOGGED})",
+    "s4_audit": "SELECT event_id, 'kind,user' AS keys, user_id::VARCHAR AS user FROM events",
+    "s5_cases": "SELECT doc_id::VARCHAR AS case_id, CASE WHEN doc_id % 2 = 0 THEN 'holdout' ELSE 'core' END AS split, CASE WHEN doc_id % 3 = 0 THEN 9 ELSE 5 END AS top_k, quality = 1 AS generate_answer, true AS include_graph FROM labels",
+    "s6_versioned": "SELECT chunk_id, sha256(text) AS text_sha256, 384 AS dims, (SELECT count(*) FROM chunks) AS n_chunks FROM chunks",
+    "s7_report": "SELECT CASE split WHEN 'core' THEN 'run0' ELSE 'run1' END AS run_id, count(*) AS total, round(count_if(passed)::DOUBLE / count(*), 6) AS pass_rate, split = 'holdout' AS is_latest FROM evc GROUP BY split",
+    "n4_front_matter": f"""SELECT doc_id, CASE WHEN doc_id % 11 = 1 THEN -1 ELSE length(head)::INT - 9 END AS yaml_chars, CASE WHEN doc_id % 11 = 1 THEN '' ELSE sha256(body) END AS body_sha,
+      CASE WHEN doc_id % 11 = 1 THEN 'missing_front_matter' WHEN blank THEN 'empty_body' ELSE '' END AS error FROM ({RAW})""",
+    "n5_parse_metadata": f"""SELECT doc_id || '.md' AS path, CASE WHEN bad THEN '' ELSE 'Title ' || doc_id END AS title, CASE WHEN bad THEN '' ELSE 'en,fr' END AS regions, CASE WHEN bad THEN '' ELSE '2024-01-02' END AS effective_date, doc_id || '.md' AS source_file, CASE WHEN doc_id % 11 = 1 THEN '' ELSE sha256(body) END AS content_sha256,
+      CASE WHEN doc_id % 11 = 1 THEN 'missing_front_matter' WHEN blank THEN 'empty_body' WHEN doc_id % 11 = 3 THEN 'yaml_error' ELSE '' END AS errors FROM (SELECT *, doc_id % 11 IN (1, 3) AS bad FROM ({RAW}))""",
     "n1_normalize_text": f"SELECT doc_id, {normal('text')} AS content FROM documents",
     "n2_hashes": "SELECT doc_id, sha256(text) AS sha256, left(sha1(text), 10) AS short, left(sha1(text), 12) AS edge_hash FROM documents",
-    "n3_slugify": f"SELECT page_id, {slug('url')} AS slug, {slug('left(html, 60)', 'value')} AS head_slug FROM pages",
+    "n3_slugify": f"SELECT page_id, {slug('url')} AS slug, {slug('html', 'value')} AS html_slug FROM pages",
     "n6_validate_metadata": f"SELECT n, CASE WHEN e = '' THEN '' ELSE 'INVALID_METADATA' END AS error_code, e AS errors FROM (SELECT n, {BAD} AS e FROM docs)",
-    "n7_normalize_list": f"SELECT doc_id, array_to_string({dedupe('string_split_regex(text, $q$[ ' + chr(92) + 'n]$q$)[1:40]')}, '|') AS words FROM documents",
+    "n7_normalize_list": r"""SELECT doc_id, coalesce(string_agg(v, '|' ORDER BY i), '') AS words FROM documents LEFT JOIN (SELECT doc_id, v, i FROM (SELECT doc_id, regexp_replace(x, '^\s+|\s+$', '', 'g') AS v, i FROM (SELECT doc_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '[ \n]') AS xs FROM documents)))
+      WHERE v <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, lower(v) ORDER BY i) = 1) USING (doc_id) GROUP BY doc_id""",
     "n8_sections": """SELECT 'sec:' || doc_id || ':' || title || ':' || lpad(occ::VARCHAR, 2, '0') || ':' || left(sha1(title), 10) AS section_id, doc_id, title, 2 AS heading_level, occ::INT AS heading_occurrence, title AS path, left(sha1(title), 10) AS section_path_hash, blk AS text, pos::INT AS start_char, (pos + len)::INT AS end_char
       FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, title ORDER BY k) AS occ FROM turns)""",
     "n9_chunks": "SELECT doc_id, chunk_index, token_count, text FROM chunks",
     "n10_chunk_ids": "SELECT chunk_id, doc_id, section_title, section_path_hash, heading_occurrence, related_processes[1] AS related_process, chunk_index, token_count, start_char, (start_char + length(text))::INT AS end_char, sha256(text) AS text_sha256 FROM chunks",
     "n11_classify_ingest": "SELECT path, doc_id, status, CASE WHEN status = 'failed' THEN 'DUPLICATE_DOCUMENT' END AS error_code FROM classed",
-    "n12_upsert": """SELECT doc_id, coalesce(nsha, osha) AS content_sha256, CASE WHEN nsha IS NULL OR nsha = osha THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS ingested_at
-      FROM (SELECT doc_id, sha256(text) AS osha FROM documents WHERE doc_id % 3 > 0) FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN sha256(sha256(text)) ELSE sha256(text) END AS nsha FROM documents WHERE doc_id % 2 = 0) USING (doc_id)""",
+    "n12_upsert": f"""SELECT doc_id, coalesce(nsha, osha) AS content_sha256, CASE WHEN nsha IS NULL OR nsha = osha THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS ingested_at
+      FROM (SELECT doc_id, sha256(text) AS osha FROM documents) FULL JOIN (SELECT doc_id, max(nsha) AS nsha FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id - doc_id % 4 + {demo.NEW} END AS doc_id, CASE WHEN doc_id % 4 = 0 THEN sha256(sha256(text)) ELSE sha256(text) END AS nsha FROM documents) GROUP BY doc_id) USING (doc_id)""",
     "n13_ingest_summary": "SELECT count(*) AS total, count_if(status = 'ingested') AS ingested, count_if(status = 'skipped') AS skipped, count_if(status = 'failed') AS failed, nullif(count_if(status = 'failed'), 0) AS duplicates FROM classed",
     "r1_documents": "SELECT doc_id, any_value(title) AS title, any_value(department) AS department, 1::BIGINT AS section_count, count(*) AS chunk_count FROM chunks WHERE list_contains(regions, 'global') AND policy_type = 'policy' GROUP BY doc_id",
     "r2_chunks": "SELECT chunk_id, doc_id, chunk_index FROM chunks WHERE department = 'src3' AND list_contains(regions, 'en')",
@@ -340,9 +379,10 @@ SELECTS = {
     "g7_quotes": f"SELECT chunk_id, {quote('text', chr(39) + 'THE' + chr(39))} AS quote, {quote('text', chr(39) + 'zzz' + chr(39))} AS whole FROM chunks",
     "g8_ids": "SELECT page_id, " + node_id("url", "'AccessLevel'") + " AS node_id, " + edge_id("url", "'HAS_ACCESS_LEVEL'", "'t'", "'c'") + " AS edge_id FROM pages",
     "g9_nodes": f"SELECT {NODES} FROM nodes",
+    "g9_node_sources": "SELECT DISTINCT node_id, doc_id, chunk_id FROM nodes1",
     "g10_edges": f"SELECT {EDGE} FROM edges",
     "g11_build": "SELECT 'nodes' AS name, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'chunks', count(DISTINCT source_chunk_id) FROM edges",
-    "g12_listings": "SELECT 'node' AS kind, node_id AS id FROM nodes WHERE type = 'Process' AND contains(lower(label), 'process-') UNION ALL SELECT 'edge', edge_id FROM edges WHERE relation_type = 'REQUIRES'",
+    "g12_listings": "SELECT 'node' AS kind, node_id AS id FROM nodes WHERE type = 'Process' AND contains(lower(label), 'process-') UNION ALL SELECT DISTINCT 'source', node_id FROM nodes1 WHERE doc_id = 'doc-0000199' UNION ALL SELECT 'edge', edge_id FROM edges WHERE relation_type = 'REQUIRES'",
     "g13_neighborhoods": """SELECT * FROM (SELECT seed, count(*) AS n_nodes, sum(distance)::BIGINT AS distances, max(node_id) AS last_node FROM near GROUP BY seed)
       JOIN (SELECT x.seed, count(*) AS n_edges, max(edge_id) AS last_edge FROM te JOIN near x ON x.node_id = te.s JOIN near y ON y.node_id = te.t AND x.seed = y.seed GROUP BY x.seed) USING (seed)""",
     "g14_stats": "SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(DISTINCT relation_type) FROM edges) AS n_relations, (SELECT count(DISTINCT source_chunk_id) FROM edges) AS n_chunks, (SELECT count(DISTINCT doc_id) FROM chunks) AS n_documents",
@@ -354,13 +394,14 @@ SELECTS = {
     "q6_candidates": "SELECT * FROM (SELECT query_id, count(*) AS n_nodes, min(node_id) AS first_node FROM cand_n GROUP BY query_id) FULL JOIN (SELECT query_id, count(*) AS n_edges, max(edge_id) AS last_edge FROM cand_e GROUP BY query_id) USING (query_id)",
     "q7_rank_edges": "SELECT query_id, edge_id, round(score, 6)::DOUBLE AS score, rank::INT AS rank FROM re_",
     "q8_rank_nodes": "SELECT query_id, node_id, round(score, 6)::DOUBLE AS score, rank::INT AS rank FROM rn",
-    "q9_packs": "SELECT query_id, status, coalesce(array_to_string(citations, ','), '') AS citations, coalesce(array_to_string(relation_types, ','), '') AS relation_types, n_edges, limitations FROM packs",
+    "q9_packs": "SELECT query_id, status, coalesce(array_to_string(citations, ','), '') AS citations, coalesce(array_to_string(relation_types, ','), '') AS relation_types, n_edges, limitations, array_to_string(ml, ',') AS matched_labels, len(nl)::INT AS n_neighbors FROM packs",
     "q10_sufficiency": "SELECT query_id, array_to_string(missing, ',') AS missing, scored, len(missing) = 0 AND scored AS sufficient FROM suff",
     "q11_extractive": "SELECT query_id, CASE WHEN status <> 'refused' THEN answer END AS answer, CASE WHEN status <> 'refused' AND ac IS NOT NULL THEN ac ELSE '' END AS answer_citations FROM packs LEFT JOIN extract USING (query_id)",
+    "q12_rule_answers": "SELECT query_id, rule_id, answer, array_to_string(cits, ',') AS answer_citations FROM ruled",
     "q13_answers": """SELECT query_id, st AS answer_generation_status, CASE WHEN st = 'refused' THEN refusal_reason WHEN st = 'insufficient_evidence' THEN CASE WHEN citations IS NULL OR suff THEN 'no_citable_evidence' ELSE 'insufficient_evidence' END END AS answer_refusal_reason,
-      CASE WHEN st = 'generated' THEN answer END AS answer, CASE WHEN st = 'generated' THEN ac ELSE '' END AS answer_citations, CASE WHEN st = 'generated' THEN 'citations: ' || acs || '; documents: ' || titles || '; graph edges: ' || n_edges END AS grounding_summary
+      CASE WHEN st = 'generated' THEN answer END AS answer, CASE WHEN st = 'generated' THEN array_to_string(cits, ',') ELSE '' END AS answer_citations, CASE WHEN st = 'generated' THEN 'citations: ' || array_to_string(cits, ', ') || '; documents: ' || titles || '; graph edges: ' || n_edges END AS grounding_summary
       FROM (SELECT *, len(missing) = 0 AND scored AS suff, CASE WHEN NOT generate_answer THEN 'not_requested' WHEN status = 'refused' THEN 'refused' WHEN citations IS NULL OR NOT (len(missing) = 0 AND scored) OR answer IS NULL THEN 'insufficient_evidence' ELSE 'generated' END AS st
-        FROM suff LEFT JOIN extract USING (query_id) LEFT JOIN titles USING (query_id))""",
+        FROM suff LEFT JOIN said USING (query_id) LEFT JOIN stitles USING (query_id))""",
     "e1_checks": "SELECT n AS case_id, array_to_string(failed, '|') AS failed_checks, hit AS retrieval_hit_at_k, round(recall, 6) AS retrieval_recall_at_k, csv AS citation_subset_valid, ecm AS expected_citation_match, gp AS grounding_pass, rc AS refusal_correct, fab AS fabricated_answer, passed FROM evc",
     "e2_metrics": f"SELECT {METRICS} FROM evc",
     "e3_splits": "SELECT s AS split, count(n) AS total, coalesce(count_if(passed), 0) AS passed, count(n) - coalesce(count_if(passed), 0) AS failed, round(count_if(passed)::DOUBLE / nullif(count(n), 0), 6) AS pass_rate FROM (SELECT unnest(['core', 'holdout', 'extra']) AS s) LEFT JOIN evc ON split = s GROUP BY s",
@@ -374,7 +415,7 @@ SELECTS = {
       UNION ALL SELECT 'issue_category', issue_category, count(*) FROM fb GROUP BY ALL UNION ALL SELECT 'review_status', review_status, count(*) FROM fb GROUP BY ALL UNION ALL SELECT 'feedback_type', feedback_type, count(*) FROM fb GROUP BY ALL
       UNION ALL (SELECT 'top' || row_number() OVER (ORDER BY c DESC, f), issue_category, c FROM (SELECT issue_category, count(*) AS c, min(feedback_id) AS f FROM fb GROUP BY ALL) ORDER BY c DESC, f LIMIT 5)""",
     "f3_updates": """SELECT feedback_id, CASE WHEN c1 THEN ns ELSE review_status END AS review_status, CASE WHEN c2 THEN nn ELSE reviewer_note END AS reviewer_note, CASE WHEN c3 THEN nl ELSE linked_eval_case_id END AS linked_eval_case_id,
-      nullif(concat_ws(',', CASE WHEN c1 THEN 'review_status' END, CASE WHEN c2 THEN 'reviewer_note' END, CASE WHEN c3 THEN 'linked_eval_case_id' END), '') AS changed, NULL::VARCHAR AS error FROM fu
+      nullif(array_to_string(list_transform(list_sort(list_filter([CASE WHEN c1 THEN {'p': p1, 'f': 'review_status'} END, CASE WHEN c2 THEN {'p': p2, 'f': 'reviewer_note'} END, CASE WHEN c3 THEN {'p': p3, 'f': 'linked_eval_case_id'} END], lambda x: x IS NOT NULL)), lambda x: x.f), ','), '') AS changed, NULL::VARCHAR AS error FROM fu
       UNION ALL SELECT feedback_id, NULL, NULL, NULL, NULL, 'INVALID_REQUEST' FROM upd WHERE feedback_id NOT IN (SELECT feedback_id FROM fb)""",
     "f4_queue": "SELECT feedback_id, review_status, (SELECT count(*) FROM fb WHERE review_status IN ('open', 'triaged')) AS total FROM fb WHERE review_status IN ('open', 'triaged')",
     "f5_audit": """SELECT feedback_id, 0 AS step, 'feedback_submission' AS event_type, 'feedback_type=' || feedback_type || ',issue_category=' || issue_category || ',user_rating=' || user_rating AS metadata FROM fb
