@@ -41,9 +41,9 @@ class Scratch:
         self.spark, self.top = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
+    def put(self, name: str, df: DataFrame, compression: str = "snappy") -> DataFrame:
         path = f"{self.top}/{name}-{len(self.paths)}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -24,10 +24,11 @@ BITS = 21
 POOLED, OWN = "*", "l:"
 #: Documents that are counted together, and n-grams (of documents) after which a group is closed.
 GROUP_DOCS, GROUP_EVENTS = 4096, 4_000_000
-#: Groups that one task may meet before its sums are handed on; beyond it the shards are split.
-MOST_GROUPS = 4096
+#: About so many groups meet their log probabilities together, in SHARDS tasks by n-gram: what a task holds and what it
+#: hands on for a document depend on neither the corpus nor the cluster.
+SALT_GROUPS, SHARDS = 32, 4
 BLOCK = 1 << 20
-LISTS = "batch long, lang string, g long, docs binary, counts binary, ids array<long>, langs array<string>, sizes array<long>"
+LISTS = "batch long, lang string, g long, n int, first int, docs binary, counts binary, ids array<long>, langs array<string>, sizes array<long>"
 
 
 def trigram_counts(text: str):
@@ -50,7 +51,7 @@ def trigram_counts(text: str):
 
 
 def grouped_lists(docs: DataFrame) -> DataFrame:
-    """LISTS of docs (doc_id, lang, text): for each group of documents one row with their ids, languages and sizes, and one for each language and n-gram with the documents that have it (places in the group, two bytes each) and how often."""
+    """LISTS of docs (doc_id, lang, text): for each group of documents one row with their ids, languages and sizes, and one for each language and n-gram with the documents that have it (n of them: the first place in the group and the steps to the next, and how often each; a byte for each number if they fit)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -60,20 +61,20 @@ def grouped_lists(docs: DataFrame) -> DataFrame:
         ids, langs, sizes, by_lang, events = [], [], [], {}, 0
 
         def close() -> Iterator[pd.DataFrame]:
-            yield pd.DataFrame({"batch": [batch], "lang": [None], "g": [None], "docs": [None], "counts": [None], "ids": [ids], "langs": [langs], "sizes": [sizes]}).astype({"g": "Int64"})
+            none = dict.fromkeys(["lang", "g", "n", "first", "docs", "counts"], [None])
+            yield pd.DataFrame({"batch": [batch], **none, "ids": [ids], "langs": [langs], "sizes": [sizes]}).astype({"g": "Int64", "n": "Int32", "first": "Int32"})
             for lang, held in by_lang.items():
                 codes = np.concatenate([c for _, c, _ in held])
                 order = np.argsort(codes, kind="stable")
-                docs_ = np.repeat([k for k, _, _ in held], [len(c) for _, c, _ in held])[order].astype("<u2")
+                places = np.repeat([k for k, _, _ in held], [len(c) for _, c, _ in held])[order]
                 n = np.concatenate([n for _, _, n in held])[order]
                 g, at = np.unique(codes[order], return_index=True)
-                most = np.maximum.reduceat(n, at)
-                d, c1, c4 = docs_.tobytes(), np.minimum(n, 255).astype("<u1").tobytes(), n.astype("<u4").tobytes()
-                cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(n)], (most < 256).tolist()))
-                rows = {"batch": batch, "lang": lang, "g": g, "docs": [d[2 * a : 2 * b] for a, b, _ in cuts], "counts": [c1[a:b] if small else c4[4 * a : 4 * b] for a, b, small in cuts]}
-                out = pd.DataFrame(rows).assign(ids=None, langs=None, sizes=None).astype({"g": "Int64"})
-                for at_row in range(0, len(out), 20_000):
-                    yield out.iloc[at_row : at_row + 20_000]
+                steps = np.diff(places, prepend=0)
+                steps[at] = 0
+                packed = {"docs": narrow(steps, at, "<u2"), "counts": narrow(n, at, "<u4")}
+                out = pd.DataFrame({"batch": batch, "lang": lang, "g": g, "n": np.diff(at, append=len(n)), "first": places[at], **packed, "ids": None, "langs": None, "sizes": None})
+                for row in range(0, len(out), 20_000):
+                    yield out.iloc[row : row + 20_000]
 
         for p in parts:
             for doc, lang, text in zip(p["doc_id"].astype("Int64"), p["lang"], p["text"]):
@@ -94,14 +95,33 @@ def grouped_lists(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, LISTS)
 
 
+def narrow(numbers, at, wide: str) -> list[bytes]:
+    """The runs of numbers that begin at `at`: a byte each where all of a run fit, else as `wide`."""
+    import numpy as np
+
+    size, fits = int(wide[-1]), np.maximum.reduceat(numbers, at) < 256
+    small, large = np.minimum(numbers, 255).astype("<u1").tobytes(), numbers.astype(wide).tobytes()
+    ends = [*at[1:].tolist(), len(numbers)]
+    return [small[a:b] if ok else large[size * a : size * b] for a, b, ok in zip(at.tolist(), ends, fits.tolist())]
+
+
+def widened(runs: pd.Series, lengths: list[int], wide: str):
+    """What narrow packed, one run after the other."""
+    import numpy as np
+
+    return np.concatenate([np.frombuffer(r, dtype="<u1" if len(r) == n else wide).astype(np.int64) for r, n in zip(runs, lengths)])
+
+
 def unpacked(p: pd.DataFrame):
     """(lengths, places, counts) of the lists of a frame, one after the other."""
     import numpy as np
 
-    places = np.frombuffer(b"".join(p["docs"]), dtype="<u2").astype(np.int64)
-    lengths = p["docs"].map(len).to_numpy() // 2
-    counts = [np.frombuffer(c, dtype="<u1" if len(c) == n else "<u4") for c, n in zip(p["counts"], lengths.tolist())]
-    return lengths, places, np.concatenate(counts).astype(np.int64)
+    lengths = p["n"].to_numpy().astype(np.int64)
+    steps, counts = widened(p["docs"], lengths.tolist(), "<u2"), widened(p["counts"], lengths.tolist(), "<u4")
+    at = np.cumsum(lengths) - lengths
+    steps[at] = 0
+    walked = np.cumsum(steps)
+    return lengths, walked - np.repeat(walked[at] - p["first"].to_numpy().astype(np.int64), lengths), counts
 
 
 def trusted_counts(lists: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -118,7 +138,7 @@ def trusted_counts(lists: DataFrame, trusted: DataFrame) -> DataFrame:
                 n = np.add.reduceat(counts * ok[places], np.cumsum(lengths) - lengths)
                 yield pd.DataFrame({"lang": q["lang"], "g": q["g"], "n": n})[n > 0]
 
-    rows = lists.join(trusted, "batch").select("batch", "lang", "g", "docs", "counts", "marks")
+    rows = lists.join(trusted, "batch").select("batch", "lang", "g", "n", "first", "docs", "counts", "marks")
     return rows.mapInPandas(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
@@ -187,36 +207,31 @@ def log_probabilities(asked: DataFrame, model: dict[str, DataFrame]) -> DataFram
     return out.select("model", "g", F.log(F.coalesce("p3", F.coalesce("b3", one) * p2)).alias("logp"))
 
 
-def summed(joined: DataFrame) -> DataFrame:
-    """batch, place, total: the log probability of each document, from lists with the logp of their n-gram."""
+def summed(lists: DataFrame, logp: DataFrame) -> DataFrame:
+    """batch, place, total: the log probability of each document. lists and logp (salt, shard, model, g, …) meet by salt and shard."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(p: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        sums: dict[int, np.ndarray] = {}
-
-        def hand_on() -> Iterator[pd.DataFrame]:
-            for batch, held in sums.items():
-                place = np.nonzero(held)[0]
-                yield pd.DataFrame({"batch": batch, "place": place, "part": held[place]})
-            sums.clear()
-
-        for p in parts:
-            for batch, q in p.groupby("batch", sort=False):
-                lengths, places, counts = unpacked(q)
-                more = np.bincount(places, weights=counts * np.repeat(q["logp"].to_numpy(), lengths), minlength=GROUP_DOCS)
-                sums[batch] = sums[batch] + more if batch in sums else more
-            if len(sums) > MOST_GROUPS:
-                yield from hand_on()
-        yield from hand_on()
+        if not len(p) or not len(known):
+            return pd.DataFrame({"batch": [], "place": [], "part": []})
+        p = p.merge(known[["model", "g", "logp"]], on=["model", "g"])
+        out = []
+        for batch, q in p.groupby("batch", sort=False):
+            lengths, places, counts = unpacked(q)
+            part = np.bincount(places, weights=counts * np.repeat(q["logp"].to_numpy(), lengths), minlength=GROUP_DOCS)
+            place = np.nonzero(part)[0]
+            out.append(pd.DataFrame({"batch": batch, "place": place, "part": part[place]}))
+        return pd.concat(out)
 
-    rows = joined.select("batch", "docs", "counts", "logp").mapInPandas(run, "batch long, place int, part double")
-    return rows.groupBy("batch", "place").agg(F.sum("part").alias("total"))
+    left = lists.select("salt", "shard", "batch", "model", "g", "n", "first", "docs", "counts")
+    met = left.groupBy("salt", "shard").cogroup(logp.groupBy("salt", "shard")).applyInPandas(run, "batch long, place int, part double")
+    return met.groupBy("batch", "place").agg(F.sum("part").alias("total"))
 
 
 def perplexities(docs: DataFrame, trusted_ids: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity of every row (doc_id, text, lang); null perplexity for empty texts or without trusted text."""
-    lists = scratch.put("lists", grouped_lists(docs))
+    lists = scratch.put("lists", grouped_lists(docs), compression="zstd")
     whole = lists.where("g is null").select("batch", F.posexplode(F.arrays_zip("ids", "langs", "sizes")).alias("place", "d"))
     rows = scratch.put("rows", whole.select("batch", "place", F.col("d.ids").alias("doc_id"), F.col("d.langs").alias("lang"), F.col("d.sizes").alias("n_symbols")))
     lists = lists.where("g is not null")
@@ -229,13 +244,12 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, scratch: Scratch) -> D
     langs = counts.where("lang is not null").select("lang", F.concat(F.lit(OWN), "lang").alias("own")).distinct()
     langs = scratch.put("langs", langs)
     named = lambda df: df.join(small_side(langs, langs.count(), 64), "lang", "left").withColumn("model", F.coalesce("own", F.lit(POOLED))).drop("own")
-    asked = named(lists.select("lang", "g").distinct()).select("model", "g").distinct()
-    logp = scratch.put("logp", log_probabilities(asked, model))
-    salts = -(-n_batches // MOST_GROUPS)
-    salt = F.pmod(F.xxhash64("batch"), F.lit(salts)).cast("int")
-    spread = logp.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = named(lists).withColumn("salt", salt).hint("shuffle_hash").join(spread, ["model", "g", "salt"])
-    totals = scratch.put("totals", summed(joined))
+    salt = F.pmod(F.xxhash64("batch"), F.lit(-(-n_batches // SALT_GROUPS) or 1)).cast("int")
+    shard = F.pmod(F.xxhash64("model", "g"), F.lit(SHARDS)).cast("int")
+    placed = named(lists).withColumns({"salt": salt, "shard": shard})
+    asked = scratch.put("asked", placed.select("salt", "shard", "model", "g").distinct())
+    logp = asked.join(log_probabilities(asked.select("model", "g").distinct(), model), ["model", "g"]).select("salt", "shard", "model", "g", "logp")
+    totals = scratch.put("totals", summed(placed, scratch.put("logp", logp)))
     out = rows.join(totals, ["batch", "place"], "left")
     return out.select("doc_id", "lang", "n_symbols", F.round(F.exp(-F.col("total") / F.col("n_symbols")), 9).alias("perplexity"))
 

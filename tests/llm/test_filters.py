@@ -217,6 +217,7 @@ def brute_perplexity(p, text):
 def test_perplexity_quantiles_and_verdict_match_brute_force(spark, sf_dir, monkeypatch, group_docs):
     """Every document's perplexity, its language's quantiles and kept; characters and languages without a cap."""
     monkeypatch.setattr(ngram_quality, "GROUP_DOCS", group_docs)
+    monkeypatch.setattr(ngram_quality, "SALT_GROUPS", 2 if group_docs == 4 else 32)
     rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()][:: 4 if group_docs == 4 else 1]
     rows += [(10_000 + i, f"日本語のテスト {i} 漢字 Привет {chr(0x4E00 + i)}" * 3, "ja") for i in range(40)] + [(20_000, "new language ñ 😀 ab", "zz"), (20_001, "no language at all", None), (20_002, None, "en"), (20_003, "", "en"), (20_004, "a" * 70_000, "en"), (20_005, "the same", "en"), (20_005, "the same", "en")]
     trusted = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()} | set(range(10_000, 10_030)) | {20_001, 20_003}
