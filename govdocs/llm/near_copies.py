@@ -16,6 +16,7 @@ verified by the whole sets. Shingles are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,8 +26,9 @@ from govdocs.llm import simhash
 from govdocs.llm.common import Scratch, small_side, text_batches, text_or_empty
 from govdocs.llm.components import connected_components
 
-#: Bits of the map that says which shingles go last. A bit may stand for several; any choice gives the same links.
-LAST_BITS = 1 << 26
+#: Bits of the maps that say which shingles go last and which may be shared. A bit may stand for several: any choice
+#: of the last gives the same links, and what is not shared after all is dropped.
+MAP_BITS = 1 << 26
 #: Longs of the map of a set.
 MAP_LONGS = 16
 ROUNDS = 3
@@ -41,6 +43,14 @@ def shingle_hashes(text: str, words: int = 5):
     return np.unique(np.concatenate(blocks).view(np.int64)) if blocks else np.zeros(0, dtype=np.int64)
 
 
+def is_set(shingles, bits):
+    """Whether the bit of each shingle is set."""
+    import numpy as np
+
+    place = shingles.view(np.uint64) % np.uint64(MAP_BITS)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def first_fifth(shingles, last=None):
     """The first fifth of a set and one more, those whose bit is set in `last` behind all others."""
     import numpy as np
@@ -48,8 +58,7 @@ def first_fifth(shingles, last=None):
     most = len(shingles) // 5 + 1
     if last is None:
         return shingles[:most]
-    place = shingles.view(np.uint64) % np.uint64(LAST_BITS)
-    behind = (last[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    behind = is_set(shingles, last)
     return np.concatenate([shingles[~behind], shingles[behind]])[:most]
 
 
@@ -87,8 +96,8 @@ def marks(docs: DataFrame, words: int) -> DataFrame:
     return texts_of(docs).mapInPandas(run, "doc_id long, body long, sid long, fp long, n int, first array<long>")
 
 
-def of_sets(docs: DataFrame, reps: DataFrame, words: int, make, schema: str) -> DataFrame:
-    """sid and what `make` gives for the shingles of each row of reps (sid, doc_id, body), whose texts are read again."""
+def of_sets(docs: DataFrame, reps: DataFrame, words: int, make, schema: str, once: bool) -> DataFrame:
+    """sid and what `make` gives for the shingles of each row of reps (sid, doc_id, body), whose texts are read again. once: rows of docs that repeat doc_id and text give it once."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -97,19 +106,18 @@ def of_sets(docs: DataFrame, reps: DataFrame, words: int, make, schema: str) ->
                 yield pd.DataFrame(rows, columns=["sid", *[c.strip().split(" ")[0] for c in schema.split(",")]])
 
     reps = small_side(reps.select(F.col("doc_id").alias("r_id"), F.col("body").alias("r_body"), "sid"), reps.count(), 32)
-    texts = texts_of(docs).join(reps, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("body") == F.col("r_body")))
-    # rows that repeat doc_id and text give the same set again
-    return texts.select("sid", "text").mapInPandas(run, f"sid long, {schema}").dropDuplicates(["sid"])
+    texts = texts_of(docs).join(reps, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("body") == F.col("r_body"))).select("sid", "text")
+    return (texts.dropDuplicates(["sid"]) if once else texts).mapInPandas(run, f"sid long, {schema}")
 
 
-def last_map(posts: DataFrame, long_list: int):
-    """LAST_BITS bits, set for the keys of lists over long_list; None without any. The map has this size whatever the corpus."""
+def bit_map(sets: DataFrame, more_than: int):
+    """MAP_BITS bits, set for the keys that more prefixes (first) have; None without any. The map has this size whatever the corpus."""
     import numpy as np
 
-    long = posts.groupBy("key").agg(F.count("*").alias("posts")).where(F.col("posts") > long_list)
-    place = F.pmod(F.when(F.col("key") < 0, F.pmod(F.col("key"), F.lit(LAST_BITS))).otherwise(F.col("key") % LAST_BITS), F.lit(LAST_BITS))
+    keys = sets.select(F.explode("first").alias("key")).groupBy("key").agg(F.count("*").alias("posts")).where(F.col("posts") > more_than)
+    place = F.pmod(F.col("key"), F.lit(MAP_BITS))  # of the unsigned number too, as MAP_BITS is a power of two
     # 32 KB of the map in a row
-    rows = long.select(place.alias("place")).distinct().groupBy(F.floor(F.col("place") / (1 << 18)).alias("page")).agg(F.collect_list((F.col("place") % (1 << 18)).cast("int")).alias("bits"))
+    rows = keys.select(place.alias("place")).distinct().groupBy(F.floor(F.col("place") / (1 << 18)).alias("page")).agg(F.collect_list((F.col("place") % (1 << 18)).cast("int")).alias("bits"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -123,53 +131,84 @@ def last_map(posts: DataFrame, long_list: int):
     pages = rows.mapInPandas(run, "page long, bits binary").collect()
     if not pages:
         return None
-    out = np.zeros(LAST_BITS // 8, dtype=np.uint8)
+    out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
     for r in pages:
         out[r.page << 15 : (r.page + 1) << 15] = np.frombuffer(r.bits, dtype=np.uint8)
     return out
 
 
-def shared_lists(docs: DataFrame, uniq: DataFrame, words: int, long_list: int, scratch: Scratch) -> DataFrame:
+def keys_in(sets: DataFrame, bits, schema: str) -> DataFrame:
+    """sid, n and the keys (with their places) of the prefixes whose bit is set, as far as there are any."""
+    shared = sets.sparkSession.sparkContext.broadcast(bits)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for p in parts:
+            firsts = [np.asarray(s, dtype=np.int64) for s in p["first"]]
+            at = [np.nonzero(is_set(s, shared.value))[0] for s in firsts]
+            out = p.drop(columns="first").assign(at=at, keys=[s[a] for s, a in zip(firsts, at)])
+            yield out[[len(a) > 0 for a in at]]
+
+    return sets.mapInPandas(run, f"{schema}, at array<long>, keys array<long>")
+
+
+def shared_lists(docs: DataFrame, uniq: DataFrame, words: int, long_list: int, once: bool, scratch: Scratch) -> DataFrame:
     """key, sid, n, at (from 0): the prefixes of all sets, as far as they share a key with another."""
-    post = lambda df: df.select("sid", "n", F.posexplode("first").alias("at", "key"))
-    posts = post(uniq)
-    last = last_map(posts, long_list)
+    sets = uniq.select("sid", "n", "first")
+    last = bit_map(sets, long_list)
     if last is not None:
+        touched = keys_in(uniq.select("sid", "doc_id", "body", "first"), last, "sid long, doc_id long, body long")
+        touched = scratch.put("touched", touched.select("sid", "doc_id", "body"))
         shared = docs.sparkSession.sparkContext.broadcast(last)
-        marked = F.pandas_udf(lambda firsts: firsts.map(lambda s: bool(len(first_fifth_bits(s, shared.value)))), "boolean")
-        touched = scratch.put("touched", uniq.where(marked("first")).select("sid", "doc_id", "body"))
-        again = of_sets(docs, touched, words, lambda s: (len(s), first_fifth(s, shared.value)), "n int, first array<long>")
-        again = scratch.put("again", again)
-        same = uniq.join(small_side(touched.select("sid"), touched.count(), 16), "sid", "left_anti")
-        posts = post(same.select("sid", "n", "first").unionByName(again))
+        again = of_sets(docs, touched, words, lambda s: (len(s), first_fifth(s, shared.value)), "n int, first array<long>", once)
+        same = sets.join(small_side(touched.select("sid"), touched.count(), 16), "sid", "left_anti")
+        sets = same.unionByName(scratch.put("again", again))
+    twice = bit_map(sets, 1)
+    if twice is None:
+        return sets.select(F.lit(0).cast("long").alias("key"), "sid", "n", F.lit(0).alias("at")).limit(0)
+    posts = keys_in(sets, twice, "sid long, n int").select("sid", "n", F.explode(F.arrays_zip("at", "keys")).alias("p")).select(F.col("p.keys").alias("key"), "sid", "n", F.col("p.at").cast("int").alias("at"))
     posts = scratch.put("posts", posts)
     keys = scratch.put("keys", posts.groupBy("key").agg(F.count("*").alias("posts")).where("posts > 1").select("key"))
     return scratch.put("lists", posts.join(keys, "key", "left_semi"))
 
 
-def first_fifth_bits(shingles, last):
-    """Those of the shingles whose bit is set."""
-    import numpy as np
-
-    place = np.asarray(shingles, dtype=np.int64).view(np.uint64) % np.uint64(LAST_BITS)
-    return np.nonzero(last[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)[0]
-
-
 def reaches(shared: Column, a: Column, b: Column) -> Column:
     """Whether sets of a and b members that share so many reach 0.8: shared / (a + b - shared) >= 4 / 5."""
     return 9 * shared >= 4 * (a + b)
 
 
-def verified(pairs: DataFrame, held: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets reach 0.8."""
-    pairs = scratch.put(f"{name}-pairs", pairs)
-    asked = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    asked = scratch.put(f"{name}-asked", held.select("sid", "shingles").join(asked, "sid", "left_semi"))
-    size = asked.agg(F.sum(F.size("shingles").cast("long") * 8 + 64)).first()[0] or 0
-    side = lambda x, s: small_side(asked.select(F.col("sid").alias(x), F.col("shingles").alias(s)), size, 1)
-    both = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
-    both = both.where(reaches(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb")))
-    return scratch.put(f"{name}-links", both.select("a", "b"))
+@dataclass(frozen=True)
+class Sets:
+    """What pairs are verified by: the texts, one row for each set (uniq: sid, doc_id, body), and maps (sid, n_set, MAPS) of those that may be in pairs."""
+
+    docs: DataFrame
+    uniq: DataFrame
+    maps: DataFrame
+    n_maps: int
+    words: int
+    once: bool
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) without those whose maps rule out 0.8: a bit of one map alone stands for a member that the other set has not."""
+        side = lambda x: small_side(self.maps.select(F.col("sid").alias(x), F.col("n_set").alias(f"{x}_n"), *[F.col(m).alias(f"{x}_{m}") for m in MAPS]), self.n_maps, 8 * MAP_LONGS + 24)
+        alone = lambda x, y: sum(F.bit_count(F.col(f"{x}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{m}")))) for m in MAPS)
+        most = F.least(F.col("a_n") - alone("a", "b"), F.col("b_n") - alone("b", "a"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(reaches(most, F.col("a_n"), F.col("b_n"))).select("a", "b")
+
+    def verified(self, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+        """Those of pairs (a, b) whose whole sets reach 0.8."""
+        pairs = scratch.put(f"{name}-pairs", self.possible(pairs))
+        asked = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        asked = scratch.put(f"{name}-asked", self.uniq.select("sid", "doc_id", "body").join(asked, "sid", "left_semi"))
+        held = scratch.put(f"{name}-sets", of_sets(self.docs, asked, self.words, lambda s: (s,), "shingles array<long>", self.once))
+        size = held.agg(F.sum(F.size("shingles").cast("long") * 8 + 64)).first()[0] or 0
+        side = lambda x, s: small_side(held.select(F.col("sid").alias(x), F.col("shingles").alias(s)), size, 1)
+        both = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
+        both = both.where(reaches(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb")))
+        links = scratch.put(f"{name}-links", both.select("a", "b").distinct())
+        scratch.drop(f"{name}-sets")
+        return links
 
 
 def room(x: str, y: str) -> Column:
@@ -178,48 +217,41 @@ def room(x: str, y: str) -> Column:
     return reaches(F.least(n[0] - F.col(f"{x}_at"), n[1] - F.col(f"{y}_at")), n[0], n[1])
 
 
-def similar_sets(docs: DataFrame, uniq: DataFrame, words: int, long_list: int, scratch: Scratch) -> DataFrame:
+def similar_sets(docs: DataFrame, uniq: DataFrame, words: int, long_list: int, once: bool, scratch: Scratch) -> DataFrame:
     """sid and comp (the least sid of its component) for all sets with a link to another of 0.8 or more."""
-    lists = shared_lists(docs, uniq, words, long_list, scratch)
+    lists = shared_lists(docs, uniq, words, long_list, once, scratch)
     prints = scratch.put("prints", uniq.groupBy("fp").agg(F.min("sid").alias("least"), F.count("*").alias("n")))
     near = simhash.links(prints.select("fp"), scratch, long_list)
     name = lambda x: prints.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_sid"))
     near = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
     alike = uniq.select("sid", "fp").join(prints.where("n > 1").select("fp", "least"), "fp").where("sid <> least")
-    near = scratch.put("near", near.unionByName(alike.select(F.col("least").alias("a"), F.col("sid").alias("b"))))
+    near = near.unionByName(alike.select(F.col("least").alias("a"), F.col("sid").alias("b")))
+    near = scratch.put("near", near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     asked = lists.select("sid").union(near.select("a")).union(near.select("b")).distinct()
     reps = scratch.put("reps", uniq.select("sid", "doc_id", "body").join(asked, "sid", "left_semi"))
-    held = of_sets(docs, reps, words, lambda s: (s, *set_map(s).tolist()), "shingles array<long>, " + ", ".join(f"{m} long" for m in MAPS))
-    held = scratch.put("held", held)
-    links = verified(near, held, scratch, "near")
+    maps = scratch.put("maps", of_sets(docs, reps, words, lambda s: (len(s), *set_map(s).tolist()), "n_set int, " + ", ".join(f"{m} long" for m in MAPS), once))
+    sets = Sets(docs, uniq, maps, maps.count(), words, once)
+    links = sets.verified(near, scratch, "near")
     side = lambda x, df: df.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "at", "comp")])
-    tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = near
     for turn in range(ROUNDS + 1):
         comps = connected_components(links, Scratch(docs.sparkSession, f"near-comps{turn}")).withColumnRenamed("node", "sid")
+        placed = lists.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         if turn == ROUNDS:
             break
-        placed = lists.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         heads = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "n", "at", "comp")).alias("h"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
         heads = scratch.put(f"heads{turn}", side("b", heads.select("key", "h.sid", "h.n", "h.at", "h.comp")))
         met = side("a", placed).join(heads, "key").where((F.col("a_comp") != F.col("b_comp")) & room("a", "b"))
         met = met.select("a_sid", F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b")).join(tried, ["a", "b"], "left_anti")
         met = met.groupBy("a_sid").agg(F.min(F.struct(F.xxhash64("a", "b", F.lit(turn)), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        more = verified(met, held, scratch, f"round{turn}")
-        tried = tried.unionByName(docs.sparkSession.read.parquet(scratch.paths[f"round{turn}-pairs"]))
-        links = links.unionByName(more)
-    placed = scratch.put("placed", lists.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
+        met = scratch.put(f"met{turn}", met)
+        links, tried = links.unionByName(sets.verified(met, scratch, f"round{turn}")), tried.unionByName(met)
+    placed = scratch.put("placed", placed)
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
     placed = scratch.put("mixed", placed.join(mixed, "key", "left_semi"))
     on = (F.col("a_sid") < F.col("b_sid")) & (F.col("a_comp") != F.col("b_comp")) & room("a", "b")
-    pairs = side("a", placed).join(side("b", placed), "key").where(on).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"), F.col("a_n"), F.col("b_n")).distinct()
-    maps = scratch.put("maps", held.select("sid", *MAPS))
-    n_maps = maps.count()
-    map_of = lambda x: small_side(maps.select(F.col("sid").alias(x), *[F.col(m).alias(f"{x}_{m}") for m in MAPS]), n_maps, 8 * MAP_LONGS + 16)
-    # a bit of one map alone stands for a member that the other set has not
-    alone = lambda x, y: sum(F.bit_count(F.col(f"{x}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{m}")))) for m in MAPS)
-    most = F.least(F.col("a_n") - alone("a", "b"), F.col("b_n") - alone("b", "a"))
-    pairs = pairs.join(map_of("a"), "a").join(map_of("b"), "b").where(reaches(most, F.col("a_n"), F.col("b_n"))).select("a", "b")
-    links = links.unionByName(verified(pairs.join(tried, ["a", "b"], "left_anti"), held, scratch, "rest"))
+    pairs = side("a", placed).join(side("b", placed), "key").where(on).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+    links = links.unionByName(sets.verified(pairs.join(tried, ["a", "b"], "left_anti"), scratch, "rest"))
     return connected_components(links, scratch).withColumnRenamed("node", "sid")
 
 
@@ -237,9 +269,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, long_list: int = 64) -
     me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     many = scratch.put("many", rows.groupBy("sid").agg(F.count("*").alias("n_rows"), F.min(me).alias("me")).where("n_rows > 1"))
     many = small_side(many.select(F.col("sid").alias("m_sid"), "me"), many.count(), 48)
-    uniq = rows.join(many, F.col("sid") == F.col("m_sid"), "left").where(F.col("me").isNull() | (me == F.col("me"))).drop("m_sid", "me").dropDuplicates(["sid"])
-    uniq = scratch.put("uniq", uniq)
-    comps = similar_sets(docs, uniq, words, long_list, scratch)
+    uniq = rows.join(many, F.col("sid") == F.col("m_sid"), "left").where(F.col("me").isNull() | (me == F.col("me"))).drop("m_sid", "me")
+    once = not rows.groupBy("doc_id", "body").agg(F.count("*").alias("n")).where("n > 1").isEmpty()  # rows that repeat both
+    if once:
+        uniq = scratch.put("uniq", uniq.dropDuplicates(["sid"]))
+    comps = similar_sets(docs, uniq, words, long_list, once, scratch)
     named = rows.groupBy("sid", "doc_id", "body").agg(F.count("*").alias("same")).join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")).withColumn("me", me)
     named = scratch.put("named", named)
     kept = scratch.put("kept", named.groupBy("comp").agg(F.min("me").alias("stays"), F.count("*").alias("n")).where("n > 1").drop("n"))
