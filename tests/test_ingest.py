@@ -1,8 +1,10 @@
 """Reading, parsing, sections, chunks and upkeep on small fixtures."""
 
+import datetime
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from govdocs.functions import text as X
@@ -139,3 +141,51 @@ def test_hashed_vectors():
     v = hashed_vector("Some words here", 64, {})
     assert abs(float(v @ v) - 1) < 1e-5 and not hashed_vector("", 64, {}).any()
     assert (hashed_vector("Some words here", 64, {}) == v).all()
+
+
+def test_bad_bytes_and_odd_folders_are_no_failures(spark, tmp_path):
+    top = tmp_path / "it's a (folder)"
+    top.mkdir()
+    (top / "good.md").write_bytes(b"\xef\xbb\xbftext \n")
+    (top / "bad.txt").write_bytes(b"caf\xe9")
+    (top / "blank.txt").write_bytes(b" \n")
+    good, bad = files.read_raw(spark, str(top))
+    assert [tuple(r) for r in good.collect()] == [("good.md", "text\n")]
+    assert {tuple(r) for r in bad.collect()} == {("bad.txt", "INVALID_ENCODING"), ("blank.txt", "EMPTY_DOCUMENT")}
+
+
+def test_newest_whole_version_is_read_and_a_failed_one_is_not(spark, tmp_path):
+    path = str(tmp_path / "index")
+    for i in (1, 2):
+        files.write_versioned({"t": spark.range(i)}, path)
+    broken = spark.range(3).select(F.raise_error(F.lit("broken")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        files.write_versioned({"t": broken}, path)
+    assert files.read_versioned(spark, path, "t")["t"].count() == 2
+
+
+def test_corpus_is_written_over_what_it_reads(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    files.write_corpus({"a": spark.range(3)}, path)
+    files.write_corpus({"a": files.read_corpus(spark, path, "a")["a"].where("id > 0")}, path)
+    assert sorted(r.id for r in files.read_corpus(spark, path, "a")["a"].collect()) == [1, 2] and [p.name for p in (tmp_path / "corpus").iterdir()] == ["a"]
+
+
+def test_report_of_a_run_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    for run, n in (("r1", 1), ("r2", 2), ("r1", 3)):
+        files.write_report(spark.createDataFrame([(run, n)], "run_id string, total int"), path)
+    assert {(r.run_id, r.total) for r in files.read_history(spark, path).collect()} == {("r1", 3), ("r2", 2)}
+
+
+def test_upsert_takes_one_row_of_an_id(spark):
+    schema = "doc_id int, content_sha256 string, ingested_at timestamp"
+    rows = lambda *xs: spark.createDataFrame([(d, h, datetime.datetime(2024, 1, day)) for d, h, day in xs], schema)
+    got = ingest.upsert_documents(rows((1, "a", 1), (2, "b", 1)), rows((1, "a", 5), (3, "c", 5), (3, "d", 6), (3, "d", 6)))
+    assert sorted((r.doc_id, r.content_sha256, r.ingested_at.day) for r in got.collect()) == [(1, "a", 1), (2, "b", 1), (3, "d", 6)]
+
+
+def test_long_lists_are_normalised_in_order(spark):
+    xs = [" b", "A", "", "a ", None, "B", "c"] + [f"w{i % 500}" for i in range(5000)]
+    got = spark.createDataFrame([(xs,), (None,), ([],)], "xs array<string>").select(X.normalize_list(F.col("xs")).alias("n")).collect()
+    assert got[0].n == ["b", "A", "c"] + [f"w{i}" for i in range(500)] and got[1].n is None and got[2].n == []
