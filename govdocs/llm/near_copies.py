@@ -31,7 +31,7 @@ from govdocs.llm.components import connected_components
 MAP_BITS = 1 << 26
 #: Longs of the map of a set.
 MAP_LONGS = 16
-ROUNDS = 3
+ROUNDS = 2
 MAPS = [f"m{i}" for i in range(MAP_LONGS)]
 
 
@@ -185,13 +185,12 @@ class Sets:
     docs: DataFrame
     uniq: DataFrame
     maps: DataFrame
-    n_maps: int
     words: int
     once: bool
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) without those whose maps rule out 0.8: a bit of one map alone stands for a member that the other set has not."""
-        side = lambda x: small_side(self.maps.select(F.col("sid").alias(x), F.col("n_set").alias(f"{x}_n"), *[F.col(m).alias(f"{x}_{m}") for m in MAPS]), self.n_maps, 8 * MAP_LONGS + 24)
+        side = lambda x: self.maps.select(F.col("sid").alias(x), F.col("n_set").alias(f"{x}_n"), *[F.col(m).alias(f"{x}_{m}") for m in MAPS])
         alone = lambda x, y: sum(F.bit_count(F.col(f"{x}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{m}")))) for m in MAPS)
         most = F.least(F.col("a_n") - alone("a", "b"), F.col("b_n") - alone("b", "a"))
         return pairs.join(side("a"), "a").join(side("b"), "b").where(reaches(most, F.col("a_n"), F.col("b_n"))).select("a", "b")
@@ -230,12 +229,13 @@ def similar_sets(docs: DataFrame, uniq: DataFrame, words: int, long_list: int, o
     asked = lists.select("sid").union(near.select("a")).union(near.select("b")).distinct()
     reps = scratch.put("reps", uniq.select("sid", "doc_id", "body").join(asked, "sid", "left_semi"))
     maps = scratch.put("maps", of_sets(docs, reps, words, lambda s: (len(s), *set_map(s).tolist()), "n_set int, " + ", ".join(f"{m} long" for m in MAPS), once))
-    sets = Sets(docs, uniq, maps, maps.count(), words, once)
+    sets = Sets(docs, uniq, maps, words, once)
     links = sets.verified(near, scratch, "near")
     side = lambda x, df: df.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "at", "comp")])
     tried = near
     for turn in range(ROUNDS + 1):
         comps = connected_components(links, Scratch(docs.sparkSession, f"near-comps{turn}")).withColumnRenamed("node", "sid")
+        links = comps.where("comp <> sid").select(F.col("comp").alias("a"), F.col("sid").alias("b"))  # a star for each component
         placed = lists.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         if turn == ROUNDS:
             break
@@ -263,7 +263,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, long_list: int = 64) -
     them. Columns of any name pass through; an empty table stays empty.
     """
     spark = docs.sparkSession
-    text_batches(spark)
+    text_batches(spark, 400, "8m")
     scratch = Scratch(spark, "near-copies")
     rows = scratch.put("rows", marks(docs, words))
     me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
