@@ -29,8 +29,8 @@ class MixedModel:
 
     def __init__(self, vocabulary: int):
         self.size = vocabulary
-        self.next2, self.sure2 = np.zeros(SLOTS, dtype=np.int64), np.zeros(SLOTS, dtype=np.int64)
-        self.next1, self.sure1 = np.zeros(vocabulary, dtype=np.int64), np.zeros(vocabulary, dtype=np.int64)
+        # the id that is expected and, in the last two bits, how often it was right of late
+        self.table2, self.table1 = np.zeros(SLOTS, dtype=np.int64), np.zeros(vocabulary, dtype=np.int64)
         self.seen, self.step = np.zeros(vocabulary, dtype=np.int64), 0
         self.outcomes = np.ones((32, 3), dtype=np.int64)
         self.frequencies()
@@ -51,14 +51,14 @@ class MixedModel:
     def predict(self, one: np.ndarray, two: np.ndarray) -> None:
         """Looks at the last id (one) and the one before it (two) of each lane."""
         self.h2, self.h1 = (one * 0x9E3779B1 + two * 0x85EBCA6B) >> 7 & (SLOTS - 1), one
-        self.p2, self.c2 = self.next2[self.h2], self.sure2[self.h2]
-        self.p1, self.c1 = self.next1[one], self.sure1[one]
-        self.mix = (self.c2 * 4 + self.c1) * 2 + (self.p1 == self.p2)
+        self.t2, self.t1 = self.table2[self.h2], self.table1[one]
+        self.p2, self.p1 = self.t2 >> 2, self.t1 >> 2
+        self.mix = ((self.t2 & 3) << 3) + ((self.t1 & 3) << 1) + (self.p1 == self.p2)
         self.m2, self.m1, self.m0 = self.w2[self.mix], self.w1[self.mix], self.w0[self.mix]
 
     def intervals(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each id's interval, in a total of 2 ** (MIX_BITS + FREQ_BITS)."""
-        hit2, hit1 = ids == self.p2, ids == self.p1
+        hit2, hit1 = self.hit2, self.hit1 = ids == self.p2, ids == self.p1
         start = np.where(hit2, 0, np.where(hit1, self.m2 << FREQ_BITS, (self.m2 + self.m1 << FREQ_BITS) + self.m0 * self.first[ids]))
         size = np.where(hit2, self.m2 << FREQ_BITS, np.where(hit1, self.m1 << FREQ_BITS, self.m0 * self.freq[ids]))
         return start, size
@@ -66,22 +66,29 @@ class MixedModel:
     def find(self, at: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold the values."""
         if self.slot is None:
-            self.slot = np.repeat(np.arange(self.size), self.freq)
-        rest = np.clip((at - (self.m2 + self.m1 << FREQ_BITS)) // self.m0, 0, (1 << FREQ_BITS) - 1)
-        return np.where(at < self.m2 << FREQ_BITS, self.p2, np.where(at < self.m2 + self.m1 << FREQ_BITS, self.p1, self.slot[rest]))
+            self.slot = np.repeat(np.arange(self.size, dtype=np.int32), self.freq)
+        one, both = self.m2 << FREQ_BITS, self.m2 + self.m1 << FREQ_BITS
+        # numbers of 30 bits, whose quotients floats hold exactly enough
+        rest = np.clip(((at - both) / self.m0).astype(np.int64), 0, (1 << FREQ_BITS) - 1)
+        return np.where(at < one, self.p2, np.where(at < both, self.p1, self.slot[rest]))
 
     def update(self, ids: np.ndarray) -> None:
-        hit2, hit1 = ids == self.p2, ids == self.p1
-        self.outcomes += np.bincount(self.mix * 3 + np.where(hit2, 0, np.where(hit1, 1, 2)), minlength=96).reshape(32, 3)
-        self.sure2[self.h2] = np.where(hit2, np.minimum(self.c2 + 1, 3), np.maximum(self.c2 - 1, 0))
-        self.next2[self.h2] = np.where(hit2 | (self.c2 > 0), self.p2, ids)
-        self.sure1[self.h1] = np.where(hit1, np.minimum(self.c1 + 1, 3), np.maximum(self.c1 - 1, 0))
-        self.next1[self.h1] = np.where(hit1 | (self.c1 > 0), self.p1, ids)
-        self.seen += np.bincount(ids, minlength=self.size)
+        """Learns the ids whose intervals were taken last."""
+        hit2, hit1 = self.hit2, self.hit1
+        self.outcomes += np.bincount(self.mix * 3 + np.where(hit2, 0, 2 - hit1), minlength=96).reshape(32, 3)
+        self.table2[self.h2] = self.learned(self.t2, hit2, ids)
+        self.table1[self.h1] = self.learned(self.t1, hit1, ids)
+        np.add.at(self.seen, ids, 1)
         self.step += 1
         if self.step & (self.step - 1) == 0 or self.step % 64 == 0:
             self.frequencies()
-        self.weights()
+        if self.step < 16 or self.step % 8 == 0:
+            self.weights()
+
+    @staticmethod
+    def learned(held: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        sure = held & 3
+        return np.where(hit, held + (sure < 3), np.where(sure > 0, held - 1, ids << 2))
 
 
 def lanes_for(n: int) -> int:
