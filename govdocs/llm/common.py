@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def text_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Texts are long: fewer rows at a time go to Python than Spark's default, so that workers stay small."""
+    """Texts are long: fewer rows at a time go to Python than Spark's default, so that workers stay small. The session keeps the settings, as plans run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
@@ -34,12 +35,17 @@ def text_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> No
 class Scratch:
     """Tables written below the shared folder: they cut lineage and survive lost executors.
 
-    `put` writes a frame and returns it as read back; `drop` removes one that is not needed any more.
+    `put` writes a frame and returns it as read back; `drop` removes one that is not needed any more. What an
+    operator returns reads its tables, so that they stay until the caller has written the result and calls
+    `drop_since` with the number of scratches (`made`) before.
     """
 
+    made: ClassVar[list[str]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.top = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
+        Scratch.made.append(self.top)
 
     def put(self, name: str, df: DataFrame, compression: str = "snappy") -> DataFrame:
         path = f"{self.top}/{name}-{len(self.paths)}"
@@ -48,8 +54,18 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[name])
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.delete(self.spark, self.paths[name])
+
+    @staticmethod
+    def delete(spark: SparkSession, folder: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    @classmethod
+    def drop_since(cls, spark: SparkSession, number: int) -> None:
+        for top in cls.made[number:]:
+            cls.delete(spark, top)
+        del cls.made[number:]
 
 
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
