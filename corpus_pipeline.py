@@ -47,7 +47,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
+        before = len(Scratch.made)
         docs = scratch.put(name, stage(spark, docs, sf_dir))
+        Scratch.drop_since(spark, before)
         if k:
             scratch.drop(STAGES[k - 1][0])
     return docs
