@@ -13,7 +13,6 @@ def star(edges: DataFrame, large: bool, scratch: Scratch, turn: int) -> DataFram
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        least = scratch.put(f"least-large{turn}", least)
         out = near.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b")
     else:
         least = scratch.put(f"least-small{turn}", edges.groupBy("b").agg(F.min("a").alias("m")))

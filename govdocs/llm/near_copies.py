@@ -31,7 +31,7 @@ from govdocs.llm.components import connected_components
 MAP_BITS = 1 << 26
 #: Longs of the map of a set.
 MAP_LONGS = 16
-ROUNDS = 2
+ROUNDS = 1
 MAPS = [f"m{i}" for i in range(MAP_LONGS)]
 
 
@@ -77,7 +77,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def marks(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, body, sid (hash of the set), fp (fingerprint), n (size) and first (the lowest fifth and one more) of each row."""
+    """doc_id, body, sid (hash of the set), fp (fingerprint), n (size), first (the lowest fifth and one more) and MAPS of each row."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -88,12 +88,13 @@ def marks(docs: DataFrame, words: int) -> DataFrame:
             for t in p["text"]:
                 blocks = list(simhash.shingle_blocks(t, words))
                 s = np.unique(np.concatenate(blocks).view(np.int64)) if blocks else np.zeros(0, dtype=np.int64)
-                rows.append((xxhash.xxh64_intdigest(s.tobytes()), simhash.majority(blocks), len(s), first_fifth(s)))
-            sid, fp, n, first = zip(*rows)
+                rows.append((xxhash.xxh64_intdigest(s.tobytes()), simhash.majority(blocks), len(s), first_fifth(s), set_map(s)))
+            sid, fp, n, first, maps = zip(*rows)
             signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "body": p["body"], "sid": signed(sid), "fp": signed(fp), "n": n, "first": first})
+            out = {"doc_id": p["doc_id"].astype("Int64"), "body": p["body"], "sid": signed(sid), "fp": signed(fp), "n": n, "first": first}
+            yield pd.DataFrame(out | dict(zip(MAPS, np.stack(maps).T)))
 
-    return texts_of(docs).mapInPandas(run, "doc_id long, body long, sid long, fp long, n int, first array<long>")
+    return texts_of(docs).mapInPandas(run, "doc_id long, body long, sid long, fp long, n int, first array<long>, " + ", ".join(f"{m} long" for m in MAPS))
 
 
 def of_sets(docs: DataFrame, reps: DataFrame, words: int, make, schema: str, once: bool) -> DataFrame:
@@ -180,17 +181,16 @@ def reaches(shared: Column, a: Column, b: Column) -> Column:
 
 @dataclass(frozen=True)
 class Sets:
-    """What pairs are verified by: the texts, one row for each set (uniq: sid, doc_id, body), and maps (sid, n_set, MAPS) of those that may be in pairs."""
+    """What pairs are verified by: the texts, and one row for each set (uniq: sid, doc_id, body, n, MAPS)."""
 
     docs: DataFrame
     uniq: DataFrame
-    maps: DataFrame
     words: int
     once: bool
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) without those whose maps rule out 0.8: a bit of one map alone stands for a member that the other set has not."""
-        side = lambda x: self.maps.select(F.col("sid").alias(x), F.col("n_set").alias(f"{x}_n"), *[F.col(m).alias(f"{x}_{m}") for m in MAPS])
+        side = lambda x: self.uniq.select(F.col("sid").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(m).alias(f"{x}_{m}") for m in MAPS])
         alone = lambda x, y: sum(F.bit_count(F.col(f"{x}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{m}")))) for m in MAPS)
         most = F.least(F.col("a_n") - alone("a", "b"), F.col("b_n") - alone("b", "a"))
         return pairs.join(side("a"), "a").join(side("b"), "b").where(reaches(most, F.col("a_n"), F.col("b_n"))).select("a", "b")
@@ -226,10 +226,7 @@ def similar_sets(docs: DataFrame, uniq: DataFrame, words: int, long_list: int, o
     alike = uniq.select("sid", "fp").join(prints.where("n > 1").select("fp", "least"), "fp").where("sid <> least")
     near = near.unionByName(alike.select(F.col("least").alias("a"), F.col("sid").alias("b")))
     near = scratch.put("near", near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    asked = lists.select("sid").union(near.select("a")).union(near.select("b")).distinct()
-    reps = scratch.put("reps", uniq.select("sid", "doc_id", "body").join(asked, "sid", "left_semi"))
-    maps = scratch.put("maps", of_sets(docs, reps, words, lambda s: (len(s), *set_map(s).tolist()), "n_set int, " + ", ".join(f"{m} long" for m in MAPS), once))
-    sets = Sets(docs, uniq, maps, words, once)
+    sets = Sets(docs, uniq, words, once)
     links = sets.verified(near, scratch, "near")
     side = lambda x, df: df.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "at", "comp")])
     tried = near
@@ -240,13 +237,12 @@ def similar_sets(docs: DataFrame, uniq: DataFrame, words: int, long_list: int, o
         if turn == ROUNDS:
             break
         heads = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "n", "at", "comp")).alias("h"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
-        heads = scratch.put(f"heads{turn}", side("b", heads.select("key", "h.sid", "h.n", "h.at", "h.comp")))
+        heads = side("b", heads.select("key", "h.sid", "h.n", "h.at", "h.comp"))
         met = side("a", placed).join(heads, "key").where((F.col("a_comp") != F.col("b_comp")) & room("a", "b"))
         met = met.select("a_sid", F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b")).join(tried, ["a", "b"], "left_anti")
         met = met.groupBy("a_sid").agg(F.min(F.struct(F.xxhash64("a", "b", F.lit(turn)), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         met = scratch.put(f"met{turn}", met)
         links, tried = links.unionByName(sets.verified(met, scratch, f"round{turn}")), tried.unionByName(met)
-    placed = scratch.put("placed", placed)
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
     placed = scratch.put("mixed", placed.join(mixed, "key", "left_semi"))
     on = (F.col("a_sid") < F.col("b_sid")) & (F.col("a_comp") != F.col("b_comp")) & room("a", "b")
