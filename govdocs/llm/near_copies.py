@@ -28,7 +28,7 @@ from govdocs.llm.components import connected_components
 
 #: Bits of the maps that say which shingles go last and which may be shared. A bit may stand for several: any choice
 #: of the last gives the same links, and what is not shared after all is dropped.
-MAP_BITS = 1 << 26
+MAP_BITS = 1 << 25
 #: Longs of the map of a set.
 MAP_LONGS = 16
 ROUNDS = 1
@@ -202,7 +202,7 @@ class Sets:
         asked = scratch.put(f"{name}-asked", self.uniq.select("sid", "doc_id", "body").join(asked, "sid", "left_semi"))
         held = scratch.put(f"{name}-sets", of_sets(self.docs, asked, self.words, lambda s: (s,), "shingles array<long>", self.once))
         size = held.agg(F.sum(F.size("shingles").cast("long") * 8 + 64)).first()[0] or 0
-        side = lambda x, s: small_side(held.select(F.col("sid").alias(x), F.col("shingles").alias(s)), size, 1)
+        side = lambda x, s: small_side(held.select(F.col("sid").alias(x), F.col("shingles").alias(s)), size, 8)  # noqa: E731  # an eighth of the usual bound: arrays weigh on the driver
         both = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
         both = both.where(reaches(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb")))
         links = scratch.put(f"{name}-links", both.select("a", "b").distinct())
