@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from dataclasses import dataclass
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from govdocs.functions.text import list_match, text_match
 
@@ -29,6 +34,53 @@ def page(df: DataFrame, order: list[Column | str], offset: int = 0, limit: int =
     return df.agg(F.count("*").alias("total")), rows
 
 
+@dataclass(frozen=True)
+class RankDirectory:
+    """A table in a total order, as sorted range partitions, and how many rows stand before each of them."""
+
+    rows: DataFrame
+    names: list[str]
+    parts: list[int]
+    before: list[int]
+    total: int
+
+    def placed(self, rows: DataFrame, parts: list[int]) -> DataFrame:
+        """rows of these partitions with rank (from 1)."""
+        known = dict(zip(self.parts, self.before))
+        starts = rows.sparkSession.createDataFrame([(p, known[p]) for p in parts], "s_part int, s_before long")  # a row for each range partition
+        rank = (F.col("s_before") + F.col("rank_place") + 1).alias("rank")
+        return rows.join(F.broadcast(starts), F.col("rank_part") == F.col("s_part")).select(*self.names, rank)
+
+    def ranked(self) -> DataFrame:
+        """All rows with their rank."""
+        return self.placed(self.rows, self.parts)
+
+    def page(self, offset: int = 0, limit: int = 100, max_limit: int = 200) -> DataFrame:
+        """The rows after offset, in order; limit is held to 1..max_limit. Only the partitions that hold them are opened, and only those rows are sorted."""
+        first = max(0, offset)
+        last = min(first + min(max(1, limit), max_limit), self.total)
+        lo, hi = bisect_right(self.before, first) - 1, bisect_right(self.before, last - 1)
+        parts = self.parts[max(lo, 0) : hi] if first < last else []
+        rows = self.placed(self.rows.where(F.col("rank_part").isin(parts) if parts else F.lit(False)), parts)
+        return rows.where((F.col("rank") > first) & (F.col("rank") <= last)).orderBy("rank").drop("rank")
+
+
+def rank_directory(df: DataFrame, order: list[Column | str], path: str) -> RankDirectory:
+    """Writes df to path in range partitions of `order`, a total order of its rows, with the place of each row in its partition.
+
+    Rows are dealt by sampled bounds and sorted where they arrive, so that no task sees more than its range;
+    pages and ranks afterwards need no sort of the table. Only a count for each partition is collected.
+    """
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_rows.withColumns({"rank_place": place, "rank_part": F.spark_partition_id()}).write.partitionBy("rank_part").parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField("rank_place", T.LongType()), T.StructField("rank_part", T.IntegerType())])
+    rows = df.sparkSession.read.schema(schema).parquet(path)
+    counts = sorted((r.rank_part, r.n) for r in rows.groupBy("rank_part").agg(F.count("*").alias("n")).collect())
+    ends = list(accumulate((n for _, n in counts), initial=0))
+    return RankDirectory(rows, df.columns, [p for p, _ in counts], ends[:-1], ends[-1])
+
+
 def distributions(docs: DataFrame) -> DataFrame:
     """dimension, value, n for department, region, policy_type, owner and access_level, in one aggregation."""
     plain = [F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in ("department", "policy_type", "owner", "access_level")]
