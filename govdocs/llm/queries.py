@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from govdocs.llm import exact_dedup, licenses, mixing, ngram_quality, packing, quality_rules, secrets, simhash, token_files, toxicity
+from govdocs.llm import clusters, exact_dedup, languages, licenses, mixing, ngram_quality, packing, quality_rules, resampling, secrets, simhash, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """name -> query(spark, sf_dir)."""
-    all_of = [op1_simhash, op2_packing, op3_token_files, op4_ngram_quality, op5_mixing, op6_quality_rules, op7_licenses, op8_exact_dedup, op9_secrets, op10_toxicity, pipeline]
+    all_of = [op1_simhash, op2_packing, op3_token_files, op4_ngram_quality, op5_mixing, op6_quality_rules, op7_licenses, op8_exact_dedup, op9_secrets, op10_toxicity, op11_clusters, op12_languages, op13_resampling, pipeline]
     return {f.__name__: f for f in all_of}
 
 
@@ -123,6 +135,42 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY n_chars DESC, doc_id ROWS BETWEEN
 """
 
 
+
+def clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """A part for each round: the nearest centroid of each vector, then the floored means."""
+    parts = [
+        "kept AS MATERIALIZED (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "v AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS i, floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM kept)",
+        f"f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM kept QUALIFY c < {k})",
+        "c0 AS MATERIALIZED (SELECT c, i, x AS y FROM f JOIN v USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, c, d FROM (SELECT vec_id, c, sum((x - y) * (x - y)) AS d FROM v JOIN c{r} USING (i) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)")
+        if r < rounds:
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM c{r} LEFT JOIN (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{r} JOIN v USING (vec_id) GROUP BY ALL) USING (c, i))")
+    return f"""WITH {", ".join(parts)}, s AS (SELECT c, sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY i)) AS sha FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha AS centroid_sha256 FROM a{rounds} JOIN s USING (c)"""
+
+
+OP13_SQL = r"""
+WITH crc AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+ws AS MATERIALIZED (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+words AS MATERIALIZED (SELECT side, id, unnest(w) AS word FROM ws),
+hexed AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)),
+hashed AS MATERIALIZED (SELECT word, xor(list_reduce([4294967295::BIGINT] || list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i::INT + 1, 2))::BIGINT), lambda c, b: xor(c // 256, t[(xor(c % 256, b) + 1)::INT])), 4294967295) % 10000 AS bucket FROM hexed, crc),
+held AS MATERIALIZED (SELECT side, id, bucket, count(*) AS n FROM words JOIN hashed USING (word) GROUP BY ALL),
+b AS (SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 't') AS t FROM held GROUP BY bucket),
+totals AS (SELECT sum(s) AS ss, sum(t) AS tt FROM b),
+gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (coalesce(ss, 0) + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce(tt, 0) + 10000)::DOUBLE)))::BIGINT AS g FROM b, totals),
+w AS (SELECT id, sum(n * g) AS s, sum(n) AS n FROM held JOIN gain USING (bucket) WHERE side = 'd' GROUP BY id),
+scored AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce((s - ((s % n) + n) % n) // n, 0)::BIGINT AS weight, ('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT AS h FROM documents LEFT JOIN w ON id = doc_id),
+all_ AS (SELECT doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296::DOUBLE))))::BIGINT AS score FROM scored),
+ranked AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, 10 * (count(*) OVER (PARTITION BY n_features >= 20)) // 100 AS most FROM all_)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND r <= most THEN r END AS rank FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of those that SQL can express; the others are tested against brute force."""
-    return {"op5_mixing": OP5_SQL, "op6_quality_rules": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op5_mixing": OP5_SQL, "op6_quality_rules": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op11_clusters": clusters_sql(), "op13_resampling": OP13_SQL}
