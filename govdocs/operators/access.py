@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govdocs.operators.retrieval import ARRAYS, SCALARS
+from govdocs.operators import bm25, profiles
+from govdocs.operators.profiles import ARRAYS, SCALARS
 from govdocs.settings import ACCESS_LEVELS
 
 #: Dimension -> scope column of the persona.
@@ -87,3 +88,21 @@ def authorize(chunks: DataFrame, resolved: DataFrame) -> DataFrame:
     for c in attributes:
         same &= F.col(c).eqNullSafe(F.col(f"p_{c}"))
     return chunks.withColumn("own_profile", key).join(met, same).select("request_id", *chunks.columns)
+
+
+def search_as(resolved: DataFrame, asked: DataFrame, index: bm25.Index, k: int, path: str) -> DataFrame:
+    """request_id, chunk_id, raw_score, normalized_score, rank: the k best chunks that each resolved request may see for its text (asked: request_id, text).
+
+    The allowed lists narrow the postings before they are summed: requests become classes of profiles, so
+    that what a request may see is never written out. Requests with the same text and lists are searched
+    once. A request with an error, or with an empty list, finds nothing.
+    """
+    allowed = {n: F.col(f"allowed_{n}") for n in ("departments", "regions", "policy_types", "access_levels", "owners")}
+    rows = profiles.with_class(resolved.where("error is null").join(asked.select("request_id", "text"), "request_id"), profiles.allowance(**allowed))
+    rows = rows.select("request_id", "text", "class", "wanted", F.sha2(F.to_json(F.struct("class", "text")), 256).alias("query_id"))
+    rows.write.parquet(f"{path}/requests")
+    rows = resolved.sparkSession.read.schema(rows.schema).parquet(f"{path}/requests")
+    units = rows.dropDuplicates(["query_id"])
+    scope = profiles.scopes(units, index.profiles, index.chunks.select("chunk_id", "doc_id", "profile"), 2 * k, f"{path}/scopes")
+    found = bm25.search(units.select("query_id", "text", "class"), index, k, scope, f"{path}/bm25")
+    return rows.select("request_id", "query_id").join(found, "query_id").drop("query_id")

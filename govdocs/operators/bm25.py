@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from govdocs.functions.helpers import index_terms
 from govdocs.functions.text import bm25_tokens
+from govdocs.operators.profiles import Scopes
+from govdocs.operators.registry import written
 from govdocs.settings import Settings
 
 
@@ -25,69 +27,127 @@ def indexable_text(chunks: DataFrame, out: str = "indexable") -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """postings: token, chunk_id, tf, length; chunks: chunk_id, length; terms: token, df, idf; n and mean_length of the corpus."""
+    """postings: token, chunk_id, tf, length, part (of a score, before idf); chunks: chunk_id, length; terms: token, df, idf, peak (the
+    largest part); n and mean_length of the corpus; short: chunk_id, length, token of the shortest chunks. With profiles
+    (profiles_of), postings, chunks and short have a profile and chunks a doc_id, so that searches can be filtered."""
 
     postings: DataFrame
     chunks: DataFrame
     terms: DataFrame
     n: int
     mean_length: float
+    short: DataFrame
+    profiles: DataFrame | None = None
+
+
+#: Chunks without a term of a query prove that the least score is zero; so many of the shortest are looked at, of each profile and for each class.
+SHORT, LOOKED_AT = 4, 16
+#: Postings of a query's rarest terms that give the first bound of its k-th score, by k.
+OPENING = 20
+#: Postings of a table of queries from which on bounds pay for their passes over the index; the rows are the same either way.
+BOUNDED_FROM = 100_000_000
+#: Share of that bound which the most frequent terms may make up, so that chunks are ruled out without them.
+WEAK = 0.5
 
 
 def counted_terms(texts: DataFrame) -> DataFrame:
-    """token, chunk_id, tf, length of texts (chunk_id, indexable); the length counts all terms, n-grams too. A row without a token says that the chunk is there.
+    """token, chunk_id, tf, length of texts (chunk_id, indexable), and doc_id and profile if texts have them; the length counts all terms, n-grams too. A row without a token says that the chunk is there, and in which document.
 
     A text is cut into terms once and counted where it is read, so that nothing is shuffled; built-in
     functions can't count inside a row. `bm25_tokens` gives the same terms.
     """
+    placed = "profile" in texts.columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            ids, tokens, counts, lengths = [], [], [], []
-            for chunk, text in zip(p["chunk_id"], p["indexable"]):
-                terms = index_terms(text or "")
+            ids, tokens, counts, lengths, docs, profiles = [], [], [], [], [], []
+            for row in p.itertuples(index=False):
+                terms = index_terms(row.indexable or "")
                 seen = Counter(terms)
                 tokens += [None, *seen]
                 counts += [0, *seen.values()]
-                ids += [chunk] * (len(seen) + 1)
+                ids += [row.chunk_id] * (len(seen) + 1)
                 lengths += [len(terms)] * (len(seen) + 1)
-            yield pd.DataFrame({"token": tokens, "chunk_id": ids, "tf": counts, "length": lengths})
+                if placed:
+                    docs += [row.doc_id, *[None] * len(seen)]
+                    profiles += [row.profile] * (len(seen) + 1)
+            yield pd.DataFrame({"token": tokens, "chunk_id": ids, "tf": counts, "length": lengths} | ({"doc_id": docs, "profile": profiles} if placed else {}))
 
-    return texts.select("chunk_id", "indexable").mapInPandas(run, "token string, chunk_id string, tf long, length int")
+    more = ", doc_id string, profile long" if placed else ""
+    return texts.select("chunk_id", "indexable", *(["doc_id", "profile"] if placed else [])).mapInPandas(run, "token string, chunk_id string, tf long, length int" + more)
 
 
 def postings_of(counted: DataFrame) -> DataFrame:
-    return counted.where("token is not null")
+    return counted.where("token is not null").drop("doc_id")
 
 
 def lengths_of(counted: DataFrame) -> DataFrame:
-    return counted.where("token is null").select("chunk_id", "length")
+    return counted.where("token is null").drop("token", "tf")
 
 
-def build_index(counted: DataFrame, lengths: DataFrame | None = None, terms: DataFrame | None = None) -> Index:
-    """The index of counted terms, best stored. lengths and terms: parts of it that are stored, too."""
-    posts, lengths = postings_of(counted), lengths_of(counted) if lengths is None else lengths
-    total = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+def term_part(mean_length: float, settings: Settings) -> Column:
+    """What tf occurrences in a chunk of this length add to a score, before idf."""
+    k1, b, tf = settings.bm25_k1, settings.bm25_b, F.col("tf")
+    long = 1 - b + b * F.greatest(F.col("length"), F.lit(1)) / mean_length
+    return tf * (k1 + 1) / (tf + k1 * long)
+
+
+def terms_of(counted: DataFrame, n: int, mean_length: float, settings: Settings) -> DataFrame:
     df = F.col("df")
-    if terms is None:
-        terms = posts.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (total.n - df + 0.5) / (df + 0.5)))
-    return Index(posts, lengths, terms, total.n, total.mean or 1.0)
+    sums = postings_of(counted).groupBy("token").agg(F.count("*").alias("df"), F.max(term_part(mean_length, settings)).alias("peak"))
+    return sums.select("token", "df", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"), "peak")
+
+
+def shortest(counted: DataFrame, lengths: DataFrame) -> DataFrame:
+    """chunk_id, length, token (null: none at all), profile: the SHORT shortest chunks of each profile with their terms."""
+    by = ["profile"] if "profile" in lengths.columns else []
+    order = Window.partitionBy(*by).orderBy("length", "chunk_id")
+    if by:
+        few = lengths.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SHORT).select("chunk_id")
+    else:
+        few = lengths.orderBy("length", "chunk_id").limit(LOOKED_AT).select("chunk_id")
+    return counted.join(few, "chunk_id", "left_semi").select("chunk_id", "length", "token", *by)
+
+
+def build_index(counted: DataFrame, lengths: DataFrame | None = None, terms: DataFrame | None = None, short: DataFrame | None = None, profiles: DataFrame | None = None, settings: Settings = Settings()) -> Index:
+    """The index of counted terms, best stored. lengths, terms and short: parts of it that are stored, too."""
+    lengths = lengths_of(counted) if lengths is None else lengths
+    total = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    mean = total.mean or 1.0
+    terms = terms_of(counted, total.n, mean, settings) if terms is None else terms
+    short = shortest(counted, lengths) if short is None else short
+    return Index(postings_of(counted).withColumn("part", term_part(mean, settings)), lengths, terms, total.n, mean, short, profiles)
+
+
+def asked_terms(queries: DataFrame, index: Index) -> DataFrame:
+    """query_id (and class), token, weight (idf by occurrences in the query), df, bound (the most that it adds to a score) of the terms that are in the index."""
+    by = ["query_id", *(["class"] if "class" in queries.columns else [])]
+    asked = queries.select(*by, F.explode(bm25_tokens(F.col("text"))).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("qtf"))
+    known = index.terms.join(asked.select("token").distinct(), "token", "left_semi")
+    weight = F.col("idf") * F.col("qtf")
+    return asked.join(known, "token").select(*by, "token", weight.alias("weight"), "df", (weight * F.col("peak")).alias("bound"))
 
 
-def scores(queries: DataFrame, index: Index, settings: Settings = Settings(), keep: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, score of the chunks that share a term with a query (query_id, text). keep: chunk_ids that may be found; the statistics stay those of the whole corpus.
+def hits_of(asked: DataFrame, index: Index, scope: Scopes | None) -> DataFrame:
+    """query_id (and class), chunk_id, added of the postings of asked terms that the query's class lets pass."""
+    by = [c for c in ("query_id", "class") if c in asked.columns]
+    hits = index.postings.join(asked.select(*by, "token", "weight"), "token")
+    hits = hits.select(*by, "chunk_id", *(["profile"] if scope else []), (F.col("weight") * F.col("part")).alias("added"))
+    return scope.by_profile(hits).drop("profile") if scope else hits
+
+
+def summed(hits: DataFrame, scope: Scopes | None) -> DataFrame:
+    by = [c for c in ("query_id", "class") if c in hits.columns]
+    sums = hits.groupBy(*by, "chunk_id").agg(F.sum("added").alias("score"))
+    return scope.by_document(sums) if scope else sums
+
+
+def scores(queries: DataFrame, index: Index, scope: Scopes | None = None) -> DataFrame:
+    """query_id, chunk_id, score of all chunks that share a term with a query (query_id, text). With a scope queries have a class, and only what it lets pass is scored; the statistics stay those of the whole corpus.
 
     Only the queries' terms are joined to the postings; frequencies of terms are known from those rows.
     """
-    asked = queries.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    idf = index.terms.join(asked.select("token").distinct(), "token", "left_semi").select("token", "idf")
-    hits = index.postings.join(asked.join(idf, "token"), "token")
-    if keep is not None:
-        hits = hits.join(keep.select("chunk_id"), "chunk_id", "left_semi")
-    k1, b, tf = settings.bm25_k1, settings.bm25_b, F.col("tf")
-    long = 1 - b + b * F.greatest(F.col("length"), F.lit(1)) / index.mean_length
-    part = F.col("idf") * (tf * (k1 + 1) / (tf + k1 * long)) * F.col("qtf")
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return summed(hits_of(asked_terms(queries, index), index, scope), scope).select("query_id", "chunk_id", "score")
 
 
 def settled(scored: DataFrame) -> DataFrame:
@@ -95,10 +155,15 @@ def settled(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.round("score", 9))
 
 
-def score_range(scored: DataFrame, n_filtered: int) -> DataFrame:
-    """r_query_id, least, most of each query's scores over all n_filtered chunks; those without a row count as zero."""
-    least = F.when(F.count("*") < n_filtered, F.lit(0.0)).otherwise(F.min("score"))
-    return scored.groupBy(F.col("query_id").alias("r_query_id")).agg(F.max("score").alias("most"), least.alias("least"))
+def score_range(scored: DataFrame, n_filtered: int | DataFrame) -> DataFrame:
+    """r_query_id, least, most of each query's scores over all n_filtered chunks (a number, or query_id, n_chunks); those without a row count as zero."""
+    ranges = scored.groupBy(F.col("query_id").alias("r_query_id")).agg(F.max("score").alias("most"), F.min("score").alias("low"), F.count("*").alias("n_hit"))
+    if isinstance(n_filtered, int):
+        ranges = ranges.withColumn("n_chunks", F.lit(n_filtered))
+    else:
+        ranges = ranges.join(n_filtered, F.col("r_query_id") == F.col("query_id")).drop("query_id")
+    least = F.when(F.col("n_hit") < F.col("n_chunks"), F.lit(0.0)).otherwise(F.col("low"))
+    return ranges.select("r_query_id", "most", least.alias("least"))
 
 
 def normalized(scored: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -109,24 +174,92 @@ def normalized(scored: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.withColumn("normalized", value).drop("most", "least", "r_query_id")
 
 
-def search(queries: DataFrame, index: Index, k: int, settings: Settings = Settings(), keep: DataFrame | None = None) -> DataFrame:
+def best(scored: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def completed(found: DataFrame, rest: DataFrame, index: Index) -> DataFrame:
+    """found (query_id, class, chunk_id, score) with what the terms of rest (query_id, token, weight) add to it; only these chunks' postings of the terms are summed."""
+    by = [c for c in found.columns if c != "score"]
+    posts = index.postings.join(rest.select("token").distinct(), "token", "left_semi").select("token", "chunk_id", "part")
+    added = found.select(*by).join(rest, "query_id").join(posts, ["token", "chunk_id"]).select(*by, (F.col("weight") * F.col("part")).alias("score"))
+    return found.unionByName(added).groupBy(*by).agg(F.sum("score").alias("score"))
+
+
+def likely(asked: DataFrame, index: Index, k: int, scope: Scopes | None, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """query_id (and class), chunk_id, score of all chunks that may be among the k best of a query, by bounds.
+
+    Some chunks that share a query's rarest terms are scored in full; the k-th of them is a lower bound
+    of its k-th score. The most frequent terms whose bounds together stay below WEAK of it can't lift a
+    chunk on their own: only chunks with another term are met, and of these only such as can still reach
+    the bound with all of them get the rest of their score.
+    """
+    mine = Window.partitionBy("query_id")
+    before = F.coalesce(F.sum("df").over(mine.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    split = asked.withColumn("early", before < OPENING * k)
+    terms = lambda flag: split.where(flag).drop("df", "bound", "early")
+    first = best(summed(hits_of(terms("early"), index, scope), scope), 4 * k).drop("rank")
+    first = best(completed(first, terms("not early").select("query_id", "token", "weight"), index), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    common = F.sum("bound").over(mine.orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = asked.withColumn("common", common).join(first, "query_id", "left").fillna(0.0, ["kth"])
+    reach = F.col("kth") * (1 - 1e-9) - 1e-8  # scores are rounded to nine digits
+    ranked = put(ranked.withColumn("weak", F.col("common") < WEAK * reach), "ranked")
+    met = summed(hits_of(ranked.where("not weak"), index, scope), scope)
+    rest = ranked.groupBy("query_id").agg(F.max("kth").alias("kth"), F.coalesce(F.sum(F.when(F.col("weak"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+    able = put(met.join(rest, "query_id").where(F.col("score") + F.col("rest") >= reach).select(*met.columns), "able")
+    return completed(able, ranked.where("weak").select("query_id", "token", "weight"), index)
+
+
+def proven_zero(queries: DataFrame, asked: DataFrame, index: Index, scope: Scopes | None) -> DataFrame:
+    """query_id of queries for which some of the shortest chunks that may be found has none of their terms."""
+    order = Window.partitionBy("class").orderBy("length", "chunk_id")
+    here = index.short.groupBy("chunk_id", "length", *(["profile"] if scope else [])).agg(F.count("token").alias("n"))
+    if scope is None:
+        looked = queries.select("query_id").join(F.broadcast(here.orderBy("length", "chunk_id").limit(LOOKED_AT)), how="cross")  # LOOKED_AT rows
+    else:
+        free = scope.classes.where("open and not listed").select("class").join(F.broadcast(here.orderBy("length", "chunk_id").limit(LOOKED_AT)), how="cross")  # one class
+        closed = scope.pairs.join(scope.classes.where("not listed").select("class"), "class", "left_semi").join(here, "profile")
+        few = free.select("class", "chunk_id", "length").unionByName(closed.select("class", "chunk_id", "length"))
+        few = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LOOKED_AT)
+        looked = queries.select("query_id", "class").join(few.select("class", "chunk_id"), "class")
+    shared = asked.select("query_id", "token").join(index.short.where("token is not null").select("token", "chunk_id"), "token").select("query_id", "chunk_id").distinct()
+    return looked.select("query_id", "chunk_id").join(shared, ["query_id", "chunk_id"], "left_anti").select("query_id").distinct()
+
+
+def search(queries: DataFrame, index: Index, k: int, scope: Scopes | None = None, path: str | None = None) -> DataFrame:
     """query_id, chunk_id, raw_score, normalized_score, rank: the k best chunks of each query, by score and chunk_id.
 
     Chunks without a common term have score zero and fill up short results; a query without terms has no
-    rows. Only the best k of a query are ordered and normalised. To fill k places, the k smallest of the ids that are not among fewer than k matches are enough,
-    which the 2k smallest ids hold.
+    rows. With a scope, queries have a class (with_class), and only chunks that it lets pass are found and
+    normalised over. From BOUNDED_FROM postings on only what may be among the best is scored in full; then the
+    best of a query is the top of its range, and the bottom is zero where a chunk without a term of the
+    query is known, else all its scores are looked at. To fill k places, the k smallest of the
+    ids that are not among fewer than k matches are enough, which the 2k smallest ids hold. With a path,
+    what several steps read is written below it once.
     """
-    pool = index.chunks if keep is None else index.chunks.join(keep.select("chunk_id"), "chunk_id", "left_semi")
-    n_filtered = index.n if keep is None else pool.count()
-    fill = [r.chunk_id for r in pool.select("chunk_id").orderBy("chunk_id").limit(2 * k).collect()]  # 2k ids, however large the corpus
-    hits = settled(scores(queries, index, settings, keep))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
-    top = normalized(top, score_range(hits, n_filtered))
-    asking = queries.where(F.size(bm25_tokens(F.col("text"))) > 0).select("query_id")
+    put = written(path)
+    by = ["query_id", *(["class"] if scope else [])]
+    asked = put(asked_terms(queries.select(*by, "text"), index), "asked")
+    n_chunks = index.n if scope is None else queries.select(*by).join(scope.classes.select("class", "n_chunks"), "class").select("query_id", "n_chunks")
+    if (asked.agg(F.sum("df")).first()[0] or 0) < BOUNDED_FROM:
+        hits = put(settled(summed(hits_of(asked, index, scope), scope)), "hits")
+        top, ranges = best(hits, k).drop("rank"), score_range(hits, n_chunks)
+    else:
+        top = put(best(settled(likely(asked, index, k, scope, put)), k).drop("rank"), "top")
+        proven = put(proven_zero(queries, asked, index, scope), "proven")
+        tops = top.groupBy("query_id").agg(F.max("score").alias("most"))
+        ranges = tops.join(proven, "query_id", "left_semi").select(F.col("query_id").alias("r_query_id"), "most", F.lit(0.0).alias("least"))
+        rest = settled(scores(queries.join(proven, "query_id", "left_anti"), index, scope))
+        ranges = ranges.unionByName(score_range(rest, n_chunks).select("r_query_id", "most", "least"))
+    top = normalized(top, ranges)
+    asking = queries.where(F.size(bm25_tokens(F.col("text"))) > 0).select(*by)
     short = asking.join(top.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
-    spare = short.select("query_id", F.explode(F.array(*map(F.lit, fill)) if fill else F.array().cast("array<string>")).alias("chunk_id"))
+    if scope is None:
+        fill = [r.chunk_id for r in index.chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k).collect()]  # 2k ids, however large the corpus
+        spare = short.select("query_id", F.explode(F.array(*map(F.lit, fill)) if fill else F.array().cast("array<string>")).alias("chunk_id"))
+    else:
+        spare = short.join(scope.fill, "class").select("query_id", "chunk_id")
     spare = spare.join(top, ["query_id", "chunk_id"], "left_anti").withColumns({"score": F.lit(0.0), "normalized": F.lit(0.0)})
-    both = top.select("query_id", "chunk_id", "score", "normalized").unionByName(spare)
-    both = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    both = best(top.select("query_id", "chunk_id", "score", "normalized").unionByName(spare), k)
     return both.select("query_id", "chunk_id", F.col("score").alias("raw_score"), F.col("normalized").alias("normalized_score"), "rank")

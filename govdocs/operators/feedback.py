@@ -21,10 +21,6 @@ def list_feedback(df: DataFrame, review_status=None, feedback_type=None, issue_c
     return page(kept, ["position"], offset, limit, max_limit=500)
 
 
-def by_id(df: DataFrame, feedback_id) -> DataFrame:
-    return df.where(F.col("feedback_id") == feedback_id)
-
-
 def feedback_counts(df: DataFrame) -> DataFrame:
     """dimension, value, n for issue, status and type in one aggregation."""
     kinds = [F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in ("issue_category", "review_status", "feedback_type")]
@@ -43,25 +39,54 @@ def top_issues(df: DataFrame, k: int = 5) -> DataFrame:
     return sums.orderBy(F.desc("n"), "first").limit(k).withColumn("rank", F.row_number().over(order)).drop("first")
 
 
-def apply_updates(feedback: DataFrame, updates: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new, changes, errors). updates: feedback_id, set_fields and FIELDS; a field not in set_fields stays, a null in it is set.
+def update_trail(feedback: DataFrame, updates: DataFrame, order: str | None = None, path: str | None = None) -> DataFrame:
+    """feedback_id, at, set_fields, FIELDS as before_* and after_*, changed_fields (in the order set) for each update of a known record.
 
-    Several updates of one id act one after another by the column `order` (by their values where none is
-    given): the last that sets a field decides it. changes: feedback_id and the changed fields in the
-    order set; errors: each update of an unknown id.
+    updates: feedback_id, set_fields and FIELDS; a field not in set_fields stays, a null in it is set.
+    Updates of one id act one after another by the column `order` (by their values where none is given);
+    each meets the state that those before it left. With a path, updates are dealt out in ranges of id and
+    order and written there, so that a record with very many of them is not one task: what the ranges
+    before it set last comes to each range as one row of a record.
+    """
+    at = F.struct(*([order] if order else []), "set_fields", *FIELDS)
+    first = feedback.select("feedback_id", *[F.col(f).alias(f"first_{f}") for f in FIELDS])
+    steps = updates.select("feedback_id", at.alias("at"))
+    key = ["feedback_id"]
+    if path is not None:
+        steps.repartitionByRange("feedback_id", "at").withColumn("part", F.spark_partition_id()).write.parquet(path)
+        steps = feedback.sparkSession.read.schema(steps.withColumn("part", F.lit(0)).schema).parquet(path)
+        key = ["part", "feedback_id"]
+    put = {f: F.when(F.array_contains("at.set_fields", f), F.struct(F.col(f"at.{f}").alias("v"))) for f in FIELDS}
+    before = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    last = {f"last_{f}": F.last(put[f], ignorenulls=True).over(before) for f in FIELDS}
+    rows = steps.withColumns(last)
+    if path is not None:
+        ends = steps.groupBy(*key).agg(*[F.max_by(put[f], F.when(put[f].isNotNull(), F.col("at"))).alias(f"end_{f}") for f in FIELDS])
+        earlier = Window.partitionBy("feedback_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("part_no", F.count("*").over(Window.partitionBy("feedback_id"))).where(F.col("part_no") > 1)
+        ends = ends.withColumns({f"in_{f}": F.last(f"end_{f}", ignorenulls=True).over(earlier) for f in FIELDS})
+        rows = rows.join(ends.select(*key, *[f"in_{f}" for f in FIELDS]), key, "left")
+        rows = rows.withColumns({f"last_{f}": F.coalesce(f"last_{f}", f"in_{f}") for f in FIELDS})
+    rows = rows.join(first, "feedback_id")
+    was = {f: F.when(F.col(f"last_{f}").isNotNull(), F.col(f"last_{f}.v")).otherwise(F.col(f"first_{f}")) for f in FIELDS}
+    now = {f: F.when(put[f].isNotNull(), F.col(f"at.{f}")).otherwise(was[f]) for f in FIELDS}
+    differs = F.create_map(*[x for f in FIELDS for x in (F.lit(f), ~now[f].eqNullSafe(was[f]))])
+    changed = F.filter(F.array_distinct("at.set_fields"), lambda f: F.coalesce(F.element_at(differs, f), F.lit(False)))
+    named = [was[f].alias(f"before_{f}") for f in FIELDS] + [now[f].alias(f"after_{f}") for f in FIELDS]
+    return rows.select("feedback_id", "at", F.col("at.set_fields").alias("set_fields"), *named, changed.alias("changed_fields"))
+
+
+def apply_updates(feedback: DataFrame, updates: DataFrame, order: str | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new, changes, errors) of updates as update_trail takes them.
+
+    new: the records after all updates; changes: the rows of the trail of updates that changed something;
+    errors: each update of an unknown id.
     """
+    changes = update_trail(feedback, updates, order, path).where(F.size("changed_fields") > 0)
     place = F.struct(*([order] if order else []), "set_fields", *FIELDS)
-    steps = updates.select("feedback_id", place.alias("at"), "set_fields", *FIELDS)
-    last = [F.max_by(F.struct(F.col(f).alias("v")), F.when(F.array_contains("set_fields", f), F.col("at"))).alias(f"new_{f}") for f in FIELDS]
-    fields = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["set_fields"])))  # the updates of one record
-    folded = steps.groupBy("feedback_id").agg(*last, fields.alias("set_fields"))
-    rows = feedback.join(folded, "feedback_id", "left")
-    touched = lambda f: F.coalesce(F.array_contains("set_fields", f), F.lit(False))
-    differs = lambda f: touched(f) & ~F.col(f"new_{f}.v").eqNullSafe(F.col(f))
-    changed = F.filter("set_fields", lambda s: F.coalesce(F.element_at(F.create_map(*[x for f in FIELDS for x in (F.lit(f), differs(f))]), s), F.lit(False)))
-    rows = rows.withColumn("changed", changed)
-    out = rows.select(*[F.when(touched(c), F.col(f"new_{c}.v")).otherwise(F.col(c)).alias(c) if c in FIELDS else F.col(c) for c in feedback.columns])
-    changes = rows.where(F.size("changed") > 0).select("feedback_id", F.col("changed").alias("changed_fields"))
+    last = [F.max_by(F.struct(F.col(f).alias("v")), F.when(F.array_contains("set_fields", f), place)).alias(f"new_{f}") for f in FIELDS]
+    rows = feedback.join(updates.groupBy("feedback_id").agg(*last), "feedback_id", "left")
+    out = rows.select(*[F.when(F.col(f"new_{c}").isNotNull(), F.col(f"new_{c}.v")).otherwise(F.col(c)).alias(c) if c in FIELDS else F.col(c) for c in feedback.columns])
     errors = updates.join(feedback.select("feedback_id"), "feedback_id", "left_anti").select("feedback_id", F.lit("INVALID_REQUEST").alias("error_code"))
     return out, changes, errors
 
@@ -72,16 +97,17 @@ def review_queue(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return queue.agg(F.count("*").alias("total")), queue.orderBy("position")
 
 
-def feedback_audit(submitted: DataFrame, changes: DataFrame, updated: DataFrame) -> DataFrame:
-    """feedback_id, step, event_type, metadata: one event a submission; one each for a changed status, note and link, in that order."""
-    text = lambda *names: F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string"))])
-    made = submitted.select("feedback_id", F.lit(0).alias("step"), F.lit("feedback_submission").alias("event_type"), text("feedback_type", "issue_category", "user_rating").alias("metadata"))
+def feedback_audit(submitted: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """feedback_id, at, step, event_type, metadata: one event a submission (at is null); for each change of apply_updates one for its status, note and link, in that order."""
+    text = lambda **names: F.create_map(*[x for n, c in names.items() for x in (F.lit(n), F.col(c).cast("string"))])
+    made = submitted.select("feedback_id", F.lit(0).alias("step"), F.lit("feedback_submission").alias("event_type"), text(feedback_type="feedback_type", issue_category="issue_category", user_rating="user_rating").alias("metadata"))
+    if changes is None:
+        return made
     none = F.create_map().cast("map<string,string>")
-    events = [("review_status", "feedback_status_updated", text("review_status")), ("reviewer_note", "feedback_reviewer_note_updated", none), ("linked_eval_case_id", "feedback_eval_linked", text("linked_eval_case_id"))]
-    rows = changes.join(updated.select("feedback_id", "review_status", "linked_eval_case_id"), "feedback_id")
+    events = [("review_status", "feedback_status_updated", text(review_status="after_review_status")), ("reviewer_note", "feedback_reviewer_note_updated", none), ("linked_eval_case_id", "feedback_eval_linked", text(linked_eval_case_id="after_linked_eval_case_id"))]
     one = lambda i, field, name, meta: F.when(F.array_contains("changed_fields", field), F.struct(F.lit(i).alias("step"), F.lit(name).alias("event_type"), meta.alias("metadata")))
     steps = F.array_compact(F.array(*[one(i + 1, *e) for i, e in enumerate(events)]))
-    return made.unionByName(rows.select("feedback_id", F.inline(steps)))
+    return made.unionByName(changes.select("feedback_id", "at", F.inline(steps)), allowMissingColumns=True)
 
 
 def readiness_summary(personas: DataFrame | None, graph: DataFrame | None, latest_run: DataFrame | None, feedback: DataFrame | None, corrupt: DataFrame | None = None) -> DataFrame:

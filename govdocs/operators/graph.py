@@ -11,7 +11,9 @@ from __future__ import annotations
 import functools
 import re
 import string
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +25,11 @@ NODE = ["node_id", "label", "type"]
 #: Mentions that a node shows at most; fixed by the data model.
 MOST_MENTIONS = 50
 INLINE_ALIASES = 200
-UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
+#: Part of a lexicon that one automaton holds.
+LEXICON_BYTES = 8 << 20
+LOWERED = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+#: What may not stand beside an alias, in lower case.
+WORDLIKE = frozenset(string.ascii_lowercase + string.digits)
 
 
 def node_id(label: Column, kind: Column) -> Column:
@@ -36,21 +42,17 @@ def edge_id(source: Column, relation: Column, target: Column, chunk: Column) ->
 
 
 def pattern_of(alias: str) -> str:
-    """What alias_pattern gives, for a constant."""
-    return "(?i)(?<![A-Za-z0-9])" + re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", alias) + "(?![A-Za-z0-9])"
-
-
-def alias_pattern(alias: Column) -> Column:
     """A regular expression for an alias between other characters than ASCII letters and digits."""
-    quoted = F.regexp_replace(alias, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    return F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])"))
+    return "(?i)(?<![A-Za-z0-9])" + re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", alias) + "(?![A-Za-z0-9])"
 
 
 def match_entities(chunks: DataFrame, entity_rules: DataFrame) -> DataFrame:
     """chunk_id, doc_id, label, type, mention: for each rule the first of its aliases that the chunk's text holds.
 
-    Up to INLINE_ALIASES aliases become constant patterns, looked for where the text is read. More are joined
-    by their first run of letters and digits to the runs of the text and then looked for.
+    Up to INLINE_ALIASES aliases become constant patterns. More go into an automaton, which finds all of
+    them in one pass over a text where it is read; what stands beside a hit is looked at then. A lexicon over
+    LEXICON_BYTES is dealt into slices of whole rules, with a pass for each, so that what a task holds is
+    bounded; no text is shuffled.
     """
     rules = entity_rules.select("label", "type", F.posexplode("aliases").alias("place", "alias"))
     few = rules.limit(INLINE_ALIASES + 1).collect()
@@ -63,13 +65,51 @@ def match_entities(chunks: DataFrame, entity_rules: DataFrame) -> DataFrame:
         if not found:
             return chunks.select("chunk_id", "doc_id").limit(0).selectExpr("*", "string(null) label", "string(null) type", "string(null) mention")
         return chunks.select("chunk_id", "doc_id", F.inline(F.filter(F.array(*found), lambda x: x["mention"].isNotNull())))
-    run = F.lower(F.regexp_extract("alias", "[A-Za-z0-9]+", 0))
-    keyed = rules.withColumn("run", run)
-    runs = chunks.select("chunk_id", "doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0)))).alias("run"))
-    hits = runs.join(keyed.where("run <> ''"), "run").where(F.regexp_like("text", alias_pattern(F.col("alias")))).drop("run")
-    signs = keyed.where("run = ''").drop("run")  # aliases without a letter or digit
-    hits = hits.unionByName(chunks.select("chunk_id", "doc_id", "text").join(signs, F.regexp_like("text", alias_pattern(F.col("alias")))))
-    return hits.groupBy("chunk_id", "doc_id", "label", "type").agg(F.min_by("alias", "place").alias("mention"))
+    size = rules.agg(F.sum(F.octet_length("alias") + F.octet_length("label") + F.octet_length("type"))).first()[0] or 0
+    slices = -(-size // LEXICON_BYTES)
+    own = F.pmod(F.xxhash64("label", "type"), F.lit(slices))
+    parts = [scanned_entities(chunks, [tuple(r) for r in rules.where(own == i).collect()]) for i in range(slices)]  # LEXICON_BYTES each
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def lexicon(aliases: list[str]):
+    """An automaton over lower-case aliases, each with its places in the list."""
+    import ahocorasick
+
+    of: dict[str, list[int]] = {}
+    for i, alias in enumerate(aliases):
+        of.setdefault(alias.translate(LOWERED), []).append(i)
+    out = ahocorasick.Automaton()
+    for alias, places in of.items():
+        if alias:
+            out.add_word(alias, (len(alias), tuple(places)))
+    if len(out):
+        out.make_automaton()
+    return out
+
+
+def scanned_entities(chunks: DataFrame, rules: list[tuple]) -> DataFrame:
+    """What match_entities gives for rules (label, type, place, alias), by one automaton over their aliases."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = lexicon([r[3] for r in rules])
+        for p in parts:
+            out = []
+            for row in p.itertuples(index=False):
+                text = (row.text or "").translate(LOWERED)
+                best: dict[tuple[str, str], tuple[int, str]] = {}
+                for last, (size, places) in found.iter(text) if len(found) else ():
+                    first = last - size + 1
+                    if text[first - 1 : first] in WORDLIKE and first or text[last + 1 : last + 2] in WORDLIKE and last + 1 < len(text):
+                        continue
+                    for i in places:
+                        label, kind, place, alias = rules[i]
+                        best[label, kind] = min(best.get((label, kind), (place, alias)), (place, alias))
+                out += [(row.chunk_id, row.doc_id, *key, alias) for key, (_, alias) in best.items()]
+            yield pd.DataFrame(out, columns=["chunk_id", "doc_id", "label", "type", "mention"], dtype=object)
+
+    kinds = [chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_id")]
+    return chunks.select("chunk_id", "doc_id", "text").mapInPandas(run, f"chunk_id {kinds[0]}, doc_id {kinds[1]}, label string, type string, mention string")
 
 
 def stated_values(chunks: DataFrame) -> DataFrame:

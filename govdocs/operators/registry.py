@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -13,6 +14,18 @@ from pyspark.sql import types as T
 from govdocs.functions.text import list_match, text_match
 
 
+def written(path: str | None) -> Callable[[DataFrame, str], DataFrame]:
+    """put(df, name): df as written below path and read back, so that several steps read it; without a path, df itself."""
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        if path is None:
+            return df
+        df.write.parquet(f"{path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    return put
+
+
 def list_documents(docs: DataFrame, sections: DataFrame, chunks: DataFrame, department=None, region=None, policy_type=None, access_level=None, owner=None) -> DataFrame:
     """Documents that match, with section_count and chunk_count, by doc_id."""
     kept = docs.where(text_match(F.col("department"), department) & list_match(F.col("regions"), region) & text_match(F.col("policy_type"), policy_type) & text_match(F.col("access_level"), access_level) & text_match(F.col("owner"), owner))

@@ -9,17 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from govdocs.functions import text as X
-from govdocs.functions.helpers import nearest
-from govdocs.operators import bm25
+from govdocs.operators import bm25, profiles
+from govdocs.operators.nearest import nearest
+from govdocs.operators.profiles import ARRAYS, FILTERS, SCALARS, TITLES
+from govdocs.operators.registry import written
 from govdocs.settings import Settings
 
-#: Filter name -> column. Scalars match a listed value, arrays share one, titles contain one.
-SCALARS = {"doc_ids": "doc_id", "departments": "department", "policy_types": "policy_type", "owners": "owner", "access_levels": "access_level"}
-ARRAYS = {"regions": "regions", "related_processes": "related_processes"}
-TITLES = "section_titles"
-FILTERS = [*SCALARS, *ARRAYS, TITLES]
-
-
 def filter_checks(filters: Column) -> dict[str, tuple[Column, Column]]:
     """name -> (is active, matches) for a struct of string arrays; null or empty means no constraint."""
     active = lambda n: F.coalesce(F.size(filters[n]) > 0, F.lit(False))
@@ -29,10 +24,13 @@ def filter_checks(filters: Column) -> dict[str, tuple[Column, Column]]:
     return out
 
 
-def filter_struct(**values: list[str] | None) -> Column:
-    """A filter struct of literals."""
-    lists = {n: F.array(*map(F.lit, values[n])) if values.get(n) else F.array().cast("array<string>") for n in FILTERS}
-    return F.struct(*[v.alias(n) for n, v in lists.items()])
+def filter_struct(**values: Column | list[str] | None) -> Column:
+    """A filter struct of literals or of array columns."""
+
+    def listed(value: Column | list[str] | None) -> Column:
+        return value if isinstance(value, Column) else F.array(*map(F.lit, value or [])).cast("array<string>")
+
+    return F.struct(*[listed(values.get(n)).alias(n) for n in FILTERS])
 
 
 def matches(filters: Column) -> Column:
@@ -55,18 +53,16 @@ def metadata_boost(filters: Column) -> Column:
     return F.when(on > 0, ok / on).otherwise(F.lit(0.0))
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int, overfetch: int | None = 4, keep: DataFrame | None = None) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int, overfetch: int = 4, scope: profiles.Scopes | None = None, places: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """query_id, chunk_id, raw_score, normalized_score, rank by cosine.
 
-    With overfetch, that many times k are found over all vectors and then filtered, so that a narrow
-    filter may leave fewer than k; with None, only what the filter keeps is searched.
+    With a scope (queries have a class, places: chunk_id, profile) overfetch times k are found over all
+    vectors and then filtered, so that a narrow filter may leave fewer than k.
     """
     ids = vectors.select(F.col("chunk_id").alias("id"), "vector")
-    if keep is not None and overfetch is None:
-        ids = ids.join(keep.select(F.col("chunk_id").alias("id")), "id", "left_semi")
-    found = nearest(ids, queries, k * (overfetch or 1)).withColumnRenamed("id", "chunk_id").drop("rank")
-    if keep is not None and overfetch is not None:
-        found = found.join(keep.select("chunk_id"), "chunk_id", "left_semi")
+    found = nearest(ids, queries.select("query_id", "vector"), k * overfetch, put=written(path)).withColumnRenamed("id", "chunk_id").drop("rank")
+    if scope is not None:
+        found = scope.within(found.join(queries.select("query_id", "class"), "query_id"), places)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cosine")))
@@ -82,8 +78,8 @@ def weights(bm25_available: bool = True, vector_available: bool = True) -> dict[
     return {"vector": 0.0 if bm25_available else 0.9, "bm25": 0.9 if bm25_available else 0.0, "metadata": 0.05, "recency": 0.05}
 
 
-def fuse(found_bm25: DataFrame | None, found_vector: DataFrame | None, chunks: DataFrame, k: int, filters: Column | None = None, minimum_score: float = 0.0, settings: Settings = Settings()) -> DataFrame:
-    """query_id, chunk_id, bm25_score, vector_score, metadata_boost, recency_boost, hybrid_score, rank over the union of both sides' candidates."""
+def fuse(found_bm25: DataFrame | None, found_vector: DataFrame | None, chunks: DataFrame, k: int, filters: DataFrame | None = None, minimum_score: float = 0.0, settings: Settings = Settings()) -> DataFrame:
+    """query_id, chunk_id, bm25_score, vector_score, metadata_boost, recency_boost, hybrid_score, rank over the union of both sides' candidates. filters: query_id and the filter struct of each query that has one."""
     share = weights(found_bm25 is not None, found_vector is not None)
     k = min(max(k, 1), settings.top_k_max)
     sides = [(found_bm25, "bm25_score"), (found_vector, "vector_score")]
@@ -93,8 +89,11 @@ def fuse(found_bm25: DataFrame | None, found_vector: DataFrame | None, chunks: D
         if name not in pool.columns:
             pool = pool.withColumn(name, F.lit(None).cast("double"))
     meta = ["chunk_id", "doc_id", "department", "policy_type", "owner", "access_level", "regions", "related_processes", "section_title"]
-    boost = metadata_boost(filters) if filters is not None else F.lit(0.0)
-    pool = pool.join(chunks.select(*[c for c in meta if c in chunks.columns]), "chunk_id").withColumns({"metadata_boost": boost, "recency_boost": F.lit(1.0)})
+    pool = pool.join(chunks.select(*[c for c in meta if c in chunks.columns]), "chunk_id")
+    if filters is not None:
+        pool = pool.join(filters.select("query_id", "filters"), "query_id", "left")
+    boost = metadata_boost(F.col("filters")) if filters is not None else F.lit(0.0)
+    pool = pool.withColumns({"metadata_boost": boost, "recency_boost": F.lit(1.0)})
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     raw = share["vector"] * zero("vector_score") + share["bm25"] * zero("bm25_score") + share["metadata"] * F.col("metadata_boost") + share["recency"] * F.col("recency_boost")
     pool = pool.withColumn("hybrid_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).where(F.col("hybrid_score") >= minimum_score)
@@ -108,24 +107,34 @@ def pool_size(k: int) -> int:
     return min(4 * k, 80)
 
 
-def search(queries: DataFrame, chunks: DataFrame, mode: str, k: int, index: bm25.Index | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, filters: Column | None = None, minimum_score: float = 0.0, settings: Settings = Settings(), rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, mode: str, k: int, index: bm25.Index | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, filters: Column | None = None, path: str | None = None, minimum_score: float = 0.0, settings: Settings = Settings(), rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Ranked results of one mode: bm25, vector or hybrid. A single mode gives its normalised score as the final one.
 
-    rerank takes and returns the result table; by default nothing changes.
+    filters: a filter struct over the columns of queries, so that each query may have its own; it needs an
+    index with profiles and a path for the tables of what they let pass. rerank takes and returns the
+    result table; by default nothing changes.
     """
     k = min(max(k, 1), settings.top_k_max)
-    keep = apply_filters(chunks, filters) if filters is not None else None
     wanted = {"bm25": k, "vector": k, "hybrid": pool_size(k)}[mode]
-    by_words = bm25.search(queries, index, wanted, settings, keep) if mode != "vector" and index is not None else None
-    by_vector = vector_search(query_vectors, vectors, wanted, keep=keep) if mode != "bm25" and vectors is not None else None
+    scope = places = own = None
+    if filters is not None:
+        if index is None or index.profiles is None or path is None:
+            raise ValueError("filters need an index with profiles and a path")
+        places = index.chunks.select("chunk_id", "doc_id", "profile")
+        queries = profiles.with_class(queries, profiles.constraint(filters))
+        scope = profiles.scopes(queries, index.profiles, places, 2 * wanted, path)
+        own = queries.select("query_id", filters.alias("filters"))
+        query_vectors = None if query_vectors is None else query_vectors.join(queries.select("query_id", "class"), "query_id")
+    by_words = bm25.search(queries, index, wanted, scope, path and f"{path}/bm25") if mode != "vector" and index is not None else None
+    by_vector = vector_search(query_vectors, vectors, wanted, scope=scope, places=places, path=path and f"{path}/vectors") if mode != "bm25" and vectors is not None else None
     if mode == "hybrid":
-        out = fuse(by_words, by_vector, chunks, k, filters, minimum_score, settings)
+        out = fuse(by_words, by_vector, chunks, k, own, minimum_score, settings)
     else:
         found = by_words if mode == "bm25" else by_vector
         if found is None:
             raise ValueError("INDEX_UNAVAILABLE: the index of this mode can't be read")
-        none, own = F.lit(None).cast("double"), F.col("normalized_score")
-        out = found.select("query_id", "chunk_id", (own if mode == "bm25" else none).alias("bm25_score"), (own if mode == "vector" else none).alias("vector_score"), F.lit(0.0).alias("metadata_boost"), F.lit(1.0).alias("recency_boost"), own.alias("hybrid_score"), "rank")
+        none, score = F.lit(None).cast("double"), F.col("normalized_score")
+        out = found.select("query_id", "chunk_id", (score if mode == "bm25" else none).alias("bm25_score"), (score if mode == "vector" else none).alias("vector_score"), F.lit(0.0).alias("metadata_boost"), F.lit(1.0).alias("recency_boost"), score.alias("hybrid_score"), "rank")
     return out.transform(rerank) if rerank else out
 
 

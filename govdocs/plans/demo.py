@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govdocs.functions import text as X
-from govdocs.functions.helpers import embed, nearest
-from govdocs.operators import access, bm25, evaluation, feedback, graph, ingest, registry, retrieval
+from govdocs.functions.helpers import embed
+from govdocs.operators import access, bm25, evaluation, feedback, graph, ingest, profiles, registry, retrieval
+from govdocs.operators.nearest import nearest
 from govdocs.plans import questions
 from govdocs.plans.workspace import folder, stored
 from govdocs.sources import files
@@ -56,6 +57,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer parts than these; rows are dealt out by their number."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.withColumn("__row", F.monotonically_increasing_id()).repartition(2 * cores, "__row").drop("__row")
+
+
 def pick(values: list[str], at) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
 
@@ -78,7 +87,7 @@ def documents(spark, d) -> DataFrame:
 
 def chunks(spark, d) -> DataFrame:
     """The chunk table, stored as ingestion stores it."""
-    return stored(spark, d, "chunks", lambda: ingest.chunks(documents(spark, d)))
+    return stored(spark, d, "chunks", lambda: ingest.chunks(spread(documents(spark, d))))
 
 
 def conversations(spark, d) -> DataFrame:
@@ -92,24 +101,33 @@ def asked(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def chunk_profiles(spark, d) -> DataFrame:
+    """The distinct combinations of what filters look at, numbered."""
+    return stored(spark, d, "profiles", lambda: profiles.profiles_of(chunks(spark, d), folder(spark, "ranks")))
+
+
 def index(spark, d) -> bm25.Index:
     """The index over stored terms, counted once."""
-    counted = stored(spark, d, "counted", lambda: bm25.counted_terms(bm25.indexable_text(chunks(spark, d))))
+    kinds = chunk_profiles(spark, d)
+    counted = stored(spark, d, "counted", lambda: bm25.counted_terms(bm25.indexable_text(profiles.with_profile(chunks(spark, d), kinds))))
     lengths = stored(spark, d, "lengths", lambda: bm25.lengths_of(counted))
     terms = stored(spark, d, "terms", lambda: bm25.build_index(counted, lengths).terms)
-    return bm25.build_index(counted, lengths, terms)
+    short = stored(spark, d, "short", lambda: bm25.shortest(counted, lengths))
+    return bm25.build_index(counted, lengths, terms, short, kinds)
+
+
+def hashed(df: DataFrame) -> DataFrame:
+    """df with the vector of its text in the space of this search: counts by MD5, which SQL has too."""
+    return embed(df, "text", Settings().dimensions, digest="md5", unit=False)
 
 
 def vectors(spark, d) -> DataFrame:
-    """chunk_id, vector: each chunk has the embedding that its document's number comes to, counting around the table."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    size = e.agg(F.count("*").alias("size"))  # one row
-    at = chunks(spark, d).select("n", "chunk_id").join(size, how="cross").select("chunk_id", F.pmod("n", "size").alias("vec_id"))
-    return at.join(e, "vec_id").select("chunk_id", "vector")
+    """chunk_id, vector of each chunk's text."""
+    return stored(spark, d, "vectors", lambda: hashed(chunks(spark, d).select("chunk_id", "text")).select("chunk_id", "vector"))
 
 
 def query_vectors(spark, d) -> DataFrame:
-    return table(spark, d, "benchmark").join(table(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return hashed(asked(spark, d)).select("query_id", "vector")
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -314,6 +332,14 @@ def r4_page(spark, d):
     return rows.join(total, how="cross")
 
 
+def r4_deep_page(spark, d):
+    """Half-way into the line items, by price: the page comes from a rank directory."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"]
+    directory = registry.rank_directory(rows, order, folder(spark, "lineitem-ranks"))
+    return directory.page(directory.total // 2, 200)
+
+
 def r5_distributions(spark, d):
     return registry.distributions(documents(spark, d))
 
@@ -339,7 +365,7 @@ def t2_indexable(spark, d):
 
 
 def t3_index(spark, d):
-    return rounded(index(spark, d).terms, "idf")
+    return rounded(index(spark, d).terms.drop("peak"), "idf")
 
 
 def t4_scores(spark, d):
@@ -353,13 +379,33 @@ def t5_normalized(spark, d):
 
 
 def found_bm25(spark, d, k=K):
-    return stored(spark, d, f"found{k}", lambda: bm25.search(asked(spark, d), index(spark, d), k))
+    return stored(spark, d, f"found{k}", lambda: bm25.search(asked(spark, d), index(spark, d), k, path=folder(spark, "bm25")))
 
 
 def t6_search(spark, d):
     return rounded(found_bm25(spark, d), "normalized_score").withColumn("raw_score", F.round("raw_score", 4))
 
 
+def own_filters(n):
+    """A filter struct by the number of a query: none, or some of five kinds."""
+    some = lambda test, *values: F.when(test, F.array(*[F.lit(v) if isinstance(v, str) else v for v in values])).otherwise(F.array().cast("array<string>"))
+    doc = lambda i: F.concat(F.lit("doc-"), F.lpad((n + i).cast("string"), 7, "0"))
+    return retrieval.filter_struct(
+        policy_types=some(n % 3 == 0, "policy", "sop"),
+        regions=some(n % 4 == 1, "en", "global"),
+        departments=some(n % 6 == 5, "src0", "src1"),
+        section_titles=some(n % 5 == 2, F.when(n % 2 == 0, "BODY").otherwise("none such")),
+        doc_ids=some(n % 10 == 7, doc(0), doc(1), doc(60)),
+    )
+
+
+def t6_filtered_search(spark, d):
+    """Each passage is searched with a filter of its own."""
+    q = asked(spark, d)
+    found = retrieval.search(q, chunks(spark, d), "bm25", K, index=index(spark, d), filters=own_filters(F.col("query_id")), path=folder(spark, "filters"))
+    return rounded(found.select("query_id", "chunk_id", "bm25_score", "rank"), "bm25_score")
+
+
 def t7_filters(spark, d):
     return retrieval.apply_filters(chunks(spark, d), retrieval.filter_struct(**FILTER)).select("chunk_id", "policy_type")
 
@@ -370,13 +416,17 @@ def t8_embed(spark, d):
 
 def t9_nearest(spark, d):
     e = table(spark, d, "embeddings")
-    found = nearest(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
+    found = nearest(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10, put=registry.written(folder(spark, "nearest")))
     return rounded(found, "cosine").select("query_id", "id", "cosine", "rank")
 
 
+def found_vector(spark, d, k=K) -> DataFrame:
+    return stored(spark, d, f"near{k}", lambda: retrieval.vector_search(query_vectors(spark, d), vectors(spark, d), k, path=folder(spark, "nearest")))
+
+
 def hybrid(spark, d) -> DataFrame:
     pool = retrieval.pool_size(K)
-    return retrieval.fuse(found_bm25(spark, d, pool), retrieval.vector_search(query_vectors(spark, d), vectors(spark, d), pool), chunks(spark, d), K)
+    return retrieval.fuse(found_bm25(spark, d, pool), found_vector(spark, d, pool), chunks(spark, d), K)
 
 
 SCORES = ("bm25_score", "vector_score", "metadata_boost", "recency_boost", "hybrid_score")
@@ -434,15 +484,23 @@ def expected(spark, d) -> DataFrame:
     return held.groupBy("case_id").agg(F.array_sort(F.collect_set("doc_id")).alias("expected_doc_ids"))
 
 
-def t16_retrieval_eval(spark, d):
+def retrieval_rates(spark, d) -> DataFrame:
     cases = expected(spark, d).withColumn("expected_chunk_ids", F.array().cast("array<string>"))
     own = chunks(spark, d).select("chunk_id", "doc_id")
-    modes = {"bm25": found_bm25(spark, d), "vector": retrieval.vector_search(query_vectors(spark, d), vectors(spark, d), K), "hybrid": hybrid(spark, d)}
+    modes = {"bm25": found_bm25(spark, d), "vector": found_vector(spark, d), "hybrid": hybrid(spark, d)}
     results = None
     for mode, df in modes.items():
         rows = df.select(F.lit(mode).alias("mode"), "query_id", "chunk_id").join(own, "chunk_id")
         results = rows if results is None else results.unionByName(rows)
-    return rounded(retrieval.retrieval_eval(cases, results)[1], "hit_rate")
+    return stored(spark, d, "rates", lambda: retrieval.retrieval_eval(cases, results)[1])
+
+
+def t16_retrieval_eval(spark, d):
+    return rounded(retrieval_rates(spark, d), "hit_rate")
+
+
+def t16_gate(spark, d):
+    return rounded(retrieval.hybrid_gate(retrieval_rates(spark, d)), "bm25", "vector", "hybrid")
 
 
 # --- access
@@ -489,6 +547,15 @@ def a3_authorize(spark, d):
     return seen.groupBy("request_id").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"))
 
 
+def a3_search_as(spark, d):
+    """Each request asks one of the passages under its persona."""
+    n = table(spark, d, "benchmark").agg(F.count("*").alias("size"))  # one row
+    s = F.col("s_suppkey")
+    asks = table(spark, d, "supplier").join(n, how="cross").select(s.alias("request_id"), F.pmod(s, "size").alias("query_id")).join(asked(spark, d), "query_id")
+    found = access.search_as(access.resolve_access(requests(spark, d), personas(spark, d)), asks, index(spark, d), K, folder(spark, "access"))
+    return rounded(found, "normalized_score").withColumn("raw_score", F.round("raw_score", 4))
+
+
 # --- graph
 
 
@@ -628,10 +695,14 @@ def q2_route(spark, d):
 
 
 def evidence(spark, d) -> DataFrame:
-    """Citations of the routes that retrieve."""
-    ok = cited(spark, d)[0].join(routed(spark, d).where("include_retrieval").select("query_id"), "query_id", "left_semi")
-    rows = ok.withColumn("text", F.col("quote")).withColumnRenamed("normalized_score", "hybrid_score")
-    return stored(spark, d, "evidence", lambda: questions.retrieval_evidence(rows))
+    """Citations of the routes that retrieve: hybrid search within the filter of each route."""
+
+    def build() -> DataFrame:
+        asking = routed(spark, d).where("include_retrieval").select("query_id", "text", "policy_types")
+        found = retrieval.search(asking, chunks(spark, d), "hybrid", K, index(spark, d), vectors(spark, d), query_vectors(spark, d), retrieval.filter_struct(policy_types=F.col("policy_types")), folder(spark, "routes"))
+        return questions.retrieval_evidence(cited(spark, d, found)[0].withColumn("text", F.col("quote")))
+
+    return stored(spark, d, "evidence", build)
 
 
 def q3_evidence(spark, d):
@@ -865,10 +936,12 @@ def f2_summary(spark, d):
 
 
 def f3_updates(spark, d):
-    new, changes, errors = feedback.apply_updates(feedback_table(spark, d), updates(spark, d), "at_event")
-    a = new.join(changes, "feedback_id", "left").select("feedback_id", "review_status", "reviewer_note", "linked_eval_case_id", F.array_join("changed_fields", ",").alias("changed"), F.lit(None).cast("string").alias("error"))
+    """The records after all updates, what each update changed, and the updates of unknown records."""
+    new, changes, errors = feedback.apply_updates(feedback_table(spark, d), updates(spark, d), "at_event", folder(spark, "updates"))
     none = F.lit(None).cast("string")
-    return a.unionByName(errors.select("feedback_id", none.alias("review_status"), none.alias("reviewer_note"), none.alias("linked_eval_case_id"), none.alias("changed"), F.col("error_code").alias("error")))
+    a = new.select("feedback_id", F.lit(None).cast("long").alias("at_event"), *feedback.FIELDS, none.alias("changed"), none.alias("error"))
+    b = changes.select("feedback_id", F.col("at.at_event").alias("at_event"), *[F.col(f"after_{f}").alias(f) for f in feedback.FIELDS], F.array_join("changed_fields", ",").alias("changed"), none.alias("error"))
+    return a.unionByName(b).unionByName(errors.select("feedback_id", F.col("error_code").alias("error")), allowMissingColumns=True)
 
 
 def f4_queue(spark, d):
@@ -878,9 +951,9 @@ def f4_queue(spark, d):
 
 def f5_audit(spark, d):
     df = feedback_table(spark, d)
-    new, changes, _ = feedback.apply_updates(df, updates(spark, d), "at_event")
+    changes = feedback.apply_updates(df, updates(spark, d), "at_event", folder(spark, "updates"))[1]
     show = F.array_join(F.transform(F.map_keys("metadata"), lambda k: F.concat_ws("=", k, F.element_at("metadata", k))), ",")
-    return feedback.feedback_audit(df, changes, new).select("feedback_id", "step", "event_type", show.alias("metadata"))
+    return feedback.feedback_audit(df, changes).select("feedback_id", F.col("at.at_event").alias("at_event"), "step", "event_type", show.alias("metadata"))
 
 
 def f6_readiness(spark, d):

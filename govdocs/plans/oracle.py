@@ -94,6 +94,12 @@ def times(x: str) -> str:
     return f"(SELECT list_filter(z, lambda v, i: list_position(z, v) = i) FROM (SELECT list_transform(regexp_extract_all({x}, '{TIMES}', 1), lambda v, i: lower({squeeze(f'coalesce(nullif(v, chr(0)), chr(0))')})) AS z))"
 
 
+def within(allowed: str, by: str) -> str:
+    """Scores of allowed chunks, normalised and ranked for each `by`."""
+    return f"""SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN (max(score) OVER w > 0)::INT::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm,
+      row_number() OVER (PARTITION BY {by} ORDER BY score DESC, chunk_id) AS rank FROM bmall JOIN {allowed} USING (query_id, chunk_id) WINDOW w AS (PARTITION BY {by})"""
+
+
 PARTS = {
     "docs": f"""SELECT doc_id AS n, 'doc-' || lpad(doc_id::VARCHAR, 7, '0') AS doc_id, 'Document ' || doc_id AS title, source AS department, source || '-ops' AS owner,
       CASE WHEN doc_id % 3 = 0 THEN [lang, 'global'] ELSE [lang] END AS regions, {listed(POLICY_TYPES)}[doc_id % 6 + 1] AS policy_type, {listed(ACCESS_LEVELS)}[doc_id % 4 + 1] AS access_level,
@@ -119,14 +125,25 @@ PARTS = {
     "bm": "SELECT query_id, chunk_id, sum(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT mean FROM corpus)))) * qtf) AS score FROM posts JOIN qt USING (token) JOIN idf USING (token) GROUP BY ALL",
     "bmall": "SELECT query_id, chunk_id, coalesce(round(score, 9), 0.0) AS score, score IS NOT NULL AS hit FROM (SELECT DISTINCT query_id FROM qt) CROSS JOIN (SELECT chunk_id FROM chunks) LEFT JOIN bm USING (query_id, chunk_id)",
     "bmn": "SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN (max(score) OVER w > 0)::INT::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bmall WINDOW w AS (PARTITION BY query_id)",
-    "qv": "SELECT item_id AS query_id, embedding AS qe FROM benchmark JOIN embeddings ON item_id = vec_id",
-    "vs0": "SELECT query_id, vec_id, round(list_cosine_similarity(qe::DOUBLE[], embedding::DOUBLE[]), 12) AS cosine FROM qv CROSS JOIN embeddings",
-    "vs": "SELECT query_id, chunk_id, cosine FROM vs0 JOIN chunks ON n % (SELECT count(*) FROM embeddings) = vec_id",
+    "vtext": "SELECT 'c' AS side, chunk_id AS id, lower(text) AS low FROM chunks UNION ALL SELECT 'q', item_id::VARCHAR, lower(text) FROM benchmark",
+    "vparts": r"SELECT side, id, regexp_extract_all(low, '[a-z0-9]+(?:[-_][a-z0-9]+)*') AS ws, regexp_replace(low, '\s+', ' ', 'g') AS packed FROM vtext",
+    "vfeats": "SELECT side, id, unnest(list_transform(ws, lambda w: 'tok:' || w) || list_transform(range(1, len(ws)), lambda i: 'bi:' || ws[i] || '_' || ws[i + 1]) || list_transform(range(1, length(packed) - 1), lambda i: 'tri:' || substr(packed, i, 3))) AS f FROM vparts",
+    "vcounts": "SELECT side, id, f, count(*) AS n FROM vfeats GROUP BY ALL",
+    "vplaces": "SELECT f, ('0x' || left(md5(f), 8))::BIGINT % 384 AS bucket, CASE WHEN ('0x' || substr(md5(f), 10, 1))::INT % 2 = 1 THEN -1 ELSE 1 END AS sign FROM (SELECT DISTINCT f FROM vcounts)",
+    "vvals": "SELECT side, id, bucket, sum(n * sign)::DOUBLE AS v FROM vcounts JOIN vplaces USING (f) GROUP BY ALL",
+    "vunit": "SELECT side, id, bucket, v / nullif(sqrt(sum(v * v) OVER (PARTITION BY side, id)), 0) AS v FROM vvals",
+    "vdots": "SELECT q.id::BIGINT AS query_id, c.id AS chunk_id, sum(q.v * c.v) AS dot FROM vunit q JOIN vunit c ON q.bucket = c.bucket AND q.side = 'q' AND c.side = 'c' GROUP BY ALL",
+    "vs": "SELECT query_id, chunk_id, round(coalesce(dot, 0), 12) AS cosine FROM (SELECT item_id AS query_id, chunk_id FROM benchmark CROSS JOIN chunks) LEFT JOIN vdots USING (query_id, chunk_id)",
     "vn": "SELECT *, greatest(0.0, least(1.0, cosine)) AS norm, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS rank FROM vs",
     "hy0": "SELECT query_id, chunk_id, b.norm AS bm25_score, v.norm AS vector_score FROM (SELECT * FROM bmn WHERE rank <= 20) b FULL JOIN (SELECT * FROM vn WHERE rank <= 20) v USING (query_id, chunk_id)",
     "hy1": "SELECT *, greatest(0.0, least(1.0, 0.55 * coalesce(vector_score, 0) + 0.35 * coalesce(bm25_score, 0) + 0.05 * 0.0 + 0.05 * 1.0)) AS hybrid_score FROM hy0",
     "hy": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, chunk_id) AS rank FROM hy1 QUALIFY rank <= 5",
     "cites": "SELECT query_id, rank, 'CIT-' || rank AS citation_id, chunk_id, doc_id, title, section_title, text AS quote, start_char, start_char + length(text) AS end_char, norm AS hybrid_score, score AS raw_score FROM bmn JOIN chunks USING (chunk_id) WHERE rank <= 5",
+    # searches with a filter for each query
+    "own_ok": """SELECT item_id AS query_id, chunk_id FROM benchmark JOIN chunks ON true WHERE (item_id % 3 <> 0 OR list_contains(['policy', 'sop'], policy_type)) AND (item_id % 4 <> 1 OR list_has_any(['en', 'global'], regions))
+      AND (item_id % 6 <> 5 OR list_contains(['src0', 'src1'], department)) AND (item_id % 5 <> 2 OR contains(lower(section_title), CASE WHEN item_id % 2 = 0 THEN 'body' ELSE 'none such' END))
+      AND (item_id % 10 <> 7 OR list_contains(list_transform([0, 1, 60], lambda i: 'doc-' || lpad((item_id + i)::VARCHAR, 7, '0')), doc_id))""",
+    "own_n": within("own_ok", "query_id"),
     # graph
     "rules": "SELECT * FROM (" + rows_of(demo.ENTITY_RULES) + ") r(ordinal, label, type, aliases)",
     "aliases": "SELECT label, type, unnest(aliases) AS alias, generate_subscripts(aliases, 1) AS place FROM rules",
@@ -173,7 +190,13 @@ PARTS = {
     "table_": "SELECT * FROM (" + rows_of([(i, r, c, int(x), g, dep, why) for i, r, c, x, g, dep, why in demo.questions.ROUTES]) + ") r(intent, route, confidence, ir, graph, graph_depth, refusal_reason)",
     "routes": """SELECT query_id, text, intent, route, confidence::DOUBLE AS confidence, ir = 1 AS include_retrieval, graph = 'always' OR (graph = 'asked' AND ig) AS include_graph, graph_depth, refusal_reason, ga AS generate_answer,
       CASE WHEN intent = 'policy_lookup' AND len(pt) = 0 THEN ['policy'] ELSE pt END AS policy_types FROM intents JOIN table_ USING (intent)""",
-    "ev": "SELECT * FROM cites WHERE query_id IN (SELECT query_id FROM routes WHERE include_retrieval)",
+    "route_ok": "SELECT query_id, chunk_id FROM routes JOIN chunks ON true WHERE include_retrieval AND (len(policy_types) = 0 OR list_contains(policy_types, policy_type))",
+    "route_n": within("route_ok", "query_id"),
+    "route_v": "SELECT query_id, chunk_id, norm, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS rank FROM (SELECT * FROM vn WHERE rank <= 80) JOIN route_ok USING (query_id, chunk_id)",
+    "route_0": "SELECT query_id, chunk_id, b.norm AS bm25_score, v.norm AS vector_score FROM (SELECT * FROM route_n WHERE rank <= 20) b FULL JOIN (SELECT * FROM route_v WHERE rank <= 20) v USING (query_id, chunk_id)",
+    "route_1": "SELECT *, greatest(0.0, least(1.0, 0.55 * coalesce(vector_score, 0) + 0.35 * coalesce(bm25_score, 0) + 0.05 * (len(policy_types) > 0)::INT + 0.05)) AS hybrid_score FROM route_0 JOIN routes USING (query_id)",
+    "route_h": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, chunk_id) AS rank FROM route_1 QUALIFY rank <= 5",
+    "ev": "SELECT query_id, rank, 'CIT-' || rank AS citation_id, chunk_id, doc_id, title, section_title, c.text AS quote, hybrid_score FROM route_h JOIN chunks c USING (chunk_id)",
     "ranks": "SELECT query_id, doc_id, min(rank) AS doc_rank FROM ev GROUP BY ALL",
     "aq": f"SELECT item_id AS query_id, {words_only('text')} AS normal, list_distinct({evidence_tokens('text')}) AS tokens FROM benchmark",
     "tt": "SELECT * FROM (" + rows_of(demo.TYPE_TERMS) + ") r(type, term)",
@@ -249,12 +272,12 @@ PARTS["fb"] = """SELECT event_id AS feedback_id, event_type AS issue_category, C
       ['open', 'triaged', 'resolved', 'closed'][user_id % 4 + 1] AS review_status, json_extract_string(props, '$.k') AS reviewer_note, NULL::VARCHAR AS linked_eval_case_id FROM events"""
 PARTS["upd"] = f"""SELECT CASE WHEN event_id % 49 = 0 THEN event_id + {demo.NEW} WHEN event_id % 5 = 0 AND event_id > 0 THEN event_id - 1 ELSE event_id END AS feedback_id, event_id AS at_event, CASE event_id % 3 WHEN 0 THEN ['review_status'] WHEN 1 THEN ['reviewer_note', 'linked_eval_case_id'] ELSE ['review_status', 'reviewer_note'] END AS sf,
       CASE WHEN event_id % 5 = 0 THEN 'closed' ELSE 'resolved' END AS ns, CASE WHEN event_id % 2 = 0 THEN 'seen' END AS nn, 'case-' || event_id AS nl FROM events"""
-PARTS["fold"] = """SELECT feedback_id, bool_or(f = 'review_status') AS h1, bool_or(f = 'reviewer_note') AS h2, bool_or(f = 'linked_eval_case_id') AS h3,
-      arg_max_null(ns, at_event) FILTER (f = 'review_status') AS ns, arg_max_null(nn, at_event) FILTER (f = 'reviewer_note') AS nn, arg_max_null(nl, at_event) FILTER (f = 'linked_eval_case_id') AS nl,
-      min(at_event * 10 + i) FILTER (f = 'review_status') AS p1, min(at_event * 10 + i) FILTER (f = 'reviewer_note') AS p2, min(at_event * 10 + i) FILTER (f = 'linked_eval_case_id') AS p3
-      FROM (SELECT *, unnest(sf) AS f, generate_subscripts(sf, 1) AS i FROM upd) GROUP BY feedback_id"""
-PARTS["fu"] = """SELECT fb.*, coalesce(h1, false) AND ns IS DISTINCT FROM review_status AS c1, coalesce(h2, false) AND nn IS DISTINCT FROM reviewer_note AS c2, coalesce(h3, false) AND nl IS DISTINCT FROM linked_eval_case_id AS c3, ns, nn, nl, p1, p2, p3
-      FROM fb LEFT JOIN fold USING (feedback_id)"""
+PREVIOUS = lambda f, new: f"last_value(CASE WHEN list_contains(sf, '{f}') THEN {{'v': {new}}} END IGNORE NULLS) OVER (PARTITION BY feedback_id ORDER BY at_event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+FIELD = {"review_status": "ns", "reviewer_note": "nn", "linked_eval_case_id": "nl"}
+PARTS["states"] = "SELECT feedback_id, at_event, sf, ns, nn, nl, " + ", ".join(f"{f} AS first_{f}, {PREVIOUS(f, new)} AS p_{f}" for f, new in FIELD.items()) + " FROM upd JOIN fb USING (feedback_id)"
+PARTS["trail"] = "SELECT *, " + ", ".join(f"CASE WHEN list_contains(sf, '{f}') THEN {new} ELSE b_{f} END AS a_{f}, list_contains(sf, '{f}') AND {new} IS DISTINCT FROM b_{f} AS c_{f}" for f, new in FIELD.items()) + " FROM (SELECT *, " + ", ".join(f"CASE WHEN p_{f} IS NULL THEN first_{f} ELSE p_{f}.v END AS b_{f}" for f in FIELD) + " FROM states)"
+PARTS["changed"] = "SELECT *, list_filter(sf, lambda f: CASE f WHEN 'review_status' THEN c_review_status WHEN 'reviewer_note' THEN c_reviewer_note ELSE c_linked_eval_case_id END) AS cf FROM trail WHERE c_review_status OR c_reviewer_note OR c_linked_eval_case_id"
+PARTS["lasting"] = "SELECT feedback_id, " + ", ".join(f"CASE WHEN count(*) FILTER (list_contains(sf, '{f}')) > 0 THEN arg_max_null({new}, at_event) FILTER (list_contains(sf, '{f}')) ELSE any_value(fb.{f}) END AS {f}" for f, new in FIELD.items()) + " FROM fb LEFT JOIN upd USING (feedback_id) GROUP BY feedback_id"
 PARTS["batch_"] = f"SELECT CASE WHEN doc_id % 5 < 2 THEN doc_id - doc_id % 3 + {demo.NEW} ELSE doc_id - doc_id % 2 END AS doc_id, sha256(text) AS sha, lpad(doc_id::VARCHAR, 9, '0') AS path FROM documents"
 PARTS["known"] = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(sha256(text)) ELSE sha256(text) END AS known FROM documents"
 PARTS["classed"] = """SELECT path, doc_id, CASE WHEN known IS NULL AND row_number() OVER w = 1 THEN 'ingested' WHEN sha = coalesce(known, first_value(sha) OVER w) THEN 'skipped' ELSE 'failed' END AS status FROM batch_ LEFT JOIN known USING (doc_id)
@@ -285,6 +308,12 @@ PARTS["resolved"] = f"""SELECT request_id, p.ok AS ok, CASE WHEN ok THEN {scope(
         CASE WHEN len(list_filter(rl, lambda v: list_position({LV}, v) > list_position({LV}, ml))) > 0 THEN 'requested_access_levels denied above max_access_level ' || ml || ': ' || array_to_string(list_filter(rl, lambda v: list_position({LV}, v) > list_position({LV}, ml)), ', ') END) ELSE '' END AS denied
       FROM reqs LEFT JOIN pers p USING (persona_id)"""
 
+PARTS |= {
+    "seen": """SELECT request_id, request_id % (SELECT count(*) FROM benchmark) AS query_id, chunk_id FROM resolved r JOIN chunks c ON ok AND (r.departments IS NULL OR list_contains(r.departments, department)) AND (r.regions IS NULL OR list_has_any(r.regions, c.regions))
+      AND (r.policy_types IS NULL OR list_contains(r.policy_types, policy_type)) AND (r.access_levels IS NULL OR list_contains(r.access_levels, access_level)) AND (r.owners IS NULL OR list_contains(r.owners, owner))""",
+    "seen_n": within("seen", "request_id"),
+}
+
 
 def sql(select: str) -> str:
     """select after the parts that it names, and those that they name; each part only names earlier ones."""
@@ -356,6 +385,9 @@ SELECTS = {
     "t4_scores": "SELECT query_id, chunk_id, round(score, 6) AS score FROM bm",
     "t5_normalized": "SELECT query_id, chunk_id, round(norm, 6) AS normalized FROM bmn WHERE hit",
     "t6_search": "SELECT query_id, chunk_id, round(score, 4) AS raw_score, round(norm, 6) AS normalized_score, rank::INT AS rank FROM bmn WHERE rank <= 5",
+    "t6_filtered_search": "SELECT query_id, chunk_id, round(norm, 6) AS bm25_score, rank::INT AS rank FROM own_n WHERE rank <= 5",
+    "a3_search_as": "SELECT request_id, chunk_id, round(score, 4) AS raw_score, round(norm, 6) AS normalized_score, rank::INT AS rank FROM seen_n WHERE rank <= 5",
+    "r4_deep_page": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 200 OFFSET (SELECT count(*) // 2 FROM lineitem)",
     "t7_filters": f"SELECT chunk_id, policy_type FROM chunks WHERE {FILTERED}",
     "t9_nearest": "SELECT query_id, id, round(c, 6) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id)::INT AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS c FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) QUALIFY rank <= 10",
     "t10_hybrid": "SELECT query_id, chunk_id, round(bm25_score, 6) AS bm25_score, round(vector_score, 6) AS vector_score, 0.0::DOUBLE AS metadata_boost, 1.0::DOUBLE AS recency_boost, round(hybrid_score, 6) AS hybrid_score, rank::INT AS rank FROM hy",
@@ -414,17 +446,21 @@ SELECTS = {
     "f2_summary": """SELECT 'all' AS dimension, 'total' AS value, count(*) AS n FROM fb UNION ALL SELECT 'all', 'negative', count_if(user_rating = 'negative') FROM fb UNION ALL SELECT 'all', 'unresolved', count_if(review_status IN ('open', 'triaged')) FROM fb
       UNION ALL SELECT 'issue_category', issue_category, count(*) FROM fb GROUP BY ALL UNION ALL SELECT 'review_status', review_status, count(*) FROM fb GROUP BY ALL UNION ALL SELECT 'feedback_type', feedback_type, count(*) FROM fb GROUP BY ALL
       UNION ALL (SELECT 'top' || row_number() OVER (ORDER BY c DESC, f), issue_category, c FROM (SELECT issue_category, count(*) AS c, min(feedback_id) AS f FROM fb GROUP BY ALL) ORDER BY c DESC, f LIMIT 5)""",
-    "f3_updates": """SELECT feedback_id, CASE WHEN c1 THEN ns ELSE review_status END AS review_status, CASE WHEN c2 THEN nn ELSE reviewer_note END AS reviewer_note, CASE WHEN c3 THEN nl ELSE linked_eval_case_id END AS linked_eval_case_id,
-      nullif(array_to_string(list_transform(list_sort(list_filter([CASE WHEN c1 THEN {'p': p1, 'f': 'review_status'} END, CASE WHEN c2 THEN {'p': p2, 'f': 'reviewer_note'} END, CASE WHEN c3 THEN {'p': p3, 'f': 'linked_eval_case_id'} END], lambda x: x IS NOT NULL)), lambda x: x.f), ','), '') AS changed, NULL::VARCHAR AS error FROM fu
-      UNION ALL SELECT feedback_id, NULL, NULL, NULL, NULL, 'INVALID_REQUEST' FROM upd WHERE feedback_id NOT IN (SELECT feedback_id FROM fb)""",
+    "f3_updates": """SELECT feedback_id, NULL::BIGINT AS at_event, review_status, reviewer_note, linked_eval_case_id, NULL::VARCHAR AS changed, NULL::VARCHAR AS error FROM lasting
+      UNION ALL SELECT feedback_id, at_event, a_review_status, a_reviewer_note, a_linked_eval_case_id, array_to_string(cf, ','), NULL FROM changed
+      UNION ALL SELECT feedback_id, NULL, NULL, NULL, NULL, NULL, 'INVALID_REQUEST' FROM upd WHERE feedback_id NOT IN (SELECT feedback_id FROM fb)""",
     "f4_queue": "SELECT feedback_id, review_status, (SELECT count(*) FROM fb WHERE review_status IN ('open', 'triaged')) AS total FROM fb WHERE review_status IN ('open', 'triaged')",
-    "f5_audit": """SELECT feedback_id, 0 AS step, 'feedback_submission' AS event_type, 'feedback_type=' || feedback_type || ',issue_category=' || issue_category || ',user_rating=' || user_rating AS metadata FROM fb
-      UNION ALL SELECT feedback_id, 1, 'feedback_status_updated', 'review_status=' || ns FROM fu WHERE c1 UNION ALL SELECT feedback_id, 2, 'feedback_reviewer_note_updated', '' FROM fu WHERE c2 UNION ALL SELECT feedback_id, 3, 'feedback_eval_linked', 'linked_eval_case_id=' || nl FROM fu WHERE c3""",
+    "f5_audit": """SELECT feedback_id, NULL::BIGINT AS at_event, 0 AS step, 'feedback_submission' AS event_type, 'feedback_type=' || feedback_type || ',issue_category=' || issue_category || ',user_rating=' || user_rating AS metadata FROM fb
+      UNION ALL SELECT feedback_id, at_event, 1, 'feedback_status_updated', 'review_status=' || a_review_status FROM changed WHERE c_review_status UNION ALL SELECT feedback_id, at_event, 2, 'feedback_reviewer_note_updated', '' FROM changed WHERE c_reviewer_note
+      UNION ALL SELECT feedback_id, at_event, 3, 'feedback_eval_linked', 'linked_eval_case_id=' || a_linked_eval_case_id FROM changed WHERE c_linked_eval_case_id""",
     "f6_readiness": """SELECT 'personas' AS part, 'available' AS status, (SELECT count(*) FROM nation)::VARCHAR AS detail UNION ALL SELECT 'graph', 'available', (SELECT count(*) FROM nodes) || '/' || (SELECT count(*) FROM edges)
       UNION ALL SELECT 'evaluation', 'available', (SELECT round(count_if(passed)::DOUBLE / count(*), 4) FROM evc)::VARCHAR
       UNION ALL SELECT 'feedback', 'available', (SELECT 'open=' || count_if(review_status = 'open') || ',triaged=' || count_if(review_status = 'triaged') || ',resolved=' || count_if(review_status = 'resolved') || ',closed=' || count_if(review_status = 'closed') FROM fb)""",
 }
 
+rate = lambda mode: f"max(hit_rate) FILTER (mode = '{mode}')"
+SELECTS["t16_gate"] = f"SELECT {rate('bm25')} AS bm25, {rate('vector')} AS vector, {rate('hybrid')} AS hybrid, {rate('hybrid')} >= 0.8 AND {rate('hybrid')} >= {rate('bm25')} AND {rate('hybrid')} >= {rate('vector')} AS passed FROM ({SELECTS['t16_retrieval_eval']})"
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql(select) for name, select in SELECTS.items()}

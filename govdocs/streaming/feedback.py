@@ -21,8 +21,7 @@ def follow_feedback(spark: SparkSession, log_dir: str, out: str, checkpoint: str
         valid, corrupt = split_records(batch)
         valid.drop("position", "line_number").write.mode("overwrite").parquet(f"{out}/feedback/batch={number}")
         corrupt.drop("line_number").write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
-        changes = batch.sparkSession.createDataFrame([], "feedback_id string, changed_fields array<string>")
-        events = feedback_audit(valid, changes, valid)
+        events = feedback_audit(valid)
         events.withColumn("metadata", redact("metadata")).write.mode("overwrite").json(f"{out}/audit/batch={number}")
 
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

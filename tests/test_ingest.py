@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +138,22 @@ def test_corpus_cases_and_reports_round_trip(spark, tmp_path):
     assert files.index_manifest(ingest.chunks(docs), 8).first().n_chunks == 1
 
 
+def test_hashed_vectors_equal_a_plain_loop():
+    """Every feature's digest, bucket and sign by hand; counts and unit length."""
+    text = "Some words here, some_words-here again: ÉTÉ 12 12"
+    low = text.lower()
+    words, packed = re.findall(r"[a-z0-9]+(?:[-_][a-z0-9]+)*", low), " ".join(low.split())
+    features = [f"tok:{w}" for w in words] + [f"bi:{a}_{b}" for a, b in zip(words, words[1:])] + [f"tri:{packed[i : i + 3]}" for i in range(len(packed) - 2)]
+    for digest, make in (("blake2b", lambda f: hashlib.blake2b(f.encode(), digest_size=8).digest()), ("md5", lambda f: hashlib.md5(f.encode()).digest())):
+        want = [0] * 384
+        for f in features:
+            d = make(f)
+            want[(d[0] << 24 | d[1] << 16 | d[2] << 8 | d[3]) % 384] += -1 if d[4] % 2 else 1
+        length = sum(x * x for x in want) ** 0.5
+        assert hashed_vector(text, 384, {}, digest, unit=False).tolist() == want
+        assert all(abs(a - b / length) < 1e-6 for a, b in zip(hashed_vector(text, 384, {}, digest), want))
+
+
 def test_hashed_vectors():
     v = hashed_vector("Some words here", 64, {})
     assert abs(float(v @ v) - 1) < 1e-5 and not hashed_vector("", 64, {}).any()
@@ -154,6 +171,25 @@ def test_bad_bytes_and_odd_folders_are_no_failures(spark, tmp_path):
     assert {tuple(r) for r in bad.collect()} == {("bad.txt", "INVALID_ENCODING"), ("blank.txt", "EMPTY_DOCUMENT")}
 
 
+def test_roots_may_have_schemes_dots_and_blanks(spark, tmp_path, monkeypatch):
+    top = tmp_path / "my raw files"
+    (top / "sub dir").mkdir(parents=True)
+    (top / "sub dir" / "a%20b+c.md").write_text("text")
+    monkeypatch.chdir(tmp_path)
+    for root in (str(top), f"{top}/", f"file://{top}", f"file:{top}", f"{tmp_path}/./my raw files", f"{tmp_path}/other/../my raw files//"):
+        assert [r.path for r in files.read_raw(spark, root)[0].collect()] == ["sub dir/a%20b+c.md"], root
+    with pytest.raises(ValueError, match="pattern"):
+        files.read_raw(spark, f"{tmp_path}/my*")
+
+
+def test_manifest_tells_what_changed(spark):
+    chunks = lambda *rows: spark.createDataFrame(rows, "chunk_id string, text_sha256 string")
+    old = files.index_manifest(chunks(("a", "1"), ("b", "2"), ("c", "3")), 8)
+    new = files.index_manifest(chunks(("a", "1"), ("b", "9"), ("d", "4")), 8)
+    assert {tuple(r) for r in files.manifest_changes(old, new).collect()} == {("b", "changed"), ("c", "removed"), ("d", "added")}
+    assert files.manifest_changes(old, old).isEmpty()
+
+
 def test_newest_whole_version_is_read_and_a_failed_one_is_not(spark, tmp_path):
     path = str(tmp_path / "index")
     for i in (1, 2):
@@ -168,7 +204,15 @@ def test_corpus_is_written_over_what_it_reads(spark, tmp_path):
     path = str(tmp_path / "corpus")
     files.write_corpus({"a": spark.range(3)}, path)
     files.write_corpus({"a": files.read_corpus(spark, path, "a")["a"].where("id > 0")}, path)
-    assert sorted(r.id for r in files.read_corpus(spark, path, "a")["a"].collect()) == [1, 2] and [p.name for p in (tmp_path / "corpus").iterdir()] == ["a"]
+    assert sorted(r.id for r in files.read_corpus(spark, path, "a")["a"].collect()) == [1, 2]
+    broken = spark.range(3).select(F.raise_error(F.lit("broken")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        files.write_corpus({"a": broken}, path)
+    assert files.read_corpus(spark, path, "a")["a"].count() == 2  # a crash leaves the table that was there
+    for n in (4, 5, 6):
+        files.write_corpus({"a": spark.range(n)}, path)
+    assert files.read_corpus(spark, path, "a")["a"].count() == 6
+    assert len([p for p in (tmp_path / "corpus" / "versions").iterdir() if any(p.rglob("*.parquet"))]) <= 3  # two whole ones, and what the crash left
 
 
 def test_report_of_a_run_is_replaced(spark, tmp_path):

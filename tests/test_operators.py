@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from govdocs.functions import text as X
-from govdocs.functions.helpers import nearest
+from govdocs.operators.nearest import nearest
 from govdocs.operators import access, bm25, feedback, graph, retrieval
 from govdocs.plans import demo, oracle, questions
 from govdocs.streaming.feedback import follow_feedback
@@ -99,7 +99,7 @@ def test_counted_terms_are_those_of_the_expression(spark):
     assert got == want
 
 
-def test_aliases_joined_by_their_first_run_match_as_constants(spark, monkeypatch):
+def test_aliases_in_an_automaton_match_as_constants(spark, monkeypatch):
     rules = spark.createDataFrame([("MIT", "Form", ["MIT License", "(mit)", "X"]), ("Sign", "Form", ["§§"]), ("Plus", "Role", ["C++", "cplusplus"])], "label string, type string, aliases array<string>")
     texts = ["the mit license.", "emit license", "C++ and (MIT) x", "a§§ b", "§§", "xC++", "C++1", None]
     chunks = spark.createDataFrame([(f"c{i}", "d", t) for i, t in enumerate(texts)], "chunk_id string, doc_id string, text string")
@@ -109,6 +109,31 @@ def test_aliases_joined_by_their_first_run_match_as_constants(spark, monkeypatch
     assert {(r[0], r[2], r[4]) for r in one} == {("c0", "MIT", "MIT License"), ("c2", "Plus", "C++"), ("c2", "MIT", "(mit)"), ("c4", "Sign", "§§")}
 
 
+def test_large_lexicon_equals_constant_patterns(spark, sf_dir, monkeypatch):
+    """10,000 aliases (parts of words, several words, signs, cases) against patterns, in one slice and in several; no text enters an exchange."""
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30).collect()]
+    words = sorted({w for t in texts for w in re.findall(r"\S+", t)})
+    names = [w for w in words[:4000]] + [w[: max(1, len(w) - 1)].upper() for w in words[:3000]] + [f"{a} {b}" for t in texts for a, b in zip(t.split(), t.split()[1:])]
+    names = (names + [f"missing {i}" for i in range(10_000)])[:10_000]
+    rules = [(f"L{i}", "Form", names[i : i + 2]) for i in range(0, len(names), 2)]
+    table = spark.createDataFrame(rules, "label string, type string, aliases array<string>")
+    chunks = spark.createDataFrame([(f"c{i}", "d", t) for i, t in enumerate(texts)], "chunk_id string, doc_id string, text string")
+    patterns = [(label, [(a, re.compile(graph.pattern_of(a), re.ASCII)) for a in aliases]) for label, _, aliases in rules]
+    want = set()
+    for i, t in enumerate(texts):
+        low = t.lower()
+        for label, aliases in patterns:
+            hit = next((a for a, p in aliases if a.lower() in low and p.search(t)), None)
+            if hit is not None:
+                want.add((f"c{i}", "d", label, "Form", hit))
+    for size in (8 << 20, 100_000):
+        monkeypatch.setattr(graph, "LEXICON_BYTES", size)
+        found = graph.match_entities(chunks, table)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hub_keeps_all_its_sources(spark):
     rows = [("n1", "Hub" if i % 2 else "HUB", "Region", f"d{i:03}", f"c{i:03}-{k}", f"m{i}", 0.9) for i in range(130) for k in range(2)]
     nodes, sources = graph.merge_nodes(spark.createDataFrame(rows * 2, "node_id string, label string, type string, doc_id string, chunk_id string, mention string, confidence double"))
@@ -179,7 +204,31 @@ def test_several_updates_of_one_record_act_in_order(spark):
     updates = spark.createDataFrame(up, "feedback_id string, at int, set_fields array<string>, review_status string, reviewer_note string, linked_eval_case_id string")
     new, changes, errors = feedback.apply_updates(fb, updates, "at")
     assert sorted(map(tuple, new.collect())) == [("f1", "closed", None, "c"), ("f2", "open", "n", None)]
-    assert [tuple(r) for r in changes.collect()] == [("f1", ["review_status", "reviewer_note"])] and errors.count() == 2
+    assert [(r.feedback_id, r.at.at, r.changed_fields) for r in changes.orderBy("at").collect()] == [("f1", 1, ["review_status"]), ("f1", 2, ["reviewer_note", "review_status"])] and errors.count() == 2
+
+
+def test_there_and_back_leaves_its_trail(spark, tmp_path):
+    """open to triaged to open: two changes and two events, though the record ends as it began; a hot record in many ranges too."""
+    fb = spark.createDataFrame([("f1", "open", None, None, "a", "b", "c"), ("f2", "open", "n", "l", "a", "b", "c")], "feedback_id string, review_status string, reviewer_note string, linked_eval_case_id string, feedback_type string, issue_category string, user_rating string")
+    hot = [("f2", i, ["review_status", *(["reviewer_note"] if i % 7 == 0 else [])], "open" if i % 3 else "closed", None if i % 2 else "seen", None) for i in range(500)]
+    up = [("f1", 1, ["review_status"], "triaged", None, None), ("f1", 2, ["review_status"], "open", None, None), ("f1", 3, ["reviewer_note"], None, None, None), ("f0", 1, ["review_status"], "open", None, None), *hot]
+    updates = spark.createDataFrame(up, "feedback_id string, at int, set_fields array<string>, review_status string, reviewer_note string, linked_eval_case_id string").repartition(5)
+    want, state = [], {r.feedback_id: r.asDict() for r in fb.collect()}
+    for i, at, fields, *values in sorted(up, key=lambda u: u[:2]):
+        if i in state:
+            new = dict(zip(feedback.FIELDS, values))
+            changed = [f for f in fields if state[i][f] != new[f]]
+            state[i] |= {f: new[f] for f in fields}
+            want += [(i, at, changed, *[state[i][f] for f in feedback.FIELDS])] if changed else []
+    for n, path in enumerate((None, str(tmp_path / "trail"))):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(n == 0).lower())
+        new, changes, errors = feedback.apply_updates(fb, updates, "at", path)
+        rows = [(r.feedback_id, r.at.at, r.changed_fields, *[r[f"after_{f}"] for f in feedback.FIELDS]) for r in changes.collect()]
+        assert sorted(rows, key=lambda r: r[:2]) == want and errors.count() == 1
+        assert all({r[f] for f in feedback.FIELDS} == {state[r.feedback_id][f] for f in feedback.FIELDS} for r in new.collect())
+        events = feedback.feedback_audit(fb, changes).where("feedback_id = 'f1' and step = 1").orderBy("at").collect()
+        assert [e.metadata["review_status"] for e in events] == ["triaged", "open"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 def test_degraded_pack_says_why(spark):
