@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word, as the quality rules and fingerprints take it: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Side of an id join that may be broadcast, in bytes; checked against a real count.
-BROADCAST_BYTES = 64 << 20
+#: Side of an id join that may be broadcast, in bytes; checked against a real count. What weighs on the driver is several times that.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
