@@ -92,10 +92,15 @@ def term_part(mean_length: float, settings: Settings) -> Column:
     return tf * (k1 + 1) / (tf + k1 * long)
 
 
-def terms_of(counted: DataFrame, n: int, mean_length: float, settings: Settings) -> DataFrame:
+def weighed(frequencies: DataFrame, n: int) -> DataFrame:
+    """frequencies (token, df) with idf among n chunks."""
     df = F.col("df")
+    return frequencies.withColumn("idf", F.log(1 + (n - df + 0.5) / (df + 0.5)))
+
+
+def terms_of(counted: DataFrame, n: int, mean_length: float, settings: Settings) -> DataFrame:
     sums = postings_of(counted).groupBy("token").agg(F.count("*").alias("df"), F.max(term_part(mean_length, settings)).alias("peak"))
-    return sums.select("token", "df", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"), "peak")
+    return weighed(sums, n).select("token", "df", "idf", "peak")
 
 
 def shortest(counted: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from govdocs.functions import text as X
 from govdocs.functions.helpers import embed
-from govdocs.operators import access, bm25, evaluation, feedback, graph, ingest, profiles, registry, retrieval
+from govdocs.operators import access, bm25, evaluation, feedback, graph, ingest, profiles, registry, retrieval, segments
 from govdocs.operators.nearest import nearest
 from govdocs.plans import questions
 from govdocs.plans.workspace import folder, stored
@@ -368,6 +368,15 @@ def t3_index(spark, d):
     return rounded(index(spark, d).terms.drop("peak"), "idf")
 
 
+def t3_upserted(spark, d):
+    """The index of an older corpus (of each hundred documents one with another text, one not there yet) brought up to date by a segment."""
+    n, dims = F.col("n"), Settings().dimensions
+    texts = bm25.indexable_text(chunks(spark, d)).select("n", "chunk_id", "text_sha256", "indexable")
+    old = texts.where(n % 100 != 1).withColumns({c: F.when(n % 100 == 0, F.concat(c, F.lit(" old"))).otherwise(F.col(c)) for c in ("text_sha256", "indexable")})
+    index = segments.with_changes(segments.first_segments(spread(old), dims, folder(spark, "base")), texts, dims, folder(spark, "segment"))
+    return rounded(bm25.weighed(segments.signed_frequencies(index), index.manifest.count()), "idf")
+
+
 def t4_scores(spark, d):
     return rounded(bm25.scores(asked(spark, d), index(spark, d)), "score")
 

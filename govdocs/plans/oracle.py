@@ -382,6 +382,7 @@ SELECTS = {
     "t1_tokens": "SELECT item_id, array_to_string(" + grams("e") + ", ' ') AS tokens FROM (SELECT item_id, " + tokens_of("(text || ' state-of_art 1,250.50 $ x2')") + " AS e FROM benchmark)",
     "t2_indexable": "SELECT chunk_id, sha256(ix) AS sha FROM indexed",
     "t3_index": "SELECT token, df, round(idf, 6) AS idf FROM idf",
+    "t3_upserted": "SELECT token, df, round(idf, 6) AS idf FROM idf",
     "t4_scores": "SELECT query_id, chunk_id, round(score, 6) AS score FROM bm",
     "t5_normalized": "SELECT query_id, chunk_id, round(norm, 6) AS normalized FROM bmn WHERE hit",
     "t6_search": "SELECT query_id, chunk_id, round(score, 4) AS raw_score, round(norm, 6) AS normalized_score, rank::INT AS rank FROM bmn WHERE rank <= 5",

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from govdocs.operators import access, bm25, nearest, profiles, registry, retrieval
+from govdocs.operators import access, bm25, nearest, profiles, registry, retrieval, segments
+from govdocs.sources import files
 
 WORDS = ["red", "blue", "apple", "pear", "sky", "the", "of", "license", "token", "rare", "odd", "sea-side"]
 CHUNK = "chunk_id string, doc_id string, title string, section_title string, department string, regions array<string>, owner string, related_processes array<string>, policy_type string, access_level string, text string"
@@ -197,3 +198,26 @@ def test_rank_directory_pages_and_ranks(spark, tmp_path):
     assert "GlobalLimit" not in plan and "rank_part" in plan and len(directory.parts) > 1
     empty = registry.rank_directory(df.limit(0), ["a", "b"], str(tmp_path / "none"))
     assert empty.total == 0 and empty.page(0, 5).collect() == [] and empty.ranked().collect() == []
+
+
+def test_segments_equal_a_rebuild(spark, tmp_path, monkeypatch):
+    """Three upserts (added, changed, removed, changed back), merged, and compacted; only what differs is counted."""
+    table = lambda rows: spark.createDataFrame([(c, str(hash(t)), t) for c, t in rows.items()], "chunk_id string, text_sha256 string, indexable string")
+    rows = {r[0]: r[-1] for r in corpus(60)}
+    index = segments.first_segments(table(rows), 8, str(tmp_path / "0"))
+    real, counted = bm25.counted_terms, []
+    monkeypatch.setattr(bm25, "counted_terms", lambda texts: counted.append(texts.count()) or real(texts))
+    old = dict(rows)
+    steps = [{"c001": "wholly new text", "c900": "the of the added", "c002": None}, {"c001": old["c001"], "c002": old["c002"], "c003": "", "c900": None}, {"c900": "back again of the", "c004": None, "c003": old["c003"]}]
+    for n, step in enumerate(steps):
+        rows = {c: t for c, t in (rows | step).items() if t is not None}
+        index = segments.with_changes(index, table(rows), 8, str(tmp_path / f"s{n}"))
+        want = bm25.build_index(real(table(rows)))
+        for now in (index, segments.compacted(index, str(tmp_path / f"c{n}"))):
+            got = segments.index_of(now)
+            assert (got.n, round(got.mean_length, 9)) == (want.n, round(want.mean_length, 9))
+            show = lambda df, *cs: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*cs).collect())
+            assert show(got.terms, "token", "df", "idf", "peak") == show(want.terms, "token", "df", "idf", "peak")
+            assert show(got.postings, "token", "chunk_id", "tf", "length", "part") == show(want.postings, "token", "chunk_id", "tf", "length", "part")
+        assert files.manifest_changes(index.manifest, files.index_manifest(table(rows), 8)).isEmpty()
+    assert counted == [2, 3, 2]
