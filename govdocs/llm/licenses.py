@@ -42,6 +42,19 @@ TEMPLATES = {
     "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.",
     "reserved": "All rights reserved.",
     "copyright": "Copyright, all rights reserved, no part may be reproduced without written permission.",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "epl-1.0": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+}
+#: Short name, long name and versions of the GNU licences.
+GNU = [("GPL", "General Public License", ["2.0", "3.0"]), ("LGPL", "Lesser General Public License", ["2.1", "3.0"]), ("AGPL", "Affero General Public License", ["3.0"])]
+#: The notice that programs under them carry; fixed value.
+GNU_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {long} as published by the Free Software Foundation, {which}."
+TEMPLATES |= {
+    f"{short.lower()}-{v}{suffix}": GNU_NOTICE.format(long=long, which=which.format(v=v.removesuffix(".0")))
+    for short, long, versions in GNU
+    for v in versions
+    for suffix, which in (("-or-later", "either version {v} of the License, or (at your option) any later version"), ("-only", "version {v} of the License"))
 }
 
 
@@ -55,17 +68,24 @@ NAMES = {
     "unlicense": ["Unlicense"],
     "mpl-2.0": ["MPL 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v2.0", "Mozilla Public License, Version 2.0"],
     "cc0-1.0": ["CC0 1.0", "CC0", "Creative Commons Zero"],
+    "bsl-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0", "Boost License 1.0", "BSL 1.0"],
+    "epl-1.0": ["Eclipse Public License 1.0", "Eclipse Public License v1.0", "Eclipse Public License, Version 1.0", "EPL 1.0"],
+    "epl-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License, Version 2.0", "EPL 2.0"],
 } | {
     f"{short.lower()}-{v}.{minor}": [f"{name} {form}" for name in (f"GNU {long}", f"GNU {short}", long, short) for form in (f"version {v}", f"v{v}", f"v{v}.{minor}", f"{v}.{minor}", f"version {v}.{minor}")] + [f"{short}v{v}", f"GNU {short}v{v}"]
     for short, long, v, minor in (("GPL", "General Public License", 2, 0), ("GPL", "General Public License", 3, 0), ("LGPL", "Lesser General Public License", 2, 1), ("LGPL", "Lesser General Public License", 3, 0), ("AGPL", "Affero General Public License", 3, 0))
 }
 #: What stands before a name.
-LEADS = ["under", "under the", "under a", "under an", "under the terms of", "under the terms of the", "License:", "Licence:"]
+LEADS = ["under", "under the", "under a", "under an", "under the terms of", "under the terms of the", "under either of", "under either of the", "License:", "Licence:"]
 #: Creative Commons terms; their codes say enough without a lead.
 CC_TERMS = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
 #: Each short form holds one of these words, or a pair of them with what separates words between.
 CLUES = ["licen", "apache", "gpl", "bsd", "cc0", "creative"]
-CLUE_PAIRS = re.compile("cc[^a-z0-9]+by|mpl[^a-z0-9]+2")
+CLUE_PAIRS = re.compile("cc[^a-z0-9]+by|[em]pl[^a-z0-9]+[12]|bsl[^a-z0-9]+1|mit[^a-z0-9]+or[^a-z0-9]|[^a-z0-9]or[^a-z0-9]+mit")
+#: What stands between alternatives.
+BETWEEN = {"or", "and"}
+#: Titles that say enough without a lead.
+TITLES = {"apache-2.0": "Apache License, Version 2.0, January 2004"}
 
 
 def words_of(text: str) -> list[str]:
@@ -82,6 +102,7 @@ def short_forms() -> dict[tuple[str, ...], str]:
     """Words of a short form -> licence."""
     out = {tuple(words_of(f"{lead} {name}")): k for k, names in NAMES.items() for name in names for lead in LEADS}
     out |= {tuple(words_of(f"SPDX-License-Identifier: {k}")): k for k in NAMES}
+    out |= {tuple(words_of(title)): k for k, title in TITLES.items()}
     for code, term in CC_TERMS.items():
         for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             k = f"cc-{code}-{v}"
@@ -89,6 +110,11 @@ def short_forms() -> dict[tuple[str, ...], str]:
     return out
 
 
+def bare_names() -> dict[tuple[str, ...], str]:
+    """Words of a name or identifier -> licence; they count beside `or` and `and` where another such name is on the other side."""
+    return {tuple(words_of(name)): k for k, names in NAMES.items() for name in (k, k.replace("-clause", " clause"), *names)} | {("mit",): "mit", ("isc",): "isc"}
+
+
 def bodies() -> dict[str, str]:
     """Licence texts beside this file, read by the driver."""
     return {p.stem: p.read_text() for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
@@ -120,6 +146,8 @@ class Finder:
                 self.index.setdefault(p, []).append(t)
         for form, k in forms.items():
             self.forms.setdefault(" ".join(form[:2]), []).append((form, k))
+        self.bare = bare_names() if forms else {}
+        self.longest, self.firsts = max(map(len, self.bare), default=0), {b[0] for b in self.bare}
         told = {w for _, v, _ in held if v for w in telling_words(list(dict.fromkeys(v)), least)} | (set(CLUES) if forms else set())
         self.told = sorted((w for w in told if not any(o != w and o in w for o in told)), key=lambda w: (len(w), w))
 
@@ -198,7 +226,20 @@ class Finder:
 
     def phrases(self, ws: list[str], pairs: list[str]) -> list[tuple]:
         """Short forms, word by word."""
-        return [(1 - len(form), -1.0, k, i, i + len(form) - 1) for i, p in enumerate(pairs) for form, k in self.forms.get(p, ()) if tuple(ws[i : i + len(form)]) == form]
+        out = [(1 - len(form), -1.0, k, i, i + len(form) - 1) for i, p in enumerate(pairs) for form, k in self.forms.get(p, ()) if tuple(ws[i : i + len(form)]) == form]
+        return out + self.alternatives(ws)
+
+    def alternatives(self, ws: list[str]) -> list[tuple]:
+        """Names of licences on both sides of `or` or `and`, the longest on each."""
+        out = []
+        sizes = range(self.longest, 0, -1)
+        for i, w in enumerate(ws):
+            if w in BETWEEN and i and i + 1 < len(ws) and ws[i + 1] in self.firsts:
+                after = next((n for n in sizes if tuple(ws[i + 1 : i + 1 + n]) in self.bare), 0)
+                before = next((n for n in sizes if n <= i and tuple(ws[i - n : i]) in self.bare), 0)
+                if after and before:
+                    out += [(1 - n, -1.0, self.bare[tuple(ws[a : a + n])], a, a + n - 1) for a, n in ((i - before, before), (i + 1, after))]
+        return out
 
 
 def line_at(starts: list[int], word: int) -> int:

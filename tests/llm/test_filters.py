@@ -83,6 +83,29 @@ def test_license_notices_beyond_whole_lines(spark):
     assert got == {(1, 0, "mit"), (2, 0, "cc-by-nc-4.0"), (3, 1, "gpl-3.0"), (4, 0, "apache-2.0"), (5, 0, "gpl-3.0"), (7, 2, "mit"), (8, 0, "reserved"), (10, 1, "gpl-2.0"), (10, last, "mit")}
 
 
+@pytest.mark.parametrize("short,long,version", [("gpl", "General", "2.0"), ("gpl", "General", "3.0"), ("lgpl", "Lesser General", "2.1"), ("lgpl", "Lesser General", "3.0"), ("agpl", "Affero General", "3.0")])
+def test_notices_of_the_gnu_licences(short, long, version):
+    """As printed, wrapped, behind comment marks, in prose, with another noun; with and without the later versions."""
+    finder = licenses.Finder(licenses.TEMPLATES, licenses.bodies(), licenses.short_forms(), 0.8)
+    for later, suffix in ((True, "or-later"), (False, "only")):
+        which = f"either version {version.removesuffix('.0')} of the License, or\n(at your option) any later version." if later else f"version {version.removesuffix('.0')} of the License."
+        notice = f"This {{}} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {long} Public License\nas published by the Free Software Foundation; {which}"
+        for text in (notice.format("program"), notice.format("library"), "Copyright (C) 2020 someone\n\n" + notice.format("program") + "\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.", " * " + notice.format("program").replace("\n", "\n * "), "prose before. " + notice.format("program").replace("\n", " ") + " prose after."):
+            assert [x[1] for x in finder.find(text)] == [f"{short}-{version}-{suffix}"], text
+
+
+def test_titles_alternatives_and_other_notices():
+    finder = licenses.Finder(licenses.TEMPLATES, licenses.bodies(), licenses.short_forms(), 0.8)
+    find = lambda t: sorted(x[1] for x in finder.find(t))
+    assert find("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/") == ["apache-2.0"]
+    for text in ("license = \"MIT OR Apache-2.0\"", "Licensed under either of the MIT License or the\nwords", "SPDX-License-Identifier: MIT OR Apache-2.0", "dual: Apache 2.0 or MIT.", "You may use it under the MIT License or Apache License, Version 2.0, as you like"):
+        assert find(text) == (["mit"] if "words" in text else ["apache-2.0", "mit"]), text
+    assert find("we came with the committee or not, and mit or ohne") == []
+    assert find("Distributed under the Boost Software License, Version 1.0. (See\naccompanying file LICENSE_1_0.txt or copy at\nhttps://www.boost.org/LICENSE_1_0.txt)") == ["bsl-1.0"]
+    assert find("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/") == ["epl-2.0"]
+    assert find("under EPL 2.0") == ["epl-2.0"] and find("BSD-3-Clause or GPLv2") == ["bsd-3-clause", "gpl-2.0"]
+
+
 def test_license_windows_match_brute_force():
     """Every window of every size is scored; the finder reaches the same best coefficient, and passes over no text that holds one."""
     rng = random.Random(1)
