@@ -164,7 +164,8 @@ def upsert_documents(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def replace_parts(old: DataFrame, new: DataFrame, docs: DataFrame) -> DataFrame:
     """Sections or chunks: those of docs' doc_ids come from new, all others stay."""
-    return old.join(docs.select("doc_id").distinct(), "doc_id", "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+    ids = docs.select("doc_id").distinct()
+    return old.join(ids, "doc_id", "left_anti").select(*old.columns).unionByName(new.join(ids, "doc_id", "left_semi").select(*old.columns))
 
 
 def ingest_summary(results: DataFrame) -> DataFrame:

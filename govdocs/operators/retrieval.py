@@ -138,17 +138,33 @@ def search(queries: DataFrame, chunks: DataFrame, mode: str, k: int, index: bm25
     return out.transform(rerank) if rerank else out
 
 
-def build_citations(results: DataFrame, chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Characters of a page of content.
+PAGE = 2048
+
+
+def content_pages(documents: DataFrame, size: int = PAGE) -> DataFrame:
+    """doc_id, page (from 0), part: the content of documents in pages of so many characters, in the order of both, so that a file holds neighbours."""
+    last = F.floor((F.greatest(F.length("content"), F.lit(1)) - 1) / size).cast("int")
+    pages = documents.select("doc_id", "content", F.explode(F.sequence(F.lit(0), last)).alias("page"))
+    return pages.select("doc_id", "page", F.substring("content", F.col("page") * size + 1, F.lit(size)).alias("part")).repartitionByRange("doc_id", "page").sortWithinPartitions("doc_id", "page")
+
+
+def build_citations(results: DataFrame, chunks: DataFrame, pages: DataFrame, size: int = PAGE) -> tuple[DataFrame, DataFrame]:
     """(ok, invalid): results with citation id, quote, offsets and quote hash. A quote must equal its slice of the document.
 
-    Content is joined after the top k, so that only cited documents' text is moved.
+    pages: content_pages of the documents. A citation meets only the pages that its offsets span, after the
+    top k, so that what is moved grows with the quotes and not with the documents.
     """
     cited = results.join(chunks.select("chunk_id", "doc_id", "title", "section_title", F.col("text").alias("quote"), "start_char", "end_char"), "chunk_id")
-    cited = cited.join(documents.select("doc_id", "content"), "doc_id", "left")
-    slice_ = F.expr("substring(content, start_char + 1, end_char - start_char)")
+    first, last = F.floor(F.col("start_char") / size).cast("int"), F.floor((F.greatest("end_char", F.col("start_char") + 1) - 1) / size).cast("int")
+    spans = cited.where((F.col("start_char") >= 0) & (F.col("end_char") >= F.col("start_char"))).select("doc_id", "chunk_id", F.explode(F.sequence(first, last)).alias("page")).distinct()
+    bodies = spans.join(pages, ["doc_id", "page"]).groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("page", "part"))).alias("parts"))  # the pages of a chunk
+    bodies = bodies.select("doc_id", "chunk_id", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("body"))
+    cited = cited.join(bodies, ["doc_id", "chunk_id"], "left")
+    slice_ = F.substring("body", F.col("start_char") - first * size + 1, F.col("end_char") - F.col("start_char"))
     cited = cited.withColumn("valid", F.coalesce(slice_ == F.col("quote"), F.lit(False)) & (F.col("quote") != ""))
     clean = X.strip(F.regexp_replace("quote", r"\r\n?", "\n"))
-    cited = cited.withColumns({"citation_id": F.concat(F.lit("CIT-"), F.col("rank").cast("string")), "quote_hash": X.sha256(clean)}).drop("content")
+    cited = cited.withColumns({"citation_id": F.concat(F.lit("CIT-"), F.col("rank").cast("string")), "quote_hash": X.sha256(clean)}).drop("body")
     return cited.where("valid").drop("valid"), cited.where("not valid").drop("valid").withColumn("error_code", F.lit("CITATION_VALIDATION_FAILED"))
 
 

@@ -304,6 +304,12 @@ def n12_upsert(spark, d):
     return ingest.upsert_documents(old, new)
 
 
+def n12_replace_parts(spark, d):
+    """Every fiftieth document comes in again under another title; its chunks are replaced."""
+    again = documents(spark, d).where(F.col("n") % 50 == 0).withColumn("title", F.lit("New title"))
+    return ingest.replace_parts(chunks(spark, d), ingest.chunks(spread(again)), again).select("chunk_id", "doc_id", "title", "text_sha256")
+
+
 def n13_ingest_summary(spark, d):
     rows = ingest.ingest_summary(ingest.classify_ingest(*batch(spark, d)))
     return rows.select("total", "ingested", "skipped", "failed", F.element_at("by_error_code", F.lit("DUPLICATE_DOCUMENT")).alias("duplicates"))
@@ -454,8 +460,12 @@ def t12_boost(spark, d):
     return rounded(chunks(spark, d).select("chunk_id", retrieval.metadata_boost(retrieval.filter_struct(**FILTER)).alias("boost")), "boost")
 
 
+def content_pages(spark, d) -> DataFrame:
+    return stored(spark, d, "pages", lambda: retrieval.content_pages(spread(documents(spark, d))))
+
+
 def cited(spark, d, results=None) -> tuple[DataFrame, DataFrame]:
-    return retrieval.build_citations(found_bm25(spark, d) if results is None else results, chunks(spark, d), documents(spark, d))
+    return retrieval.build_citations(found_bm25(spark, d) if results is None else results, chunks(spark, d), content_pages(spark, d))
 
 
 def t13_citations(spark, d):

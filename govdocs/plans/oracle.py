@@ -371,6 +371,7 @@ SELECTS = {
     "n11_classify_ingest": "SELECT path, doc_id, status, CASE WHEN status = 'failed' THEN 'DUPLICATE_DOCUMENT' END AS error_code FROM classed",
     "n12_upsert": f"""SELECT doc_id, coalesce(nsha, osha) AS content_sha256, CASE WHEN nsha IS NULL OR nsha = osha THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS ingested_at
       FROM (SELECT doc_id, sha256(text) AS osha FROM documents) FULL JOIN (SELECT doc_id, max(nsha) AS nsha FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id - doc_id % 4 + {demo.NEW} END AS doc_id, CASE WHEN doc_id % 4 = 0 THEN sha256(sha256(text)) ELSE sha256(text) END AS nsha FROM documents) GROUP BY doc_id) USING (doc_id)""",
+    "n12_replace_parts": "SELECT chunk_id, doc_id, CASE WHEN n % 50 = 0 THEN 'New title' ELSE title END AS title, sha256(text) AS text_sha256 FROM chunks",
     "n13_ingest_summary": "SELECT count(*) AS total, count_if(status = 'ingested') AS ingested, count_if(status = 'skipped') AS skipped, count_if(status = 'failed') AS failed, nullif(count_if(status = 'failed'), 0) AS duplicates FROM classed",
     "r1_documents": "SELECT doc_id, any_value(title) AS title, any_value(department) AS department, 1::BIGINT AS section_count, count(*) AS chunk_count FROM chunks WHERE list_contains(regions, 'global') AND policy_type = 'policy' GROUP BY doc_id",
     "r2_chunks": "SELECT chunk_id, doc_id, chunk_index FROM chunks WHERE department = 'src3' AND list_contains(regions, 'en')",

@@ -229,6 +229,13 @@ def test_upsert_takes_one_row_of_an_id(spark):
     assert sorted((r.doc_id, r.content_sha256, r.ingested_at.day) for r in got.collect()) == [(1, "a", 1), (2, "b", 1), (3, "d", 6)]
 
 
+def test_parts_of_given_documents_only_are_replaced(spark):
+    rows = lambda *xs: spark.createDataFrame(xs, "chunk_id string, doc_id string, more int")
+    docs = spark.createDataFrame([("a",), ("a",), ("gone",)], "doc_id string")
+    got = ingest.replace_parts(rows(("a1", "a", 1), ("a2", "a", 1), ("b1", "b", 1), ("g1", "gone", 1)).drop("more"), rows(("a9", "a", 2), ("b9", "b", 2)), docs)
+    assert sorted(map(tuple, got.collect())) == [("a9", "a"), ("b1", "b")]
+
+
 def test_long_lists_are_normalised_in_order(spark):
     xs = [" b", "A", "", "a ", None, "B", "c"] + [f"w{i % 500}" for i in range(5000)]
     got = spark.createDataFrame([(xs,), (None,), ([],)], "xs array<string>").select(X.normalize_list(F.col("xs")).alias("n")).collect()

@@ -221,3 +221,16 @@ def test_segments_equal_a_rebuild(spark, tmp_path, monkeypatch):
             assert show(got.postings, "token", "chunk_id", "tf", "length", "part") == show(want.postings, "token", "chunk_id", "tf", "length", "part")
         assert files.manifest_changes(index.manifest, files.index_manifest(table(rows), 8)).isEmpty()
     assert counted == [2, 3, 2]
+
+
+def test_citations_meet_only_the_pages_they_span(spark):
+    text = "".join(chr(97 + i % 26) + ("é" if i % 7 == 0 else "") for i in range(500))
+    pages = retrieval.content_pages(spark.createDataFrame([("d", text), ("e", ""), ("f", None)], "doc_id string, content string"), 10)
+    assert "".join(r.part for r in pages.where("doc_id = 'd'").orderBy("page").collect()) == text
+    spans = [(0, 5), (8, 12), (95, 230), (len(text) - 3, len(text)), (10, 20)]
+    rows = [(f"c{i}", "d", text[a:b], a, b) for i, (a, b) in enumerate(spans)] + [("off", "d", text[3:9], 4, 10), ("late", "d", "x", 9000, 9001), ("gone", "g", "x", 0, 1), ("none", "e", "", 0, 0), ("odd", "d", "x", 7, 3)]
+    chunks = spark.createDataFrame([(c, d, "T", "S", q, a, b) for c, d, q, a, b in rows], "chunk_id string, doc_id string, title string, section_title string, text string, start_char int, end_char int")
+    results = spark.createDataFrame([(1, c, i + 1) for i, (c, *_) in enumerate(rows)] + [(2, "c2", 1)], "query_id int, chunk_id string, rank int")
+    ok, bad = retrieval.build_citations(results, chunks, pages, 10)
+    assert sorted((r.query_id, r.chunk_id, r.quote) for r in ok.collect()) == sorted([(1, f"c{i}", text[a:b]) for i, (a, b) in enumerate(spans)] + [(2, "c2", text[95:230])])
+    assert sorted(r.chunk_id for r in bad.collect()) == ["gone", "late", "none", "odd", "off"]
