@@ -73,8 +73,8 @@ def exact_duplicates(docs: DataFrame, first: int = 64, widen: int = 8) -> DataFr
     Of equal texts the one with the most code points in its original text stays, then the smallest
     doc_id (a null doc_id sorts last). group_size counts rows. Null and empty texts are equal to each
     other. A doc_id with several texts is judged for each of them. Rows that repeat doc_id, text and
-    length count in group_size, get the same result and say in n_same how many they are. An empty
-    table gives an empty result. Other columns are ignored.
+    length (also if their white space differs) count in group_size, get the same result and say in n_same
+    how many they are. An empty table gives an empty result. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     docs = docs.select("doc_id", "text")
