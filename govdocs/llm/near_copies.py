@@ -32,6 +32,8 @@ MAP_BITS = 1 << 25
 #: Longs of the map of a set.
 MAP_LONGS = 16
 ROUNDS = 1
+#: Rows from which on a list's pairs are ruled out by maps where they meet, instead of being written first.
+HEAVY = 256
 MAPS = [f"m{i}" for i in range(MAP_LONGS)]
 
 
@@ -179,6 +181,12 @@ def reaches(shared: Column, a: Column, b: Column) -> Column:
     return 9 * shared >= 4 * (a + b)
 
 
+def may_reach() -> Column:
+    """Whether the maps (a_*, b_*) of two sets leave 0.8 possible: a bit of one map alone stands for a member that the other set has not."""
+    alone = lambda x, y: sum(F.bit_count(F.col(f"{x}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{m}")))) for m in MAPS)
+    return reaches(F.least(F.col("a_n") - alone("a", "b"), F.col("b_n") - alone("b", "a")), F.col("a_n"), F.col("b_n"))
+
+
 @dataclass(frozen=True)
 class Sets:
     """What pairs are verified by: the texts, and one row for each set (uniq: sid, doc_id, body, n, MAPS)."""
@@ -189,11 +197,9 @@ class Sets:
     once: bool
 
     def possible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) without those whose maps rule out 0.8: a bit of one map alone stands for a member that the other set has not."""
+        """Pairs (a, b) without those whose maps rule out 0.8."""
         side = lambda x: self.uniq.select(F.col("sid").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(m).alias(f"{x}_{m}") for m in MAPS])
-        alone = lambda x, y: sum(F.bit_count(F.col(f"{x}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{m}")))) for m in MAPS)
-        most = F.least(F.col("a_n") - alone("a", "b"), F.col("b_n") - alone("b", "a"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(reaches(most, F.col("a_n"), F.col("b_n"))).select("a", "b")
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(may_reach()).select("a", "b")
 
     def verified(self, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         """Those of pairs (a, b) whose whole sets reach 0.8."""
@@ -243,10 +249,14 @@ def similar_sets(docs: DataFrame, uniq: DataFrame, words: int, long_list: int, o
         met = met.groupBy("a_sid").agg(F.min(F.struct(F.xxhash64("a", "b", F.lit(turn)), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         met = scratch.put(f"met{turn}", met)
         links, tried = links.unionByName(sets.verified(met, scratch, f"round{turn}")), tried.unionByName(met)
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-    placed = scratch.put("mixed", placed.join(mixed, "key", "left_semi"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("list")).where("c1 <> c2").select("key", "list")
+    placed = scratch.put("mixed", placed.join(mixed, "key"))
     on = (F.col("a_sid") < F.col("b_sid")) & (F.col("a_comp") != F.col("b_comp")) & room("a", "b")
-    pairs = side("a", placed).join(side("b", placed), "key").where(on).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+    named = lambda met: met.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+    light = placed.where(F.col("list") <= HEAVY)
+    heavy = scratch.put("heavy", placed.where(F.col("list") > HEAVY).join(uniq.select("sid", *MAPS), "sid"))
+    full = lambda x: heavy.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "at", "comp", *MAPS)])
+    pairs = named(side("a", light).join(side("b", light), "key").where(on)).unionByName(named(full("a").join(full("b"), "key").where(on & may_reach()))).distinct()
     links = links.unionByName(sets.verified(pairs.join(tried, ["a", "b"], "left_anti"), scratch, "rest"))
     return connected_components(links, scratch).withColumnRenamed("node", "sid")
 
