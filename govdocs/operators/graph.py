@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from govdocs.functions import text as X
+from govdocs.operators.hoods import HUB, Hoods, hoods
 from govdocs.settings import DOCUMENT_LEVEL_RELATIONS
 
 NODE = ["node_id", "label", "type"]
@@ -262,24 +263,11 @@ def list_edges(edges: DataFrame, relation: str | None = None, source_doc_id: str
     return edges.where(functools.reduce(lambda a, b: a & b, [F.col(c) == v for c, v in equal], F.lit(True))).orderBy("edge_id")
 
 
-def neighborhoods(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(near, induced, errors) for seeds (seed): seed, node_id, distance within depth (1 or 2), undirected; seed and edge_id of edges between them; seeds that are no nodes."""
-    if depth not in (1, 2):
-        raise ValueError("depth must be 1 or 2")
-    both = edges.select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    known = seeds.join(nodes.select(F.col("node_id").alias("seed")), "seed", "left_semi")
-    at = known.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("distance"))
-    edge = at
-    for step in range(1, depth + 1):
-        edge = edge.join(both, F.col("node_id") == F.col("a")).select("seed", F.col("b").alias("node_id"), F.lit(step).alias("distance")).distinct()
-        at = at.unionByName(edge)
-    near = at.groupBy("seed", "node_id").agg(F.min("distance").alias("distance"))
-    ends = near.select("seed", "node_id")
-    induced = edges.select("edge_id", "source_node_id", "target_node_id").join(ends.withColumnRenamed("node_id", "source_node_id"), "source_node_id")
-    induced = induced.join(ends.withColumnRenamed("node_id", "target_node_id"), ["seed", "target_node_id"]).select("seed", "edge_id", "source_node_id", "target_node_id")
-    errors = seeds.join(nodes.select(F.col("node_id").alias("seed")), "seed", "left_anti").withColumn("error_code", F.lit("NODE_NOT_FOUND"))
-    return near, induced, errors
+def neighborhoods(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, hub: int = HUB, path: str | None = None) -> tuple[Hoods, DataFrame]:
+    """(hoods, errors) for seeds (seed) within depth (1 or 2), undirected: their neighborhoods in parts, and the seeds that are no nodes."""
+    names = nodes.select(F.col("node_id").alias("seed"))
+    errors = seeds.join(names, "seed", "left_anti").withColumn("error_code", F.lit("NODE_NOT_FOUND"))
+    return hoods(seeds.join(names, "seed", "left_semi"), edges, depth, hub, path), errors
 
 
 def graph_stats(nodes: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFrame:

@@ -58,9 +58,9 @@ def test_weak_mentions_go_and_depth_two(spark):
     assert {r.edge_id for r in kept.collect()} == {"e2", "e3", "e5"}
     nodes = spark.createDataFrame([(n,) for n in "abzo"], "node_id string")
     seeds = spark.createDataFrame([("b",), ("gone",)], "seed string")
-    near, induced, errors = graph.neighborhoods(seeds, nodes, kept, 2)
-    assert {(r.node_id, r.distance) for r in near.collect()} == {("b", 0), ("a", 1), ("z", 2), ("o", 2)}
-    assert induced.count() == 3 and errors.first().seed == "gone"
+    found, errors = graph.neighborhoods(seeds, nodes, kept, 2)
+    assert {(r.node_id, r.distance) for r in found.near().collect()} == {("b", 0), ("a", 1), ("z", 2), ("o", 2)}
+    assert found.induced().count() == 3 and errors.first().seed == "gone"
     with pytest.raises(ValueError):
         graph.neighborhoods(seeds, nodes, kept, 3)
 
