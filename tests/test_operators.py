@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from govdocs.functions import text as X
+from govdocs.functions.helpers import index_terms
 from govdocs.operators.nearest import nearest
 from govdocs.operators import access, bm25, feedback, graph, retrieval
 from govdocs.plans import demo, oracle, questions
@@ -99,6 +100,21 @@ def test_counted_terms_are_those_of_the_expression(spark):
     assert got == want
 
 
+def test_terms_are_handed_on_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "TERM_ROWS", 50)
+    texts = [" ".join(f"w{i}x{j}" for j in range(i % 7)) for i in range(60)]
+    frame = spark.createDataFrame([(f"c{i:02}", f"d{i}", i, t) for i, t in enumerate(texts)], "chunk_id string, doc_id string, profile long, indexable string").coalesce(1)
+    kept = []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: kept.append(run) or self)
+    bm25.counted_terms(frame)
+    pieces = list(kept[0](frame.select("chunk_id", "indexable", "doc_id", "profile").toArrow().to_batches()))
+    assert len(pieces) > 5 and max(p.num_rows for p in pieces) < 100
+    rows = [r for p in pieces for r in p.to_pylist()]
+    assert [(r["chunk_id"], r["doc_id"], r["profile"]) for r in rows if r["token"] is None] == [(f"c{i:02}", f"d{i}", i) for i in range(60)]
+    want = {(f"c{i:02}", t): n for i, text in enumerate(texts) for t, n in Counter(index_terms(text)).items()}
+    assert {(r["chunk_id"], r["token"]): r["tf"] for r in rows if r["token"]} == want and all(r["doc_id"] is None for r in rows if r["token"])
+
+
 def test_aliases_in_an_automaton_match_as_constants(spark, monkeypatch):
     rules = spark.createDataFrame([("MIT", "Form", ["MIT License", "(mit)", "X"]), ("Sign", "Form", ["§§"]), ("Plus", "Role", ["C++", "cplusplus"])], "label string, type string, aliases array<string>")
     texts = ["the mit license.", "emit license", "C++ and (MIT) x", "a§§ b", "§§", "xC++", "C++1", None]
