@@ -234,3 +234,16 @@ def test_citations_meet_only_the_pages_they_span(spark):
     ok, bad = retrieval.build_citations(results, chunks, pages, 10)
     assert sorted((r.query_id, r.chunk_id, r.quote) for r in ok.collect()) == sorted([(1, f"c{i}", text[a:b]) for i, (a, b) in enumerate(spans)] + [(2, "c2", text[95:230])])
     assert sorted(r.chunk_id for r in bad.collect()) == ["gone", "late", "none", "odd", "off"]
+
+
+def test_queries_meet_cells_in_rows_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "MEETING", 8)
+    rng = np.random.default_rng(3)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))], "query_id int, vector array<double>")
+    pivots = nearest.unit(rng.normal(size=(3, 4)))
+    kept = []
+    monkeypatch.setattr(type(frame), "mapInPandas", lambda self, run, schema: kept.append(run) or self)
+    nearest.visits(frame, pivots, [(c, 20, 0.0, 2.0) for c in range(3)], 50)
+    met = list(kept[0](iter([frame.toPandas()])))
+    assert all(len(p) == 1 and len(p.q_ids[0]) <= 8 for p in met)
+    assert sorted((p.q_cell[0], i) for p in met for i in p.q_ids[0]) == [(c, i) for c in range(3) for i in range(60)]
