@@ -68,28 +68,45 @@ def resolve_access(requests: DataFrame, personas: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of chunks that requests look at.
+LOOKED_AT = {n: c for n, c in SCALARS.items() if n not in ("doc_ids", "access_levels")}
+ATTRIBUTES = [*LOOKED_AT.values(), "access_level", ARRAYS["regions"]]
+
+
+def passing(profiles: DataFrame, resolved: DataFrame) -> DataFrame:
+    """request_id and the columns of profiles (distinct ATTRIBUTES and more) that each resolved request may see, met by access level."""
+    allowed = resolved.where("error is null").select("request_id", *[c for c in resolved.columns if c.startswith("allowed_")])
+    allowed = allowed.withColumn("access_level", F.explode(F.array_distinct("allowed_access_levels")))
+    seen = F.col("allowed_regions").isNull() | F.arrays_overlap("allowed_regions", ARRAYS["regions"])
+    for name, column in LOOKED_AT.items():
+        seen &= F.col(f"allowed_{name}").isNull() | F.array_contains(f"allowed_{name}", F.col(column))
+    return allowed.join(profiles, "access_level").where(seen).select("request_id", *profiles.columns)
+
+
 def authorize(chunks: DataFrame, resolved: DataFrame) -> DataFrame:
     """request_id and the chunk columns that each resolved request may see; an empty array lets nothing pass.
 
     Requests meet the distinct combinations of attributes, of which there are far fewer than chunks, by
     access level; the chunks are then joined by their combination. Every request has a list of levels.
     """
-    plain = {n: c for n, c in SCALARS.items() if n not in ("doc_ids", "access_levels")}
-    attributes = [*plain.values(), "access_level", ARRAYS["regions"]]
-    key = F.xxhash64(*attributes)
-    profiles = chunks.select(*attributes).distinct().withColumn("profile", key)
-    allowed = resolved.where("error is null").select("request_id", *[c for c in resolved.columns if c.startswith("allowed_")])
-    allowed = allowed.withColumn("access_level", F.explode(F.array_distinct("allowed_access_levels")))
-    seen = F.col("allowed_regions").isNull() | F.arrays_overlap("allowed_regions", ARRAYS["regions"])
-    for name, column in plain.items():
-        seen &= F.col(f"allowed_{name}").isNull() | F.array_contains(f"allowed_{name}", F.col(column))
-    met = allowed.join(profiles, "access_level").where(seen).select("request_id", "profile", *[F.col(c).alias(f"p_{c}") for c in attributes])
+    key = F.xxhash64(*ATTRIBUTES)
+    met = passing(chunks.select(*ATTRIBUTES).distinct(), resolved)
+    met = met.select("request_id", key.alias("profile"), *[F.col(c).alias(f"p_{c}") for c in ATTRIBUTES])
     same = F.col("profile") == F.col("own_profile")
-    for c in attributes:
+    for c in ATTRIBUTES:
         same &= F.col(c).eqNullSafe(F.col(f"p_{c}"))
     return chunks.withColumn("own_profile", key).join(met, same).select("request_id", *chunks.columns)
 
 
+def authorized_counts(chunks: DataFrame, resolved: DataFrame) -> DataFrame:
+    """request_id, n, first, last: how many chunks each resolved request may see, and the smallest and largest id; none without any.
+
+    Chunks are counted by their combination first, so that pairs of requests and chunks are never made.
+    """
+    profiles = chunks.groupBy(*ATTRIBUTES).agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"))
+    return passing(profiles, resolved).groupBy("request_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def search_as(resolved: DataFrame, asked: DataFrame, index: bm25.Index, k: int, path: str) -> DataFrame:
     """request_id, chunk_id, raw_score, normalized_score, rank: the k best chunks that each resolved request may see for its text (asked: request_id, text).
 

@@ -247,3 +247,14 @@ def test_queries_meet_cells_in_rows_of_bounded_size(spark, monkeypatch):
     met = list(kept[0](iter([frame.toPandas()])))
     assert all(len(p) == 1 and len(p.q_ids[0]) <= 8 for p in met)
     assert sorted((p.q_cell[0], i) for p in met for i in p.q_ids[0]) == [(c, i) for c in range(3) for i in range(60)]
+
+
+def test_counts_of_requests_are_those_of_their_chunks_without_pairs(built):
+    _, chunks, *_ = built
+    spark = chunks.sparkSession
+    lists = [["Fin"], None, ["HR", "Fin"], []]
+    rows = [(i, lists[i % 4], [["EU"], None, ["US"]][i % 3], None, [["public"], ["public", "internal"], []][i % 3 if i < 9 else 1], None, None) for i in range(24)]
+    resolved = spark.createDataFrame(rows, "request_id int, allowed_departments array<string>, allowed_regions array<string>, allowed_policy_types array<string>, allowed_access_levels array<string>, allowed_owners array<string>, error string")
+    want = access.authorize(chunks, resolved).groupBy("request_id").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"))
+    got = access.authorized_counts(chunks, resolved)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
