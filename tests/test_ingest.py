@@ -252,3 +252,12 @@ def test_features_of_a_batch_are_not_all_remembered(monkeypatch):
     got = pd.concat(helpers.hashed_vectors(iter([texts]), 384, "md5", False))
     assert max(sizes) <= 100 and len(got) == 201
     assert all((v == real(t or "", 384, {}, "md5", False)).all() for t, v in zip(texts, got))
+
+
+def test_rejected_files_are_listed_once_and_read_once(spark, tmp_path):
+    for name, body in (("a.txt", b"good"), ("b.txt", b" \n"), ("c.txt", b"\xff\xfe"), ("d.bin", b"x"), ("e.md", b"y" * 30), ("f.bin", b"z" * 30)):
+        (tmp_path / name).write_bytes(body)
+    good, bad = files.read_raw(spark, str(tmp_path), Settings(max_file_bytes=20))
+    assert [tuple(r) for r in good.collect()] == [("a.txt", "good\n")]
+    assert dict(map(tuple, bad.collect())) == {"b.txt": "EMPTY_DOCUMENT", "c.txt": "INVALID_ENCODING", "d.bin": "UNSUPPORTED_FILE_TYPE", "e.md": "FILE_TOO_LARGE", "f.bin": "UNSUPPORTED_FILE_TYPE"}
+    assert bad._jdf.queryExecution().sparkPlan().toString().count("FileScan binaryFile") == 2
