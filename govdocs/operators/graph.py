@@ -61,11 +61,14 @@ def match_entities(chunks: DataFrame, entity_rules: DataFrame) -> DataFrame:
         by_rule: dict[tuple[str, str], list[tuple[int, str]]] = {}
         for r in few:
             by_rule.setdefault((r.label, r.type), []).append((r.place, r.alias))
-        held = lambda alias: F.when(F.col("text").rlike(pattern_of(alias)), F.lit(alias))
+        # the letters are looked for before the pattern is tried; case beyond ASCII is the pattern's alone
+        near = lambda alias: F.col("low").contains(alias.lower()) if alias.isascii() else F.lit(True)
+        held = lambda alias: F.when(near(alias) & F.col("text").rlike(pattern_of(alias)), F.lit(alias))
         found = [F.struct(F.lit(label).alias("label"), F.lit(kind).alias("type"), F.coalesce(*[held(a) for _, a in sorted(aliases)]).alias("mention")) for (label, kind), aliases in by_rule.items()]
         if not found:
             return chunks.select("chunk_id", "doc_id").limit(0).selectExpr("*", "string(null) label", "string(null) type", "string(null) mention")
-        return chunks.select("chunk_id", "doc_id", F.inline(F.filter(F.array(*found), lambda x: x["mention"].isNotNull())))
+        texts = chunks.select("chunk_id", "doc_id", "text", F.lower("text").alias("low"))
+        return texts.select("chunk_id", "doc_id", F.inline(F.filter(F.array(*found), lambda x: x["mention"].isNotNull())))
     size = rules.agg(F.sum(F.octet_length("alias") + F.octet_length("label") + F.octet_length("type"))).first()[0] or 0
     slices = -(-size // LEXICON_BYTES)
     own = F.pmod(F.xxhash64("label", "type"), F.lit(slices))
@@ -128,7 +131,7 @@ def document_node(kind: Column, title: Column) -> tuple[Column, Column]:
 def metadata_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the chunks' metadata: the document, who owns it, its level, regions and processes."""
     title, kind = document_node(F.col("policy_type"), F.col("title"))
-    node = lambda label, kind, conf: F.struct(label.alias("label"), kind.alias("type"), F.lit(conf).alias("confidence"))
+    node = lambda label, kind, conf: F.struct(label.alias("label"), kind.alias("type"), F.lit(conf).alias("confidence"), node_id(label, kind).alias("node_id"))
     doc, lit = node(title, kind, 1.0), F.lit
     owners = [node(F.col(c), lit("Department"), 0.9) for c in ("department", "owner")]
     level = node(F.col("access_level"), lit("AccessLevel"), 1.0)
@@ -136,7 +139,7 @@ def metadata_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     processes = F.transform("related_processes", lambda p: node(p, lit("Process"), 0.9))
     rows = chunks.select("chunk_id", "doc_id", doc.alias("doc"), F.array(*owners).alias("owners"), level.alias("level"), regions.alias("regions"), processes.alias("processes"))
     nodes = rows.select("chunk_id", "doc_id", F.inline(F.concat(F.array("doc"), "owners", F.array("level"), "regions", "processes")))
-    nodes = nodes.select(node_id(F.col("label"), F.col("type")).alias("node_id"), "label", "type", "doc_id", "chunk_id", F.col("label").alias("mention"), "confidence")
+    nodes = nodes.select("node_id", "label", "type", "doc_id", "chunk_id", F.col("label").alias("mention"), "confidence")
     pair = lambda s, r, t: F.struct(s.alias("s"), F.lit(r).alias("relation_type"), t.alias("t"))
     edges = F.concat(
         F.transform("owners", lambda o: pair(o, "OWNS", F.col("doc"))),
@@ -148,8 +151,8 @@ def metadata_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def edge_rows(rows: DataFrame, hint: Column, confidence: float = 0.85) -> DataFrame:
-    """Edges of rows (chunk_id, doc_id, s and t with label and type, relation_type), with the hint of their quote. No self-edges."""
-    source, target = (node_id(F.col(f"{x}.label"), F.col(f"{x}.type")) for x in ("s", "t"))
+    """Edges of rows (chunk_id, doc_id, s and t with label and type, or node_id, too, relation_type), with the hint of their quote. No self-edges."""
+    source, target = (F.col(f"{x}.node_id") if "node_id" in rows.schema[x].dataType.names else node_id(F.col(f"{x}.label"), F.col(f"{x}.type")) for x in ("s", "t"))
     rows = rows.withColumns({"source_node_id": source, "target_node_id": target}).where("source_node_id <> target_node_id")
     ident = edge_id(F.col("source_node_id"), F.col("relation_type"), F.col("target_node_id"), F.col("chunk_id"))
     return rows.select(ident.alias("edge_id"), "source_node_id", "target_node_id", "relation_type", F.col("doc_id").alias("source_doc_id"), F.col("chunk_id").alias("source_chunk_id"), hint.alias("hint"), F.lit(confidence).alias("confidence"))
@@ -191,13 +194,16 @@ def relation_edges(matches: DataFrame, chunks: DataFrame, relation_rules: DataFr
     return edge_rows(from_document.unionByName(between), F.col("hint"))
 
 
-def merge_nodes(nodes: DataFrame, most: int = MOST_MENTIONS) -> tuple[DataFrame, DataFrame]:
-    """(nodes, sources). nodes: label and type of the first occurrence, sorted mentions (`most` at most), highest confidence, how many documents and chunks; sources: node_id, doc_id, chunk_id, each once, however many.
+def occurrences(nodes: DataFrame) -> DataFrame:
+    """nodes with each occurrence once, so that a hub's rows meet already reduced; best stored, as several parts read them."""
+    return nodes.groupBy("node_id", "label", "type", "doc_id", "chunk_id", "mention").agg(F.max("confidence").alias("confidence"))
 
-    Occurrences are first made distinct, so that a hub's rows meet already reduced, and counted by document
-    before they meet by node.
+
+def merge_nodes(rows: DataFrame, most: int = MOST_MENTIONS) -> tuple[DataFrame, DataFrame]:
+    """(nodes, sources) of occurrences. nodes: label and type of the first occurrence, sorted mentions (`most` at most), highest confidence, how many documents and chunks; sources: node_id, doc_id, chunk_id, each once, however many.
+
+    Occurrences are counted by document before they meet by node.
     """
-    rows = nodes.groupBy("node_id", "label", "type", "doc_id", "chunk_id", "mention").agg(F.max("confidence").alias("confidence"))
     sources = rows.select("node_id", "doc_id", "chunk_id").distinct()
     counts = sources.groupBy("node_id", "doc_id").agg(F.count("*").alias("n")).groupBy("node_id").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chunks"))
     first = F.struct("doc_id", "chunk_id", "label")
@@ -211,8 +217,8 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     """Edges without mentions beside a stronger relation of the same pair and document; document-level relations once a document, others once an id. hints: those of equal edges."""
     pair = ["source_node_id", "target_node_id", "source_doc_id"]
     weak = F.col("relation_type") == "MENTIONS"
-    strong = edges.where(~weak).select(*pair).distinct()
-    kept = edges.where(~weak).unionByName(edges.where(weak).join(strong, pair, "left_anti").select(*edges.columns))
+    # a window over what a document says of a pair, so that the edges are made once
+    kept = edges.withColumn("strong", F.max(~weak).over(Window.partitionBy(*pair))).where(~weak | ~F.col("strong")).drop("strong")
     whole = F.col("relation_type").isin(DOCUMENT_LEVEL_RELATIONS)
     key = F.when(whole, F.concat_ws("|", F.lit("document"), "source_node_id", "relation_type", "target_node_id", "source_doc_id")).otherwise(F.col("edge_id"))
     order = ["source_doc_id", "source_chunk_id", "relation_type", "source_node_id", "target_node_id", "edge_id"]
@@ -240,13 +246,22 @@ def matches_of(chunks: DataFrame, entity_rules: DataFrame) -> DataFrame:
     return match_entities(chunks, entity_rules).unionByName(stated_values(chunks))
 
 
+def node_occurrences(chunks: DataFrame, matches: DataFrame) -> DataFrame:
+    """The occurrences of all nodes of a chunk table and its matches."""
+    found = matches.select(node_id(F.col("label"), F.col("type")).alias("node_id"), "label", "type", "doc_id", "chunk_id", "mention", F.lit(0.9).alias("confidence"))
+    return occurrences(metadata_graph(chunks)[0].unionByName(found))
+
+
+def merged_edges(chunks: DataFrame, matches: DataFrame, relation_rules: DataFrame) -> DataFrame:
+    """The edges of a chunk table and its matches, merged, with hints; `quoted` gives them their quotes."""
+    edges = metadata_graph(chunks)[1].unionByName(content_edges(matches, chunks)).unionByName(relation_edges(matches, chunks, relation_rules))
+    return merge_edges(edges)
+
+
 def build_graph(chunks: DataFrame, matches: DataFrame, relation_rules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, sources, edges) of a chunk table and its matches (best stored: several parts read them)."""
-    meta_nodes, meta_edges = metadata_graph(chunks)
-    found = matches.select(node_id(F.col("label"), F.col("type")).alias("node_id"), "label", "type", "doc_id", "chunk_id", "mention", F.lit(0.9).alias("confidence"))
-    edges = meta_edges.unionByName(content_edges(matches, chunks)).unionByName(relation_edges(matches, chunks, relation_rules))
-    nodes, sources = merge_nodes(meta_nodes.unionByName(found))
-    return nodes, sources, quoted(merge_edges(edges), chunks)
+    nodes, sources = merge_nodes(node_occurrences(chunks, matches))
+    return nodes, sources, quoted(merged_edges(chunks, matches, relation_rules), chunks)
 
 
 def list_nodes(nodes: DataFrame, kind: str | None = None, label: str | None = None, source_doc_id: str | None = None, sources: DataFrame | None = None) -> DataFrame:
