@@ -26,9 +26,14 @@ def written(path: str | None) -> Callable[[DataFrame, str], DataFrame]:
     return put
 
 
-def list_documents(docs: DataFrame, sections: DataFrame, chunks: DataFrame, department=None, region=None, policy_type=None, access_level=None, owner=None) -> DataFrame:
-    """Documents that match, with section_count and chunk_count, by doc_id."""
-    kept = docs.where(text_match(F.col("department"), department) & list_match(F.col("regions"), region) & text_match(F.col("policy_type"), policy_type) & text_match(F.col("access_level"), access_level) & text_match(F.col("owner"), owner))
+def matching(docs: DataFrame, department=None, region=None, policy_type=None, access_level=None, owner=None) -> DataFrame:
+    """Documents that match."""
+    return docs.where(text_match(F.col("department"), department) & list_match(F.col("regions"), region) & text_match(F.col("policy_type"), policy_type) & text_match(F.col("access_level"), access_level) & text_match(F.col("owner"), owner))
+
+
+def list_documents(docs: DataFrame, sections: DataFrame, chunks: DataFrame, **wanted) -> DataFrame:
+    """Documents that match (as `matching` takes it), with section_count and chunk_count, by doc_id. sections and chunks may be those of the matching documents alone."""
+    kept = matching(docs, **wanted)
     for name, table in (("section_count", sections), ("chunk_count", chunks)):
         kept = kept.join(table.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left").fillna(0, [name])
     return kept.orderBy("doc_id")

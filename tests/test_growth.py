@@ -36,3 +36,9 @@ def test_words_before_patterns_lose_nothing(spark):
     for r in plain[:-1]:
         assert (len(got[r.i].times), len(got[r.i].amounts)) == (r.times, r.amounts)
     assert sum(r.times for r in plain[:-1]) >= 5 and sum(r.amounts for r in plain[:-1]) >= 2 and got[8].times is None
+
+
+def test_sections_of_a_listing_are_cut_from_its_documents(spark, sf_dir):
+    plan = demo.r1_documents(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("ArrowEvalPython")[1].split("Join")[0]
+    assert "Filter" in below and "exists(" in below
