@@ -42,3 +42,13 @@ def test_sections_of_a_listing_are_cut_from_its_documents(spark, sf_dir):
     plan = demo.r1_documents(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     below = plan.split("ArrowEvalPython")[1].split("Join")[0]
     assert "Filter" in below and "exists(" in below
+
+
+def test_stored_tables_have_small_row_groups(spark, monkeypatch):
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(workspace, "ROW_GROUP", 1 << 16)
+    path = workspace.stored(spark, "row groups", "numbers", lambda: spark.range(0, 200_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("s"))).inputFiles()[0]
+    assert pq.ParquetFile(pathlib.Path(path.removeprefix("file://"))).metadata.num_row_groups > 4
