@@ -173,7 +173,10 @@ def shared_lists(docs: DataFrame, uniq: DataFrame, words: int, long_list: int, o
     posts = keys_in(sets, twice, "sid long, n int").select("sid", "n", F.explode(F.arrays_zip("at", "keys")).alias("p")).select(F.col("p.keys").alias("key"), "sid", "n", F.col("p.at").cast("int").alias("at"))
     posts = scratch.put("posts", posts)
     keys = scratch.put("keys", posts.groupBy("key").agg(F.count("*").alias("posts")).where("posts > 1").select("key"))
-    return scratch.put("lists", posts.join(keys, "key", "left_semi"))
+    lists = scratch.put("lists", posts.join(keys, "key", "left_semi"))
+    for name in ("posts", "keys", *(() if last is None else ("touched", "again"))):
+        scratch.drop(name)  # all that follows reads the lists
+    return lists
 
 
 def reaches(shared: Column, a: Column, b: Column) -> Column:
