@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,10 @@ SHORT, LOOKED_AT = 4, 16
 OPENING = 20
 #: Postings of a table of queries from which on bounds pay for their passes over the index; the rows are the same either way.
 BOUNDED_FROM = 100_000_000
+#: Queries for each distinct text of a table of scoped queries from which on texts are scored for all their queries at once.
+SHARED_FROM = 2
+#: Terms of texts up to this size are sent to all tasks; more meet the postings by a shuffle.
+BROADCAST_BYTES, TERM_ROW = 8 << 20, 160
 #: Share of that bound which the most frequent terms may make up, so that chunks are ruled out without them.
 WEAK = 0.5
 #: Rows of terms that are handed on at once; those of one text stay together.
@@ -172,7 +176,11 @@ def settled(scored: DataFrame) -> DataFrame:
 
 def score_range(scored: DataFrame, n_filtered: int | DataFrame) -> DataFrame:
     """r_query_id, least, most of each query's scores over all n_filtered chunks (a number, or query_id, n_chunks); those without a row count as zero."""
-    ranges = scored.groupBy(F.col("query_id").alias("r_query_id")).agg(F.max("score").alias("most"), F.min("score").alias("low"), F.count("*").alias("n_hit"))
+    return range_over(scored.groupBy(F.col("query_id").alias("r_query_id")).agg(F.max("score").alias("most"), F.min("score").alias("low"), F.count("*").alias("n_hit")), n_filtered)
+
+
+def range_over(ranges: DataFrame, n_filtered: int | DataFrame) -> DataFrame:
+    """score_range of the ranges (r_query_id, most, low, n_hit) of chunks that have a row."""
     if isinstance(n_filtered, int):
         ranges = ranges.withColumn("n_chunks", F.lit(n_filtered))
     else:
@@ -242,6 +250,34 @@ def proven_zero(queries: DataFrame, asked: DataFrame, index: Index, scope: Scope
     return looked.select("query_id", "chunk_id").join(shared, ["query_id", "chunk_id"], "left_anti").select("query_id").distinct()
 
 
+def by_text(queries: DataFrame, index: Index, k: int, scope: Scopes, put: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(query_id, class, chunk_id, score of the k best; r_query_id, most, low, n_hit) of scoped queries that list no documents.
+
+    A score depends on the text alone, so that a text is scored once for all its queries, within what any
+    of them lets pass. Its k best chunks of each profile and the range of the profile's scores are kept;
+    a query takes those of the profiles that it lets pass.
+    """
+    texts = put(queries.select("text").distinct().withColumn("query_id", F.monotonically_increasing_id()), "texts")
+    units = put(queries.select(F.col("query_id").alias("u_query_id"), "class", "text").join(texts.withColumnRenamed("query_id", "text_id"), "text").drop("text"), "units")
+    kinds = units.join(scope.classes.select("class", "open"), "class").groupBy(F.col("text_id").alias("class")).agg(F.bool_or("open").alias("open"))
+    bitmaps = units.select("class", "text_id").distinct().join(scope.bitmaps, "class").groupBy(F.col("text_id").alias("class"), "word").agg(F.bit_or("bits").alias("bits"))
+    within = replace(scope, classes=put(kinds, "text_classes"), bitmaps=put(bitmaps, "text_bitmaps"))
+    asked = put(asked_terms(texts.withColumn("class", F.col("query_id")), index), "text_terms").select("class", "token", "weight")
+    asked = F.broadcast(asked) if asked.count() * TERM_ROW <= BROADCAST_BYTES else asked
+    hits = within.by_profile(index.postings.join(asked, "token").select("class", "profile", "chunk_id", (F.col("weight") * F.col("part")).alias("added")))
+    hits = put(settled(hits.groupBy(F.col("class").alias("text_id"), "profile", "chunk_id").agg(F.sum("added").alias("score"))), "text_hits")
+    first = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "chunk_id"))).where(F.col("n") <= k).drop("n")
+    kept = put(first(hits, "text_id", "profile"), "text_best")
+    sums = put(hits.groupBy("text_id", "profile").agg(F.max("score").alias("most"), F.min("score").alias("low"), F.count("*").alias("n_hit")), "text_ranges")
+    range_of = lambda df, *by: df.groupBy(*by).agg(F.max("most").alias("most"), F.min("low").alias("low"), F.sum("n_hit").alias("n_hit"))
+    closed = units.join(scope.pairs, "class")
+    free = units.join(scope.classes.where("open").select("class"), "class")
+    meet = lambda rows, whole: closed.join(rows, ["text_id", "profile"]).drop("profile").unionByName(free.join(whole, "text_id")).drop("text_id").withColumnRenamed("u_query_id", "query_id")
+    top = best(meet(kept, first(kept.drop("profile"), "text_id")), k).drop("rank")
+    ranges = range_of(meet(sums, range_of(sums, "text_id")), F.col("query_id").alias("r_query_id"))
+    return top, ranges
+
+
 def search(queries: DataFrame, index: Index, k: int, scope: Scopes | None = None, path: str | None = None) -> DataFrame:
     """query_id, chunk_id, raw_score, normalized_score, rank: the k best chunks of each query, by score and chunk_id.
 
@@ -251,12 +287,16 @@ def search(queries: DataFrame, index: Index, k: int, scope: Scopes | None = None
     best of a query is the top of its range, and the bottom is zero where a chunk without a term of the
     query is known, else all its scores are looked at. To fill k places, the k smallest of the
     ids that are not among fewer than k matches are enough, which the 2k smallest ids hold. With a path,
-    what several steps read is written below it once.
+    what several steps read is written below it once. Scoped queries that share their texts are scored by
+    text (by_text), whatever their number.
     """
     put = written(path)
     by = ["query_id", *(["class"] if scope else [])]
-    asked = put(asked_terms(queries.select(*by, "text"), index), "asked")
     n_chunks = index.n if scope is None else queries.select(*by).join(scope.classes.select("class", "n_chunks"), "class").select("query_id", "n_chunks")
+    if path is not None and scope is not None and not scope.any_listed and shared(queries):
+        top, ranges = by_text(queries, index, k, scope, put)
+        return filled(queries, normalized(top, range_over(ranges, n_chunks)), index, k, scope)
+    asked = put(asked_terms(queries.select(*by, "text"), index), "asked")
     if (asked.agg(F.sum("df")).first()[0] or 0) < BOUNDED_FROM:
         hits = put(settled(summed(hits_of(asked, index, scope), scope)), "hits")
         top, ranges = best(hits, k).drop("rank"), score_range(hits, n_chunks)
@@ -267,7 +307,18 @@ def search(queries: DataFrame, index: Index, k: int, scope: Scopes | None = None
         ranges = tops.join(proven, "query_id", "left_semi").select(F.col("query_id").alias("r_query_id"), "most", F.lit(0.0).alias("least"))
         rest = settled(scores(queries.join(proven, "query_id", "left_anti"), index, scope))
         ranges = ranges.unionByName(score_range(rest, n_chunks).select("r_query_id", "most", "least"))
-    top = normalized(top, ranges)
+    return filled(queries, normalized(top, ranges), index, k, scope)
+
+
+def shared(queries: DataFrame) -> bool:
+    """Whether a text has SHARED_FROM queries and more."""
+    n = queries.agg(F.count("*").alias("queries"), F.count_distinct("text").alias("texts")).first()
+    return n.texts > 0 and n.queries >= SHARED_FROM * n.texts
+
+
+def filled(queries: DataFrame, top: DataFrame, index: Index, k: int, scope: Scopes | None) -> DataFrame:
+    """What search gives, of the normalised matches: the k smallest ids that pass and match nothing fill up short results."""
+    by = ["query_id", *(["class"] if scope else [])]
     asking = queries.where(F.size(bm25_tokens(F.col("text"))) > 0).select(*by)
     short = asking.join(top.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
     if scope is None:

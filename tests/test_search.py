@@ -119,6 +119,23 @@ def test_filters_need_an_index_with_profiles(built):
         retrieval.search(queries, chunks, "bm25", 5, index=index, filters=F.col("filters"))
 
 
+def test_texts_of_many_queries_are_scored_once(built, tmp_path, monkeypatch):
+    _, chunks, index, queries, _ = built
+    spark = chunks.sparkSession
+    rows = [(f"{i}-{q}", t, {**f, "doc_ids": None, "policy_types": ["sop"] if i == 1 else f["policy_types"]} if i else dict.fromkeys(profiles.FILTERS)) for q, t, f in asks()[:12] for i in range(3)]
+    asked = profiles.with_class(spark.createDataFrame(rows, "query_id string, text string, filters " + queries.schema["filters"].dataType.simpleString()), profiles.constraint(F.col("filters")))
+    scope = profiles.scopes(asked, index.profiles, index.chunks, 8, str(tmp_path / "scopes"))
+    units, got, joined = asked.select("query_id", "text", "class"), {}, []
+    met = bm25.asked_terms
+    monkeypatch.setattr(bm25, "asked_terms", lambda q, i: joined.append(q.count()) or met(q, i))
+    for least in (2, 1 << 60):
+        monkeypatch.setattr(bm25, "SHARED_FROM", least)
+        found = bm25.search(units, index, 4, scope, str(tmp_path / f"found{least}")).collect()
+        got[least] = sorted((r.query_id, r["rank"], r.chunk_id, round(r.raw_score, 6), round(r.normalized_score, 6)) for r in found)
+    assert got[2] == got[1 << 60] and len(got[2]) > 60
+    assert joined == [len({t for _, t, _ in rows}), len(rows)]
+
+
 def test_requests_find_only_what_they_may_see(built, tmp_path):
     rows, chunks, index, queries, scores = built
     spark = chunks.sparkSession
