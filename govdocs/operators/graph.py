@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from govdocs.functions import text as X
+from govdocs.functions.helpers import text_batches
 from govdocs.operators.hoods import HUB, Hoods, hoods
 from govdocs.settings import DOCUMENT_LEVEL_RELATIONS
 
@@ -112,6 +113,7 @@ def scanned_entities(chunks: DataFrame, rules: list[tuple]) -> DataFrame:
                 out += [(row.chunk_id, row.doc_id, *key, alias) for key, (_, alias) in best.items()]
             yield pd.DataFrame(out, columns=["chunk_id", "doc_id", "label", "type", "mention"], dtype=object)
 
+    text_batches(chunks)
     kinds = [chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_id")]
     return chunks.select("chunk_id", "doc_id", "text").mapInPandas(run, f"chunk_id {kinds[0]}, doc_id {kinds[1]}, label string, type string, mention string")
 

@@ -52,3 +52,22 @@ def test_stored_tables_have_small_row_groups(spark, monkeypatch):
     monkeypatch.setattr(workspace, "ROW_GROUP", 1 << 16)
     path = workspace.stored(spark, "row groups", "numbers", lambda: spark.range(0, 200_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("s"))).inputFiles()[0]
     assert pq.ParquetFile(pathlib.Path(path.removeprefix("file://"))).metadata.num_row_groups > 4
+
+
+def test_texts_go_to_python_in_bounded_batches(spark, monkeypatch):
+    from govdocs.functions import helpers
+    from govdocs.operators import bm25, ingest
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(helpers, "BATCH_BYTES", 4 << 10)
+    texts = spark.range(0, 400, 1, 1).select(F.col("id").cast("string").alias("chunk_id"), F.repeat(F.lit("word "), 40).alias("indexable"))
+    try:
+        rows = texts.select("chunk_id", F.col("indexable").alias("text"), F.col("indexable").alias("content"), F.col("chunk_id").alias("doc_id"))
+        for make in (lambda: bm25.counted_terms(texts), lambda: helpers.embed(rows, "text"), lambda: ingest.sections(rows.select("doc_id", "content"))):
+            spark.conf.set(key, "64m")
+            got = make()  # plans run later, with the session's setting of then
+            sizes = {r.n for r in texts.mapInPandas(lambda parts: (p.assign(n=len(p))[["n"]] for p in parts), "n long").distinct().collect()}
+            assert max(sizes) <= 50 and got.count() >= 400
+    finally:
+        spark.conf.set(key, before)
