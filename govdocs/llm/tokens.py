@@ -47,7 +47,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.size = self.tokenizer.model, self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.line_end = self.whole("\n")
-        #: Words without the space that leads them, or with the line end; letters that begin words; what follows them.
+        #: Words without the space that leads them, or with the line end; letters after a line end; what follows letters. Letters after a space are a word.
         self.words, self.heads, self.ends = Known(self.word), Known(self.letters), Known(self.after)
 
     def whole(self, text: str) -> bytes:
@@ -67,9 +67,10 @@ class Encoder:
         m = _WORD.fullmatch(w, line)
         if m is None:
             return self.whole(w if line else f" {w}")
-        head, rest = m[1] if line else f" {m[1]}", m[2]
-        ids = self.heads[head] + self.ends[rest] if rest else self.letters(head)
-        return self.line_end + ids if line else ids
+        head, rest = m[1], m[2]
+        if line:
+            return self.line_end + (self.heads[head] + self.ends[rest] if rest else self.letters(head))
+        return self.words[head] + self.ends[rest] if rest else self.letters(f" {head}")
 
     def encode(self, text: str) -> bytes:
         if not text or text[0] in " \n" or text[-1].isspace() or _JOINED.search(text):

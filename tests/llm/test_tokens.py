@@ -132,3 +132,12 @@ def test_range_coder_many_lanes_and_damage():
     damaged[5000] ^= 1
     with pytest.raises(ValueError):
         range_coder.unpack_block(bytes(damaged))
+
+
+def test_letters_are_kept_once_with_and_without_what_follows(monkeypatch):
+    made = tokens.Encoder(tokens.vocabulary_path())
+    met, letters = [], made.letters
+    monkeypatch.setattr(made, "letters", lambda w: met.append(w) or letters(w))
+    text = "so kettle kettle, kettle. kettle\nkettle kettle! é1 Straße, Straße"
+    assert made.encode(text) == made.whole(text)
+    assert met.count(" kettle") == 1 and met.count(" Straße") == 1 and len(made.heads) == 0
