@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from govdocs.operators.registry import page
 
+#: Updates that a task deals with, however many there are; so many tasks share those of one record when its last values are taken.
+TASK_ROWS, SHARES = 250_000, 64
 UNRESOLVED = ["open", "triaged"]
 FIELDS = ["review_status", "reviewer_note", "linked_eval_case_id"]
 
@@ -53,21 +55,25 @@ def update_trail(feedback: DataFrame, updates: DataFrame, order: str | None = No
     steps = updates.select("feedback_id", at.alias("at"))
     key = ["feedback_id"]
     if path is not None:
-        steps.repartitionByRange("feedback_id", "at").withColumn("part", F.spark_partition_id()).write.parquet(path)
+        n = tasks_for(updates)
+        steps.repartitionByRange(n, "feedback_id", "at").withColumn("part", F.spark_partition_id()).write.parquet(path)
         steps = feedback.sparkSession.read.schema(steps.withColumn("part", F.lit(0)).schema).parquet(path)
         key = ["part", "feedback_id"]
+        steps = steps.repartition(n, *key)
     put = {f: F.when(F.array_contains("at.set_fields", f), F.struct(F.col(f"at.{f}").alias("v"))) for f in FIELDS}
     before = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     last = {f"last_{f}": F.last(put[f], ignorenulls=True).over(before) for f in FIELDS}
     rows = steps.withColumns(last)
     if path is not None:
+        # records meet the ranges that they have updates in, a row of each, and not the updates, of which one record may have most
         ends = steps.groupBy(*key).agg(*[F.max_by(put[f], F.when(put[f].isNotNull(), F.col("at"))).alias(f"end_{f}") for f in FIELDS])
         earlier = Window.partitionBy("feedback_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        ends = ends.withColumn("part_no", F.count("*").over(Window.partitionBy("feedback_id"))).where(F.col("part_no") > 1)
-        ends = ends.withColumns({f"in_{f}": F.last(f"end_{f}", ignorenulls=True).over(earlier) for f in FIELDS})
-        rows = rows.join(ends.select(*key, *[f"in_{f}" for f in FIELDS]), key, "left")
+        ends = ends.repartition(n, "feedback_id").withColumns({f"in_{f}": F.last(f"end_{f}", ignorenulls=True).over(earlier) for f in FIELDS})
+        ends = ends.join(first.repartition(n, "feedback_id"), "feedback_id").drop(*[f"end_{f}" for f in FIELDS])
+        rows = rows.join(ends.repartition(n, *key), key)
         rows = rows.withColumns({f"last_{f}": F.coalesce(f"last_{f}", f"in_{f}") for f in FIELDS})
-    rows = rows.join(first, "feedback_id")
+    else:
+        rows = rows.join(first, "feedback_id")
     was = {f: F.when(F.col(f"last_{f}").isNotNull(), F.col(f"last_{f}.v")).otherwise(F.col(f"first_{f}")) for f in FIELDS}
     now = {f: F.when(put[f].isNotNull(), F.col(f"at.{f}")).otherwise(was[f]) for f in FIELDS}
     differs = F.create_map(*[x for f in FIELDS for x in (F.lit(f), ~now[f].eqNullSafe(was[f]))])
@@ -76,6 +82,26 @@ def update_trail(feedback: DataFrame, updates: DataFrame, order: str | None = No
     return rows.select("feedback_id", "at", F.col("at.set_fields").alias("set_fields"), *named, changed.alias("changed_fields"))
 
 
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks of TASK_ROWS at most, and as many as shuffles have at least."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+
+
+def last_values(updates: DataFrame, order: str | None) -> DataFrame:
+    """feedback_id and for each field new_: what its last update sets, as a struct (v), null without one.
+
+    Rows are dealt out before they are summed up, in shares of a record: a scan's part may hold millions of
+    records, all of which a sum where it is read would keep.
+    """
+    n = tasks_for(updates)
+    place = F.struct(*([order] if order else []), "set_fields", *FIELDS)
+    at = {f: F.when(F.array_contains("set_fields", f), place) for f in FIELDS}
+    rows = updates.select("feedback_id", F.pmod(F.xxhash64(place), F.lit(SHARES)).alias("share"), *[at[f].alias(f) for f in FIELDS])
+    shares = rows.repartition(n, "feedback_id", "share").groupBy("feedback_id", "share").agg(*[F.max(f).alias(f) for f in FIELDS])
+    last = shares.drop("share").repartition(n, "feedback_id").groupBy("feedback_id").agg(*[F.max(f).alias(f) for f in FIELDS])
+    return last.select("feedback_id", *[F.when(F.col(f).isNotNull(), F.struct(F.col(f"{f}.{f}").alias("v"))).alias(f"new_{f}") for f in FIELDS])
+
+
 def apply_updates(feedback: DataFrame, updates: DataFrame, order: str | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new, changes, errors) of updates as update_trail takes them.
 
@@ -83,9 +109,7 @@ def apply_updates(feedback: DataFrame, updates: DataFrame, order: str | None = N
     errors: each update of an unknown id.
     """
     changes = update_trail(feedback, updates, order, path).where(F.size("changed_fields") > 0)
-    place = F.struct(*([order] if order else []), "set_fields", *FIELDS)
-    last = [F.max_by(F.struct(F.col(f).alias("v")), F.when(F.array_contains("set_fields", f), place)).alias(f"new_{f}") for f in FIELDS]
-    rows = feedback.join(updates.groupBy("feedback_id").agg(*last), "feedback_id", "left")
+    rows = feedback.join(last_values(updates, order), "feedback_id", "left")
     out = rows.select(*[F.when(F.col(f"new_{c}").isNotNull(), F.col(f"new_{c}.v")).otherwise(F.col(c)).alias(c) if c in FIELDS else F.col(c) for c in feedback.columns])
     errors = updates.join(feedback.select("feedback_id"), "feedback_id", "left_anti").select("feedback_id", F.lit("INVALID_REQUEST").alias("error_code"))
     return out, changes, errors

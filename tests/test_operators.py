@@ -247,6 +247,19 @@ def test_there_and_back_leaves_its_trail(spark, tmp_path):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_tasks_of_updates_are_bounded(spark, tmp_path, monkeypatch):
+    """Updates are dealt out by their number before they are summed up, and no key is left to the number of shuffle partitions."""
+    monkeypatch.setattr(feedback, "TASK_ROWS", 100)
+    fb = spark.range(0, 900, 1, 1).selectExpr("cast(id as string) as feedback_id", "'open' as review_status", "cast(null as string) as reviewer_note", "cast(null as string) as linked_eval_case_id")
+    updates = fb.selectExpr("feedback_id", "cast(feedback_id as int) as at", "array('review_status') as set_fields", "if(feedback_id < '5', 'closed', 'open') as review_status", "reviewer_note", "linked_eval_case_id")
+    new, changes, _ = feedback.apply_updates(fb, updates, "at", str(tmp_path / "u"))
+    for df in (new, changes):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert ", 9), REPARTITION_BY_NUM" in plan and "partial_max_by" not in plan.split("Scan ExistingRDD")[0].split("REPARTITION_BY_NUM")[-1]
+    assert new.where("review_status = 'closed'").count() == changes.count() == fb.where("feedback_id < '5'").count() > 400
+    assert len(list((tmp_path / "u").glob("part-*"))) == 9
+
+
 def test_degraded_pack_says_why(spark):
     routes = spark.createDataFrame([(1, "hub question", "fact_lookup", "r", True, True, None)], "query_id int, text string, intent string, route string, include_retrieval boolean, include_graph boolean, refusal_reason string")
     evidence = spark.createDataFrame([(1, 1, "c", "d", "CIT-1", "T", "S", "quote", "quote", 0.5)], "query_id int, rank int, chunk_id string, doc_id string, citation_id string, title string, section_title string, quote string, source_text_excerpt string, hybrid_score double")
