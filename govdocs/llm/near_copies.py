@@ -7,10 +7,11 @@ which 0.8 of the union is shared have a common member among the first fifth (and
 any one order of all shingles. The order is by hash, with those of long lists last, so that a passage in
 many documents makes no pairs of them.
 
-Large groups are linked without their pairs: in some rounds each set is compared with one other of its
-lists, which belongs to another component so far. Only pairs of different components are then left; of
-these, maps of 1024 bits rule out all whose differing bits alone make 0.8 impossible, and the rest is
-verified by the whole sets. Shingles are told apart by 64-bit hashes.
+Large groups are linked without their pairs: in some rounds each set is compared with a few others of its
+lists, which belong to other components so far. Only pairs of different components are then left; of
+these, maps of 1024 bits rule out all whose differing bits alone make 0.8 impossible, wide maps of 8 to
+16 bits a shingle nearly all others below 0.8, and the rest is verified by the whole sets. Wide maps and
+sets go to cells of pairs that share them, not to each pair. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from govdocs.llm import simhash
 from govdocs.llm.common import Scratch, small_side, text_batches, text_or_empty
@@ -31,9 +33,17 @@ from govdocs.llm.components import connected_components
 MAP_BITS = 1 << 25
 #: Longs of the map of a set.
 MAP_LONGS = 16
-ROUNDS = 1
+#: How many others a set is compared with in each round.
+PROBES = (4, 12)
 #: Rows from which on a list's pairs are ruled out by maps where they meet, instead of being written first.
 HEAVY = 256
+#: Keys of a set in long lists before the one where it meets another: a pair that shares one of them is not made again.
+KEYS_BEFORE = 32
+#: Pairs of a cell on average, and sets of a list that meet in one.
+CELL_PAIRS, CELL_SETS = 256, 256
+#: Bits of a page of the maps that count shingles.
+PAGE_BITS = 16
+PLACE = ("sid", "n", "at", "comp")
 MAPS = [f"m{i}" for i in range(MAP_LONGS)]
 
 
@@ -73,6 +83,26 @@ def set_map(shingles):
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
+def wide_map(shingles):
+    """A map of 8 to 16 bits for each shingle, a power of two (64 at least): its bytes are 0 or 1 here, one for each bit."""
+    import numpy as np
+
+    size = max(64, 1 << (8 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(shingles.view(np.uint64) >> np.uint64(20)) % np.uint64(size)] = 1
+    return bits
+
+
+def alone(a, b) -> tuple[int, int]:
+    """How many bits are set in one of two packed wide maps alone, the larger folded to the smaller's size."""
+    import numpy as np
+
+    size = min(len(a), len(b))
+    fold = lambda x: np.bitwise_or.reduce(x.reshape(-1, size), axis=0)
+    a, b = fold(a), fold(b)
+    return int(np.bitwise_count(a & ~b).sum()), int(np.bitwise_count(b & ~a).sum())
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id, body (hash of the text) and text of each row; null counts as empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("body"), text_or_empty().alias("text"))
@@ -114,29 +144,39 @@ def of_sets(docs: DataFrame, reps: DataFrame, words: int, make, schema: str, onc
 
 
 def bit_map(sets: DataFrame, more_than: int):
-    """MAP_BITS bits, set for the keys that more prefixes (first) have; None without any. The map has this size whatever the corpus."""
-    import numpy as np
+    """MAP_BITS bits, set for the keys that more prefixes (first) have; None without any. The map has this size whatever the corpus.
 
-    keys = sets.select(F.explode("first").alias("key")).groupBy("key").agg(F.count("*").alias("posts")).where(F.col("posts") > more_than)
-    place = F.pmod(F.col("key"), F.lit(MAP_BITS))  # of the unsigned number too, as MAP_BITS is a power of two
-    # 32 KB of the map in a row
-    rows = keys.select(place.alias("place")).distinct().groupBy(F.floor(F.col("place") / (1 << 18)).alias("page")).agg(F.collect_list((F.col("place") % (1 << 18)).cast("int")).alias("bits"))
+    Keys travel in four bytes, by page of the map; what is told apart by their other bits only counts together, and is told apart later.
+    """
+    import numpy as np
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            out = []
-            for bits in p["bits"]:
-                page = np.zeros(1 << 18, dtype=np.uint8)
-                page[np.asarray(bits)] = 1
-                out.append(np.packbits(page, bitorder="little").tobytes())
-            yield pd.DataFrame({"page": p["page"], "bits": out})
-
-    pages = rows.mapInPandas(run, "page long, bits binary").collect()
+            keys = np.sort(np.concatenate([np.zeros(0, dtype=np.int64), *p["first"]]).view(np.uint64))
+            again = np.zeros(len(keys), dtype=bool)
+            again[more_than + 1 :] = keys[more_than + 1 :] == keys[: -more_than - 1]  # more of one batch say nothing more
+            keys = keys[~again]
+            place = (keys % np.uint64(MAP_BITS)).astype(np.uint32)
+            # the place in its page and bits beyond the map's: what tells keys of a page apart
+            rest = (keys >> np.uint64(25)).astype(np.uint32) << np.uint32(PAGE_BITS) | place & np.uint32((1 << PAGE_BITS) - 1)
+            page = place >> np.uint32(PAGE_BITS)
+            order = np.argsort(page, kind="stable")
+            names, starts = np.unique(page[order], return_index=True)
+            if len(names):
+                yield pd.DataFrame({"page": names.astype(np.int64), "rest": [x.astype("<u4").tobytes() for x in np.split(rest[order], starts[1:])]})
+
+    def counted(p: pd.DataFrame) -> pd.DataFrame:
+        keys, posts = np.unique(np.frombuffer(b"".join(p["rest"]), dtype="<u4"), return_counts=True)
+        page = np.zeros(1 << PAGE_BITS, dtype=np.uint8)
+        page[keys[posts > more_than] & np.uint32((1 << PAGE_BITS) - 1)] = 1
+        return pd.DataFrame({"page": p["page"][:1], "bits": [np.packbits(page, bitorder="little").tobytes()]}) if page.any() else pd.DataFrame({"page": [], "bits": []})
+
+    pages = sets.select("first").mapInPandas(dealt, "page long, rest binary").groupBy("page").applyInPandas(counted, "page long, bits binary").collect()
     if not pages:
         return None
     out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
     for r in pages:
-        out[r.page << 15 : (r.page + 1) << 15] = np.frombuffer(r.bits, dtype=np.uint8)
+        out[r.page << PAGE_BITS - 3 : (r.page + 1) << PAGE_BITS - 3] = np.frombuffer(r.bits, dtype=np.uint8)
     return out
 
 
@@ -197,26 +237,61 @@ class Sets:
     docs: DataFrame
     uniq: DataFrame
     words: int
-    once: bool
 
     def possible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) without those whose maps rule out 0.8."""
+        """Pairs (a, b; key, list) without those whose maps rule out 0.8."""
         side = lambda x: self.uniq.select(F.col("sid").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(m).alias(f"{x}_{m}") for m in MAPS])
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(may_reach()).select("a", "b")
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(may_reach()).select("a", "b", "key", "list")
+
+    def tested(self, pairs: DataFrame, whole: bool, scratch: Scratch, name: str) -> DataFrame:
+        """Pairs (a, b; key, list) whose wide maps leave 0.8 possible, or (whole) whose sets reach it.
+
+        Pairs meet what they need in cells: those of one list together, as far as it is short, else blocks of it.
+        """
+        cells = -(-pairs.count() // CELL_PAIRS)
+        if not cells:
+            return pairs
+        block = lambda x: F.pmod(F.xxhash64(x), F.ceil(F.col("list") / CELL_SETS))
+        pairs = pairs.withColumn("cell", F.pmod(F.xxhash64("key", block("a"), block("b")), F.lit(cells)))
+        need = pairs.select("cell", F.col("a").alias("sid")).union(pairs.select("cell", "b")).distinct().groupBy("sid").agg(F.collect_list("cell").alias("cells"))
+        need = scratch.put(f"{name}-asked", self.uniq.select("sid", "doc_id", "body").join(need, "sid"))
+        words = self.words
+
+        def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import numpy as np
+
+            for p in parts:
+                for sid, text, at in zip(p["sid"], p["text"], p["cells"]):
+                    s = shingle_hashes(text, words)
+                    held = s.tobytes() if whole else np.packbits(wide_map(s)).tobytes()
+                    for few in np.array_split(at, -(-len(at) * len(held) // (1 << 23)) or 1):  # 8 MB at a time
+                        yield pd.DataFrame({"cell": few, "sid": sid, "n": len(s), "held": held})
+
+        def meet(both: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+            import numpy as np
+
+            held = {sid: (n, np.frombuffer(x, dtype=np.int64 if whole else np.uint8)) for sid, n, x in zip(sets["sid"], sets["n"], sets["held"])}
+            ok = []
+            for a, b in zip(both["a"], both["b"]):
+                (na, x), (nb, y) = held[a], held[b]
+                if whole:
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                else:
+                    only = alone(x, y)
+                    shared = min(na - only[0], nb - only[1])
+                ok.append(9 * shared >= 4 * (na + nb))
+            return both.loc[np.array(ok, dtype=bool), ["a", "b", "key", "list"]]
+
+        asked = small_side(need.select(F.col("doc_id").alias("r_id"), F.col("body").alias("r_body"), "sid", "cells"), need.select(F.sum(F.size("cells") + 8)).first()[0] or 0, 8)
+        texts = texts_of(self.docs).join(asked, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("body") == F.col("r_body"))).select("sid", "text", "cells")
+        sets = texts.mapInPandas(make, "cell long, sid long, n int, held binary")
+        return pairs.groupBy("cell").cogroup(sets.groupBy("cell")).applyInPandas(meet, "a long, b long, key long, list long")
 
     def verified(self, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-        """Those of pairs (a, b) whose whole sets reach 0.8."""
+        """Those of pairs (a, b; key and list: where they met, and how many sets meet there) whose whole sets reach 0.8."""
         pairs = scratch.put(f"{name}-pairs", self.possible(pairs))
-        asked = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-        asked = scratch.put(f"{name}-asked", self.uniq.select("sid", "doc_id", "body").join(asked, "sid", "left_semi"))
-        held = scratch.put(f"{name}-sets", of_sets(self.docs, asked, self.words, lambda s: (s,), "shingles array<long>", self.once))
-        size = held.agg(F.sum(F.size("shingles").cast("long") * 8 + 64)).first()[0] or 0
-        side = lambda x, s: small_side(held.select(F.col("sid").alias(x), F.col("shingles").alias(s)), size, 1)
-        both = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
-        both = both.where(reaches(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb")))
-        links = scratch.put(f"{name}-links", both.select("a", "b").distinct())
-        scratch.drop(f"{name}-sets")
-        return links
+        pairs = scratch.put(f"{name}-wide", self.tested(pairs, False, scratch, name))
+        return scratch.put(f"{name}-links", self.tested(pairs, True, scratch, name).select("a", "b"))
 
 
 def room(x: str, y: str) -> Column:
@@ -234,32 +309,41 @@ def similar_sets(docs: DataFrame, uniq: DataFrame, words: int, long_list: int, o
     near = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
     alike = uniq.select("sid", "fp").join(prints.where("n > 1").select("fp", "least"), "fp").where("sid <> least")
     near = near.unionByName(alike.select(F.col("least").alias("a"), F.col("sid").alias("b")))
+    met_at = lambda pairs, key: pairs.select("a", "b", F.col(key).alias("key"), F.lit(1).cast("long").alias("list"))
     near = scratch.put("near", near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sets = Sets(docs, uniq, words, once)
-    links = sets.verified(near, scratch, "near")
-    side = lambda x, df: df.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "at", "comp")])
-    tried = near
-    for turn in range(ROUNDS + 1):
+    sets = Sets(docs, uniq, words)
+    links = sets.verified(met_at(near, "a"), scratch, "near")
+    tried, placed = near, lists
+    for turn in range(len(PROBES) + 1):
         comps = connected_components(links, Scratch(docs.sparkSession, f"near-comps{turn}")).withColumnRenamed("node", "sid")
         links = comps.where("comp <> sid").select(F.col("comp").alias("a"), F.col("sid").alias("b"))  # a star for each component
-        placed = lists.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        if turn == ROUNDS:
+        placed = placed.select("key", "sid", "n", "at").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        # of each list another head in each round; later one that has links, if there is any
+        head = F.min(F.struct((F.col("sid") == F.col("comp")) if turn else F.lit(True), F.xxhash64("sid", "key", F.lit(turn)), "sid", "n", "at", "comp"))
+        mixed = placed.groupBy("key").agg(head.alias("h"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("list")).where("c1 <> c2")
+        placed = scratch.put(f"mixed{turn}", placed.join(mixed.select("key", "list", *[F.col(f"h.{c}").alias(f"b_{c}") for c in PLACE]), "key"))
+        if turn:
+            scratch.drop(f"mixed{turn - 1}")
+        if turn == len(PROBES):
             break
-        heads = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "n", "at", "comp")).alias("h"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
-        heads = side("b", heads.select("key", "h.sid", "h.n", "h.at", "h.comp"))
-        met = side("a", placed).join(heads, "key").where((F.col("a_comp") != F.col("b_comp")) & room("a", "b"))
-        met = met.select("a_sid", F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b")).join(tried, ["a", "b"], "left_anti")
-        met = met.groupBy("a_sid").agg(F.min(F.struct(F.xxhash64("a", "b", F.lit(turn)), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        met = placed.select(*[F.col(c).alias(f"a_{c}") for c in PLACE], *[f"b_{c}" for c in PLACE])
+        met = met.where((F.col("a_comp") != F.col("b_comp")) & room("a", "b"))
+        met = met.select("a_sid", F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        few = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("a", "b", F.lit(turn)).alias("h"), "a", "b"))), 1, PROBES[turn])
+        met = met.groupBy("a_sid").agg(few.alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()
         met = scratch.put(f"met{turn}", met)
-        links, tried = links.unionByName(sets.verified(met, scratch, f"round{turn}")), tried.unionByName(met)
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("list")).where("c1 <> c2").select("key", "list")
-    placed = scratch.put("mixed", placed.join(mixed, "key"))
+        links, tried = links.unionByName(sets.verified(met_at(met, "a"), scratch, f"round{turn}")), tried.unionByName(met)
     on = (F.col("a_sid") < F.col("b_sid")) & (F.col("a_comp") != F.col("b_comp")) & room("a", "b")
-    named = lambda met: met.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
-    light = placed.where(F.col("list") <= HEAVY)
-    heavy = scratch.put("heavy", placed.where(F.col("list") > HEAVY).join(uniq.select("sid", *MAPS), "sid"))
-    full = lambda x: heavy.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "at", "comp", *MAPS)])
-    pairs = named(side("a", light).join(side("b", light), "key").where(on)).unionByName(named(full("a").join(full("b"), "key").where(on & may_reach()))).distinct()
+    named = lambda met: met.groupBy(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).agg(F.min("key").alias("key"), F.max("list").alias("list"))
+    both = lambda df, more=(): (df.select("key", "list", *[F.col(c).alias(f"a_{c}") for c in (*PLACE, *more)]), df.select("key", *[F.col(c).alias(f"b_{c}") for c in (*PLACE, *more)]))
+    a, b = both(placed.where(F.col("list") <= HEAVY))
+    light = a.join(b, "key").where(on).select("key", "list", "a_sid", "b_sid")
+    # sets that share one of the keys before have met there
+    before = F.collect_list("key").over(Window.partitionBy("sid").orderBy("at").rowsBetween(-KEYS_BEFORE, -1))
+    heavy = placed.where(F.col("list") > HEAVY).select("key", "list", "sid", "n", "at", "comp", before.alias("before")).join(uniq.select("sid", *MAPS), "sid")
+    a, b = both(scratch.put("heavy", heavy), ("before", *MAPS))
+    heavy = a.join(b, "key").where(on & may_reach() & ~F.arrays_overlap("a_before", "b_before")).select("key", "list", "a_sid", "b_sid")
+    pairs = named(light.unionByName(heavy))
     links = links.unionByName(sets.verified(pairs.join(tried, ["a", "b"], "left_anti"), scratch, "rest"))
     return connected_components(links, scratch).withColumnRenamed("node", "sid")
 

@@ -66,3 +66,55 @@ def test_repeated_and_null_ids(spark):
     same = spark.createDataFrame([(4, "x y z"), (4, "x y z"), (None, None), (None, ""), (6, " ")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in near_copies.drop_near_duplicates(same).collect()) == [(4, "x y z"), (6, " ")]
     assert near_copies.drop_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rounds_leave_few_pairs_of_a_large_group(spark, monkeypatch):
+    """Copies of which many are linked through others only: rounds link them, so that the pairs left for the end are few."""
+    base, rows = [f"word{i}" for i in range(146)], []
+    for k in range(300):
+        copy = list(base)
+        for j in range(1 + (k % 5 > 0)):
+            copy[(k * 29 + j * 71) % 146] = f"own{k}x{j}"
+        rows.append((k, " ".join(copy)))
+    left = []
+
+    def put(self, name, df, *more, put=near_copies.Scratch.put):
+        out = put(self, name, df, *more)
+        if name == "rest-pairs":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies.Scratch, "put", put)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_copies.drop_near_duplicates(frame)
+    assert {r.doc_id for r in got.collect()} == brute_kept(rows)
+    assert len(left) == 1 and left[0] < 1500
+
+
+def test_wide_maps_rule_out_no_link():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 100, 250, 3000):
+        for gone in (0, n // 9, n // 4, n):
+            both = np.unique(rng.integers(-(2**63), 2**63, 2 * n + gone, dtype=np.int64))
+            rng.shuffle(both)
+            a, b = both[:n], both[gone : gone + n + n // 8]
+            shared, maps = len(np.intersect1d(a, b)), [np.packbits(near_copies.wide_map(s)) for s in (a, b)]
+            only = near_copies.alone(*maps)
+            bound = min(len(a) - only[0], len(b) - only[1])
+            assert shared <= bound <= shared + max(3, 0.3 * n)
+
+
+def test_map_of_frequent_keys(spark):
+    """Keys that repeat within a batch, over batches and only where the map's bits are alike."""
+    import numpy as np
+
+    twin = 5 + near_copies.MAP_BITS  # the place of 5, another key
+    firsts = [[1, 2, -7], [1, 3, -7], [1, 4], [5], [twin], [], [6, 8], [9]]
+    frame = spark.createDataFrame([(f,) for f in firsts], "first array<long>").repartition(3)
+    places = lambda keys: sorted(k % near_copies.MAP_BITS for k in keys)
+    held = lambda bits: np.nonzero(np.unpackbits(bits, bitorder="little"))[0].tolist()
+    assert held(near_copies.bit_map(frame, 1)) == places([1, -7])
+    assert held(near_copies.bit_map(frame, 2)) == places([1])
+    assert near_copies.bit_map(frame, 3) is None
