@@ -34,7 +34,7 @@ MAP_BITS = 1 << 25
 #: Longs of the map of a set.
 MAP_LONGS = 16
 #: How many others a set is compared with in each round.
-PROBES = (4, 12)
+PROBES = (16,)
 #: Rows from which on a list's pairs are ruled out by maps where they meet, instead of being written first.
 HEAVY = 256
 #: Keys of a set in long lists before the one where it meets another: a pair that shares one of them is not made again.
