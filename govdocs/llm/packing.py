@@ -249,6 +249,8 @@ def pack(docs: DataFrame, most: int = 2048, path: str | None = None, end_id: int
     Null and empty texts are documents of the end id alone. Rows that repeat a doc_id are packed each;
     a null doc_id keeps its row. An empty table gives an empty result; other columns are ignored.
     """
+    import numpy as np
+
     spark = docs.sparkSession
     text_batches(spark)
     scratch = Scratch(spark, "packing")
@@ -256,8 +258,14 @@ def pack(docs: DataFrame, most: int = 2048, path: str | None = None, end_id: int
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
     rows = cuts.withColumn("bucket", bucket)
     counts = scratch.put("counts", rows.groupBy("length", "bucket").agg(F.count("*").alias("n")))
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `most` rows
-    lengths, first, sequence, offset = slots(plan(histogram, most))
+
+    def planned(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("length", "first", "sequence", "offset"), slots(plan(dict(zip(p["length"].tolist(), p["n"].tolist())), most)))))
+
+    # at most `most` rows; in a task, as the plan's arrays would weigh on the driver
+    histogram = counts.groupBy("length").agg(F.sum("n").alias("n")).groupBy()
+    runs = histogram.applyInPandas(planned, "length long, first long, sequence long, offset long").collect()
+    lengths, first, sequence, offset = np.array(sorted(map(tuple, runs)), dtype=np.int64).reshape(-1, 4).T
     # rank = the bucket's first rank among its length + the rank inside the bucket
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("base"))

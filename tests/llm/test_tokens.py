@@ -141,3 +141,21 @@ def test_letters_are_kept_once_with_and_without_what_follows(monkeypatch):
     text = "so kettle kettle, kettle. kettle\nkettle kettle! é1 Straße, Straße"
     assert made.encode(text) == made.whole(text)
     assert met.count(" kettle") == 1 and met.count(" Straße") == 1 and len(made.heads) == 0
+
+
+def test_plan_is_not_made_by_the_driver(spark, monkeypatch):
+    import numpy as np
+
+    def solve(*_):
+        raise AssertionError("on the driver")
+
+    frame = spark.createDataFrame([(k, "word " * (k % 9 * 60)) for k in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(np.linalg, "solve", solve)
+    rows = packing.pack(frame, most=256).collect()
+    assert {r.doc_id for r in rows} == set(range(60))
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 256
+    assert packing.pack(frame.limit(0), most=256).count() == 0
