@@ -2,11 +2,12 @@
 
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_search import asks, built  # noqa: F401
 
-from govdocs.operators import bm25, profiles, retrieval, scans
+from govdocs.operators import bm25, nearest, profiles, registry, retrieval, scans
 from govdocs.plans import demo, workspace
 
 
@@ -68,8 +69,6 @@ def test_terms_of_many_queries_meet_postings(built, read, monkeypatch):  # noqa:
 
 
 def test_equal_scores_of_slices_are_ranked_by_id():
-    import numpy as np
-
     kept = scans.Best(1, 3)
     for ids in (["d", "a"], ["c", "e"], ["b"]):
         kept.add(np.array(ids, dtype=object), np.array([[1.0 + 1e-12]] * len(ids)))
@@ -85,3 +84,42 @@ def test_searches_store_asked_terms_and_no_pairs(spark, sf_dir):
     assert {r.token for r in demo.index(spark, source).terms.select("token").collect()} <= known
     demo.t3_index(spark, source).count()
     assert not {name for _, s, name in workspace._made if s == source} & {"counted", "lengths"}
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_blocks_meet_few_queries_where_they_are_read(spark, tmp_path, monkeypatch, kind):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.integers(-9, 9, size=(40, 6)), 8, axis=0) + rng.integers(0, 2, size=(320, 6))
+    frame = lambda m, name: spark.createDataFrame([(f"v{i:03}", [float(c) for c in v]) for i, v in enumerate(m)], f"{name} string, vector array<{kind}>")
+    vectors, queries, found = frame(x, "id").repartition(5), frame(np.concatenate([x[:9], np.zeros((1, 6))]), "query_id"), []
+    for held, sent in ((1, nearest.SENT_BYTES), (90, nearest.SENT_BYTES), (1 << 18, nearest.SENT_BYTES), (1 << 18, 0)):
+        monkeypatch.setattr(nearest, "HELD", max(held, 10 * 7))
+        monkeypatch.setattr(nearest, "MEETING", 4)
+        monkeypatch.setattr(nearest, "SENT_BYTES", sent)
+        got = nearest.nearest(vectors, queries, 7, block=8, pivots=6, put=registry.written(str(tmp_path / f"{held}-{sent}")))
+        assert ("q_cell" in got._jdf.queryExecution().optimizedPlan().toString()) == (sent == 0)  # blocks are not dealt out
+        found.append(sorted((r.query_id, r["rank"], r.id, round(r.cosine, 9)) for r in got.collect()))
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == 70
+    at = nearest.pivots_of(vectors, 6)
+    assert {len(r.matrix) for r in nearest.blocks_of(vectors, at, 8).where("n = 8").collect()} == {8 * 6 * (4 if kind == "float" else 8)}
+
+
+def test_tasks_hand_on_the_best_alone(spark):
+    rng = np.random.default_rng(9)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 4)))], "id int, vector array<double>").coalesce(2)
+    at = nearest.pivots_of(vectors, 3)
+    blocks = nearest.blocks_of(vectors, at, 10)
+    cells = [tuple(r) for r in blocks.groupBy("cell").agg(F.sum("n"), F.min("low"), F.max("high")).collect()]
+    q = nearest.unit(rng.normal(size=(3, 4)))
+    met = nearest.best_where_read(blocks, at, cells, [0, 1, 2], q, 5, np.full(3, 4.0), "query_id int, id int, cosine double")
+    assert met.groupBy("query_id", F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_citations_read_the_pages_of_their_documents(spark, sf_dir):
+    source = sf_dir + "/././."
+    cited = demo.t13_citations(spark, source)
+    assert cited.count() > 0 and "pages" not in {name for _, s, name in workspace._made if s == source}
+    results = demo.found_bm25(spark, source)
+    own = {r.doc_id for r in results.join(demo.chunks(spark, source), "chunk_id").select("doc_id").collect()}
+    kept = retrieval.cited_documents(results, demo.chunks(spark, source), demo.documents(spark, source))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(own) and len(own) < demo.documents(spark, source).count()
