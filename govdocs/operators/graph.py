@@ -280,11 +280,11 @@ def list_edges(edges: DataFrame, relation: str | None = None, source_doc_id: str
     return edges.where(functools.reduce(lambda a, b: a & b, [F.col(c) == v for c, v in equal], F.lit(True))).orderBy("edge_id")
 
 
-def neighborhoods(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, hub: int = HUB, path: str | None = None) -> tuple[Hoods, DataFrame]:
-    """(hoods, errors) for seeds (seed) within depth (1 or 2), undirected: their neighborhoods in parts, and the seeds that are no nodes."""
+def neighborhoods(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, hub: int = HUB, path: str | None = None, adj: DataFrame | None = None) -> tuple[Hoods, DataFrame]:
+    """(hoods, errors) for seeds (seed) within depth (1 or 2), undirected: their neighborhoods in parts, and the seeds that are no nodes. adj: the edges' adjacency, if it is stored."""
     names = nodes.select(F.col("node_id").alias("seed"))
     errors = seeds.join(names, "seed", "left_anti").withColumn("error_code", F.lit("NODE_NOT_FOUND"))
-    return hoods(seeds.join(names, "seed", "left_semi"), edges, depth, hub, path), errors
+    return hoods(seeds.join(names, "seed", "left_semi"), edges, depth, hub, path, adj), errors
 
 
 def graph_stats(nodes: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFrame:

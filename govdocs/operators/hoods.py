@@ -117,8 +117,8 @@ def classes_of(next_hubs: DataFrame) -> DataFrame:
     return keys.join(keys.groupBy(*names).agg(F.min("seed").alias("class_id")), names).select("seed", "class_id")
 
 
-def hoods(seeds: DataFrame, edges: DataFrame, depth: int, hub: int = HUB, path: str | None = None) -> Hoods:
-    """The neighborhoods of seeds (seed) within depth (1 or 2), undirected. path: a folder for the parts, which several steps read.
+def hoods(seeds: DataFrame, edges: DataFrame, depth: int, hub: int = HUB, path: str | None = None, adj: DataFrame | None = None) -> Hoods:
+    """The neighborhoods of seeds (seed) within depth (1 or 2), undirected. path: a folder for the parts, which several steps read; adj: the edges' adjacency, if it is stored.
 
     Seeds that repeat or are null count once or not at all; a seed without edges is its own neighborhood; edges
     without one of their ends are no neighbours. An empty table of seeds or edges gives empty parts.
@@ -126,7 +126,7 @@ def hoods(seeds: DataFrame, edges: DataFrame, depth: int, hub: int = HUB, path:
     if depth not in (1, 2):
         raise ValueError("depth must be 1 or 2")
     put = written(path)
-    adj = put(adjacency(edges), "adjacency")
+    adj = put(adjacency(edges), "adjacency") if adj is None else adj
     known = seeds.select("seed").where("seed is not null").distinct()
     degree = adj.groupBy("a").agg(F.first("a_n").alias("n")).withColumnRenamed("a", "seed")
     start = put(known.join(degree, "seed", "left").fillna(0, ["n"]), "start")
